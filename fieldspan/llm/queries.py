@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.llm import byte_bpe, decontaminate, token_files, warc
+from fieldspan.llm import byte_bpe, decontaminate, secret_scan, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.spans(_table(spark, sf_dir, "documents")))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -27,5 +31,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op7_token_files, op8_byte_bpe, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_benchmark_decontamination, op7_token_files, op8_byte_bpe, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}
