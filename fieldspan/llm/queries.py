@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspan.llm import byte_bpe, decontaminate, secret_scan, token_files, warc
+from fieldspan.llm import byte_bpe, decontaminate, html_extract, secret_scan, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_benchmark_decontamination, op7_token_files, op8_byte_bpe, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}
