@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldspan.llm import byte_bpe, decontaminate, html_extract, secret_scan, token_files, warc
+from fieldspan.llm import byte_bpe, decontaminate, html_extract, language_id, secret_scan, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predicted(docs, language_id.fit(language_id.trained_on(docs)))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
