@@ -7,8 +7,8 @@ letters is one space.
 Fitting takes at most ``per_language`` labelled texts of each of the ``most_languages`` commonest
 languages (those with the smallest hashes of doc_id, none over ``most_chars`` characters), so a
 model's size has a bound whatever the table's size. One in four of them is not counted but
-calibrates rejection: a text of at least 20 symbols is rejected if its cross-entropy exceeds the
-largest of its language's calibration texts by a quarter. Scoring reads all texts whole.
+calibrates rejection: a text of at least 100 symbols is rejected if its cross-entropy exceeds the
+largest of its language's calibration texts by half. Scoring reads all texts whole.
 
 A null text, or one without a letter, has the language ``und`` and score 0, and is rejected; so is
 every text if no labelled one is there. Ties go to the first language by name. Repeated rows each
@@ -30,8 +30,8 @@ PER_LANGUAGE = 1000
 MOST_LANGUAGES = 200
 MOST_CHARS = 20_000
 FOLDS = 5
-SHORT = 20
-SLACK = 1.25
+SHORT = 100
+SLACK = 1.5
 _SPACE, _EDGE = 0x20, 1
 _MARK = "\ud800"
 _BITS = np.uint64(16)
