@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldspan.llm import byte_bpe, decontaminate, graph_ann, html_extract, language_id, secret_scan, token_files, warc
+from fieldspan.llm import byte_bpe, decontaminate, graph_ann, html_extract, language_id, ngram_join, secret_scan, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.spans(_table(spark, sf_dir, "documents")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"))
+
+
 def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return graph_ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -46,5 +50,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_graph_ann, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_join, op3_graph_ann, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
