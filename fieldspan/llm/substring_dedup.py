@@ -11,7 +11,7 @@ occurs at most ``group`` times go to that run's group; a task takes whole groups
 and builds their subtree by doubling: suffixes get ranks by their first 8, 16, 32 words and then by
 all of the window. An inner node as deep as the window with two leaves or more is a repeat. Longer
 groups are split by the whole window's words, so each suffix is a node, and its leaves are counted
-before and after the shuffle; such a group may hold any number of copies.
+before and after the shuffle, copies of a passage as one; such a group may hold any number of them.
 
 A null text has no words. Equal rows are separate documents that repeat each other. Null and
 repeated doc_ids are allowed. Extra columns are ignored (``digest``) or kept (``cut``).
@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks, shuffle_width, text_bytes, written
-from fieldspan.llm.wordhash import SPACE, Words, rolling, whole_windows, words
+from fieldspan.llm.shared import chunks, free, shuffle_width, text_bytes, written
+from fieldspan.llm.wordhash import SPACE, Words, mix, rolling, whole_windows, words
 
 WINDOW = 35
 GRAM = 10
@@ -116,8 +116,9 @@ _NO_DOC = np.iinfo(np.int64).min
 
 
 def _met(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """Documents with their anchors (array of gram, lo, n) out of rows gram, k, lo, n."""
-    by_doc = held.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("lo", "n", "gram"))).alias("held"))
+    """Documents with their anchors (array of lo, n, gram, alone) out of rows gram, k, lo, n."""
+    alone = F.col("alone") if "alone" in held.columns else F.lit(False).alias("alone")
+    by_doc = held.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("lo", "n", "gram", alone))).alias("held"))
     return _keyed(docs).join(by_doc, "k")
 
 
@@ -128,17 +129,11 @@ def _contexts(docs: DataFrame, held: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for rows, data, off in chunks(batch, "text"):
                 w = words(data, off, SPACE)
-                lists = rows.column("held")
-                count = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                lo, n, gram = (flat.field(c).to_numpy() for c in ("lo", "n", "gram"))
-                doc = np.repeat(np.arange(rows.num_rows), count)
-                fits = w.first[doc] + lo + n + window - 2 < w.first[doc + 1]
-                lo, n, gram, doc = lo[fits], n[fits], gram[fits], doc[fits]
+                doc, lo, n, gram, _ = _anchored(rows, w, window)
                 a, b = w.start[w.first[doc] + lo], w.end[w.first[doc] + lo + n + window - 2]
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), rows.column("k").take(pa.array(doc)), rows.column("doc_id").take(pa.array(doc)), pa.array(lo), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
+                    [pa.array(gram), rows.column("k").take(pa.array(doc)), rows.column("doc_id").take(pa.array(doc)), pa.array(lo.astype(np.int32)), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
                     ["gram", "k", "doc_id", "lo", "words"],
                 )
 
@@ -182,36 +177,79 @@ def _subtrees(contexts: DataFrame, window: int) -> DataFrame:
     return grouped.mapInArrow(run, _RANGE)
 
 
+def _anchored(rows: pa.RecordBatch, w: Words, window: int) -> tuple[np.ndarray, ...]:
+    """(document, lo, n, gram, alone) of the anchors that a batch of _met holds."""
+    lists = rows.column("held")
+    flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    lo, n, gram = (flat.field(c).to_numpy() for c in ("lo", "n", "gram"))
+    alone = flat.field("alone").to_numpy(zero_copy_only=False).astype(bool)
+    doc = np.repeat(np.arange(rows.num_rows), count)
+    fits = w.first[doc] + lo + n + window - 2 < w.first[doc + 1]
+    return doc[fits], lo[fits].astype(np.int64), n[fits].astype(np.int64), gram[fits], alone[fits]
+
+
 def _whole(docs: DataFrame, held: DataFrame, window: int) -> DataFrame:
-    """The same for groups of any size: each window under the hash of all its words."""
+    """The same for groups of any size, split by all words of the windows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Anchors with the same words around them are counted as one context first: each of two or more
+    is covered whole. One of each kind then gives its windows, and those of a context that is there
+    once are looked up among all.
+    """
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, off in chunks(batch, "text", 2 << 20):
+                w = words(data, off, SPACE)
+                label = rolling(w.hash, window)
+                doc, lo, n, gram, _ = _anchored(rows, w, window)
+                at = w.first[doc] + lo
+                # windows at most 16 apart, from the first to the last: together they hold every word
+                ctx = np.zeros(len(at), np.uint64)
+                for k in range(0, int(n.max(initial=0)), 16):
+                    ctx = mix(ctx + label[at + np.minimum(k, n - 1)])
+                ctx = mix(ctx + label[at + n - 1] + n.astype(np.uint64))
+                order = np.lexsort((lo, ctx, gram, doc))
+                doc, lo, n, gram, ctx = doc[order], lo[order], n[order], gram[order], ctx[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (ctx[1:] != ctx[:-1])
+                head = np.flatnonzero(new)
+                own = pa.array(doc[head])
+                places = pa.ListArray.from_arrays(np.append(head, len(doc)).astype(np.int32), lo.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram[head]), pa.array(ctx[head].view(np.int64)), rows.column("k").take(own), rows.column("doc_id").take(own), places, pa.array(n[head].astype(np.int32))],
+                    ["gram", "ctx", "k", "doc_id", "los", "n"],
+                )
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in chunks(batch, "text", 2 << 20):
                 w = words(data, off, SPACE)
                 label = rolling(w.hash, window)
-                lists = rows.column("held")
-                flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                lo, n, gram = (flat.field(c).to_numpy() for c in ("lo", "n", "gram"))
-                doc = np.repeat(np.arange(rows.num_rows), count)
-                fits = w.first[doc] + lo + n + window - 2 < w.first[doc + 1]
-                lo, n, gram, doc = lo[fits], n[fits].astype(np.int64), gram[fits], doc[fits]
+                doc, lo, n, gram, alone = _anchored(rows, w, window)
                 each = np.repeat(np.arange(len(n)), n)
                 pos = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[each]), pa.array(label[w.first[doc[each]] + pos].view(np.int64)), rows.column("k").take(pa.array(doc[each])), rows.column("doc_id").take(pa.array(doc[each])), pa.array(pos.astype(np.int32))],
-                    ["gram", "label", "k", "doc_id", "pos"],
+                    [pa.array(gram[each]), pa.array(label[w.first[doc[each]] + pos].view(np.int64)), pa.array(alone[each]), rows.column("k").take(pa.array(doc[each])), rows.column("doc_id").take(pa.array(doc[each])), pa.array(pos.astype(np.int32))],
+                    ["gram", "label", "alone", "k", "doc_id", "pos"],
                 )
 
-    each = written(_met(docs, held).select("k", "doc_id", "held", "text").mapInArrow(run, "gram long, label long, k long, doc_id long, pos int"), "windows")
-    more = each.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1").select("gram", "label")
-    return each.join(more, ["gram", "label"]).select("k", "doc_id", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))
+    met = lambda rows: _met(docs, rows).select("k", "doc_id", "held", "text")
+    each = written(met(held).mapInArrow(contexts, "gram long, ctx long, k long, doc_id long, los array<int>, n int"), "contexts")
+    kinds = each.groupBy("gram", "ctx").agg(F.sum(F.size("los")).alias("times"), F.min(F.struct("k", F.col("los")[0].alias("lo"), "n")).alias("one"))
+    ranges = F.transform("los", lambda lo: F.struct(lo.alias("start"), (lo + F.col("n") + window - 1).alias("end")))
+    whole = each.join(kinds.where("times > 1").select("gram", "ctx"), ["gram", "ctx"]).select("k", "doc_id", ranges.alias("ranges"))
+    ones = kinds.select("gram", "one.k", "one.lo", "one.n", (F.col("times") == 1).alias("alone"))
+    rows = written(met(ones).mapInArrow(windows, "gram long, label long, alone boolean, k long, doc_id long, pos int"), "windows")
+    more = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1").select("gram", "label")
+    part = rows.where("alone").join(more, ["gram", "label"]).select("k", "doc_id", F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))).alias("ranges"))
+    return whole.unionByName(part)
 
 
 def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """k, doc_id, start, end: word ranges (ends exclusive, they may meet) that repeated windows cover.
+    """k, doc_id and ranges (array of start, end): words, ends exclusive, that repeated windows cover.
 
-    k is a hash of doc_id and text; rows equal in both share their ranges.
+    k is a hash of doc_id and text; rows equal in both share their ranges. A document may have
+    several rows, and ranges may overlap.
     """
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} words or more")
@@ -219,23 +257,29 @@ def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
     often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     held = rows.join(often, "gram").select("gram", "k", "lo", "n", "times")
     out = _subtrees(_contexts(docs, held.where(F.col("times") <= group), window), window)
+    out = out.select("k", "doc_id", F.array(F.struct("start", "end")).alias("ranges"))
     if often.where(F.col("times") > group).limit(1).count():
         out = out.unionByName(_whole(docs, held.where(F.col("times") > group), window))
     return out
 
 
 def _with_ranges(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
-    by_doc = found.groupBy("k").agg(F.collect_set(F.struct("doc_id", "start", "end")).alias("ranges"))
-    return _keyed(docs).join(by_doc, "k", "left").select("doc_id", "ranges", "text") if not columns else docs.withColumn("k", F.xxhash64("doc_id", "text")).join(by_doc, "k", "left").select(*columns, "ranges")
+    """Documents, or the named columns of them, with the ranges found under their k."""
+    by_doc = found.groupBy("k").agg(F.collect_list(F.struct("doc_id", "ranges")).alias("found"))
+    if columns:
+        key, name = free("k", columns), free("found", columns)
+        return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(by_doc.toDF(key, name), key, "left").select(*columns, name)
+    return _keyed(docs).join(by_doc, "k", "left").select("doc_id", "found", "text")
 
 
-def _mask(ranges: list[dict] | None, doc: int | None, n: int) -> np.ndarray | None:
-    if not ranges:
+def _mask(found: list[dict] | None, doc: int | None, n: int) -> np.ndarray | None:
+    if not found:
         return None
     mark = np.zeros(n, bool)
-    for r in ranges:
-        if r["doc_id"] == doc:
-            mark[r["start"] : r["end"]] = True
+    for f in found:
+        if f["doc_id"] == doc:
+            for r in f["ranges"]:
+                mark[r["start"] : r["end"]] = True
     return mark
 
 
@@ -246,7 +290,7 @@ def digest(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFra
         for batch in batches:
             data, off = text_bytes(batch.column("text"))
             n_words, removed, sha = [], [], []
-            for i, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ranges").to_pylist())):
+            for i, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist())):
                 own = data[off[i] : off[i + 1]].tobytes().split()
                 n_words.append(len(own))
                 mark = _mask(ranges, doc, len(own))
@@ -269,7 +313,7 @@ def cut(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ranges").to_pylist())):
+            for i, (doc, ranges) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column(len(names)).to_pylist())):
                 if ranges:
                     own = texts[i].encode().split()
                     texts[i] = b" ".join(own[j] for j in np.flatnonzero(~_mask(ranges, doc, len(own))).tolist()).decode()
