@@ -231,7 +231,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose language is accepted; columns as given."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = _scored(docs.select("doc_id", "text", *rest).withColumnsRenamed({c: f"_{c}" for c in rest}), model, "text", *[f"_{c}" for c in rest])
-    return found.where("accepted").withColumnsRenamed({f"_{c}": c for c in rest}).select(*docs.columns)
+    return found.where("accepted").select(*[F.col(c if c in ("doc_id", "text") else f"_{c}").alias(c) for c in docs.columns])
 
 
 def trained_on(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldspan.llm.shared import free
+
 WINDOW = 20
 THRESHOLDS = {"hex": 3.0, "other": 3.8}
 ALLOWED = (
@@ -153,20 +155,21 @@ def redacted(docs: DataFrame, mark: str = MARK, window: int = WINDOW) -> DataFra
     A null text stays null. ``n_chars``, if there, is brought up to date.
     """
     names = docs.columns
-    df = docs.withColumn("_text", F.col("text"))
+    text, found, judged = (free(c, names) for c in ("_text", "_found", "_judged"))
+    df = docs.withColumn(text, F.col("text"))
     for kind in KINDS:
-        df = df.withColumn("_found", _matches(F.col("_text"), kind))
-        df = df.withColumn("_judged", F.when(F.col("_found").isNotNull(), _judged(F.col("_found"), kind, window)))
-        size = F.aggregate("_judged", F.lit(0).cast("bigint"), lambda n, m: n + m["gap"] + m["size"])
+        df = df.withColumn(found, _matches(F.col(text), kind))
+        df = df.withColumn(judged, F.when(F.col(found).isNotNull(), _judged(F.col(found), kind, window)))
+        size = F.aggregate(judged, F.lit(0).cast("bigint"), lambda n, m: n + m["gap"] + m["size"])
 
         def shown(m: Column, i: Column) -> Column:
-            hit, first = F.get(F.col("_found")["hits"], i), F.coalesce(m["kept"]["first"], F.lit(-1))
+            hit, first = F.get(F.col(found)["hits"], i), F.coalesce(m["kept"]["first"], F.lit(-1))
             cut = F.concat(F.substring(hit, F.lit(1), first), F.lit(mark), F.substring(hit, m["kept"]["last"] + 1, F.length(hit)))
-            return F.concat(F.get(F.col("_found")["gaps"], i), F.when(first >= 0, cut).otherwise(hit))
+            return F.concat(F.get(F.col(found)["gaps"], i), F.when(first >= 0, cut).otherwise(hit))
 
-        whole = F.concat(F.array_join(F.transform("_judged", shown), ""), F.substring("_text", (size + 1).cast("int"), F.length("_text")))
-        df = df.withColumn("_text", F.when(F.col("_judged").isNotNull(), whole).otherwise(F.col("_text")))
-    df = df.withColumn("text", F.col("_text"))
+        whole = F.concat(F.array_join(F.transform(judged, shown), ""), F.substring(text, (size + 1).cast("int"), F.length(text)))
+        df = df.withColumn(text, F.when(F.col(judged).isNotNull(), whole).otherwise(F.col(text)))
+    df = df.withColumn("text", F.col(text))
     if "n_chars" in names:
-        df = df.withColumn("n_chars", F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        df = df.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return df.select(*names)
