@@ -8,7 +8,8 @@ Fitting takes at most ``per_language`` labelled texts of each of the ``most_lang
 languages (those with the smallest hashes of doc_id, none over ``most_chars`` characters), so a
 model's size has a bound whatever the table's size. One in four of them is not counted but
 calibrates rejection: a text of at least 100 symbols is rejected if its cross-entropy exceeds the
-largest of its language's calibration texts by half. Scoring reads all texts whole.
+largest of its language's calibration texts by half, and that of guessing among the language's
+symbols. Scoring reads all texts whole.
 
 A null text, or one without a letter, has the language ``und`` and score 0, and is rejected; so is
 every text if no labelled one is there. Ties go to the first language by name. Repeated rows each
@@ -175,7 +176,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: i
         return model
     trial = _scored(sample.where("tests").select("doc_id", "text", "lang"), model, "lang").where(f"lang = best and n >= {SHORT}")
     tops = {r[0]: r[1] for r in trial.groupBy("lang").agg(F.max("entropy")).collect()}
-    return model._replace(limits=np.array([tops.get(x, np.inf) * SLACK for x in languages]))
+    return model._replace(limits=np.array([max(tops.get(x, np.inf) * SLACK, -np.log(m.floor)) for x, m in zip(languages, models)]))
 
 
 def _scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
