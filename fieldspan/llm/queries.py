@@ -55,4 +55,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_join, op3_graph_ann, op4_substring_dedup, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: For DuckDB. Entropy spans, the join's components, graph searches, page texts, tokenizers and
+#: language models are beyond plain SQL; the tests hold those against brute force or the libraries.
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ win AS (SELECT doc_id, p, md5(array_to_string(w[p:p+34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w)-33)) AS p FROM d)),
+ twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+ hit AS (SELECT DISTINCT doc_id, p + k AS p FROM win JOIN twice USING (h) CROSS JOIN (SELECT unnest(range(0, 35)) AS k)),
+ word AS (SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w)+1)) AS p FROM d)),
+ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id),
+ n AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_benchmark_decontamination": """
+WITH low AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM item WHERE len(w) > 0),
+ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p+n-1], ' ') AS win FROM (SELECT item_id, w, n, unnest(range(1, len(w)-n+2)) AS p FROM sized)),
+ lens AS (SELECT DISTINCT n FROM iw),
+ dw AS (SELECT id, n, p, array_to_string(w[p:p+n-1], ' ') AS win FROM (SELECT id, w, n, unnest(range(1, len(w)-n+2)) AS p FROM low CROSS JOIN lens WHERE len(w) >= n)),
+ hit AS (SELECT id, p, dw.n AS n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+ words AS (SELECT id, count(DISTINCT p + k) AS c FROM (SELECT id, p, unnest(range(0, n)) AS k FROM hit) GROUP BY id),
+ items AS (SELECT id, count(*) AS c, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY id)
+SELECT low.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.c, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.c, 0) AS BIGINT) AS n_items,
+ sha256(coalesce(names, '')) AS items_sha256, coalesce(words.c, 0) > 0 AS contaminated
+FROM low LEFT JOIN words ON words.id = low.id LEFT JOIN items ON items.id = low.id""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+ o AS (SELECT d, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM p LEFT JOIN o ON o.d = p.d AND n >= 1000""",
+}
