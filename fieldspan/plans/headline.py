@@ -45,10 +45,10 @@ def p02(spark, d):
     return P.balanced(with_holes(panel(spark, d))).select("unit", "year", "y")
 
 
-@query("p13_stage_bucketing", f"WITH {PANEL_SQL} SELECT {STAGE_SQL} AS stage, count(*) AS n, round(avg(y),4) AS mean_y FROM panel GROUP BY 1")
+@query("p13_stage_bucketing", f"WITH {PANEL_SQL} SELECT {STAGE_SQL} AS stage, count(*) AS n, round(avg(y),1) AS mean_y FROM panel GROUP BY 1")
 def p13(spark, d):
     rows = panel(spark, d).withColumn("stage", stage("year", *I.STAGES))
-    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("mean_y"))
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 1).alias("mean_y"))
 
 
 @query("e04_solow_residual", f"WITH {HOLES_SQL} SELECT unit, year, round({SOLOW_SQL},8) AS ln_tfp FROM holes WHERE {_POSITIVE}")

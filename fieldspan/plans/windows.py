@@ -85,18 +85,18 @@ def w15(spark, d):
 _EDGES = "list_sort(list_distinct(quantile_cont({v}, [0.0,0.2,0.4,0.6,0.8,1.0])))"
 
 
-@query("w16_right_closed_bins", f"WITH {PANEL_SQL}, q AS (SELECT {_EDGES.format(v='x_l')} AS e FROM panel), b AS (SELECT greatest(0, len(list_filter(e, lambda x: x < x_l))-1) AS bin, y FROM panel CROSS JOIN q) SELECT CAST(bin AS INT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(y),4) AS mean_y FROM b GROUP BY bin")
+@query("w16_right_closed_bins", f"WITH {PANEL_SQL}, q AS (SELECT {_EDGES.format(v='x_l')} AS e FROM panel), b AS (SELECT greatest(0, len(list_filter(e, lambda x: x < x_l))-1) AS bin, y FROM panel CROSS JOIN q) SELECT CAST(bin AS INT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(y),1) AS mean_y FROM b GROUP BY bin")
 def w16(spark, d):
     rows = panel(spark, d)
     e = P.edges(rows, "x_l", 5)
-    return rows.join(F.broadcast(e)).groupBy(P.right_closed_bin("x_l", F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("mean_y"))
+    return rows.join(F.broadcast(e)).groupBy(P.right_closed_bin("x_l", F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 1).alias("mean_y"))
 
 
-@query("w17_left_closed_bins", f"WITH {PANEL_SQL}, q AS (SELECT {_EDGES.format(v='x_m')} AS e FROM panel), b AS (SELECT greatest(0, least(len(list_filter(e, lambda x: x <= x_m))-1, len(e)-2)) AS bin, y FROM panel CROSS JOIN q) SELECT CAST(bin AS INT) AS bin, CAST(count(*) AS BIGINT) AS n, round(median(y),4) AS med_y FROM b GROUP BY bin HAVING count(*) >= 10")
+@query("w17_left_closed_bins", f"WITH {PANEL_SQL}, q AS (SELECT {_EDGES.format(v='x_m')} AS e FROM panel), b AS (SELECT greatest(0, least(len(list_filter(e, lambda x: x <= x_m))-1, len(e)-2)) AS bin, y FROM panel CROSS JOIN q) SELECT CAST(bin AS INT) AS bin, CAST(count(*) AS BIGINT) AS n, round(median(y),1) AS med_y FROM b GROUP BY bin HAVING count(*) >= 10")
 def w17(spark, d):
     rows = panel(spark, d)
     e = P.edges(rows, "x_m", 5)
-    bins = rows.join(F.broadcast(e)).groupBy(P.left_closed_bin("x_m", F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("y"), 4).alias("med_y"))
+    bins = rows.join(F.broadcast(e)).groupBy(P.left_closed_bin("x_m", F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("y"), 1).alias("med_y"))
     return bins.where("n >= 10")
 
 

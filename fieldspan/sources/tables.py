@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 VARS = ("y", "x_l", "x_s", "x_k", "x_m")
@@ -18,12 +19,26 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+_held: dict[tuple[str, str], DataFrame] = {}
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit, sid, region, year and five measures: one row per supplier and ship year.
 
-    Lines are summed by (supplier, part, year) before they meet the part table, so what is joined is
-    the smaller side; nation has 25 rows.
+    The queries meet the panel several times each (lags, shares, references), and it is small beside
+    the lines it sums, so it is kept, on disk where memory is short, until another folder is asked for.
     """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _held:
+        for (app, _), old in _held.items():
+            if app == key[0]:
+                old.unpersist()
+        _held.clear()
+        _held[key] = _panel(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _held[key]
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice")
     lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
