@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,28 @@ def free(name: str, columns) -> str:
     return name
 
 
+MOST_BITS = 1 << 26
+
+
+def marked(df: DataFrame, key: str, ids: DataFrame, name: str, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows with a column that is true wherever the key is among ``ids`` (one long column), and
+    for about one key in 32 that isn't; nulls are false.
+
+    The ids set bits of hashed bitmaps, which are broadcast: at most ``most_bits`` bits, however many
+    ids there are. With many more ids nearly all rows are true, so what follows must still be exact.
+    """
+    (own,) = ids.columns
+    bits = 1 << min(max((32 * ids.count()).bit_length(), 15), most_bits.bit_length() - 1)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)) + 1
+    bucket, bitmap = free("_bucket", df.columns), free("_bitmap", df.columns)
+    maps = ids.where(F.col(own).isNotNull()).groupBy(F.bitmap_bucket_number(place(own)).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(own))).alias(bitmap))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.col(key).isNotNull() & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    joined = df.withColumn(bucket, F.bitmap_bucket_number(place(key))).join(F.broadcast(maps), bucket, "left")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).select(*df.columns, name)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow column without copying; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
