@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 16
+_ROWS = 1000
 _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n\t\r])")
 
 
@@ -58,7 +59,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for batch in batches:
+        for batch in (b.slice(a, _ROWS) for b in batches for a in range(0, b.num_rows, _ROWS)):
             ids = [encode(enc, t or "").astype(np.int32) for t in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -89,7 +90,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        for batch in batches:
+        for batch in (b.slice(a, _ROWS) for b in batches for a in range(0, b.num_rows, _ROWS)):
             counts, ids_hash, raw_hash = [], [], []
             for t in batch.column("text").to_pylist():
                 ids = encode(enc, t or "")

@@ -24,22 +24,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldspan.llm.shared import shuffle_width, written
 
-DEGREE = 24
-BEAM = 64  #: width of a query's walk
-BUILD_BEAM = 48
+DEGREE = 32
+BEAM = 160  #: width of a query's walk
+BUILD_BEAM = 64
 ALPHA = 1.2
 SHARD_ROWS = 4_096
 _BATCH = 512
 
 
-def _distances(rows: np.ndarray, queries: np.ndarray, which: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Squared distances from each query to its own set of rows; queries by sets."""
-    near = rows[which]
-    dots = np.matmul(near, queries[:, :, None])[:, :, 0]
-    return norms[which] - 2 * dots + (queries * queries).sum(1)[:, None]
+def _distances(rows: np.ndarray, queries: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Squared distances from each query to its own set of rows; by differences, as near copies need."""
+    away = rows[which] - queries[:, None, :]
+    return np.einsum("ijk,ijk->ij", away, away)
 
 
-def walk(rows: np.ndarray, norms: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(rows: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam searches of all queries at once: (nodes, squared distances), nearest first.
 
     Edges of -1 are missing ones. Each step opens every query's nearest node not yet opened.
@@ -49,7 +48,7 @@ def walk(rows: np.ndarray, norms: np.ndarray, edges: np.ndarray, start: int, que
     near = np.full((n, beam), np.inf, np.float32)
     opened = np.zeros((n, beam), bool)
     nodes[:, 0] = start
-    near[:, 0] = _distances(rows, queries, np.full((n, 1), start), norms)[:, 0]
+    near[:, 0] = _distances(rows, queries, np.full((n, 1), start))[:, 0]
     live = np.arange(n)
     while len(live):
         closed = opened[live] | (nodes[live] < 0)
@@ -60,7 +59,7 @@ def walk(rows: np.ndarray, norms: np.ndarray, edges: np.ndarray, start: int, que
             break
         opened[live, pick] = True
         out = edges[nodes[live, pick]]
-        d = _distances(rows, queries[live], np.maximum(out, 0), norms)
+        d = _distances(rows, queries[live], np.maximum(out, 0))
         old = nodes[live]
         d[(out < 0) | (out[:, :, None] == old[:, None, :]).any(2)] = np.inf
         ids, dist, done = np.concatenate([old, out], 1), np.concatenate([near[live], d], 1), np.concatenate([opened[live], np.zeros(out.shape, bool)], 1)
@@ -98,7 +97,6 @@ def prune(rows: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, alph
 def build(rows: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
     """(edges, start) of a shard's graph over float32 rows."""
     n = len(rows)
-    norms = (rows * rows).sum(1)
     start = int(((rows - rows.mean(0)) ** 2).sum(1).argmin())
     if n <= degree + 1:
         every = np.tile(np.arange(n), (n, 1))
@@ -110,12 +108,40 @@ def build(rows: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha:
         order = rng.permutation(n)
         for a in range(0, n, _BATCH):
             of = order[a : a + _BATCH]
-            found, _ = walk(rows, norms, edges, start, rows[of], beam)
+            found, _ = walk(rows, edges, start, rows[of], beam)
             mates = rng.choice(of, (len(of), 8))  # nodes of one batch can't see each other in the graph yet
             kept = prune(rows, of, np.concatenate([found, edges[of], mates], 1), degree, slack)
             edges[of] = kept
             _lead_back(rows, edges, of, kept, degree, slack)
-    return edges, start
+    return _connected(rows, edges, start, beam), start
+
+
+def _connected(rows: np.ndarray, edges: np.ndarray, start: int, beam: int, spare: int = 8) -> np.ndarray:
+    """The edges, and further ones to nodes that no path from ``start`` reached, from nodes near them."""
+    edges = np.concatenate([edges, np.full((len(rows), spare), -1, np.int64)], 1)
+    while True:
+        reached = np.zeros(len(rows), bool)
+        front = np.array([start])
+        reached[front] = True
+        while len(front):
+            to = np.unique(edges[front])
+            front = to[(to >= 0) & ~reached[np.maximum(to, 0)]]
+            reached[front] = True
+        lost = np.flatnonzero(~reached)
+        if not len(lost):
+            return edges
+        added = 0
+        for a in range(0, len(lost), _BATCH):
+            found, _ = walk(rows, edges, start, rows[lost[a : a + _BATCH]], beam)
+            for node, near in zip(lost[a : a + _BATCH], found):
+                for v in near[near >= 0].tolist():
+                    free = np.flatnonzero(edges[v] < 0)
+                    if len(free) and reached[v]:
+                        edges[v, free[0]] = node
+                        added += 1
+                        break
+        if not added:
+            edges = np.concatenate([edges, np.full((len(rows), spare), -1, np.int64)], 1)
 
 
 def _lead_back(rows: np.ndarray, edges: np.ndarray, of: np.ndarray, kept: np.ndarray, degree: int, alpha: float) -> None:
@@ -206,9 +232,8 @@ def _searched(spark, graphs: DataFrame, block: pa.Table, k: int, beam: int) -> D
                 sizes, ids = np.frombuffer(s, "<i4"), np.frombuffer(i, "<i8")
                 begins = np.cumsum(sizes) - sizes
                 small = rows.astype(np.float32)
-                norms = (small * small).sum(1)
                 for a in range(0, len(q_ids), _BATCH):
-                    nodes, _ = walk(small, norms, edges, start, q_rows[a : a + _BATCH].astype(np.float32), width)
+                    nodes, _ = walk(small, edges, start, q_rows[a : a + _BATCH].astype(np.float32), width)
                     out_q, out_v, out_s = [], [], []
                     for x, q in enumerate(q_ids[a : a + _BATCH]):
                         mine = nodes[x][nodes[x] >= 0]

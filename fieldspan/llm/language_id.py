@@ -192,7 +192,7 @@ def _scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
             a = 0
             while a < len(texts):
                 b, total = a, 0
-                while b < len(texts) and (b == a or total + len(texts[b] or "") <= 1 << 21):
+                while b < len(texts) and (b == a or total + len(texts[b] or "") <= 1 << 19):
                     total += len(texts[b] or "")
                     b += 1
                 part = [t or "" for t in texts[a:b]]

@@ -94,7 +94,7 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def chunks(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with the bytes and offsets of one text column."""
     data, off = text_bytes(batch.column(name))
     for a, b in slices(off, most):
