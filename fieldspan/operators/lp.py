@@ -107,6 +107,57 @@ def isoquant(target: float, grid: np.ndarray, held: np.ndarray, x1: np.ndarray,
     return out
 
 
+def informative_range(target: float, held: np.ndarray, x1: np.ndarray, x2: np.ndarray, others: np.ndarray, y: np.ndarray, steps: int = 40, probes: int = 60, flat: float = 1e-3) -> tuple[float, float]:
+    """First inputs between which the isoquant falls: the least feasible one, and where it turns flat.
+
+    The left end by halving on a log scale; the right one by probes up to the largest input seen.
+    """
+    value = lambda g: isoquant(target, np.array([g]), held, x1, x2, others, y)[0]
+    top = float(x1.max())
+    if np.isnan(value(top)):
+        return np.nan, np.nan
+    low, high = float(x1.min()) * 1e-3, top
+    for _ in range(steps):
+        mid = float(np.sqrt(low * high))
+        low, high = (low, mid) if not np.isnan(value(mid)) else (mid, high)
+        if high / low < 1 + 1e-6:
+            break
+    grid = np.geomspace(high, top, probes)
+    v = np.array(isoquant(target, grid, held, x1, x2, others, y))
+    falling = np.flatnonzero(v > v[-1] * (1 + flat))
+    return high, float(grid[min(falling[-1] + 1, probes - 1)]) if len(falling) else high
+
+
+def is_vertex(points: np.ndarray, j: int) -> bool:
+    """Whether point j is no mix, with weights of at most 1 in all, of the others; of equal points the first is."""
+    same = (points == points[j]).all(1)
+    if same[:j].any():
+        return False
+    rest = points[~same]
+    if not len(rest):
+        return bool((points[j] != 0).any())
+    scale = np.maximum(np.abs(points).max(0), 1e-300)
+    value, _, _ = solve(np.zeros(len(rest)), np.ones((1, len(rest))), np.ones(1), (rest / scale).T, points[j] / scale)
+    return bool(np.isnan(value))
+
+
+def hull_vertices(frame: DataFrame, by: str, unit: str, columns: list[str], parts: int = 8) -> DataFrame:
+    """by, unit of the vertices of each group's convex hull with the origin; a programme per point, dealt over tasks.
+
+    Exact where weak disposability forbids pruning by dominance.
+    """
+    asked = frame.select(by, unit).withColumn("part", F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int"))
+    every = frame.select(*[F.col(c).alias(c) for c in (by, unit, *columns)]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(unit).reset_index(drop=True)
+        at = {u: i for i, u in enumerate(right[unit])}
+        points = right[columns].to_numpy(float)
+        return left.loc[[is_vertex(points, at[u]) for u in left[unit]], [by, unit]] if len(left) else left[[by, unit]]
+
+    return asked.groupBy(by, "part").cogroup(every.groupBy(by, "part")).applyInPandas(run, f"{by} int, {unit} int")
+
+
 def values(points: DataFrame, reference: DataFrame, inputs: list[str], y: str, weather: list[str] | None = None, parts: int = 8) -> DataFrame:
     """t, unit, tag, f, proof: the frontier of reference rows (t, ...) at points (t, unit, tag, ...).
 

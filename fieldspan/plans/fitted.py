@@ -68,6 +68,23 @@ def f09(spark, d):
     return mid.groupBy("year").cogroup(ref.groupBy("year")).applyInPandas(run, "year int, x_l double, x_m double")
 
 
+@query("f10_informative_range")
+def f10(spark, d):
+    """By year, the x_l between which the median output's isoquant falls."""
+    r = rows(spark, d)
+    mid = r.groupBy("year").agg(F.median("y").alias("target"), F.median("x_s").alias("hs"), F.median("x_k").alias("hk"))
+    ref = O.non_dominated(r, ["year"], _IN, "y")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for p in left.to_dict("records"):
+            ends = lp.informative_range(p["target"], np.array([p["hs"], p["hk"]]), *(right[c].to_numpy(float) for c in ("x_l", "x_m")), right[["x_s", "x_k"]].to_numpy(float), right["y"].to_numpy(float))
+            out.append((p["year"], *ends))
+        return pd.DataFrame(out, columns=["year", "low", "high"])
+
+    return mid.groupBy("year").cogroup(ref.groupBy("year")).applyInPandas(run, "year int, low double, high double")
+
+
 def weather_frame(spark, d):
     """unit, year, y, x and two weather columns that must be met exactly."""
     li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
@@ -76,6 +93,12 @@ def weather_frame(spark, d):
     )
 
 
+@query("f11_hull_prune")
+def f11(spark, d):
+    """Units that span each year's technology when weather must be met exactly."""
+    return lp.hull_vertices(weather_frame(spark, d), "year", "unit", ["x", "w1", "w2", "y"])
+
+
 @query("f12_weak_disposability")
 def f12(spark, d):
     """Values with both weather columns as equalities, on own-year and on last year's technology."""

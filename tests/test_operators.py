@@ -84,6 +84,25 @@ def test_weak_disposability_can_be_infeasible():
     assert math.isnan(lp.frontier_value(np.array([2.0]), x, y, np.array([5.0, 1.0]), w)[0])
 
 
+def test_hull_prune_keeps_values(spark):
+    rng = np.random.default_rng(8)
+    pts = rng.uniform(1, 3, (40, 4))
+    pts[30:] = pts[:10] * 0.5 + pts[10:20] * 0.5
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(pts)]
+    kept = sorted(r.unit for r in lp.hull_vertices(spark.createDataFrame(rows, "year int, unit int, x double, w1 double, w2 double, y double"), "year", "unit", ["x", "w1", "w2", "y"]).collect())
+    assert 4 < len(kept) < 40 and not set(kept) & set(range(30, 40))
+    for p in pts[:15]:
+        every, few = (lp.frontier_value(p[:1], q[:, :1], q[:, 3], p[1:3], q[:, 1:3])[0] for q in (pts, pts[kept]))
+        assert every == pytest.approx(few, rel=1e-8)
+
+
+def test_informative_range():
+    x1, x2, y = np.array([1.0, 2.0, 4.0]), np.array([4.0, 2.0, 1.0]), np.array([1.0, 1.0, 1.0])
+    low, high = lp.informative_range(1.0, np.zeros(0), x1, x2, np.zeros((3, 0)), y)
+    assert low == pytest.approx(1.0, rel=1e-4) and high == pytest.approx(4.0, rel=0.05)
+    assert math.isnan(lp.informative_range(2.0, np.zeros(0), x1, x2, np.zeros((3, 0)), y)[0])
+
+
 def test_decomposition_identity(spark):
     rng = np.random.default_rng(6)
     rows = [(u, t, float(a), float(b), float(c), float(d)) for u in range(12) for t in (1, 2, 3) for a, b, c, d in [rng.uniform(1, 3, 4)]]
