@@ -345,9 +345,12 @@ def a24(spark, d):
 
 @query("t01_multi_key_sort", f"WITH {HOLES_SQL} SELECT sid, unit, year, CAST(row_number() OVER (ORDER BY sid, unit, year) AS BIGINT) AS place FROM holes WHERE year = 1997")
 def t01(spark, d):
-    """Places in a global order: ranges are sorted apart, and each adds the sizes of those before it."""
+    """Places in a global order: each leading key's rows are sorted apart, after the counts before them."""
     rows = with_holes(panel(spark, d)).where("year = 1997").select("sid", "unit", "year")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("sid", "unit", "year")).cast("long"))
+    counts = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("sid", (F.sum("n").over(Window.orderBy("sid")) - F.col("n")).alias("before"))  # a row per sid
+    own = F.row_number().over(Window.partitionBy("sid").orderBy("unit", "year"))
+    return rows.join(before, "sid").select("sid", "unit", "year", (own + F.col("before")).alias("place"))
 
 
 @query("t02_custom_order", f"SELECT o_orderpriority, {_N} AS n, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '1-URGENT' THEN 3 ELSE 99 END AS place FROM orders GROUP BY 1")
