@@ -7,10 +7,11 @@ Candidates lose no link. Sizes fall into classes. In a class two linked sets dif
 elements; each set is cut by hash ranges into more than d parts, so some part is equal in both, and
 documents with an equal, non-empty part meet under its hash. Where a set has too few non-empty
 parts for the argument it is cut again, twice as fine. Tasks pack their part hashes by bucket into
-few large rows; copies in a slice pack theirs once, and a hash that many documents of it have
-keeps one of them and leads the others to it, so hot texts don't weigh on the shuffle. Documents that
-meet are compared by parity sketches, which differ in no more bits than the sets in elements; pairs
-whose sketches allow a link make clusters, directly or through others.
+few large rows; equal sets in a slice pack theirs once, and only they: unequal ones of a slice may
+have different partners elsewhere. Documents that meet are compared by parity sketches, which differ
+in no more bits than the sets in elements; pairs whose sketches allow a link make clusters, directly
+or through others. A hash that over ``BLOCK`` documents of the whole table have makes them one cluster
+without that comparison.
 
 In each cluster equal sets are one member. Members are the leaves of a signature tree: a node holds
 the OR and the AND of its members' token bitmaps and their range of sizes. The tree is walked
@@ -38,8 +39,7 @@ from fieldspan.llm.wordhash import SPACE, mix, mix_int, rolling, words
 
 CHUNK = 1024
 COMMON = 32
-HOT = 32  #: documents of one slice of 4 MB under a key before one stands for them
-BLOCK = 20_000  #: the same for a bucket's task
+BLOCK = 20_000  #: documents of the table under a key before all are one cluster, unseen
 _RATIO = 1.7
 _LAST_CUT = 12
 
@@ -172,9 +172,9 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     a, b = zip(*copies)
                     yield _batch(bucket=[x % buckets for x in a], a=a, b=b)
                 if keys:
-                    k, d, ea, eb = _runs(np.concatenate(keys), np.concatenate(ids), HOT)
-                    if len(ea):
-                        yield _batch(bucket=(ea % buckets).astype(np.int32), a=ea, b=eb)
+                    k, d = np.concatenate(keys), np.concatenate(ids)
+                    order = np.argsort(k)
+                    k, d = k[order], d[order]
                     cuts = np.searchsorted(k >> shift, np.arange(buckets + 1, dtype=np.uint64))
                     full = [x for x in range(buckets) if cuts[x] < cuts[x + 1]]
                     yield _batch(bucket=full, keys=[_planes(k[cuts[x] : cuts[x + 1]], 7) for x in full], docs=[_planes(d[cuts[x] : cuts[x + 1]].view(np.uint64), 8) for x in full])
@@ -248,8 +248,9 @@ def _sketched(members: DataFrame, percent: int) -> DataFrame:
         xs, ys, size = [], [], 0
         for a, b in zip(head, ends):
             k = b - a
-            for r in range(0, k, 256) if k > 512 else (0,):
-                i, j = np.triu_indices(k, 1) if k <= 512 else (v.ravel() for v in np.meshgrid(np.arange(r, min(k, r + 256)), np.arange(r, k), indexing="ij"))
+            step = max(1, (1 << 18) // k)
+            for r in range(0, k, step) if k > 512 else (0,):
+                i, j = np.triu_indices(k, 1) if k <= 512 else (v.ravel() for v in np.meshgrid(np.arange(r, min(k, r + step)), np.arange(r, k), indexing="ij"))
                 xs.append(i + a)
                 ys.append(j + a)
                 size += len(i)

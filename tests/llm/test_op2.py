@@ -52,6 +52,17 @@ def test_components_against_brute_force(spark, docs_of, seed, n, percent, chunk)
     assert got == brute(rows, n, percent)
 
 
+def test_form_letters_over_several_slices(spark):
+    template = " ".join(f"t{k}" for k in range(92))
+    own = lambda i, k: f"{template} " + " ".join(f"o{i}x{j}" for j in range(k))
+    slices = [[(1000 * s + i, own(1000 * s + i, 5 if i == 77 else 15)) for i in range(150)] for s in range(3)]
+    rows = [r for s in slices for r in s]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.components(docs).collect()}
+    assert got[1077] == got[2077] == (95, 77)
+    assert got == brute(rows, 3, 90)
+
+
 def test_repeated_null_and_no_rows(spark, docs_of, empty_docs):
     rows = [(7, "a b c d"), (7, "a b c d"), (3, "A b  c d"), (None, "a b c d"), (None, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in N.components(docs_of(rows)).collect()), key=repr)
