@@ -6,7 +6,8 @@ automaton gives the longest run of words, ending there, that some item holds. Ru
 with the items are streamed: a hit lies whole inside such a stretch, so nothing is lost.
 
 The items are a stated set. They go to the tasks in blocks whose bytes have a bound
-(``block_bytes``); more items mean more blocks, and each block sees all documents.
+(``block_bytes``); more items mean more blocks, and each block sees all documents as given. Results
+are the same for any number of blocks.
 
 Nulls and texts without words give no words and no hits. Repeated items count one by one, and
 repeated documents each get their row. Extra columns of either table are ignored.
@@ -18,9 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks
+from fieldspan.llm.shared import chunks, marked, written
 from fieldspan.llm.wordhash import NOT_ALNUM, Words, rolling, whole_windows, words
 
 WINDOW = 10
@@ -146,14 +147,27 @@ class Matcher:
                 yield int(doc[a]), lo + i + 1 - min(run, self.automaton.window), lo + i + 1, items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks that fit a broadcast; the bound is checked before a block is fetched."""
+class _Blocks:
+    """The items in blocks that fit a broadcast, each fetched when it is asked for."""
+
+    def __init__(self, items: DataFrame, n: int):
+        self.items, self.n = items, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int) -> list[tuple[str, str]]:
+        if k >= self.n:
+            raise IndexError(k)
+        mine = self.items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k) if self.n > 1 else self.items
+        return [(r[0] or "", r[1] or "") for r in mine.collect()]
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> _Blocks:
+    """The bound is checked before a block is fetched."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = int(total // (block_bytes // 2) + 1)
-    for k in range(n):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r[0] or "", r[1] or "") for r in mine.collect()]
+    return _Blocks(items, int(total // (block_bytes // 2) + 1))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -161,45 +175,79 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
 
     Spans are merged word ranges that items' windows cover, the end exclusive.
     """
-    spark = docs.sparkSession
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        return _scan(docs, {"doc_id": F.col("doc_id").cast("long")}, blocks[0], window, False)
+    rows = _scan(docs, {"doc_id": F.col("doc_id").cast("long"), **_keys()}, [], window, False).drop("spans", "item_ids")
+    hits = _hits(docs, blocks, window)
+    rows = marked(rows, "short", hits.select("short"), "met")
+    found = rows.where("met").join(hits.drop("short"), "key", "left")
+    none = {"spans": F.expr(f"CAST(array() AS {_SPAN_TYPE})"), "item_ids": F.expr("CAST(array() AS array<string>)")}
+    found = found.withColumns({c: F.coalesce(F.col(c), x) for c, x in none.items()})
+    clean = rows.where("not met").withColumns(none)
+    return clean.select(*_FOUND).unionByName(found.select(*_FOUND))
+
+
+_FOUND = ["doc_id", "n_words", "spans", "item_ids"]
+_SPAN_TYPE = "array<struct<start: bigint, end: bigint>>"
+
+
+def _keys() -> dict[str, Column]:
+    """A distinct text: by a digest, and by 64 bits for bitmaps."""
+    return {"key": F.sha2(F.col("text").cast("binary"), 256), "short": F.xxhash64("text")}
+
+
+def _scan(docs: DataFrame, own: dict[str, Column], block: list[tuple[str, str]], window: int, only_hits: bool) -> DataFrame:
+    """The columns ``own``, n_words, and one block's spans and item_ids; of all rows, or of those with hits."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    docs = docs.select("text", *[c.alias(k) for k, c in own.items()])
+    types = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in own]
+    names = list(own)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, window)
+        for batch in batches:
+            for rows, data, off in chunks(batch, "text"):
+                w = words(data, off, NOT_ALNUM, lower=True)
+                spans: dict[int, list[list[int]]] = {}
+                found: dict[int, set[str]] = {}
+                for d, a, b, items in matcher.hits(w):
+                    mine = spans.setdefault(d, [])
+                    a, b = a - int(w.first[d]), b - int(w.first[d])
+                    found.setdefault(d, set()).update(items)
+                    while mine and mine[-1][1] >= a:
+                        last = mine.pop()
+                        a, b = min(a, last[0]), max(b, last[1])
+                    mine.append([a, b])
+                n = rows.num_rows
+                out = pa.RecordBatch.from_arrays(
+                    [
+                        *(rows.column(c) for c in names),
+                        pa.array(np.diff(w.first).astype(np.int64)),
+                        pa.array([[{"start": a, "end": b} for a, b in spans.get(k, [])] for k in range(n)], _SPANS),
+                        pa.array([sorted(found.get(k, ())) for k in range(n)], pa.list_(pa.string())),
+                    ],
+                    [*names, *_FOUND[1:]],
+                )
+                yield out.take(pa.array(sorted(spans), pa.int64())) if only_hits else out
+
+    return docs.mapInArrow(scan, ", ".join([*types, f"n_words long, spans {_SPAN_TYPE}, item_ids array<string>"]))
+
+
+def _hits(docs: DataFrame, blocks: _Blocks, window: int) -> DataFrame:
+    """Per distinct text with hits: key, short (a 64-bit hash), spans and item_ids of all blocks.
+
+    Spans are found on the whole text, and depend on nothing but the text: repeated ones count once.
+    """
     parts = []
-    for block in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, window)
-            for batch in batches:
-                for rows, data, off in chunks(batch, "text"):
-                    w = words(data, off, NOT_ALNUM, lower=True)
-                    spans: dict[int, list[list[int]]] = {}
-                    found: dict[int, set[str]] = {}
-                    for d, a, b, items in matcher.hits(w):
-                        mine = spans.setdefault(d, [])
-                        a, b = a - int(w.first[d]), b - int(w.first[d])
-                        found.setdefault(d, set()).update(items)
-                        while mine and mine[-1][1] >= a:
-                            last = mine.pop()
-                            a, b = min(a, last[0]), max(b, last[1])
-                        mine.append([a, b])
-                    n = rows.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            rows.column("doc_id"),
-                            pa.array(np.diff(w.first).astype(np.int64)),
-                            pa.array([[{"start": a, "end": b} for a, b in spans.get(k, [])] for k in range(n)], _SPANS),
-                            pa.array([sorted(found.get(k, ())) for k in range(n)], pa.list_(pa.string())),
-                        ],
-                        ["doc_id", "n_words", "spans", "item_ids"],
-                    )
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, spans array<struct<start: long, end: long>>, item_ids array<string>"))
-    if len(parts) == 1:
-        return parts[0]
+    for k, block in enumerate(blocks):
+        parts.append(_scan(docs, _keys(), block, window, True).withColumn("block", F.lit(k)))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    met = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return met.select("doc_id", "n_words", merged(F.col("s")).alias("spans"), "item_ids")
+    once = written(every.dropDuplicates(["key", "block"]), "hits")
+    met = once.groupBy("key", "short").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return met.select("key", "short", merged(F.col("s")).alias("spans"), "item_ids")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -45,3 +45,12 @@ def test_cleaned_texts(spark, docs_of, empty_docs):
     assert D.overlaps(docs_of(rows), none).where("size(spans) > 0").count() == 0
     assert D.decontaminated(docs_of(rows), none).count() == 4
     assert D.overlaps(empty_docs, bench).count() == 0
+
+
+def test_repeated_and_null_rows_with_several_blocks(spark, docs_of):
+    item = lambda k: " ".join(f"i{k}x{j}" for j in range(11))
+    bench = spark.createDataFrame([(k, item(k)) for k in range(8)], "item_id long, text string")
+    clean = " ".join(f"w{k}" for k in range(11))
+    rows = [(1, item(0)), (1, item(0)), (1, item(1)), (1, clean), (2, clean), (2, clean), (None, item(2)), (None, item(3)), (None, None), (None, None), (None, ""), (3, item(4) + " " + item(5))]
+    read = lambda block: sorted((tuple(r) for r in D.digest(D.overlaps(docs_of(rows), bench, block_bytes=block)).collect()), key=repr)
+    assert read(200) == read(D.BLOCK_BYTES) == brute(rows, [(k, item(k)) for k in range(8)])
