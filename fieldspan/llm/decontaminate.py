@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks, marked, written
+from fieldspan.llm.shared import chunks, free, marked, written
 from fieldspan.llm.wordhash import NOT_ALNUM, Words, rolling, whole_windows, words
 
 WINDOW = 10
@@ -281,17 +281,39 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _cut(text: int, field: pa.Field, max_coverage: float, rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, w: Words, hit: dict[int, list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The rows without the hit spans, words counted over all rows, and without rows mostly hit."""
+    if not hit:
+        return rows
+    keep, texts = np.ones(rows.num_rows, bool), rows.column("text").to_pylist()
+    for d, spans in hit.items():
+        lo, hi = int(w.first[d]), int(w.first[d + 1])
+        mark = np.zeros(hi - lo + 1, bool)
+        for a, b in spans:
+            mark[a - lo : b - lo] = True
+        keep[d] = mark.sum() <= max_coverage * (hi - lo)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], mark]).astype(np.int8)))
+        kept, at = [], int(off[d])
+        for a, b in edge.reshape(-1, 2):
+            kept.append(data[at : w.start[lo + a]].tobytes())
+            at = int(w.end[lo + b - 1])
+        kept.append(data[at : off[d + 1]].tobytes())
+        texts[d] = b"".join(kept).decode()
+    return rows.set_column(text, field, pa.array(texts, field.type)).filter(pa.array(keep))
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the spans that items cover; columns as given, n_chars brought up to date.
 
     A document goes whole when items cover more than ``max_coverage`` of its words. A text without
-    hits stays as it is. Each removed span takes the bytes from its first to its last word.
+    hits stays as it is. Each removed span takes the bytes from its first to its last word. With
+    several blocks the spans of all are found on the given texts and merged before anything is cut.
     """
     spark = docs.sparkSession
     text = docs.schema.fieldNames().index("text")
-    out = docs
-    for block in _blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        sent = spark.sparkContext.broadcast(blocks[0])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, window)
@@ -301,29 +323,29 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     hit: dict[int, list[tuple[int, int]]] = {}
                     for d, a, b, _ in matcher.hits(w):
                         hit.setdefault(d, []).append((a, b))
-                    if not hit:
-                        yield rows
-                        continue
-                    keep, texts = np.ones(rows.num_rows, bool), rows.column("text").to_pylist()
-                    for d, spans in hit.items():
-                        lo, hi = int(w.first[d]), int(w.first[d + 1])
-                        mark = np.zeros(hi - lo + 1, bool)
-                        for a, b in spans:
-                            mark[a - lo : b - lo] = True
-                        keep[d] = mark.sum() <= max_coverage * (hi - lo)
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], mark]).astype(np.int8)))
-                        kept, at = [], int(off[d])
-                        for a, b in edge.reshape(-1, 2):
-                            kept.append(data[at : w.start[lo + a]].tobytes())
-                            at = int(w.end[lo + b - 1])
-                        kept.append(data[at : off[d + 1]].tobytes())
-                        texts[d] = b"".join(kept).decode()
-                    rows = rows.set_column(text, rows.schema.field("text"), pa.array(texts, rows.schema.field("text").type))
-                    yield rows.filter(pa.array(keep))
-
-        out = out.mapInArrow(cut, docs.schema)
+                    yield _cut(text, rows.schema.field("text"), max_coverage, rows, data, off, w, hit)
+
+        out = docs.mapInArrow(cut, docs.schema)
+    else:
+        key, short, met, spans = (free(c, docs.columns) for c in ("key", "short", "met", "spans"))
+        hits = _hits(docs, blocks, window)
+        # most texts have no hit: they stay where they are
+        rows = marked(docs.withColumn(short, _keys()["short"]), short, hits.select(F.col("short").alias(short)), met)
+        found = rows.where(met).select(*docs.columns, _keys()["key"].alias(key)).join(hits.select(F.col("key").alias(key), F.col("spans").alias(spans)), key, "left")
+
+        def cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, data, off in chunks(batch, "text"):
+                    w = words(data, off, NOT_ALNUM, lower=True)
+                    hit = {}
+                    for d, mine in enumerate(rows.column(spans).to_pylist()):
+                        if mine:
+                            lo = int(w.first[d])
+                            hit[d] = [(lo + x["start"], lo + x["end"]) for x in mine]
+                    yield _cut(text, rows.schema.field("text"), max_coverage, rows.select(docs_columns), data, off, w, hit)
+
+        docs_columns = docs.columns
+        out = rows.where(~F.col(met)).select(*docs.columns).unionByName(found.select(*docs.columns, spans).mapInArrow(cut_found, docs.schema))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-

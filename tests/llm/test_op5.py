@@ -54,3 +54,19 @@ def test_repeated_and_null_rows_with_several_blocks(spark, docs_of):
     rows = [(1, item(0)), (1, item(0)), (1, item(1)), (1, clean), (2, clean), (2, clean), (None, item(2)), (None, item(3)), (None, None), (None, None), (None, ""), (3, item(4) + " " + item(5))]
     read = lambda block: sorted((tuple(r) for r in D.digest(D.overlaps(docs_of(rows), bench, block_bytes=block)).collect()), key=repr)
     assert read(200) == read(D.BLOCK_BYTES) == brute(rows, [(k, item(k)) for k in range(8)])
+
+
+def test_cleaned_texts_with_several_blocks(spark, docs_of):
+    random.seed(5)
+    w = [f"w{k}" for k in range(60)]
+    text = lambda a, b: " ".join(w[a:b])
+    # overlapping items, each item's windows short of the rest once another's are cut
+    items = [(k, text(a, a + 10)) for k, a in enumerate((0, 5, 9, 14, 30))] + [(k, text(a, a + 10)) for k, a in enumerate((40, 45), 20)]
+    items += [(30, " ".join(w[20:25] + w[55:60]))]  # whole only in a text whose middle has been cut
+    rows = [(1, text(0, 60)), (1, text(0, 60)), (2, text(0, 15) + ". Tail " + "z " * 30), (3, text(0, 10) + " " + "q " * 8 + text(30, 40)), (4, text(0, 10) + " q" * 15 + " " + text(30, 40) + " q" * 2), (5, None), (None, None), (None, text(5, 15) + " y" * 30)]
+    rows += [(6, " ".join(w[20:25] + w[40:55] + w[55:60] + ["v"] * 40))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    read = lambda block: sorted((tuple(r) for r in D.decontaminated(docs_of(rows), bench, block_bytes=block).collect()), key=repr)
+    one = read(D.BLOCK_BYTES)
+    assert read(200) == one
+    assert [r[1].split()[0] for r in one if r[0] == 2] == ["."]
