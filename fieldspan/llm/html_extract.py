@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 from fieldspan.llm.shared import shuffle_width
 
 COPY = 0.8
-MOST_CELLS = 4_000_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template svg textarea iframe select title head object canvas".split())
 _OUT = frozenset("nav footer aside form button dialog menu".split())
@@ -132,8 +132,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
 def common(a: list[str], b: list[str]) -> set[int]:
     """Places in ``a`` of a longest common subsequence of the lines of ``a`` and ``b``.
 
-    Lines that the other page lacks are left out first, equal ends are matched at once; what is left
-    beyond ``MOST_CELLS`` pairs is aligned by lines that each page has once.
+    Lines that the other page lacks are left out first, equal ends are matched at once. A row of the
+    table is an integer: bit k is set where the length grows with the line k places before the end
+    of ``b``. Every so many rows one is kept, and the rows between are made again on the way back,
+    so memory grows with rows times the root of their number.
     """
     both = set(a) & set(b)
     ia, ib = [i for i, x in enumerate(a) if x in both], [j for j, y in enumerate(b) if y in both]
@@ -148,50 +150,64 @@ def common(a: list[str], b: list[str]) -> set[int]:
     ia, ib = ia[lo:ha], ib[lo:hb]
     if not ia or not ib:
         return found
-    if len(ia) * len(ib) > MOST_CELLS:
-        return found | _once(a, b, ia, ib)
-    rows = [[0] * (len(ib) + 1)]
-    for i in reversed(ia):
-        below, row = rows[-1], [0] * (len(ib) + 1)
-        for j in range(len(ib) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[ib[j]] else max(below[j], row[j + 1])
-        rows.append(row)
-    rows.reverse()
+    n, m = len(ia), len(ib)
+    full = (1 << m) - 1
+    places: dict[str, list[int]] = {}
+    for k, j in enumerate(reversed(ib)):
+        places.setdefault(b[j], []).append(k)
+    often: dict[str, int] = {}
+
+    def marks(line: str) -> int:
+        at = places.get(line)
+        if at is None:
+            return 0
+        if line in often:
+            return often[line]
+        bits = bytearray(m // 8 + 1)
+        for k in at:
+            bits[k >> 3] |= 1 << (k & 7)
+        made = int.from_bytes(bits, "little")
+        if len(at) > 64:
+            often[line] = made
+        return made
+
+    def above(row: int, i: int) -> int:
+        v = row ^ full
+        hit = v & marks(a[ia[i]])
+        return (((v + hit) | (v - hit)) & full) ^ full
+
+    step = isqrt(n) + 1
+    kept, row = {n: 0}, 0
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def row_of(i: int) -> int:
+        if i not in rows:
+            top = min(n, (i // step + 1) * step)
+            rows.clear()
+            rows[top] = kept[top]
+            for k in range(top - 1, i - 1, -1):
+                rows[k] = above(rows[k + 1], k)
+        return rows[i]
+
     i = j = 0
-    while i < len(ia) and j < len(ib):
+    while i < n and j < m:
         if a[ia[i]] == b[ib[j]]:
             found.add(ia[i])
             i, j = i + 1, j + 1
-        elif rows[i + 1][j] >= rows[i][j + 1]:
+            continue
+        own, below = row_of(i), row_of(i + 1)
+        # the longest of a[i:], b[j + 1:] and of a[i + 1:], b[j:]
+        if (below & ((1 << (m - j)) - 1)).bit_count() >= (own & ((1 << (m - j - 1)) - 1)).bit_count():
             i += 1
         else:
             j += 1
     return found
 
 
-def _once(a: list[str], b: list[str], ia: list[int], ib: list[int]) -> set[int]:
-    from bisect import bisect_left
-    from collections import Counter
-
-    na, nb = Counter(a[i] for i in ia), Counter(b[j] for j in ib)
-    place = {b[j]: j for j in ib if nb[b[j]] == 1}
-    tails: list[int] = []
-    ends: list[int] = []
-    back: dict[int, int | None] = {}
-    for i in ia:
-        if na[a[i]] == 1 and a[i] in place:
-            j = place[a[i]]
-            k = bisect_left(tails, j)
-            tails[k : k + 1] = [j]
-            back[i] = ends[k - 1] if k else None
-            ends[k : k + 1] = [i]
-    out, at = set(), ends[-1] if ends else None
-    while at is not None:
-        out.add(at)
-        at = back[at]
-    return out
-
-
 def main_text(page: list[tuple[str, int]], near: list[str] | None) -> str:
     """The page's lines that stay, given the nearest page's lines."""
     if any(kind == 1 for _, kind in page):

@@ -1,3 +1,5 @@
+import random
+
 from fieldspan.llm import html_extract as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -42,3 +44,16 @@ def test_differencing_and_whole_table(spark):
 def test_shared_lines_go():
     near = ["Menu", "Other", "Imprint"]
     assert H.main_text([("Menu", 0), ("A long text of its own", 0), ("Imprint", 0)], near) == "A long text of its own"
+
+
+def test_long_pages_of_repeated_lines():
+    random.seed(6)
+    a, b = (random.choices([f"line {k}" for k in range(40)], k=2200) for _ in "ab")
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+    found = sorted(H.common(a, b))
+    rest = iter(b)
+    assert len(found) == row[-1] and all(a[i] in rest for i in found)
