@@ -3,11 +3,11 @@
 Each page's blocks are its lines. Pages are ordered by host, then URL path; a page's nearest is the
 one before it on its host (for the first, the one after). The longest common subsequence aligns the
 two pages' lines, and shared lines go. Alone this can't give right results: copied articles share
-all lines, and an advert may be on one page only. So the page's marks come first. Lines in an
-``article`` or ``main`` element stay though shared; lines in a menu, header, footer, sidebar, form,
-notice, advert or comment part go though not shared; where a page has marked main text, lines
-outside it go. Differencing decides all other lines, unless the two pages are copies (four fifths
-of those lines shared).
+all lines, and an advert may be on one page only. So every page is differenced, and its marks then
+restore or veto lines: those in an ``article`` or ``main`` element stay though shared; those in a
+menu, header, footer, sidebar, form, notice, advert or comment part go though not shared. All other
+lines stay if not shared; and, on a page without marked main text, also if the two pages are copies
+(four fifths of those lines shared).
 
 Null html is an empty page with an empty text. Pages without a host are a host of their own, and
 the same URL may come often: then page_id orders. No page is dropped. Extra columns are ignored.
@@ -210,13 +210,12 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(page: list[tuple[str, int]], near: list[str] | None) -> str:
     """The page's lines that stay, given the nearest page's lines."""
-    if any(kind == 1 for _, kind in page):
-        return "\n".join(x for x, kind in page if kind == 1)
-    open_lines = [x for x, kind in page if kind == 0]
-    shared = common(open_lines, near) if near else set()
-    if sum(len(open_lines[i]) for i in shared) >= COPY * sum(map(len, open_lines)):
-        shared = set()
-    return "\n".join(x for i, x in enumerate(open_lines) if i not in shared)
+    shared = common([x for x, _ in page], near) if near else set()
+    if not any(kind == 1 for _, kind in page):
+        size = lambda places: sum(len(page[i][0]) for i in places if page[i][1] == 0)
+        if size(shared) >= COPY * size(range(len(page))):
+            shared = set()
+    return "\n".join(x for i, (x, kind) in enumerate(page) if kind == 1 or kind == 0 and i not in shared)
 
 
 _ROW = "page_id long, url string, host string, path string, lines array<string>, kinds array<int>"

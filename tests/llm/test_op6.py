@@ -57,3 +57,8 @@ def test_long_pages_of_repeated_lines():
     found = sorted(H.common(a, b))
     rest = iter(b)
     assert len(found) == row[-1] and all(a[i] in rest for i in found)
+
+
+def test_differencing_decides_unmarked_lines_beside_main_text():
+    page = [("Menu", 0), ("Shared article", 1), ("A line of its own", 0), ("An advert", -1), ("Imprint", 0)]
+    assert H.main_text(page, ["Menu", "Shared article", "Imprint"]) == "Shared article\nA line of its own"
