@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import isqrt
 
@@ -218,47 +219,105 @@ def main_text(page: list[tuple[str, int]], near: list[str] | None) -> str:
     return "\n".join(x for i, (x, kind) in enumerate(page) if kind == 1 or kind == 0 and i not in shared)
 
 
-_ROW = "page_id long, url string, host string, path string, lines array<string>, kinds array<int>"
+_KEY = "host string, path string, page_id long, url string, digest long"
+_ROW = f"part int, {_KEY}, again boolean, lines array<string>, kinds array<int>"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
+def _place(url: str | None) -> tuple[str, str]:
+    m = re.match(r"(?:[A-Za-z][\w+.-]*:)?//([^/?#]*)([^?#]*)", url or "")
+    return (m[1].lower(), m[2]) if m else ("", url or "")
+
+
+def _order(host: str, path: str, page_id: int | None, url: str | None, digest: int) -> tuple:
+    """Sorts as Spark sorts the key: nulls come first."""
+    return host, path, page_id is not None, page_id or 0, url is not None, url or "", digest
+
+
+def _keys(batch: pa.RecordBatch) -> list[tuple]:
+    """(host, path, page_id, url, digest) of the rows."""
+    urls = batch.column("url").to_pylist()
+    return [(*_place(u), p, u, d) for u, p, d in zip(urls, batch.column("page_id").to_pylist(), batch.column("digest").to_pylist())]
+
+
+def _bounds(pages: DataFrame, parts: int) -> list[tuple]:
+    """Keys that cut the pages into at most so many ranges, from a sample of 20 a range."""
+    if parts < 2:
+        return []
+    sample = pages.select("page_id", "url", "digest").orderBy(F.xxhash64("page_id", "url", "digest")).limit(20 * parts).collect()
+    keys = sorted({_order(*_place(r.url), r.page_id, r.url, r.digest) for r in sample})
+    return sorted({keys[k * len(keys) // parts] for k in range(1, parts)}) if keys else []
+
+
+def _edges(pages: DataFrame, bounds: list[tuple]) -> dict[tuple, list[int]]:
+    """By the key of a range's first or last page: the ranges beside it that must see that page too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[int, tuple[tuple, tuple]] = {}
+        for batch in batches:
+            for key in _keys(batch):
+                k, order = bisect_right(bounds, _order(*key)), _order(*key)
+                lo, hi = ends.get(k, (key, key))
+                ends[k] = key if order < _order(*lo) else lo, key if order > _order(*hi) else hi
+        if ends:
+            kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.int64())])
+            named = [[dict(zip((f.name for f in kind), e[x])) for e in ends.values()] for x in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(ends), pa.int32()), pa.array(named[0], kind), pa.array(named[1], kind)], ["part", "lo", "hi"])
+
+    kind = "struct<" + ", ".join(x.replace(" ", ": ") for x in _KEY.split(", ")) + ">"
+    found = pages.select("page_id", "url", "digest").mapInArrow(run, f"part int, lo {kind}, hi {kind}")
+    ends = sorted((r[0], r[1], r[2]) for r in found.groupBy("part").agg(F.min("lo"), F.max("hi")).collect()) if bounds else []
+    out: dict[tuple, list[int]] = {}
+    for (k, _, hi), (j, lo, _) in zip(ends, ends[1:]):
+        if hi[0] == lo[0]:
+            out.setdefault(_order(*hi), []).append(j)
+            out.setdefault(_order(*lo), []).append(k)
+    return out
+
+
+def _parsed(pages: DataFrame, bounds: list[tuple], edges: dict[tuple, list[int]]) -> DataFrame:
+    """The pages by range; edge pages stand again, marked, in the ranges beside theirs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple] = set()
         for batch in batches:
-            urls, lines, kinds, hosts, paths = batch.column("url").to_pylist(), [], [], [], []
-            for url, page in zip(urls, batch.column("html").to_pylist()):
-                found = blocks(page or "")
-                lines.append([x for x, _ in found])
-                kinds.append([k for _, k in found])
-                m = re.match(r"(?:[A-Za-z][\w+.-]*:)?//([^/?#]*)([^?#]*)", url or "")
-                hosts.append(m[1].lower() if m else "")
-                paths.append(m[2] if m else url or "")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))],
-                ["page_id", "url", "host", "path", "lines", "kinds"],
-            )
-
-    return pages.select("page_id", "url", "html").mapInArrow(run, _ROW)
+            rows = []
+            for key, page in zip(_keys(batch), batch.column("html").to_pylist()):
+                found, order = blocks(page or ""), _order(*key)
+                body = [x for x, _ in found], [k for _, k in found]
+                rows.append((bisect_right(bounds, order), *key, False, *body))
+                if order in edges and order not in sent:
+                    sent.add(order)
+                    rows += [(k, *key, True, *body) for k in edges[order]]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], _NAMES)
+
+    return pages.mapInArrow(run, _ROW)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Ranges of (host, path, page_id) are dealt out, so a host with a third of all pages takes many
-    tasks; a range's first page is compared with the next one.
+    tasks. The last page of a range is read again before the next range's first, and that one after
+    it, so the ranges don't show in the texts. Equal keys are ordered by url and a hash of the html.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        def rows() -> Iterator[dict]:
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "lines", "kinds")))
+                columns = [batch.column(c).to_pylist() for c in _NAMES]
+                yield from (dict(zip(_NAMES, x)) for x in zip(*columns))
 
         def pairs() -> Iterator[tuple]:
             before, first = None, None
             for row in rows():
+                same = before is not None and (before["part"], before["host"]) == (row["part"], row["host"])
                 if first is not None:
-                    yield first, row if row[2] == first[2] else None
+                    yield first, row if same else None
                     first = None
-                if before is not None and before[2] == row[2]:
+                if same:
                     yield row, before
                 else:
                     first = row
@@ -268,8 +327,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
         held, size = [], 0
         for row, near in pairs():
-            text = main_text(list(zip(row[3], row[4])), near[3] if near else None)
-            held.append((row[0], row[1], text, len(text)))
+            if row["again"]:
+                continue
+            text = main_text(list(zip(row["lines"], row["kinds"])), near["lines"] if near else None)
+            held.append((row["page_id"], row["url"], text, len(text)))
             size += len(text)
             if size > 4 << 20:
                 yield _rows(held)
@@ -277,7 +338,10 @@ def extracted(pages: DataFrame) -> DataFrame:
         if held:
             yield _rows(held)
 
-    ordered = _parsed(pages).repartitionByRange(shuffle_width(pages.sparkSession), "host", "path", F.col("page_id")).sortWithinPartitions("host", "path", "page_id")
+    width = shuffle_width(pages.sparkSession)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.xxhash64("html").alias("digest"))
+    bounds = _bounds(pages, width)
+    ordered = _parsed(pages, bounds, _edges(pages, bounds)).repartitionById(width, F.col("part")).sortWithinPartitions("part", *_NAMES[1:6])
     return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -62,3 +62,21 @@ def test_long_pages_of_repeated_lines():
 def test_differencing_decides_unmarked_lines_beside_main_text():
     page = [("Menu", 0), ("Shared article", 1), ("A line of its own", 0), ("An advert", -1), ("Imprint", 0)]
     assert H.main_text(page, ["Menu", "Shared article", "Imprint"]) == "Shared article\nA line of its own"
+
+
+def test_ranges_do_not_show(spark):
+    body = lambda *lines: "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>"
+    page = lambda h, k: body(f"Menu {h} {k // 2}", f"A long enough text about {k} of {h}", f"Imprint {h} {(k + 1) // 2}")
+    rows = [(100 * h + k, f"http://h{h}.org/{k:02}", page(h, k)) for h in range(12) for k in range(2 + h % 4)]
+    rows += [(9000, None, page(50, 1)), (None, None, page(50, 2)), (None, "http://h3.org/00", page(3, 0)), (300, "http://h3.org/00", page(3, 0))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    width, got = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for n in (1, 2, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got[n] = sorted(map(tuple, H.extracted(df).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert len(got[1]) == len(rows) and got[1] == got[2] == got[7] == got[60]
+    texts = {p: t for p, _, t, _ in got[60]}
+    assert texts[401] == "A long enough text about 1 of 4\nImprint 4 1" and texts[400] == "A long enough text about 0 of 4\nImprint 4 0"
