@@ -7,9 +7,10 @@ letters is one space.
 Fitting takes at most ``per_language`` labelled texts of each of the ``most_languages`` commonest
 languages (those with the smallest hashes of doc_id, none over ``most_chars`` characters), so a
 model's size has a bound whatever the table's size. One in four of them is not counted but
-calibrates rejection: a text of at least 100 symbols is rejected if its cross-entropy exceeds the
-largest of its language's calibration texts by half, and that of guessing among the language's
-symbols. Scoring reads all texts whole.
+calibrates rejection, by classes of length: the first stretches of each calibration text of a
+class's length give cross-entropies, and a text is rejected if its own exceeds their 99th percentile
+by half. Languages without such stretches have the percentile of all languages' together.
+Scoring reads all texts whole.
 
 A null text, or one without a letter, has the language ``und`` and score 0, and is rejected; so is
 every text if no labelled one is there. Ties go to the first language by name. Repeated rows each
@@ -31,7 +32,9 @@ PER_LANGUAGE = 1000
 MOST_LANGUAGES = 200
 MOST_CHARS = 20_000
 FOLDS = 5
-SHORT = 100
+LENGTHS = np.array([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000])
+WINDOWS = 20
+QUANTILE = 0.99
 SLACK = 1.5
 _SPACE, _EDGE = 0x20, 1
 _MARK = "\ud800"
@@ -124,7 +127,7 @@ class KneserNey:
 class Model(NamedTuple):
     languages: list[str]
     models: list[KneserNey]
-    limits: np.ndarray  #: largest cross-entropy accepted, by language
+    limits: np.ndarray  #: largest cross-entropy accepted, by language and class of length
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy by text and language, number of symbols)."""
@@ -137,6 +140,19 @@ class Model(NamedTuple):
         return out, n
 
 
+    def stretches(self, texts: list[str], k: int) -> list[list[float]]:
+        """By class of length: cross-entropies of the texts' first stretches of it under model k."""
+        grams, doc = codes(texts)
+        total = np.concatenate([[0.0], np.cumsum(-self.models[k].log_prob(grams))])
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        out: list[list[float]] = [[] for _ in LENGTHS]
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            for c, n in enumerate(LENGTHS.tolist()):
+                at = a + n * np.arange(min((b - a) // n, WINDOWS) + 1)
+                out[c] += (np.diff(total[at]) / n).tolist()
+        return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
@@ -171,12 +187,34 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: i
     keys, counts = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
     languages = sorted(set(langs.tolist()))
     models = [KneserNey(keys[langs == x], counts[langs == x]) for x in languages]
-    model = Model(languages, models, np.full(len(languages), np.inf))
+    model = Model(languages, models, np.full((len(languages), len(LENGTHS)), np.inf))
     if not languages:
         return model
-    trial = _scored(sample.where("tests").select("doc_id", "text", "lang"), model, "lang").where(f"lang = best and n >= {SHORT}")
-    tops = {r[0]: r[1] for r in trial.groupBy("lang").agg(F.max("entropy")).collect()}
-    return model._replace(limits=np.array([max(tops.get(x, np.inf) * SLACK, -np.log(m.floor)) for x, m in zip(languages, models)]))
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            for a in range(0, len(texts), 20):
+                best = m.entropies(texts[a : a + 20])[0].argmin(1).tolist()
+                for k in set(best):
+                    own = [t for t, x, y in zip(texts[a : a + 20], langs[a : a + 20], best) if y == k and x == m.languages[k]]
+                    found = [(c, e) for c, es in enumerate(m.stretches(own, k)) for e in es] if own else []
+                    if found:
+                        c, e = zip(*found)
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(c), pa.int32()), pa.array(c, pa.int32()), pa.array(e, pa.float64())], ["k", "c", "e"])
+
+    trial = sample.where("tests").select("lang", "text").mapInArrow(calibrate, "k int, c int, e double")
+    tops = trial.groupBy("k", "c").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("e")).collect()
+    pooled = trial.groupBy("c").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("e")).collect()
+    for r in pooled:
+        model.limits[:, r.c] = r.e * SLACK
+    for r in tops:
+        model.limits[r.k, r.c] = r.e * SLACK
+    for c in range(1, len(LENGTHS)):  # no text is so long: the class below
+        model.limits[:, c] = np.where(np.isinf(model.limits[:, c]), model.limits[:, c - 1], model.limits[:, c])
+    return model
 
 
 def _scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
@@ -207,7 +245,7 @@ def _scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
                 low = e[np.arange(len(part)), k]
                 odds = np.exp(-(e - low[:, None]) * np.minimum(n, 100)[:, None])
                 p = 1.0 / odds.sum(1)
-                ok = (n < SHORT) | (low <= m.limits[k])
+                ok = low <= m.limits[k, np.maximum(np.searchsorted(LENGTHS, n, "right") - 1, 0)]
                 for i, has in enumerate(letters):
                     best.append(m.languages[k[i]] if has else "und")
                     score.append(float(p[i]) if has else 0.0)

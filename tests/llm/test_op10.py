@@ -44,3 +44,16 @@ def test_model_sums_to_one():
     context = (np.uint64(ord("a")) << np.uint64(16) | np.uint64(ord("b"))) << np.uint64(16)
     # one floor share is left for symbols never seen
     assert 1 - m.floor - 1e-9 <= np.exp(m.log_prob(context | symbols)).sum() <= 1 + 1e-9
+
+
+def test_short_foreign_texts_and_languages_without_calibration(spark):
+    random.seed(2)
+    rows = [(i, text(lang, random.randint(20, 80)), lang) for i in range(400) for lang in ("en", "de")]
+    rows = [(i, t, lang) for i, (_, t, lang) in enumerate(rows)] + [(2000, "ololo lolo olol " * 20, "xx"), (2001, "lolo ololo " * 30, "xx")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    noise = ["".join(random.choice("bjkqwxyzv ") for _ in range(90)) for _ in range(20)]
+    tests = [(k, "日本語の文字だけの文"[: 1 + k % 9] * 9) for k in range(20)] + [(100 + k, t) for k, t in enumerate(noise)]
+    tests += [(200 + k, "ol" + "z" * 150) for k in range(5)] + [(300 + k, text(random.choice(["en", "de"]), 3 + k)) for k in range(40)]
+    got = {r.doc_id: r for r in L.predicted(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    assert np.isfinite(model.limits).all() and "xx" in model.languages
+    assert not any(got[i].accepted for i in got if i < 300) and all(got[i].accepted for i in got if i >= 300)
