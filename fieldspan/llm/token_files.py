@@ -8,10 +8,11 @@ place on the next level is one directory entry and one popcount away. No block i
 Documents are dealt by ranges of doc_id and written in ascending order; rows with the same doc_id
 keep the order of their texts, nulls come first. A shard is one row (its bytes in ``payload``), so
 any store that Spark can write holds the files. A null text is an empty one: its only id is the end
-id.
+id. An empty table gives no rows. Extra columns are ignored.
 
 Encoding takes each distinct word once: the tokenizer replaces white space and splits at it, so a
-text's ids are its words' ids one after another.
+text's ids are its words' ids one after another. The strings of special tokens, which hold no white
+space, become those tokens wherever they stand in a text, as is the library's default.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from fieldspan.llm.wordhash import SPACE, words
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SHARD_TOKENS = 1 << 18
-_MAGIC = b"DAC1"
+_MAGIC = b"DAC2"
 _BLOCK = 512
-_NO_DOC = np.iinfo(np.int64).min
 
 
 class WordEncoder:
@@ -50,7 +50,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most = most
         self._clear()
 
@@ -108,8 +107,8 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard: doc ids, token offsets of the documents' ends, and the ids by level."""
+def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """A shard: doc ids (the first ``nulls`` of them null), token offsets of the documents' ends, and the ids by level."""
     out = [b""]
     level, rest = 0, ids.astype(np.uint32)
     while len(rest) or level == 0:
@@ -121,7 +120,7 @@ def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
         ranks = np.concatenate([[0], np.cumsum(counts)]).astype("<u4")
         out += [struct.pack("<I", len(rest)), (rest & np.uint32(255)).astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()]
         rest, level = more[goes_on], level + 1
-    out[0] = _MAGIC + struct.pack("<III", len(doc_ids), len(ids), level) + doc_ids.astype("<i8").tobytes() + ends.astype("<u4").tobytes()
+    out[0] = _MAGIC + struct.pack("<IIII", len(doc_ids), nulls, len(ids), level) + doc_ids.astype("<i8").tobytes() + ends.astype("<u4").tobytes()
     return b"".join(out)
 
 
@@ -131,8 +130,8 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:4] != _MAGIC:
             raise ValueError("not a token shard")
-        docs, self.tokens, levels = struct.unpack_from("<III", payload, 4)
-        at = 16
+        docs, self.nulls, self.tokens, levels = struct.unpack_from("<IIII", payload, 4)
+        at = 20
         self.doc_ids = np.frombuffer(payload, "<i8", docs, at)
         self.ends = np.frombuffer(payload, "<u4", docs, at + 8 * docs)
         at += 12 * docs
@@ -146,29 +145,39 @@ class Shard:
             self.levels.append((chunk, bits, ranks))
             at += n + size + 4 * (size // 64 + 1)
 
+    def _rank(self, level: int, i: int) -> int:
+        """How many of a level's first i chunks go on: one directory entry and the bits of one block."""
+        _, bits, ranks = self.levels[level]
+        i = int(i)
+        block = i // _BLOCK
+        rest = int.from_bytes(bits[block * 64 : (i + 7) >> 3].tobytes(), "little") & ((1 << (i - block * _BLOCK)) - 1)
+        return int(ranks[block]) + rest.bit_count()
+
     def token(self, i: int) -> int:
         """The i-th id, by one byte, one bit and one rank on each of its levels."""
         value = shift = 0
-        for chunk, bits, ranks in self.levels:
+        for level, (chunk, bits, _) in enumerate(self.levels):
             value |= int(chunk[i]) << shift
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // _BLOCK
-            before = bits[block * 64 : i >> 3]
-            i = int(ranks[block]) + int(np.bitwise_count(before).sum()) + int(bits[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
-            shift += 8
+            i, shift = self._rank(level, i), shift + 8
         return value
 
-    def all(self) -> np.ndarray:
-        value, at = np.zeros(self.tokens, np.uint32), None
+    def read(self, a: int, b: int) -> np.ndarray:
+        """The ids from a to b, b exclusive: on each level the chunks between two ranks, and no others."""
+        value, at = np.zeros(b - a, np.uint32), None
         for level, (chunk, bits, _) in enumerate(self.levels):
-            part = chunk.astype(np.uint32) << np.uint32(8 * level)
+            if a == b:
+                break
+            part = chunk[a:b].astype(np.uint32) << np.uint32(8 * level)
+            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 :][: b - a].astype(bool)
             if at is None:
                 value |= part
-                at = np.flatnonzero(np.unpackbits(bits, count=len(chunk), bitorder="little"))
+                at = np.flatnonzero(more)
             else:
                 value[at] |= part
-                at = at[np.unpackbits(bits, count=len(chunk), bitorder="little").astype(bool)]
+                at = at[more]
+            a, b = self._rank(level, a), self._rank(level, b)
         return value
 
 
@@ -179,14 +188,15 @@ def shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = word_encoder(path), TaskContext.get().partitionId()
         seq = before = 0
-        docs_held: list[np.ndarray] = []
+        docs_held: list[pa.Array] = []
         sizes_held: list[np.ndarray] = []
         ids_held: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
             nonlocal seq, before
             ids = np.concatenate(ids_held)
-            payload = pack(np.concatenate(docs_held), np.cumsum(np.concatenate(sizes_held)), ids)
+            own = pa.concat_arrays(docs_held)
+            payload = pack(own.fill_null(0).to_numpy(), np.cumsum(np.concatenate(sizes_held)), ids, own.null_count)
             values = [[part], [seq], [before], [len(ids)], [payload]]
             seq, before = seq + 1, before + len(ids)
             for held in (docs_held, sizes_held, ids_held):
@@ -198,7 +208,7 @@ def shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
                 ids, ends = encoder.encode(data, off)
                 ids = np.insert(ids, ends[1:], end_id)
                 ends = ends + np.arange(len(ends))
-                doc = rows.column("doc_id").fill_null(int(_NO_DOC)).to_numpy()
+                doc = rows.column("doc_id")
                 a = 0
                 while a < len(doc):
                     room = SHARD_TOKENS - sum(map(len, ids_held))
@@ -217,9 +227,8 @@ def shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
 
 
 def read_back(files: DataFrame) -> DataFrame:
-    """Per document from the shards: doc_id, start, n_tokens, ids_crc32.
-
-    Only the token counts of the parts, as many as the writer's partitions, come to the driver.
+    """Per document from the shards: doc_id, start, n_tokens, ids_crc32; each document's ids are read by
+    their place. Only the token counts of the parts, as many as the writer's partitions, come to the driver.
     """
     totals = {r[0]: r[1] for r in files.groupBy("part").agg(F.sum("n_tokens")).collect()}
     starts, total = {}, 0
@@ -230,13 +239,12 @@ def read_back(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, start, payload in zip(batch.column("part"), batch.column("start"), batch.column("payload")):
                 shard = Shard(payload.as_py())
-                raw = shard.all().astype("<u4").tobytes()
                 ends = shard.ends.astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
+                crc = [zlib.crc32(shard.read(a, b).astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(shard.doc_ids, mask=shard.doc_ids == _NO_DOC),
+                        pa.array(shard.doc_ids, mask=np.arange(len(ends)) < shard.nulls),
                         pa.array(begins + starts[part.as_py()] + start.as_py()),
                         pa.array(ends - begins),
                         pa.array(crc, pa.int64()),
