@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Long texts are cut before they are matched, at places where no match can span: between a
-character that is not white space and white space that follows. Every alternative of the split
-pattern is white space followed by one run of other characters, or white space alone, so the
-pieces give the ids that the whole text gives.
+character that is not white space and white space that follows, and between a letter or number and
+a punctuation mark that follows (so texts that are written without white space are cut too). Every
+alternative of the split pattern is white space followed by one run of letters, of numbers or of
+other characters, or white space alone, so the pieces give the ids that the whole text gives.
 
-A null text is an empty one: no ids, and an empty decoding.
+A null text is an empty one: no ids, and an empty decoding. Each row, repeated or with a null doc_id
+too, gets its row; an empty table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 16
 _ROWS = 1000
-_SAFE = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n\t\r])")
+#: Python's classes hold all white space, and no more letters and numbers, than the pattern's.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=[^\W_])(?=[!,.:;?()、。！，：；？])")
 
 
 @lru_cache(maxsize=4)
