@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,24 +15,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests on one machine) is a local one made.
+    Only a session on one machine that names none gets a local one; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here, and a lost
     executor costs a re-read only. Row groups are small, as rows may hold large binary values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that ``written`` has put into the shared folder; frames over it are void then."""
+    while _paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,6 +81,22 @@ def marked(df: DataFrame, key: str, ids: DataFrame, name: str, most_bits: int =
     return joined.withColumn(name, F.coalesce(hit, F.lit(False))).select(*df.columns, name)
 
 
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The rows joined with a table of distinct keys, whose column ``n`` has the number of rows of each.
+
+    Keys with over a thousandth of those rows, so under a thousand keys, are broadcast and their rows
+    stay in place; the others are shuffled, and none of them fills a task. ``n`` is left out.
+    """
+    total = int(table.agg(F.sum(n)).first()[0] or 0)
+    hot = F.broadcast(table.where(F.col(n) * HOT > total).drop(n))
+    cold = table.where(F.col(n) * HOT <= total).drop(n)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow column without copying; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
