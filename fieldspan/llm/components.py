@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspan.llm.shared import written
+from fieldspan.llm.shared import looked_up, written
 
 
 class Forest:
@@ -41,20 +38,18 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[roots[own]]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = stars(batch.column("a").to_numpy(), batch.column("b").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _led(edges: DataFrame, by: list) -> DataFrame:
+    """The edges with m, an aggregate over the edges of their a; a hub's edges stay in place."""
+    return looked_up(edges, edges.groupBy("a").agg(*by, F.count(F.lit(1)).alias("n")), ["a"], "n")
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours, then each node, are led to the smallest node next to it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    beside = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return beside.union(least.select("a", F.col("m").alias("b"))).distinct()
+    large = _led(both, [F.least("a", F.min("b")).alias("m")]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = written(large.distinct(), "edges")
+    beside = _led(large, [F.min("b").alias("m")]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return beside.union(large.groupBy("a").agg(F.min("b").alias("b"))).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -70,7 +65,7 @@ def connected(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns a and b. Each round's edges are written to the shared folder; rounds
     end when all edges are stars. No edge or label comes to the driver.
     """
-    now = written(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _settled(now):
         now = written(_round(now), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -7,39 +7,42 @@ Candidates lose no link. Sizes fall into classes. In a class two linked sets dif
 elements; each set is cut by hash ranges into more than d parts, so some part is equal in both, and
 documents with an equal, non-empty part meet under its hash. Where a set has too few non-empty
 parts for the argument it is cut again, twice as fine. Tasks pack their part hashes by bucket into
-few large rows; equal sets in a slice pack theirs once, and only they: unequal ones of a slice may
-have different partners elsewhere. Documents that meet are compared by parity sketches, which differ
-in no more bits than the sets in elements; pairs whose sketches allow a link make clusters, directly
-or through others. A hash that over ``BLOCK`` documents of the whole table have makes them one cluster
-without that comparison.
-
-In each cluster equal sets are one member. Members are the leaves of a signature tree: a node holds
-the OR and the AND of its members' token bitmaps and their range of sizes. The tree is walked
-against itself; a pair of nodes is pruned when even the most overlap that bitmaps and sizes allow is
-too little. What reaches the leaves is verified on the sets, unless both are already in one
-component. Clusters over ``chunk`` members are dealt into chunks with some members common to all;
-then chunks meet in pairs, but for pairs that lie in one and the same component already.
+few large rows; equal sets in a slice pack theirs once. Equal sets are then one member, named by the
+smallest doc_id, found by their digests. Members that meet are compared by parity sketches, which
+differ in no more bits than the sets in elements; pairs whose sketches allow a link make clusters,
+directly or through others. A hash that over ``BLOCK`` documents of the whole table have makes them
+one cluster without that comparison.
+
+The members of a cluster are the leaves of a signature tree: a node holds the OR and the AND of its
+members' token bitmaps and their range of sizes. The tree is walked against itself; a pair of nodes
+is pruned when even the most overlap that bitmaps and sizes allow is too little. What reaches the
+leaves is verified on the sets, unless both are already in one component. Clusters over ``chunk``
+members or ``WORDS`` shingles are dealt into chunks with some members common to all; then chunks meet
+in pairs, but for pairs that lie in one and the same component already, or whose sizes differ too much.
 
 A text without words has an empty set and links with nothing; so does null. Rows with the same
-doc_id are one document. Null doc_ids keep their rows and link with nothing. Extra columns are
-ignored (``components``) or kept (``deduplicated``).
+doc_id are one document, linked with all that any of its texts links with. Null doc_ids keep their
+rows and link with nothing. Very long texts are read whole, one at a time. An empty table gives no
+rows. Extra columns are ignored (``components``) or kept (``deduplicated``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fieldspan.llm.components import Forest, connected, stars
-from fieldspan.llm.shared import chunks, free, marked, shuffle_width, written
+from fieldspan.llm.shared import chunks, free, looked_up, marked, shuffle_width, written
 from fieldspan.llm.wordhash import SPACE, mix, mix_int, rolling, words
 
 CHUNK = 1024
+WORDS = 1 << 20  #: shingles of a chunk, on average: 8 MB
 COMMON = 32
-BLOCK = 20_000  #: documents of the table under a key before all are one cluster, unseen
+BLOCK = 4096  #: documents of the table under a key before all are one cluster, unseen
 _RATIO = 1.7
 _LAST_CUT = 12
 
@@ -151,26 +154,20 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
         parts = Parts(percent)
         for batch in batches:
             for rows, data, off in chunks(batch, "text", 4 << 20):
-                keys, ids, facts, copies = [], [], [], []
-                seen: dict[tuple, int] = {}
+                keys, ids, facts = [], [], []
+                seen: set[tuple] = set()
                 for doc, s in zip(rows.column("doc_id").to_pylist(), sets_of(data, off, n)):
                     m = mix(s)
                     digest = (len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
                     facts.append((doc, *digest, sketch(s).tobytes()))
-                    if doc is None or not len(s):
-                        continue
-                    first = seen.setdefault(digest, doc)
-                    if first != doc:
-                        copies.append((doc, first))
+                    if doc is None or not len(s) or digest in seen:
                         continue
+                    seen.add(digest)
                     k = parts.hashes(s)
                     keys.append(k)
                     ids.append(np.full(len(k), doc, np.int64))
                 a, b, d1, d2, bits = zip(*facts)
                 yield _batch(bucket=[(d or 0) % buckets for d in a], a=a, b=b, d1=d1, d2=d2, keys=bits)
-                if copies:
-                    a, b = zip(*copies)
-                    yield _batch(bucket=[x % buckets for x in a], a=a, b=b)
                 if keys:
                     k, d = np.concatenate(keys), np.concatenate(ids)
                     order = np.argsort(k)
@@ -242,7 +239,7 @@ def _allowed(sizes: np.ndarray, words_: np.ndarray, folded: dict, x: np.ndarray,
 
 
 def _sketched(members: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b between members (block, doc, n, bits) of a block whose sketches allow a link."""
+    """Edges a, b between members (block, doc, n, bits) of a block, no two of them equal, whose sketches allow a link."""
 
     def pairs(head: list[int], ends: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         xs, ys, size = [], [], 0
@@ -299,10 +296,12 @@ def links(sets: list[np.ndarray], percent: int, forest: Forest) -> None:
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort(([int(s[0]) for s in sets], sizes))
     bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(1, np.median(sizes)))), 8, 14))
-    maps = np.zeros((n, bits), bool)
+    maps = np.zeros((n, bits // 8), np.uint8)
     for i, k in enumerate(order):
-        maps[i, (sets[k] & np.uint64(bits - 1)).astype(np.int64)] = True
-    maps = np.packbits(maps, 1).view(np.uint64)
+        one = np.zeros(bits, bool)
+        one[(sets[k] & np.uint64(bits - 1)).astype(np.int64)] = True
+        maps[i] = np.packbits(one)
+    maps = maps.view(np.uint64)
     low = high = sizes[order]
     every = [(maps, maps, low, high)]
     fan = [8]
@@ -311,15 +310,20 @@ def links(sets: list[np.ndarray], percent: int, forest: Forest) -> None:
         cut = np.arange(0, len(low), fan[-1])
         every.append((np.bitwise_or.reduceat(some, cut), np.bitwise_and.reduceat(all_, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
         fan.append(8)
-    top = len(every[-1][0])
-    x, y = np.triu_indices(top)
+    x, y = (v.astype(np.int32) for v in np.triu_indices(len(every[-1][0])))
     for level in range(len(every) - 1, -1, -1):
-        if level < len(every) - 1:
-            x, y = _children(x, y, fan[level], len(every[level][0]))
-        keep = np.concatenate([_possible(every[level], x[a : a + 8192], y[a : a + 8192], percent) for a in range(0, len(x), 8192)]) if len(x) else np.zeros(0, bool)
-        if level == 0:
-            keep &= x != y
-        x, y = x[keep], y[keep]
+        kept = []
+        for a in range(0, len(x), 8192):
+            cx, cy = x[a : a + 8192], y[a : a + 8192]
+            if level < len(every) - 1:
+                cx, cy = _children(cx, cy, fan[level], len(every[level][0]))
+            for b in range(0, len(cx), 8192):
+                dx, dy = cx[b : b + 8192], cy[b : b + 8192]
+                keep = _possible(every[level], dx, dy, percent)
+                if level == 0:
+                    keep &= dx != dy
+                kept.append((dx[keep], dy[keep]))
+        x, y = (np.concatenate(v) for v in zip(*kept)) if kept else (x[:0], y[:0])
     for i, j in zip(order[x].tolist(), order[y].tolist()):
         if forest.find(i) != forest.find(j):
             a, b = sets[i], sets[j]
@@ -329,7 +333,7 @@ def links(sets: list[np.ndarray], percent: int, forest: Forest) -> None:
 
 
 def _children(x: np.ndarray, y: np.ndarray, fan: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.divmod(np.arange(fan * fan), fan)
+    i, j = np.divmod(np.arange(fan * fan, dtype=np.int32), fan)
     cx, cy = (x[:, None] * fan + i).ravel(), (y[:, None] * fan + j).ravel()
     keep = (cx <= cy) & (cy < n) & (cx < n)
     return cx[keep], cy[keep]
@@ -349,28 +353,26 @@ def _linked(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("doc").to_numpy()
-        order = np.argsort(docs, kind="stable")
-        first = np.ones(len(docs), bool)
-        first[1:] = docs[order][1:] != docs[order][:-1]
-        order = order[first]
-        docs = docs[order]
         forest = Forest(len(docs))
+        order = np.argsort(docs, kind="stable")  # so that a component's root has its smallest doc
+        docs = docs[order]
+        for i in np.flatnonzero(docs[1:] == docs[:-1]).tolist():
+            forest.join(i, i + 1)
         if "comp" in table.column_names:
-            comp = table.column("comp").to_numpy()[order]
             seen: dict[int, int] = {}
-            for i, c in enumerate(comp.tolist()):
+            for i, c in enumerate(table.column("comp").to_numpy()[order].tolist()):
                 forest.join(seen.setdefault(c, i), i)
         raw = table.column("shingles")
         links([np.frombuffer(raw[int(i)].as_py(), "<u8") for i in order], percent, forest)
         root = np.array([forest.find(i) for i in range(len(docs))], np.int64)
-        own = root != np.arange(len(docs))
+        own = docs[root] != docs
         return pa.table({"a": docs[own], "b": docs[root[own]]})
 
     return run
 
 
 def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """The members (cluster, size, doc, d1, d2) with their shingles."""
+    """The members (cluster, size, chunks, doc, d1) with their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,62 +380,76 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 sets = list(sets_of(data, off, n))
                 d1 = rows.column("d1").to_numpy()
                 same = np.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) == d for s, d in zip(sets, d1.tolist())], bool)
-                out = rows.select(["cluster", "size", "doc"]).append_column("shingles", pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
+                out = rows.select(["cluster", "size", "chunks", "doc"]).append_column("shingles", pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
                 yield out.filter(pa.array(same))
 
     # most documents are in no cluster: their texts needn't move
     texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", members.select("doc"), "member").where("member").drop("member")
-    return members.join(texts, "doc").select("cluster", "size", "doc", "d1", "text").mapInArrow(run, "cluster long, size long, doc long, shingles binary")
+    return members.join(texts, "doc").select("cluster", "size", "chunks", "doc", "d1", "text").mapInArrow(run, "cluster long, size long, chunks int, doc long, shingles binary")
 
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of every row."""
     found = written(_candidates(docs, n, percent), "candidates")
-    facts = found.where("d1 is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), "d1", "d2")
+    facts = found.where("d1 is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), "d1", "d2", F.col("keys").alias("bits"))
+    able = facts.where("n > 0 and doc is not null")
+    copied = written(able.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1"), "copied")
+    members = looked_up(able, copied, ["n", "d1", "d2"], "times", "left")
+    members = written(members.select("doc", F.coalesce("rep", "doc").alias("rep"), "n", "d1", "bits"), "members")
+
     blocks = found.where("d1 is null and d2 is not null").select(F.col("a").alias("doc"), F.col("d2").alias("block")).distinct()
-    sketches = found.where("d1 is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("keys").alias("bits"))
-    near = _sketched(blocks.join(sketches, "doc").select("block", "doc", "n", "bits"), percent)
-    clusters = connected(found.where("d1 is null and b is not null").select("a", "b").union(near))
+    near = _sketched(blocks.join(members, "doc").select("block", F.col("rep").alias("doc"), "n", "bits").dropDuplicates(["block", "doc"]), percent)
+    edges = found.where("d1 is null and b is not null").select("a", "b").union(written(near, "near"))
+    clusters = connected(edges.union(members.where("doc <> rep").select("doc", "rep")))
     labels = clusters.union(clusters.select(F.col("label"), F.col("label")).distinct()).toDF("doc", "cluster")
-    inside = written(facts.where("n > 0").join(labels, "doc").select("cluster", "doc", "n", "d1", "d2"), "clustered")
-    classes = inside.groupBy("cluster", "n", "d1", "d2").agg(F.min("doc").alias("rep"))
-    sizes = classes.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(classes.join(sizes, "cluster").select("cluster", "size", F.col("rep").alias("doc"), "d1"), "members")
-    sets = written(_sets(docs, members, n), "sets")
-
-    n_chunks = F.ceil(F.col("size") / chunk).cast("int")
-    shared = (F.col("size") > chunk) & (F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("size") / COMMON)) == 0)
-    where = F.when(shared, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), n_chunks).cast("int")))
+    reps = members.where("doc = rep").select("doc", "n", "d1").distinct().join(labels, "doc")
+    sizes = reps.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("size > 1")
+    n_chunks = F.ceil(F.greatest(F.col("size") / chunk, F.col("words") / WORDS)).cast("int")
+    sizes = sizes.select("cluster", "size", n_chunks.alias("chunks"), F.col("size").alias("times"))
+    sets = written(_sets(docs, written(looked_up(reps, sizes, ["cluster"], "times"), "reps"), n), "sets")
+
+    shared = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("size") / COMMON)) == 0)
+    where = F.when(shared, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")))
     dealt = sets.withColumn("chunk", F.explode(where))
-    firsts = written(dealt.select("cluster", "chunk", "doc", "shingles").groupBy("cluster", "chunk").applyInArrow(_linked(percent), "a long, b long"), "links")
-    big = sizes.where(F.col("size") > chunk)
-    joined = firsts.toDF("node", "label")
-    if big.limit(1).count():
-        roots = connected(firsts)
-        more = written(_across(sets.where(F.col("size") > chunk), roots, percent, chunk), "links")
-        joined = roots if not more.limit(1).count() else connected(roots.toDF("a", "b").union(more))
-    # an equal set's documents follow its first; a member's root is its smallest
-    reps = inside.join(classes, ["cluster", "n", "d1", "d2"]).select("doc", "rep")
-    final = reps.join(joined, F.col("rep") == F.col("node"), "left").groupBy("doc").agg(F.min(F.coalesce("label", "rep")).alias("component_id"))
-    return facts.join(final, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    links_ = written(dealt.select("cluster", "chunk", "doc", "shingles").groupBy("cluster", "chunk").applyInArrow(_linked(percent), "a long, b long"), "links")
+    one = members.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # rows of one doc_id with unequal texts
+    one = members.join(one.select("doc", "a"), "doc").select("rep", "a").where("rep > a").distinct()
+    joined = links_.union(written(one, "links"))
+    whole = not sets.where("chunks > 1").limit(1).count()
+    if not whole:
+        roots = connected(joined)
+        joined = roots.toDF("a", "b").union(written(_across(sets.where("chunks > 1"), roots, percent, chunk), "links"))
+    joined = connected(joined).toDF("rep", "component_id")
+    times = members.groupBy("rep").agg(F.count(F.lit(1)).alias("times"))
+    labelled = looked_up(members.select("doc", "rep", "n"), written(joined.join(times, "rep"), "labels"), ["rep"], "times", "left")
+    out = labelled.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+    rest = facts.where("n = 0 or doc is null").select("doc", "n", "doc")
+    return out.union(rest)
 
 
 def _across(sets: DataFrame, roots: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links between chunks of large clusters, chunks made anew by the components found so far."""
-    rows = sets.join(roots, F.col("doc") == F.col("node"), "left").select("cluster", "doc", F.coalesce("label", "doc").alias("comp"), "shingles")
-    counts = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    small = counts.where(F.col("n") < chunk // 4).groupBy("cluster").agg(F.sum("n").alias("pooled"))
-    plan = counts.join(small, "cluster", "left")
-    own = F.col("n") >= chunk // 4
+    """Links between chunks of large clusters, chunks made anew by the components and sizes found so far."""
+    rows = sets.withColumn("n", F.octet_length("shingles") / 8).join(roots, F.col("doc") == F.col("node"), "left")
+    rows = rows.select("cluster", "doc", F.coalesce("label", "doc").alias("comp"), "n", "shingles")
+    grade = F.floor(F.ln("n") / F.lit(max(0.02, -log(percent / 100)))).alias("grade")
+    rows = rows.withColumn("grade", grade)
+    counts = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("words"))
+    counts = counts.withColumn("parts", F.greatest(F.col("times") / chunk, F.col("words") / WORDS))
+    small = counts.where("parts < 0.25").groupBy("cluster").agg(F.sum("parts").alias("pooled"))
+    plan = written(counts.join(small, "cluster", "left").select("cluster", "comp", "times", "parts", "pooled"), "plan")
+    own = F.col("parts") >= 0.25
     name = F.struct(
         F.when(own, F.col("comp")).alias("comp"),
-        F.when(own, F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / chunk))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("pooled") / chunk))).alias("part"),
+        "grade",
+        F.when(own, F.pmod(F.xxhash64("doc"), F.ceil("parts"))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil("pooled"))).alias("part"),
     )
-    placed = written(rows.join(plan, ["cluster", "comp"]).withColumn("chunk", F.xxhash64(name)).select("cluster", "chunk", "doc", "comp", "shingles"), "placed")
-    chunks_ = placed.groupBy("cluster", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    left, right = chunks_.toDF("cluster", "c1", "lo1", "hi1"), chunks_.toDF("cluster", "c2", "lo2", "hi2")
+    named = looked_up(rows, plan, ["cluster", "comp"], "times").withColumn("chunk", F.xxhash64(name))
+    placed = written(named.select("cluster", "chunk", "doc", "comp", "n", "shingles"), "placed")
+    chunks_ = placed.groupBy("cluster", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    left, right = (chunks_.toDF("cluster", *[f"{c}{k}" for c in ("c", "lo", "hi", "least", "most")]) for k in (1, 2))
     one = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
-    pairs = left.join(right, "cluster").where((F.col("c1") <= F.col("c2")) & ~one).select("cluster", "c1", "c2")
+    near = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
+    pairs = left.join(right, "cluster").where((F.col("c1") <= F.col("c2")) & near & ~one).select("cluster", "c1", "c2")
     sides = pairs.withColumn("chunk", F.explode(F.array_distinct(F.array("c1", "c2"))))
     return placed.join(sides, ["cluster", "chunk"]).select("cluster", "c1", "c2", "doc", "comp", "shingles").groupBy("cluster", "c1", "c2").applyInArrow(_linked(percent), "a long, b long")
 

@@ -84,8 +84,9 @@ def marked(df: DataFrame, key: str, ids: DataFrame, name: str, most_bits: int =
 HOT = 1000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """The rows joined with a table of distinct keys, whose column ``n`` has the number of rows of each.
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """The rows joined (inner or left) with a table of distinct keys, whose column ``n`` has the number
+    of rows of each; no key of the rows is null.
 
     Keys with over a thousandth of those rows, so under a thousand keys, are broadcast and their rows
     stay in place; the others are shuffled, and none of them fills a task. ``n`` is left out.
@@ -93,7 +94,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> Dat
     total = int(table.agg(F.sum(n)).first()[0] or 0)
     hot = F.broadcast(table.where(F.col(n) * HOT > total).drop(n))
     cold = table.where(F.col(n) * HOT <= total).drop(n)
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
     return rows.join(hot, keys).unionByName(rest)
 
 
