@@ -7,7 +7,9 @@ Candidates lose no link. Sizes fall into classes. In a class two linked sets dif
 elements; each set is cut by hash ranges into more than d parts, so some part is equal in both, and
 documents with an equal, non-empty part meet under its hash. Where a set has too few non-empty
 parts for the argument it is cut again, twice as fine. Tasks pack their part hashes by bucket into
-few large rows; equal sets in a slice pack theirs once. Equal sets are then one member, named by the
+few large rows; equal sets in a slice pack theirs once. Where over ``HOT`` documents of a slice share a
+hash, some lead others that their sketches allow to link with; the others leave that hash, and to
+make up for it their leader meets others there with the distance that two more links may add. Equal sets are then one member, named by the
 smallest doc_id, found by their digests. Members that meet are compared by parity sketches, which
 differ in no more bits than the sets in elements; pairs whose sketches allow a link make clusters,
 directly or through others. A hash that over ``BLOCK`` documents of the whole table have makes them
@@ -42,6 +44,8 @@ from fieldspan.llm.wordhash import SPACE, mix, mix_int, rolling, words
 CHUNK = 1024
 WORDS = 1 << 20  #: shingles of a chunk, on average: 8 MB
 COMMON = 32
+HOT = 32
+LEADERS = 8
 BLOCK = 4096  #: documents of the table under a key before all are one cluster, unseen
 _RATIO = 1.7
 _LAST_CUT = 12
@@ -120,32 +124,78 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.uint64)
 
 
-def _runs(keys: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and documents by key; of keys with over ``most`` documents one is kept, and edges lead to it."""
-    order = np.argsort(keys)
-    keys, docs = keys[order], docs[order]
+def _heads(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal keys begin, and how many there are."""
     head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, len(keys)))
+    return head, np.diff(np.append(head, len(keys)))
+
+
+class _Leaders:
+    """Leaders among the documents of a slice that share a hash."""
+
+    def __init__(self, sizes: list[int], sketches: list[bytes], percent: int):
+        self.sizes, self.percent = np.array(sizes, np.int64), percent
+        self.words = np.array([len(r) // 8 for r in sketches])
+        self.folded = _folded(sketches)
+        self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def among(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that stay under the hash, whether each leads others)."""
+        name = rows.tobytes()
+        if name not in self.known:
+            kept, leads, rest = [], [], rows
+            for _ in range(LEADERS):
+                if len(rest) < 2:
+                    break
+                one = np.full(len(rest) - 1, rest[0])
+                led = _allowed(self.sizes, self.words, self.folded, one, rest[1:], self.percent)
+                self.edges.append((rest[1:][led], one[led]))
+                kept.append(rest[0])
+                leads.append(bool(led.any()))
+                rest = rest[1:][~led]
+            self.known[name] = np.concatenate([np.array(kept, np.int64), rest]), np.concatenate([np.array(leads, bool), np.zeros(len(rest), bool)])
+        return self.known[name]
+
+
+def _thinned(keys: np.ndarray, rows: np.ndarray, leaders) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, rows and leads, without the rows that others lead under a key."""
+    order = np.lexsort((rows, keys))
+    keys, rows = keys[order], rows[order]
+    leads, stays = np.zeros(len(keys), bool), np.ones(len(keys), bool)
+    head, size = _heads(keys)
+    for k in np.flatnonzero(size > HOT).tolist():
+        a, b = int(head[k]), int(head[k] + size[k])
+        kept, own = leaders().among(rows[a:b])
+        stays[a:b] = np.isin(rows[a:b], kept)
+        leads[a:b] = np.isin(rows[a:b], kept[own])
+    return keys[stays], rows[stays], leads[stays]
+
+
+def _runs(keys: np.ndarray, docs: np.ndarray, leads: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Keys, documents and leads by key; of keys with over ``most`` documents one is kept, and edges lead to it."""
+    order = np.argsort(keys)
+    keys, docs, leads = keys[order], docs[order], leads[order]
+    head, size = _heads(keys)
     led = np.repeat(size > most, size)
     led[head] = False
     to = np.repeat(docs[head], size)
-    return keys[~led], docs[~led], *stars(docs[led], to[led])
+    return keys[~led], docs[~led], leads[~led], *stars(docs[led], to[led])
 
 
-def _blocks(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(block, document) of keys that two or more documents share; keys with the same documents are one block."""
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(head, len(keys)))
-    name = mix(np.add.reduceat(mix(docs.view(np.uint64)), head) + size.astype(np.uint64))
+def _blocks(keys: np.ndarray, docs: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, document, leads) of keys that two or more documents share; keys with the same documents are one block."""
+    head, size = _heads(keys)
+    name = mix(np.add.reduceat(mix(docs.view(np.uint64) + leads * np.uint64(0x9E3779B97F4A7C15)), head) + size.astype(np.uint64))
     at = np.flatnonzero(size > 1)
     at = at[np.unique(name[at], return_index=True)[1]]
     take = np.repeat(head[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(size[at].sum())
-    return np.repeat(name[at], size[at]).view(np.int64), docs[take]
+    return np.repeat(name[at], size[at]).view(np.int64), docs[take], leads[take]
 
 
 def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Three kinds of rows: facts of documents (a, its set's size b, digest d1 and d2, sketch in keys),
-    edges (a, b, no digest), and members of blocks (document a, block d2)."""
+    edges (a, b, no digest), and members of blocks (document a, block d2, whether it leads others b)."""
     width = shuffle_width(docs.sparkSession)
     buckets = 1 << max(4, (4 * width - 1).bit_length())
     shift = np.uint64(64 - (buckets.bit_length() - 1))
@@ -156,7 +206,7 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for rows, data, off in chunks(batch, "text", 4 << 20):
                 keys, ids, facts = [], [], []
                 seen: set[tuple] = set()
-                for doc, s in zip(rows.column("doc_id").to_pylist(), sets_of(data, off, n)):
+                for row, (doc, s) in enumerate(zip(rows.column("doc_id").to_pylist(), sets_of(data, off, n))):
                     m = mix(s)
                     digest = (len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0)
                     facts.append((doc, *digest, sketch(s).tobytes()))
@@ -165,41 +215,49 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     seen.add(digest)
                     k = parts.hashes(s)
                     keys.append(k)
-                    ids.append(np.full(len(k), doc, np.int64))
+                    ids.append(np.full(len(k), row, np.int64))
                 a, b, d1, d2, bits = zip(*facts)
                 yield _batch(bucket=[(d or 0) % buckets for d in a], a=a, b=b, d1=d1, d2=d2, keys=bits)
-                if keys:
-                    k, d = np.concatenate(keys), np.concatenate(ids)
-                    order = np.argsort(k)
-                    k, d = k[order], d[order]
-                    cuts = np.searchsorted(k >> shift, np.arange(buckets + 1, dtype=np.uint64))
+                if not keys:
+                    continue
+                led: list[_Leaders] = []
+                k, d, leads = _thinned(np.concatenate(keys), np.concatenate(ids), lambda: led[0] if led else led.append(_Leaders(b, bits, percent)) or led[0])
+                doc_ids = rows.column("doc_id").fill_null(0).to_numpy()
+                d = doc_ids[d]
+                if led:
+                    x, y = stars(*(doc_ids[np.concatenate(v)] for v in zip(*led[0].edges)))
+                    yield _batch(bucket=x % buckets, a=x, b=y)
+                for lead in (0, 1):
+                    own_k, own_d = k[leads == lead], d[leads == lead]
+                    cuts = np.searchsorted(own_k >> shift, np.arange(buckets + 1, dtype=np.uint64))
                     full = [x for x in range(buckets) if cuts[x] < cuts[x + 1]]
-                    yield _batch(bucket=full, keys=[_planes(k[cuts[x] : cuts[x + 1]], 7) for x in full], docs=[_planes(d[cuts[x] : cuts[x + 1]].view(np.uint64), 8) for x in full])
+                    yield _batch(bucket=full, b=[lead] * len(full), keys=[_planes(own_k[cuts[x] : cuts[x + 1]], 7) for x in full], docs=[_planes(own_d[cuts[x] : cuts[x + 1]].view(np.uint64), 8) for x in full])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = None
 
         def found() -> Iterator[pa.RecordBatch]:
             if held:
-                k, d, a, b = _runs(np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held]), BLOCK)
+                k, d, leads, a, b = _runs(*(np.concatenate(v) for v in zip(*held)), BLOCK)
                 held.clear()
                 if len(a):
                     yield _batch(bucket=np.zeros(len(a), np.int32), a=a, b=b)
-                block, doc = _blocks(k, d)
+                block, doc, lead = _blocks(k, d, leads)
                 if len(block):
-                    yield _batch(bucket=np.zeros(len(block), np.int32), a=doc, d2=block)
+                    yield _batch(bucket=np.zeros(len(block), np.int32), a=doc, b=lead.astype(np.int64), d2=block)
 
         for batch in batches:
             packed = batch.column("docs").is_valid().to_numpy(zero_copy_only=False)
             if not packed.all():
                 yield batch.filter(pa.array(~packed))
             rows = batch.filter(pa.array(packed))
-            for bucket, k, d in zip(*(rows.column(c).to_pylist() for c in ("bucket", "keys", "docs"))):
+            for bucket, lead, k, d in zip(*(rows.column(c).to_pylist() for c in ("bucket", "b", "keys", "docs"))):
                 if bucket != at:
                     yield from found()
                     at = bucket
-                held.append((_values(k, 7), _values(d, 8).view(np.int64)))
+                docs_ = _values(d, 8).view(np.int64)
+                held.append((_values(k, 7), docs_, np.full(len(docs_), bool(lead))))
         yield from found()
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, _SCHEMA)
@@ -222,12 +280,20 @@ def _folded(raw: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _allowed(sizes: np.ndarray, words_: np.ndarray, folded: dict, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Where sketches and sizes allow a link."""
+def _allowed(sizes: np.ndarray, words_: np.ndarray, folded: dict, x: np.ndarray, y: np.ndarray, percent: int, leads: np.ndarray | None = None) -> np.ndarray:
+    """Where sketches and sizes allow a link, or one between documents that the rows lead."""
     total = sizes[x] + sizes[y]
     most = total - 2 * (-(-percent * total // (100 + percent)))
+    if leads is not None and leads.any():
+        # a led set has at most 100 / percent times its leader's size, so its sketch has half the leader's
+        # bits at least; at that width sketches' distances add up along leader, led, led, leader
+        far, up = (100 - percent) / (100 + percent), 100 / percent
+        size = [sizes[z] * np.where(leads[z], 1 + 2 * up, 1.0) for z in (x, y)]
+        most = np.where(leads[x] | leads[y], np.ceil(far * (size[0] + size[1])).astype(np.int64), most)
     keep = np.abs(sizes[x] - sizes[y]) <= most
     least = np.minimum(words_[x], words_[y])
+    if leads is not None:
+        least = np.where(leads[x] | leads[y], np.maximum(least // 2, 1), least)
     for w in np.unique(least[keep]).tolist():
         at = np.flatnonzero(keep & (least == w))
         place, rows = folded[w]
@@ -239,7 +305,7 @@ def _allowed(sizes: np.ndarray, words_: np.ndarray, folded: dict, x: np.ndarray,
 
 
 def _sketched(members: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b between members (block, doc, n, bits) of a block, no two of them equal, whose sketches allow a link."""
+    """Edges a, b between members (block, doc, leads, n, bits) of a block whose sketches allow a link."""
 
     def pairs(head: list[int], ends: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         xs, ys, size = [], [], 0
@@ -259,15 +325,17 @@ def _sketched(members: DataFrame, percent: int) -> DataFrame:
 
     def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
         block, doc, n = (table.column(c).to_numpy() for c in ("block", "doc", "n"))
+        leads = table.column("leads").to_numpy() == 1
         raw = table.column("bits").to_pylist()
         head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         ends = np.append(head[1:], len(block))
         words_, folded = np.array([len(r) // 8 for r in raw]), _folded(raw)
+        a = b = doc[:0]
         for x, y in pairs(head.tolist(), ends.tolist()):
-            keep = _allowed(n, words_, folded, x, y, percent)
-            a, b = stars(doc[x[keep]], doc[y[keep]])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            keep = _allowed(n, words_, folded, x, y, percent, leads)
+            a, b = stars(np.concatenate([a, doc[x[keep]]]), np.concatenate([b, doc[y[keep]]]))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -397,9 +465,9 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
     members = looked_up(able, copied, ["n", "d1", "d2"], "times", "left")
     members = written(members.select("doc", F.coalesce("rep", "doc").alias("rep"), "n", "d1", "bits"), "members")
 
-    blocks = found.where("d1 is null and d2 is not null").select(F.col("a").alias("doc"), F.col("d2").alias("block")).distinct()
-    near = _sketched(blocks.join(members, "doc").select("block", F.col("rep").alias("doc"), "n", "bits").dropDuplicates(["block", "doc"]), percent)
-    edges = found.where("d1 is null and b is not null").select("a", "b").union(written(near, "near"))
+    blocks = found.where("d1 is null and d2 is not null").select(F.col("a").alias("doc"), F.col("d2").alias("block"), F.col("b").alias("leads")).distinct()
+    near = _sketched(blocks.join(members, "doc").select("block", F.col("rep").alias("doc"), "leads", "n", "bits").dropDuplicates(["block", "doc", "leads"]), percent)
+    edges = found.where("d1 is null and d2 is null").select("a", "b").union(written(near, "near"))
     clusters = connected(edges.union(members.where("doc <> rep").select("doc", "rep")))
     labels = clusters.union(clusters.select(F.col("label"), F.col("label")).distinct()).toDF("doc", "cluster")
     reps = members.where("doc = rep").select("doc", "n", "d1").distinct().join(labels, "doc")

@@ -52,6 +52,30 @@ def test_components_against_brute_force(spark, docs_of, seed, n, percent, chunk)
     assert got == brute(rows, n, percent)
 
 
+@pytest.mark.parametrize("hot", [2, 4])
+def test_leaders_lose_no_link(spark, docs_of, monkeypatch, hot):
+    import fieldspan.llm.ngram_join as module
+
+    rows = corpus(7)
+    sets = [np.unique(s) for s in module.sets_of(np.frombuffer("".join(t or "" for _, t in rows).encode(), np.uint8), np.cumsum([0, *[len((t or "").encode()) for _, t in rows]]), 3)]
+    sizes, sketches = [len(s) for s in sets], [module.sketch(s).tobytes() for s in sets]
+    words, folded = np.array([len(r) // 8 for r in sketches]), module._folded(sketches)
+    near = [[i for i, s in enumerate(sets) if i != j and module._allowed(np.array(sizes), words, folded, np.array([i]), np.array([j]), 80)[0]] for j in range(60)]
+    flags = np.zeros(len(sets), bool)
+    for u in range(60):  # u leads x, v leads y, x and y may link: u and v must stay a pair
+        for x in near[u][:5]:
+            for y in [y for y in near[x] if y < 60][:5] if x < 60 else []:
+                for v in near[y][:5]:
+                    flags[:] = False
+                    flags[[u, v]] = True
+                    assert module._allowed(np.array(sizes), words, folded, np.array([u]), np.array([v]), 80, flags)[0]
+    monkeypatch.setattr(module, "HOT", hot)
+    leaders = module._Leaders(sizes, sketches, 80)
+    kept, leads = leaders.among(np.arange(60))
+    led = {int(a): int(b) for x, y in leaders.edges for a, b in zip(x, y)}
+    assert sorted([*kept.tolist(), *led]) == list(range(60)) and {b for b in led.values()} == set(kept[leads].tolist())
+
+
 def test_form_letters_over_several_slices(spark):
     template = " ".join(f"t{k}" for k in range(92))
     own = lambda i, k: f"{template} " + " ".join(f"o{i}x{j}" for j in range(k))
