@@ -24,6 +24,30 @@ def test_round_trip(spark, tmp_path):
     assert W.round_trip(pages.where("page_id < 0")).count() == 0
 
 
+def test_hot_copies_ties_and_clashing_columns(spark):
+    rows = [(i, "http://a/", "hot " * 400) for i in range(3000)] + [(2999, "http://a/", "hot " * 400), (None, "u", "z" * 2000), (None, "u", "z" * 2000)]
+    rows += [(5000 + i, None, f"{i % 7} " * 600) for i in range(40)] + [(6000 + i, None, "") for i in range(300)]
+    names = "page_id long, url string, html string"
+    pages = spark.createDataFrame(rows, names).selectExpr("*", "1 as digest", "2 as size", "3 as member", "4 as holder", "5 as times", "6 as payload").repartition(5)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in W.round_trip(pages).collect()), key=repr)
+    largest = {i % 7: 5000 + i for i in range(40)}
+    want = [(i, "revisit", 2999) for i in range(2999)] + [(2999, "response", None)] * 2 + [(None, "response", None)] * 2
+    want += [(5000 + i, "response", None) if largest[i % 7] == 5000 + i else (5000 + i, "revisit", largest[i % 7]) for i in range(40)]
+    assert got == sorted(want + [(6000 + i, "response", None) for i in range(300)], key=repr)
+
+
+def test_ordinary_archives(spark, tmp_path):
+    def plain(kind, body, extra=""):
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1>\r\n{extra}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    head = "Content-Type: application/http; msgtype=response\r\n"
+    raw = plain("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields\r\n") + plain("response", http + b"page", head) + plain("request", b"GET / HTTP/1.1\r\n\r\n", head) + plain("response", http + b"page", head + f"WARC-Payload-Digest: sha1:{hashlib.sha1(b'page').hexdigest()}\r\n") + plain("response", http + b"x", head + "WARC-Payload-Digest: sha256:00\r\n")
+    (tmp_path / "a b.warc.gz").write_bytes(raw)
+    got = [(r.record_type, r.payload_bytes, bytes(r.payload)) for r in W.read_files(spark, str(tmp_path)).collect()]
+    assert got == [("warcinfo", 13, b"software: x\r\n"), ("response", 4, b"page"), ("request", 0, b""), ("response", 4, b"page"), ("response", 1, b"x")]
+
+
 def test_damage_is_an_error():
     one = W.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
     member = next(iter(W.members([one[:10], one[10:]])))
