@@ -4,17 +4,18 @@ One model of 4-grams per language, kept in sorted arrays of n-gram codes; a text
 with the lowest cross-entropy per symbol. Symbols are lower-cased letters; anything else between
 letters is one space.
 
-Fitting takes at most ``per_language`` labelled texts of each of the ``most_languages`` commonest
-languages (those with the smallest hashes of doc_id, none over ``most_chars`` characters), so a
-model's size has a bound whatever the table's size. One in four of them is not counted but
-calibrates rejection, by classes of length: the first stretches of each calibration text of a
-class's length give cross-entropies, and a text is rejected if its own exceeds their 99th percentile
-by half. Languages without such stretches have the percentile of all languages' together.
-Scoring reads all texts whole.
+Fitting takes at most ``per_language`` distinct labelled texts of each language (those with the
+smallest hashes of the text, none over ``most_chars`` characters), so the size of a language's model
+has a bound whatever the table's size; every label that has such a text gets a model. One text in
+four is not counted but calibrates rejection, by classes of length: the first stretches of each
+calibration text of a class's length give cross-entropies, and a text is rejected if its own exceeds
+their 99th percentile by half. Languages without such stretches have the percentile of all
+languages' together. Scoring reads all texts whole.
 
 A null text, or one without a letter, has the language ``und`` and score 0, and is rejected; so is
-every text if no labelled one is there. Ties go to the first language by name. Repeated rows each
-get their row; extra columns are ignored.
+every text if no labelled one is there. Ties go to the first language by name. A text that stands
+often teaches once. Repeated rows each get their row; a null doc_id counts as not held out, but
+teaches nothing (``trained_on``). An empty table gives no rows; extra columns are ignored (``predicted``) or kept (``accepted``).
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldspan.llm.shared import written
+
 ORDER = 4
 PER_LANGUAGE = 1000
-MOST_LANGUAGES = 200
 MOST_CHARS = 20_000
 FOLDS = 5
 LENGTHS = np.array([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000])
@@ -48,8 +50,9 @@ def _symbols() -> np.ndarray:
     for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
-            low = x.lower()
-            table[c] = ord(low[0]) & 0xFFFF
+            low = ord(x.lower()[0])
+            # letters beyond 16 bits share the codes of private use, where no letter is
+            table[c] = low if low < 0x10000 else 0xE000 + low % 0x1900
     table[ord(_MARK)] = _EDGE
     return table
 
@@ -115,6 +118,15 @@ class KneserNey:
                 counts = counts.astype(np.float64)
         self.floor = 1.0 / (len(self.levels[-1].codes) + 1)
 
+    @classmethod
+    def of(cls, parts: list[bytes]) -> KneserNey:
+        """From the bytes of its levels' arrays."""
+        self = cls.__new__(cls)
+        kinds = (np.uint64, np.float64, np.uint64, np.float64)
+        self.levels = [Level(*(np.frombuffer(x, k) for x, k in zip(parts[a : a + 4], kinds))) for a in range(0, len(parts), 4)]
+        self.floor = 1.0 / (len(self.levels[-1].codes) + 1)
+        return self
+
     def log_prob(self, grams: np.ndarray) -> np.ndarray:
         p = np.full(len(grams), self.floor)
         for k, level in zip(range(1, ORDER + 1), reversed(self.levels)):
@@ -139,7 +151,6 @@ class Model(NamedTuple):
             out[:, k] = -np.bincount(doc, m.log_prob(kinds)[which], len(texts)) / np.maximum(n, 1)
         return out, n
 
-
     def stretches(self, texts: list[str], k: int) -> list[list[float]]:
         """By class of length: cross-entropies of the texts' first stretches of it under model k."""
         grams, doc = codes(texts)
@@ -154,22 +165,28 @@ class Model(NamedTuple):
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0
-
-
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = MOST_CHARS) -> Model:
-    """A model from (doc_id, text, lang) rows; rows with nulls, or without letters, teach nothing."""
-    rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    chosen = (
-        rows.where(F.col("lang").isin(names) & (F.octet_length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-        .where(F.col("rank") <= per_language)
-        .select("lang", "doc_id", (F.col("rank") % 4 == 0).alias("tests"))
-    )
-    # at most per_language rows for each of most_languages names
-    sample = rows.where(F.octet_length("text") <= most_chars).join(F.broadcast(chosen), ["lang", "doc_id"])
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
+
+
+def sampled(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> DataFrame:
+    """lang, text and tests (whether it calibrates) of at most so many distinct texts a language.
+
+    The distinct texts of each language are counted about; hashes under the share that gives half as
+    many again as are asked for are gathered, a text once, and ranked. No language's rows meet in a task
+    but those few.
+    """
+    rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.where((F.octet_length("text") <= most_chars) & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
+    near = rows.join(F.broadcast(kinds), "lang").where((F.shiftrightunsigned("h", 1) / 2.0**63) * F.col("kinds") <= 1.5 * per_language)
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
+    return ranked.select("lang", "text", (F.col("rank") % 4 == 0).alias("tests"))
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> Model:
+    """A model from (text, lang) rows; rows with a null in either, or without letters, teach nothing."""
+    sample = written(sampled(labelled, per_language, most_chars), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,11 +199,16 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: i
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     grams = sample.where("not tests").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
-    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    langs = np.array(table.column("lang").to_pylist(), object)
-    keys, counts = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    languages = sorted(set(langs.tolist()))
-    models = [KneserNey(keys[langs == x], counts[langs == x]) for x in languages]
+
+    def train(rows: pa.Table) -> pa.Table:
+        m = KneserNey(rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy())
+        parts = [x.tobytes() for level in m.levels for x in level]
+        return pa.table({"lang": rows.column("lang")[:1], "parts": pa.array([parts], pa.list_(pa.binary()))})
+
+    # a model's size is bounded by its language's texts; a label set is a list that people keep
+    trained = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(train, "lang string, parts array<binary>")
+    known = sorted((r.lang, r.parts) for r in trained.collect())
+    languages, models = [lang for lang, _ in known], [KneserNey.of(parts) for _, parts in known]
     model = Model(languages, models, np.full((len(languages), len(LENGTHS)), np.inf))
     if not languages:
         return model
@@ -275,4 +297,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
 def trained_on(docs: DataFrame) -> DataFrame:
     """The labelled documents outside the held-out fold."""
-    return docs.where(~held_out(F.col("doc_id")))
+    return docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

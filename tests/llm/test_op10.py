@@ -31,6 +31,62 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert kept.columns == docs.columns and {1000, 1001, 1002, 1004}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def brute_log_prob(counts, text, order=4):
+    """Interpolated Kneser-Ney by its recursion over plain dictionaries: log probability of each symbol."""
+    tables = [counts]
+    for k in range(order - 1, 0, -1):
+        lower = {}
+        for g in tables[0]:
+            lower[g[-k:]] = lower.get(g[-k:], 0) + 1
+        tables.insert(0, lower)
+    floor = 1 / (len(tables[0]) + 1)
+
+    def p(table, gram):
+        if not gram:
+            return floor
+        own = {g: c for g, c in table[len(gram) - 1].items() if g[:-1] == gram[:-1]}
+        n1, n2 = (sum(c == x for c in table[len(gram) - 1].values()) for x in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 else 0.5
+        below = p(table, gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + min(d * len(own), total) / total * below if own else below
+
+    s = (chr(1),) * 3 + tuple(text)
+    return [np.log(p(tables, s[i - 3 : i + 1])) for i in range(3, len(s))]
+
+
+def test_models_against_the_recursion():
+    random.seed(6)
+    texts = [text("de", 12) for _ in range(6)]
+    counts = {}
+    for t in texts:
+        s = (chr(1),) * 3 + tuple(t + " ")
+        for i in range(3, len(s)):
+            counts[s[i - 3 : i + 1]] = counts.get(s[i - 3 : i + 1], 0) + 1
+    m = L.KneserNey(*np.unique(L.codes(texts)[0], return_counts=True))
+    again = L.KneserNey.of([x.tobytes() for level in m.levels for x in level])
+    for t in ["schung ein", "zzz", text("fr", 3), "é"]:
+        got = m.log_prob(L.codes([t])[0])
+        assert np.allclose(got, brute_log_prob(counts, t + " "), rtol=1e-12) and (again.log_prob(L.codes([t])[0]) == got).all()
+
+
+def test_sample_is_bounded_and_counts_texts_once(spark):
+    random.seed(8)
+    rows = [(1, "hot text of one document", "en")] * 3000 + [(i, text("en", 6), "en") for i in range(2000)] + [(None, text("de", 6), "de") for _ in range(30)]
+    rows += [(9000 + i, text("fr", 5), f"l{i}") for i in range(230)] + [(8000, None, "en"), (8001, "x" * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as h", "2 as kinds", "3 as rank").repartition(4)
+    got = L.sampled(docs, per_language=100).collect()
+    of = lambda lang: [r.text for r in got if r.lang == lang]
+    assert len(of("en")) == len(set(of("en"))) == 100 and len(of("de")) == 30 and len({r.lang for r in got}) == 232
+    assert sum(r.tests for r in got if r.lang == "en") == 25
+    model = L.fit(docs, per_language=100)
+    assert len(model.languages) >= 230 and L.predicted(docs, model).count() == len(rows)
+
+
+def test_letters_beyond_16_bits_are_no_others():
+    assert L._symbols()[0x10400] >= 0xE000 and L._symbols()[ord("a")] == ord("a")
+
+
 def test_no_labels(spark, empty_docs):
     docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score, r.accepted) for r in L.predicted(docs, L.fit(docs)).collect()} == {("und", 0.0, False)}
