@@ -24,6 +24,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from fieldspan.llm.shared import small_batches
+
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 16
 _ROWS = 1000
@@ -68,7 +70,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -81,7 +83,7 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
             raw = [enc.decode_bytes(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "raw"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
+    return small_batches(tokens).select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -105,4 +107,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

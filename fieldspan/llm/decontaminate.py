@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks, free, marked, written
+from fieldspan.llm.shared import chunks, free, marked, small_batches, written
 from fieldspan.llm.wordhash import NOT_ALNUM, Words, rolling, whole_windows, words
 
 WINDOW = 10
@@ -200,7 +200,7 @@ def _keys() -> dict[str, Column]:
 def _scan(docs: DataFrame, own: dict[str, Column], block: list[tuple[str, str]], window: int, only_hits: bool) -> DataFrame:
     """The columns ``own``, n_words, and one block's spans and item_ids; of all rows, or of those with hits."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
-    docs = docs.select("text", *[c.alias(k) for k, c in own.items()])
+    docs = small_batches(docs).select("text", *[c.alias(k) for k, c in own.items()])
     types = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in own]
     names = list(own)
 
@@ -309,7 +309,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hits stays as it is. Each removed span takes the bytes from its first to its last word. With
     several blocks the spans of all are found on the given texts and merged before anything is cut.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     text = docs.schema.fieldNames().index("text")
     blocks = _blocks(benchmark, block_bytes)
     if len(blocks) == 1:

@@ -24,7 +24,7 @@ from math import isqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspan.llm.shared import shuffle_width
+from fieldspan.llm.shared import shuffle_width, small_batches
 
 COPY = 0.8
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -338,7 +338,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         if held:
             yield _rows(held)
 
-    width = shuffle_width(pages.sparkSession)
+    width = shuffle_width(small_batches(pages).sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.xxhash64("html").alias("digest"))
     bounds = _bounds(pages, width)
     ordered = _parsed(pages, bounds, _edges(pages, bounds)).repartitionById(width, F.col("part")).sortWithinPartitions("part", *_NAMES[1:6])

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldspan.llm.shared import written
+from fieldspan.llm.shared import small_batches, written
 
 ORDER = 4
 PER_LANGUAGE = 1000
@@ -186,7 +186,7 @@ def sampled(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_chars: i
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> Model:
     """A model from (text, lang) rows; rows with a null in either, or without letters, teach nothing."""
-    sample = written(sampled(labelled, per_language, most_chars), "sample")
+    sample = written(sampled(small_batches(labelled), per_language, most_chars), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +241,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int =
 
 def _scored(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """doc_id, best, score, entropy, n (symbols) and accepted; and the columns named in ``more``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fieldspan.llm.components import Forest, connected, stars
-from fieldspan.llm.shared import chunks, free, looked_up, marked, shuffle_width, written
+from fieldspan.llm.shared import chunks, free, looked_up, marked, shuffle_width, small_batches, written
 from fieldspan.llm.wordhash import SPACE, mix, mix_int, rolling, words
 
 CHUNK = 1024
@@ -203,7 +203,7 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(percent)
         for batch in batches:
-            for rows, data, off in chunks(batch, "text", 4 << 20):
+            for rows, data, off in chunks(batch, "text", 2 << 20):
                 keys, ids, facts = [], [], []
                 seen: set[tuple] = set()
                 for row, (doc, s) in enumerate(zip(rows.column("doc_id").to_pylist(), sets_of(data, off, n))):
@@ -458,7 +458,7 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of every row."""
-    found = written(_candidates(docs, n, percent), "candidates")
+    found = written(_candidates(small_batches(docs), n, percent), "candidates")
     facts = found.where("d1 is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), "d1", "d2", F.col("keys").alias("bits"))
     able = facts.where("n > 0 and doc is not null")
     copied = written(able.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1"), "copied")

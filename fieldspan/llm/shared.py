@@ -81,6 +81,21 @@ def marked(df: DataFrame, key: str, ids: DataFrame, name: str, most_bits: int =
     return joined.withColumn(name, F.coalesce(hit, F.lit(False))).select(*df.columns, name)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session sends rows to Python in Arrow batches of a few MB from now on.
+
+    A batch is built outside the heap, and its buffers double as they grow: batches of the default
+    64 MB take hundreds of MB in each executor when rows hold long texts.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", conf.get(name))[0]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 HOT = 1000
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks, free, shuffle_width, text_bytes, written
+from fieldspan.llm.shared import chunks, free, shuffle_width, small_batches, text_bytes, written
 from fieldspan.llm.wordhash import SPACE, Words, mix, rolling, whole_windows, words
 
 WINDOW = 35
@@ -253,7 +253,7 @@ def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
     """
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} words or more")
-    rows = written(_anchor_rows(docs, window), "anchors")
+    rows = written(_anchor_rows(small_batches(docs), window), "anchors")
     often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     held = rows.join(often, "gram").select("gram", "k", "lo", "n", "times")
     out = _subtrees(_contexts(docs, held.where(F.col("times") <= group), window), window)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks, shuffle_width, written
+from fieldspan.llm.shared import chunks, shuffle_width, small_batches, written
 from fieldspan.llm.wordhash import SPACE, words
 
 VOCABULARY = "word_bpe_49k.json"
@@ -222,7 +222,7 @@ def shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
         if docs_held:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "part int, seq long, start long, n_tokens long, payload binary")
 
 
@@ -252,7 +252,7 @@ def read_back(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return small_batches(files).select("part", "start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

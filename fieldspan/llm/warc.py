@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldspan.llm.shared import looked_up, marked, written
+from fieldspan.llm.shared import looked_up, marked, small_batches, written
 
 MIN_BYTES = 1000
 _CHUNK = 1 << 20
@@ -50,7 +50,7 @@ def responses(pages: DataFrame) -> DataFrame:
             columns = [batch.column("page_id"), batch.column("url"), pa.array(map(len, raw), pa.int64()), pa.array(digests, pa.string()), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "size", "digest", "member"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, size long, digest string, member binary")
 
 
@@ -208,7 +208,7 @@ def read_chunks(rows: DataFrame, payload: bool = True) -> DataFrame:
 
         yield from _entries(pieces(), payload)
 
-    return rows.select("chunk").mapInArrow(run, _TYPES)
+    return small_batches(rows).select("chunk").mapInArrow(run, _TYPES)
 
 
 def read_files(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
