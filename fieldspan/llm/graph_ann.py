@@ -3,15 +3,17 @@
 Distinct vectors are dealt into shards of about ``shard_rows``. In each shard greedy searches from the
 middle point propose neighbours for every vector, and pruning by relaxed distances keeps diverse
 edges: a candidate goes if an edge already kept is ``alpha`` times nearer to it than the vector is.
-Kept edges also lead back. Queries walk every shard's graph with a beam; the nearest over all shards
-are the answer. Searches and prunings run over many vectors at once.
+Kept edges also lead back. Queries, packed in blocks of bounded bytes, are joined to the shards and
+walk every shard's graph with a beam; the nearest over all shards are the answer. Searches and
+prunings run over many vectors at once, in single precision on vectors moved to the shard's middle
+and scaled to its width; the answer's distances are those of the given vectors in double precision.
 
 Every row is indexed. Equal vectors are one node, which carries the ids of its rows up to the
 ``k + 1`` smallest: with ties to the smaller id no other row of it can be among a query's k nearest.
 Vectors that are null, zero, or hold a null or a non-finite component take no part; vectors of
 different lengths are never compared. A repeated vec_id is a row of its own: rows with the query's
 id are left out of its answer, and of repeated query ids one row, the smallest vector, asks.
-Fewer than k candidates give fewer rows. Extra columns are ignored.
+Fewer than k candidates give fewer rows; an empty table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,33 +24,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldspan.llm.shared import shuffle_width, written
+from fieldspan.llm.shared import small_batches, written
 
 DEGREE = 32
 BEAM = 160  #: width of a query's walk
 BUILD_BEAM = 64
 ALPHA = 1.2
 SHARD_ROWS = 4_096
+BLOCK_BYTES = 4 << 20  #: of a block of queries
 _BATCH = 512
 
 
-def _distances(rows: np.ndarray, queries: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Squared distances from each query to its own set of rows; by differences, as near copies need."""
-    away = rows[which] - queries[:, None, :]
-    return np.einsum("ijk,ijk->ij", away, away)
-
-
 def walk(rows: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam searches of all queries at once: (nodes, squared distances), nearest first.
 
-    Edges of -1 are missing ones. Each step opens every query's nearest node not yet opened.
+    Edges of -1 are missing ones. Each step opens every query's nearest node not yet opened, and
+    measures, by differences as near copies need, the neighbours that the query hasn't met.
     """
     n = len(queries)
     nodes = np.full((n, beam), -1, np.int64)
     near = np.full((n, beam), np.inf, np.float32)
     opened = np.zeros((n, beam), bool)
+    met = np.zeros((n, len(rows)), bool)
+    met[:, start] = True
     nodes[:, 0] = start
-    near[:, 0] = _distances(rows, queries, np.full((n, 1), start))[:, 0]
+    away = rows[start] - queries
+    near[:, 0] = np.einsum("ij,ij->i", away, away)
     live = np.arange(n)
     while len(live):
         closed = opened[live] | (nodes[live] < 0)
@@ -59,10 +60,13 @@ def walk(rows: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, b
             break
         opened[live, pick] = True
         out = edges[nodes[live, pick]]
-        d = _distances(rows, queries[live], np.maximum(out, 0))
-        old = nodes[live]
-        d[(out < 0) | (out[:, :, None] == old[:, None, :]).any(2)] = np.inf
-        ids, dist, done = np.concatenate([old, out], 1), np.concatenate([near[live], d], 1), np.concatenate([opened[live], np.zeros(out.shape, bool)], 1)
+        i, j = np.nonzero((out >= 0) & ~met[live[:, None], np.maximum(out, 0)])
+        to = out[i, j]
+        met[live[i], to] = True
+        away = rows[to] - queries[live[i]]
+        d = np.full(out.shape, np.inf, np.float32)
+        d[i, j] = np.einsum("ij,ij->i", away, away)
+        ids, dist, done = np.concatenate([nodes[live], out], 1), np.concatenate([near[live], d], 1), np.concatenate([opened[live], np.zeros(out.shape, bool)], 1)
         best = np.argpartition(dist, beam - 1, 1)[:, :beam]
         dist = np.take_along_axis(dist, best, 1)
         nodes[live] = np.where(np.isinf(dist), -1, np.take_along_axis(ids, best, 1))
@@ -81,6 +85,8 @@ def prune(rows: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, alph
     d[(found < 0) | (found == of[:, None])] = np.inf
     kept = np.full((n, degree), -1, np.int64)
     at = np.arange(n)
+    own = np.einsum("ijk,ijk->ij", points, points)
+    between = own[:, :, None] + own[:, None, :] - 2 * (points @ points.transpose(0, 2, 1))
     open_d = d.copy()
     for k in range(degree):
         pick = open_d.argmin(1)
@@ -89,8 +95,7 @@ def prune(rows: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, alph
             break
         kept[live, k] = found[at, pick][live]
         open_d[at[live], pick[live]] = np.inf
-        to = ((points - points[at, pick][:, None, :]) ** 2).sum(2)
-        open_d[(alpha * alpha * to <= d) & live[:, None]] = np.inf
+        open_d[(alpha * alpha * between[at, pick] <= d) & live[:, None]] = np.inf
     return kept
 
 
@@ -104,6 +109,8 @@ def build(rows: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha:
     rng = np.random.default_rng(n)
     edges = rng.integers(0, n, (n, degree))
     edges[edges == np.arange(n)[:, None]] = -1
+    edges.sort(1)
+    edges[:, 1:][edges[:, 1:] == edges[:, :-1]] = -1
     for slack in (1.0, alpha):
         order = rng.permutation(n)
         for a in range(0, n, _BATCH):
@@ -173,36 +180,44 @@ def _nodes(vectors: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, degree: int = DEGREE, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, query_block: int = 20_000) -> DataFrame:
+def _centred(rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """(middle, width, the rows in single precision about the middle): x is (x / width - middle)."""
+    width = float(np.abs(rows).max())
+    middle = (rows / width).mean(0)
+    rest = rows / width - middle
+    more = float(np.abs(rest).max()) or 1.0
+    return middle / more, width * more, (rest / more).astype(np.float32)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, degree: int = DEGREE, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found; both inputs have vec_id and vector.
 
-    Queries go to the shards in blocks of at most about ``query_block``, broadcast one after another;
-    the graphs are built once, and written to the shared folder.
+    Neither vectors nor queries come to the driver: a block of queries meets a shard's graph in a join.
     """
-    spark = vectors.sparkSession
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    nodes = written(_nodes(clean(vectors), k), "vectors")
+    nodes = written(_nodes(clean(small_batches(vectors)), k), "vectors")
     asked = written(clean(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    total, n_queries = nodes.count(), asked.count()
-    n_shards = max(1, -(-total // shard_rows))
-    placed = nodes.withColumn("shard", F.struct(F.size("vector").alias("d"), F.pmod(F.xxhash64("vector"), F.lit(n_shards)).alias("s")))
+    n_shards = max(1, -(-nodes.count() // shard_rows))
+    n_blocks = 1 + (asked.agg(F.sum(F.size("vector"))).first()[0] or 0) * 8 // block_bytes
+    placed = lambda df, key, n: df.withColumns({"d": F.size("vector"), "s": F.pmod(F.xxhash64(key), F.lit(n)).cast("int")})
 
     def graph(table: pa.Table) -> pa.Table:
         rows = _matrix(table.column("vector"))
-        edges, start = build(rows.astype(np.float32), degree, BUILD_BEAM, alpha)
-        sizes = np.diff(table.column("ids").combine_chunks().offsets.to_numpy())
+        middle, width, small = _centred(rows)
+        edges, start = build(small, degree, BUILD_BEAM, alpha)
+        lists = table.column("ids").combine_chunks()
+        sizes, ids = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
         one = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
-        ids = table.column("ids").combine_chunks().flatten().to_numpy()
-        return pa.table({"d": pa.array([rows.shape[1]], pa.int32()), "start": pa.array([start], pa.int64()), "rows": one(rows, "<f8"), "edges": one(edges, "<i4"), "sizes": one(sizes, "<i4"), "ids": one(ids, "<i8")})
-
-    graphs = written(placed.groupBy("shard").applyInArrow(graph, "d int, start long, rows binary, edges binary, sizes binary, ids binary"), "graphs")
-    n_blocks = max(1, -(-n_queries // query_block))
-    found = None
-    for b in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked
-        part = _searched(spark, graphs, block.toArrow(), k, beam)
-        found = part if found is None else found.unionByName(part)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
+        return pa.table({"d": table.column("d")[:1], "s": table.column("s")[:1], "start": pa.array([start], pa.int64()), "width": pa.array([width]), "middle": one(middle, "<f8"), "rows": one(rows, "<f8"), "edges": one(edges, "<i4"), "sizes": one(sizes, "<i4"), "ids": one(ids, "<i8")})
+
+    def block(table: pa.Table) -> pa.Table:
+        ids, rows = table.column("vec_id").to_numpy(), _matrix(table.column("vector"))
+        return pa.table({"d": table.column("d")[:1], "q_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "q_rows": pa.array([rows.tobytes()], pa.binary())})
+
+    graphs = written(placed(nodes, "vector", n_shards).groupBy("d", "s").applyInArrow(graph, "d int, s int, start long, width double, middle binary, rows binary, edges binary, sizes binary, ids binary"), "graphs")
+    blocks = written(placed(asked, "vec_id", n_blocks).groupBy("d", "s").applyInArrow(block, "d int, q_ids binary, q_rows binary"), "blocks")
+    met = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).join(graphs, ["d", "s"])
+    ranked = _searched(met, k, beam).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -211,41 +226,35 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def _searched(spark, graphs: DataFrame, block: pa.Table, k: int, beam: int) -> DataFrame:
-    """Each shard's k nearest rows to each query of a block."""
-    by_size: dict[int, tuple[list[int], list[list[float]]]] = {}
-    for q, v in zip(block.column("vec_id").to_pylist(), block.column("vector").to_pylist()):
-        mine = by_size.setdefault(len(v), ([], []))
-        mine[0].append(q)
-        mine[1].append(v)
-    sent = spark.sparkContext.broadcast({d: (np.array(q, np.int64), np.array(v)) for d, (q, v) in by_size.items()})
+def _searched(met: DataFrame, k: int, beam: int) -> DataFrame:
+    """Each shard's k nearest rows to each query of a block, for rows of a block and a shard's graph."""
     width = max(beam, 2 * k)
+    names = ("d", "start", "width", "middle", "rows", "edges", "sizes", "ids", "q_ids", "q_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, start, raw, e, s, i in zip(*(batch.column(c).to_pylist() for c in ("d", "start", "rows", "edges", "sizes", "ids"))):
-                if d not in sent.value:
-                    continue
-                q_ids, q_rows = sent.value[d]
-                rows = np.frombuffer(raw, "<f8").reshape(-1, d)
-                edges = np.frombuffer(e, "<i4").reshape(len(rows), -1).astype(np.int64)
-                sizes, ids = np.frombuffer(s, "<i4"), np.frombuffer(i, "<i8")
-                begins = np.cumsum(sizes) - sizes
-                small = rows.astype(np.float32)
-                for a in range(0, len(q_ids), _BATCH):
-                    nodes, _ = walk(small, edges, start, q_rows[a : a + _BATCH].astype(np.float32), width)
-                    out_q, out_v, out_s = [], [], []
-                    for x, q in enumerate(q_ids[a : a + _BATCH]):
-                        mine = nodes[x][nodes[x] >= 0]
-                        score = np.sqrt(((rows[mine] - q_rows[a + x]) ** 2).sum(1))
-                        count = sizes[mine]
-                        at = np.repeat(begins[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                        v, s_all = ids[at], np.repeat(score, count)
-                        v, s_all = v[v != q], s_all[v != q]
-                        best = np.lexsort((v, s_all))[:k]
-                        out_q.append(np.full(len(best), q))
-                        out_v.append(v[best])
-                        out_s.append(s_all[best])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
-
-    return graphs.repartition(max(1, shuffle_width(spark))).mapInArrow(run, "query_id long, vec_id long, score double")
+        for batch in (b.slice(a, 1) for b in batches for a in range(b.num_rows)):
+            d, start, scale, *raw = (batch.column(c)[0] for c in names)
+            d, start, scale = d.as_py(), start.as_py(), scale.as_py()
+            middle, rows, edges, sizes, ids, q_ids, q_rows = (np.frombuffer(x.as_buffer(), t) for x, t in zip(raw, ("<f8", "<f8", "<i4", "<i4", "<i8", "<i8", "<f8")))
+            rows, q_rows = rows.reshape(-1, d), q_rows.reshape(-1, d)
+            edges = edges.reshape(len(rows), -1).astype(np.int64)
+            begins = np.cumsum(sizes) - sizes
+            small = (rows / scale - middle).astype(np.float32)
+            for a in range(0, len(q_ids), _BATCH):
+                moved = np.clip(q_rows[a : a + _BATCH] / scale - middle, -1e15, 1e15).astype(np.float32)
+                nodes, _ = walk(small, edges, start, moved, width)
+                out_q, out_v, out_s = [], [], []
+                for x, q in enumerate(q_ids[a : a + _BATCH].tolist()):
+                    mine = nodes[x][nodes[x] >= 0]
+                    score = np.sqrt(((rows[mine] - q_rows[a + x]) ** 2).sum(1))
+                    count = sizes[mine]
+                    at = np.repeat(begins[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    v, s_all = ids[at], np.repeat(score, count)
+                    v, s_all = v[v != q], s_all[v != q]
+                    best = np.lexsort((v, s_all))[:k]
+                    out_q.append(np.full(len(best), q))
+                    out_v.append(v[best])
+                    out_s.append(s_all[best])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+
+    return met.select(*names).mapInArrow(run, "query_id long, vec_id long, score double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from fieldspan.llm import graph_ann as G
 
@@ -24,6 +25,20 @@ def test_recall_scores_and_order(spark):
     assert hits >= 0.9 * 150
 
 
+@pytest.mark.parametrize("offset,scale", [(1e6, 1.0), (0.0, 1e120), (-3e9, 1e3)])
+def test_offsets_and_large_components(spark, offset, scale):
+    rng = np.random.default_rng(5)
+    v = offset + scale * rng.normal(size=(700, 8))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, vector array<double>").repartition(3)
+    got = {}
+    for r in G.nearest(df, df.where("vec_id % 100 = 0"), shard_rows=300, block_bytes=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = v / np.abs(v).max()
+    best = {q: [i for i in np.argsort(((unit - unit[q]) ** 2).sum(1)).tolist() if i != q][:10] for q in range(0, 700, 100)}
+    hits = sum(len(got[q] & set(best[q])) for q in best)
+    assert len(got) == 7 and hits >= 63
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [0.0, 2.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [9.0]), (200, None)]
