@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldspan.functions.expr import log_positive
 from fieldspan.operators.panel import by_year
@@ -126,23 +129,38 @@ def low_backstop(df: DataFrame, variable: str, part: float = 1000.0) -> DataFram
 # Scans of one unit's series
 
 
-def _local_median(logs: np.ndarray, a: int, b: int, width: int) -> float:
-    near = np.concatenate([logs[max(0, a - width) : a], logs[b + 1 : b + 1 + width]])
+class Spike(NamedTuple):
+    first: int  #: places of the stretch's first and last year
+    last: int
+    level: float  #: median log near the stretch, itself among the values
+    off: float  #: distance of the stretch's median log from it
+    anchors: float  #: distance of the two anchors' median
+
+
+def arbitrated(logs: np.ndarray, first: int, last: int, width: int = LOCAL) -> tuple[Spike, bool]:
+    """The distances of a stretch, and whether it counts: it is farther from the local level than its
+    anchors are, or there are under five values to tell."""
+    near = logs[max(0, first - width) : last + width + 1]
     near = near[np.isfinite(near)]
-    return float(np.median(near)) if len(near) >= 5 else math.nan
+    level = float(np.median(near)) if len(near) else math.nan
+    off = abs(float(np.nanmedian(logs[first : last + 1])) - level)
+    anchors = abs((logs[first - 1] + logs[last + 1]) / 2 - level)
+    return Spike(first, last, level, off, anchors), len(near) < 5 or off > anchors
 
 
-def spikes(years: np.ndarray, values: np.ndarray, up: float = UP, plateau: float = PLATEAU, width: int = LOCAL) -> list[tuple[int, int]]:
-    """Stretches (first and last place) of one to three years that jump away and come back.
+def spikes(years: np.ndarray, values: np.ndarray, up: float = UP, down: float = UP, plateau: float = PLATEAU, width: int = LOCAL) -> list[Spike]:
+    """Stretches of one to three years that jump away and come back.
 
-    Left to right, the shortest stretch that fits first; a hit is stepped over. All years from
-    anchor to anchor are consecutive with positive values, steps inside a stretch are small, and the
-    stretch is farther from the local median than both anchors, if there are five values to tell.
+    Left to right, the shortest stretch that fits first; the search goes on behind its last year. All
+    years from anchor to anchor are consecutive with positive values, steps inside a stretch are
+    small, the steps into and out of it exceed ``up`` (or ``down``, if it lies below), and the stretch
+    passes ``arbitrated``.
     """
     ok = np.isfinite(values) & (values > 0)
     logs = np.full(len(values), math.nan)
     logs[ok] = np.log(values[ok])
-    found, i = [], 1
+    found: list[Spike] = []
+    i = 1
     while i < len(years) - 1:
         hit = 0
         for n in (1, 2, 3):
@@ -151,74 +169,105 @@ def spikes(years: np.ndarray, values: np.ndarray, up: float = UP, plateau: float
                 break
             into, out = logs[i] - logs[a], logs[b] - logs[b - 1]
             level = all(abs(logs[k + 1] - logs[k]) < plateau for k in range(i, b - 1))
-            if level and abs(into) > up and abs(out) > up and into * out < 0:
-                middle = _local_median(logs, i, b - 1, width)
-                far = abs(float(np.mean(logs[i:b])) - middle)
-                if math.isnan(middle) or far > max(abs(logs[a] - middle), abs(logs[b] - middle)):
+            if level and into * out < 0 and min(abs(into), abs(out)) > (up if into > 0 else down):
+                spike, counts = arbitrated(logs, i, b - 1, width)
+                if counts:
+                    found.append(spike)
                     hit = n
                     break
-        if hit:
-            found.append((i, i + hit - 1))
-            i += hit + 1
-        else:
-            i += 1
+        i += hit or 1
     return found
 
 
 def leading_run(years: np.ndarray, values: np.ndarray, mode: str = "decimal", before: int = FIRST_FREE_YEAR, step: float = UP) -> tuple[np.ndarray, float, str]:
     """(places of off years, factor, action) of a run at the start that is on another scale.
 
-    Eight positive values are needed. The core starts after the last early step over ``step``, its
-    level is the median of its first five; off years are earlier ones farther than ``step`` from it,
-    and the first year must be one of them.
+    Eight positive values are needed. Each early step over ``step`` may begin the core: its level is
+    the median of the core's first five values, off years are earlier ones farther than ``step`` from
+    it, and the first year must be one of them. The last step that fits counts. The factor is the ratio
+    of the medians of core and off years; ``decimal`` takes it only near a power of ten, and that power.
     """
     at = np.flatnonzero(np.isfinite(values) & (values > 0))
     none = np.zeros(0, np.int64)
     if mode == "keep" or len(at) < 8:
         return none, math.nan, "keep"
-    v, y = np.log(values[at]), years[at]
-    last = min(int((y < before).sum()), len(v) - 3)
-    jumps = [j for j in range(1, last + 1) if abs(v[j] - v[j - 1]) > step]
-    if not jumps:
-        return none, math.nan, "keep"
-    j = jumps[-1]
-    core = float(np.median(v[j : j + 5]))
-    off = np.flatnonzero(np.abs(v[:j] - core) > step)
-    if not len(off) or off[0] != 0:
+    v, y = values[at], years[at]
+    logs = np.log(v)
+    found = None
+    for j in range(1, min(int((y < before).sum()), len(v) - 3) + 1):
+        if abs(logs[j] - logs[j - 1]) > step:
+            off = np.flatnonzero(np.abs(logs[:j] - math.log(np.median(v[j : j + 5]))) > step)
+            if len(off) and off[0] == 0:
+                found = off, float(np.median(v[j : j + 5]) / np.median(v[off]))
+    if found is None:
         return none, math.nan, "keep"
-    log_factor = core - float(np.median(v[off]))
+    off, factor = found
     if mode == "na":
         return at[off], math.nan, "null"
     if mode == "rescale":
-        return at[off], math.exp(log_factor), "rescale"
-    tens = log_factor / math.log(10.0)
-    if round(tens) != 0 and abs(tens - round(tens)) <= DECADE_SLACK:
+        return at[off], factor, "rescale"
+    tens = math.log10(factor)
+    if abs(tens - round(tens)) <= DECADE_SLACK:
         return at[off], 10.0 ** round(tens), "rescale"
     return at[off], math.nan, "null"
 
 
-def scan(df: DataFrame, variables: tuple[str, ...], up: float = UP) -> DataFrame:
-    """unit, var, start, end, length: spike stretches of every unit and variable."""
+def by_unit(df: DataFrame, columns: list[str], scanned: Callable[[int, dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``scanned`` gives for each unit's columns in order of years; nulls are NaN.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("year")
-        years, out = rows["year"].to_numpy(), []
-        for v in variables:
-            for a, b in spikes(years, rows[v].to_numpy(float), up):
-                out.append((int(rows["unit"].iloc[0]), v, int(years[a]), int(years[b]), b - a + 1))
-        return pd.DataFrame(out, columns=["unit", "var", "start", "end", "length"])
-
-    return df.select("unit", "year", *variables).groupBy("unit").applyInPandas(one, "unit int, var string, start int, end int, length int")
+    Units are sorted within partitions and read one after another; a task holds one unit at a time.
+    """
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {c: [] for c in columns}
+        unit, out = None, []
+
+        def done() -> None:
+            if unit is not None:
+                out.extend(scanned(unit, {c: np.concatenate(x) for c, x in held.items()}))
+            for x in held.values():
+                x.clear()
+
+        for batch in batches:
+            units = batch.column("unit").to_numpy()
+            data = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            cuts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]])) if len(units) else []
+            for a, b in zip(cuts, [*cuts[1:], len(units)]):
+                if units[a] != unit:
+                    done()
+                    unit = int(units[a])
+                for c in columns:
+                    held[c].append(data[c][a:b])
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kinds)], schema=kinds)
+                out.clear()
+        done()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kinds)], schema=kinds)
+
+    rows = df.where("unit is not null").select("unit", *columns)
+    return rows.repartition("unit").sortWithinPartitions("unit", "year").mapInArrow(run, schema)
+
+
+def scan(df: DataFrame, variables: tuple[str, ...], up: float = UP, down: float = UP) -> DataFrame:
+    """Spike stretches of every unit and variable: unit, var, start, end, length, and what settled
+    them: the local level and the distances of stretch and anchors from it."""
+
+    def one(unit: int, rows: dict[str, np.ndarray]) -> list[tuple]:
+        years = rows["year"]
+        return [(unit, v, int(years[s.first]), int(years[s.last]), s.last - s.first + 1, s.level, s.off, s.anchors) for v in variables for s in spikes(years, rows[v].astype(float), up, down)]
+
+    return by_unit(df, ["year", *variables], one, "unit int, var string, start int, end int, length int, level double, off double, anchors double")
 
 
 def spliced(df: DataFrame, detect: str, mode: str = "decimal", before: int = FIRST_FREE_YEAR) -> DataFrame:
     """unit, year, action, factor, value_before, value_after of every year a leading run changes."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("year")
-        off, factor, action = leading_run(rows["year"].to_numpy(), rows[detect].to_numpy(float), mode, before)
-        hit = rows.iloc[off]
-        after = hit[detect] * factor if action == "rescale" else pd.Series(np.nan, index=hit.index)
-        return pd.DataFrame({"unit": hit["unit"], "year": hit["year"], "action": action, "factor": factor, "value_before": hit[detect], "value_after": after})
+    def one(unit: int, rows: dict[str, np.ndarray]) -> list[tuple]:
+        values = rows[detect].astype(float)
+        off, factor, action = leading_run(rows["year"], values, mode, before)
+        scaled = action == "rescale"
+        return [(unit, int(rows["year"][k]), action, factor if scaled else None, float(values[k]), float(values[k]) * factor if scaled else None) for k in off]
 
-    return df.select("unit", "year", detect).groupBy("unit").applyInPandas(one, "unit int, year int, action string, factor double, value_before double, value_after double")
+    return by_unit(df, ["year", detect], one, "unit int, year int, action string, factor double, value_before double, value_after double")

@@ -117,36 +117,60 @@ def quarters(spark, d):
     """unit x quarter sums with planted spikes and leading runs: the scans need more than seven periods."""
     li = table(spark, d, "lineitem")
     q = (F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1
-    rows = li.groupBy(F.col("l_suppkey").cast("int").alias("unit"), q.cast("int").alias("year")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"), F.sum("l_quantity").alias("x_l"))
+    rows = li.groupBy(F.col("l_suppkey").cast("int").alias("unit"), q.cast("int").alias("year")).agg(F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).cast("decimal(18,4)")).cast("double").alias("y"), F.sum("l_quantity").alias("x_l"))
     code = F.col("unit") * 31 + F.col("year")
     run = (F.col("unit") % 9 == 0) & (F.col("year") < 4)
     return rows.select("unit", "year", F.when(run, F.col("y") / 1000).when(code % 29 == 0, F.col("y") * 60).otherwise(F.col("y")).alias("y"), F.when(code % 31 == 7, F.col("x_l") / 200).otherwise(F.col("x_l")).alias("x_l"))
 
 
-@query("c05_leading_run_splice")
+_QUARTERS = """q0 AS (SELECT CAST(l_suppkey AS INT) AS unit, CAST((year(l_shipdate)-1995)*4+quarter(l_shipdate)-1 AS INT) AS year, CAST(sum(CAST(round(l_extendedprice*(1-l_discount),4) AS DECIMAL(18,4))) AS DOUBLE) AS y, sum(l_quantity) AS x_l FROM lineitem GROUP BY 1,2),
+ q AS (SELECT unit, year, CASE WHEN unit%9=0 AND year<4 THEN y/1000 WHEN (unit*31+year)%29=0 THEN y*60 ELSE y END AS y, CASE WHEN (unit*31+year)%31=7 THEN x_l/200 ELSE x_l END AS x_l FROM q0)"""
+
+#: Places count from 1. Candidates of one to three years are judged first; the walk then skips what it has found.
+_SPIKES = "RECURSIVE " + _QUARTERS + """, long AS (SELECT unit, year, 'y' AS var, y AS v FROM q UNION ALL SELECT unit, year, 'x_l', x_l FROM q),
+ s AS (SELECT unit, var, list(year ORDER BY year) AS t, list(CASE WHEN v>0 THEN ln(v) END ORDER BY year) AS l FROM long GROUP BY 1,2),
+ c AS (SELECT unit, var, t, l, i, n FROM (SELECT *, unnest(range(2, len(t))) AS i FROM s) CROSS JOIN (VALUES (1),(2),(3)) k(n)
+  WHERE i+n <= len(t) AND t[i+n]-t[i-1] = n+1 AND list_count(l[i-1:i+n]) = n+2 AND (n<2 OR abs(l[i+1]-l[i]) < ln(2.0)) AND (n<3 OR abs(l[i+2]-l[i+1]) < ln(2.0))
+   AND abs(l[i]-l[i-1]) > ln(4.0) AND abs(l[i+n]-l[i+n-1]) > ln(4.0) AND (l[i]-l[i-1])*(l[i+n]-l[i+n-1]) < 0),
+ m AS (SELECT *, [x FOR x IN l[greatest(1,i-5):i+n+4] IF x IS NOT NULL] AS near FROM c),
+ d AS (SELECT *, list_aggregate(near, 'median') AS level, abs(list_aggregate(l[i:i+n-1], 'median')-list_aggregate(near, 'median')) AS off, abs((l[i-1]+l[i+n])/2-list_aggregate(near, 'median')) AS anchors FROM m),
+ ok AS (SELECT unit, var, i, min(n) AS n FROM d WHERE len(near) < 5 OR off > anchors GROUP BY 1,2,3),
+ walk(unit, var, last, i, n) AS (SELECT s.unit, s.var, len(t)-1, 2, ok.n FROM s LEFT JOIN ok ON ok.unit=s.unit AND ok.var=s.var AND ok.i=2
+  UNION ALL SELECT w.unit, w.var, w.last, w.i+coalesce(w.n,1), ok.n FROM walk w LEFT JOIN ok ON ok.unit=w.unit AND ok.var=w.var AND ok.i=w.i+coalesce(w.n,1) WHERE w.i+coalesce(w.n,1) <= w.last),
+ found AS (SELECT d.unit AS unit, d.var AS var, t[d.i] AS a, t[d.i+d.n-1] AS b, d.n AS n, level, off, anchors FROM walk w JOIN d ON d.unit=w.unit AND d.var=w.var AND d.i=w.i AND d.n=w.n)"""
+
+_RUNS = _QUARTERS + """, s AS (SELECT unit, list(year ORDER BY year) AS t, list(y ORDER BY year) AS v FROM q WHERE y > 0 GROUP BY unit HAVING count(*) >= 8),
+ j AS (SELECT *, unnest(range(1, least(len([x FOR x IN t IF x < 8]), len(t)-3)+1)) AS j FROM s),
+ core AS (SELECT *, list_aggregate(v[j+1:j+5], 'median') AS mid FROM j WHERE abs(ln(v[j+1])-ln(v[j])) > ln(4.0)),
+ off AS (SELECT *, [k FOR k IN range(1, j+1) IF abs(ln(v[k])-ln(mid)) > ln(4.0)] AS off FROM core),
+ best AS (SELECT unit, max(j) AS j FROM off WHERE len(off) > 0 AND off[1] = 1 GROUP BY unit),
+ f AS (SELECT o.*, mid/list_aggregate([v[k] FOR k IN off], 'median') AS r FROM off o JOIN best b ON b.unit=o.unit AND b.j=o.j),
+ run AS (SELECT unit, t, v, unnest(off) AS k, CASE WHEN abs(log10(r)-round(log10(r))) <= 0.10 THEN pow(10.0, round(log10(r))) END AS factor FROM f)"""
+
+
+@query("c05_leading_run_splice", f"WITH {_RUNS} SELECT unit, t[k] AS year, CASE WHEN factor IS NULL THEN 'null' ELSE 'rescale' END AS action, factor, round(v[k],4) AS value_before, round(v[k]*factor,4) AS value_after FROM run")
 def c05(spark, d):
-    return C.spliced(quarters(spark, d), "y", before=8)
+    return rounded(C.spliced(quarters(spark, d), "y", before=8), 4)
 
 
-@query("c08_spike_scan")
+@query("c08_spike_scan", f"WITH {_SPIKES} SELECT unit, var, a AS start, b AS end, CAST(n AS INT) AS length FROM found")
 def c08(spark, d):
-    return C.scan(quarters(spark, d), ("y", "x_l"))
+    return C.scan(quarters(spark, d), ("y", "x_l")).select("unit", "var", "start", "end", "length")
 
 
-@query("c09_arbitrated_spikes")
+@query("c09_arbitrated_spikes", f"WITH {_SPIKES} SELECT unit, a AS start, b AS end, round(level,8) AS level, round(off,8) AS off, round(anchors,8) AS anchors FROM found WHERE var='y'")
 def c09(spark, d):
-    """Spike stretches with the distance that settled them: the unit's level and the stretch's."""
-    rows = quarters(spark, d)
-    found = C.scan(rows, ("y",))
-    level = rows.groupBy("unit").agg(F.median(F.ln("y")).alias("unit_level"))
-    inside = found.join(rows, (found["unit"] == rows["unit"]) & F.col("year").between(F.col("start"), F.col("end"))).groupBy(found["unit"], "start", "end").agg(F.avg(F.ln("y")).alias("stretch_level"))
-    return inside.join(level, "unit")
+    """Spike stretches with what settled them: the local level, and the distances of stretch and anchors."""
+    return rounded(C.scan(quarters(spark, d), ("y",)).drop("var", "length"))
 
 
-@query("c13_anomaly_log")
+_LOG = _SPIKES + ", dirty AS (SELECT unit, 0 AS sid, year, y AS x_m FROM q), " + _CHAIN + ", str AS (SELECT unit, a, b FROM found WHERE var='y'), " + _IMPUTE[_IMPUTE.index("yrs AS") :]
+
+
+@query("c13_anomaly_log", f"WITH {_LOG} SELECT j.unit AS unit, j.year AS year, round(q.y,4) AS original, CASE WHEN v0 IS NULL OR v3 IS NULL THEN NULL ELSE round(exp(coalesce(r + (ln(v0)-r0) + ((ln(v3)-r3)-(ln(v0)-r0))*(j.year-t0)/(t3-t0), ln(v0)+(ln(v3)-ln(v0))*(j.year-t0)/(t3-t0))),4) END AS imputed, CASE WHEN v0 IS NULL OR v3 IS NULL THEN 'hold' WHEN r IS NOT NULL AND r0 IS NOT NULL AND r3 IS NOT NULL THEN 'reference' ELSE 'log-linear' END AS method FROM j JOIN q ON q.unit=j.unit AND q.year=j.year")
 def c13(spark, d):
     """Each stretch's years with original and imputed value; ``hold`` where an anchor is missing."""
     rows = quarters(spark, d).withColumn("sid", F.lit(0))
-    found = C.scan(rows, ("y",)).select("unit", F.col("start").alias("a"), F.col("end").alias("b"), "length")
-    out = C.imputed(found.select("unit", "a", "b"), rows, C.chain_reference(rows, "y"), "y")
-    return out.join(rows.select("unit", "year", F.col("y").alias("original")), ["unit", "year"]).select("unit", "year", "original", "imputed", "method")
+    found = C.scan(rows, ("y",)).select("unit", F.col("start").alias("a"), F.col("end").alias("b"))
+    out = C.imputed(found, rows, C.chain_reference(rows, "y"), "y")
+    return rounded(out.join(rows.select("unit", "year", F.col("y").alias("original")), ["unit", "year"]).select("unit", "year", "original", "imputed", "method"), 4)

@@ -21,7 +21,7 @@ def _dd(b: float) -> str:
 
 DD_SQL = DAYS_SQL + f", dd AS (SELECT pixel, dy, tmin, tmax, {_dd(8.0)} AS lo, {_dd(32.0)} AS hdd FROM days), gd AS (SELECT *, lo-hdd AS gdd FROM dd)"
 DEKAD_SQL = DD_SQL + ", dek AS (SELECT pixel, CAST((dy-1)//10 AS INT) AS dekad, CASE WHEN count(gdd)=10 THEN sum(gdd) END AS gdd, CASE WHEN count(hdd)=10 THEN sum(hdd) END AS hdd FROM gd WHERE dy<=30 AND NOT (pixel=7 AND dy=15) GROUP BY 1,2)"
-CLIM_SQL = "yr AS (SELECT CAST(c_nationkey % 5 AS INT) AS pixel, year(o_orderdate) AS yr, CAST((month(o_orderdate)-1)*2+CAST(day(o_orderdate)>15 AS INT) AS INT) AS hm, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2,3), clim AS (SELECT pixel, hm, avg(v) AS v FROM yr GROUP BY 1,2), sm AS (SELECT a.pixel AS pixel, a.hm AS hm, avg(b.v) AS v FROM clim a JOIN clim b ON a.pixel=b.pixel AND (((b.hm-a.hm+3)%24)+24)%24 <= 6 GROUP BY 1,2)"
+CLIM_SQL = "yr AS (SELECT CAST(c_nationkey % 5 AS INT) AS pixel, year(o_orderdate) AS yr, CAST((month(o_orderdate)-1)*2+CAST(day(o_orderdate)>15 AS INT) AS INT) AS hm, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT)*10//count(*) AS v FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2,3), clim AS (SELECT pixel, hm, CAST(CAST(sum(v) AS BIGINT)*1000//count(*) AS DOUBLE)/1e6 AS v FROM yr GROUP BY 1,2), sm AS (SELECT a.pixel AS pixel, a.hm AS hm, avg(b.v) AS v FROM clim a JOIN clim b ON a.pixel=b.pixel AND (((b.hm-a.hm+3)%24)+24)%24 <= 6 GROUP BY 1,2)"
 SEASON_SQL = CLIM_SQL + ", en AS (SELECT pixel, min(v) AS lo, max(v) AS hi FROM sm GROUP BY 1), season AS (SELECT sm.pixel AS pixel, CAST(hm//2+1 AS INT) AS month, bool_or(hi>lo AND v >= lo+0.5*(hi-lo)) AS in_season FROM sm JOIN en ON sm.pixel=en.pixel GROUP BY 1,2)"
 
 
@@ -36,9 +36,11 @@ def dekads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the years' means by pixel and half-month, in whole thousandths, then millionths: exact in any order."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    years = o.groupBy((F.col("c_nationkey") % 5).cast("int").alias("pixel"), F.year("o_orderdate").alias("yr"), half_month("o_orderdate").alias("hm")).agg(F.avg("o_totalprice").alias("v"))
-    return years.groupBy("pixel", "hm").agg(F.avg("v").alias("v"))
+    years = o.groupBy((F.col("c_nationkey") % 5).cast("int").alias("pixel"), F.year("o_orderdate").alias("yr"), half_month("o_orderdate").alias("hm")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("s"), F.count(F.lit(1)).alias("n"))
+    years = years.select("pixel", "hm", F.expr("s * 10 div n").alias("v"))
+    return years.groupBy("pixel", "hm").agg((F.expr("sum(v) * 1000 div count(1)").cast("double") / 1e6).alias("v"))
 
 
 def smooth(spark, d):
@@ -92,14 +94,14 @@ def g07(spark, d):
     return rounded(dekads(spark, d).groupBy("pixel").agg(W.strict_sum("gdd", 3).alias("gdd")), 6)
 
 
-@query("g08_climatology", f"WITH {CLIM_SQL} SELECT pixel, hm, round(v,4) AS v FROM clim")
+@query("g08_climatology", f"WITH {CLIM_SQL} SELECT pixel, hm, round(v,6) AS v FROM clim")
 def g08(spark, d):
-    return rounded(climatology(spark, d), 4)
+    return rounded(climatology(spark, d), 6)
 
 
-@query("g09_smoothed_climatology", f"WITH {CLIM_SQL} SELECT pixel, hm, round(v,4) AS v FROM sm")
+@query("g09_smoothed_climatology", f"WITH {CLIM_SQL} SELECT pixel, hm, round(v,6) AS v FROM sm")
 def g09(spark, d):
-    return rounded(smooth(spark, d), 4)
+    return rounded(smooth(spark, d), 6)
 
 
 @query("g10_half_amplitude_season", f"WITH {SEASON_SQL} SELECT * FROM season")

@@ -41,13 +41,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice")
+    exact = lambda x: F.sum(F.round(x, 4).cast("decimal(18,4)")).cast("double")  # noqa: E731  products of two numbers with two decimals
     lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     sums = lines.groupBy(F.col("l_suppkey"), F.year("l_shipdate").cast("int").alias("year")).agg(
-        F.round(F.sum(price * (1 - F.col("l_discount"))), 6).alias("y"),
-        F.round(F.sum("l_quantity"), 6).alias("x_l"),
-        F.round(F.sum(price * F.col("l_tax")), 6).alias("x_s"),
-        F.round(F.sum("p_retailprice"), 6).alias("x_k"),
-        F.round(F.sum(price * F.col("l_discount")), 6).alias("x_m"),
+        exact(price * (1 - F.col("l_discount"))).alias("y"),
+        F.sum("l_quantity").alias("x_l"),
+        exact(price * F.col("l_tax")).alias("x_s"),
+        exact(F.col("p_retailprice")).alias("x_k"),
+        exact(price * F.col("l_discount")).alias("x_m"),
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     units = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -86,8 +87,8 @@ def deflator() -> Column:
 #: The same panels for DuckDB, as common table expressions.
 PANEL_SQL = """panel AS (
  SELECT CAST(l_suppkey AS INT) AS unit, CAST(s_nationkey AS INT) AS sid, CAST(n_regionkey AS INT) AS region, CAST(year(l_shipdate) AS INT) AS year,
-  round(sum(l_extendedprice*(1-l_discount)),6) AS y, round(sum(l_quantity),6) AS x_l, round(sum(l_extendedprice*l_tax),6) AS x_s,
-  round(sum(p_retailprice),6) AS x_k, round(sum(l_extendedprice*l_discount),6) AS x_m
+  CAST(sum(CAST(round(l_extendedprice*(1-l_discount),4) AS DECIMAL(18,4))) AS DOUBLE) AS y, sum(l_quantity) AS x_l, CAST(sum(CAST(round(l_extendedprice*l_tax,4) AS DECIMAL(18,4))) AS DOUBLE) AS x_s,
+  CAST(sum(CAST(round(p_retailprice,4) AS DECIMAL(18,4))) AS DOUBLE) AS x_k, CAST(sum(CAST(round(l_extendedprice*l_discount,4) AS DECIMAL(18,4))) AS DOUBLE) AS x_m
  FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3,4)"""
 HOLES_SQL = PANEL_SQL + ", holes AS (SELECT * FROM panel WHERE (unit*7+year) % 11 <> 0)"
 DIRTY_SQL = PANEL_SQL + """, dirty AS (SELECT unit, sid, region, year,

@@ -124,12 +124,25 @@ def test_spikes():
     flat = np.full(12, 100.0)
     one, two = flat.copy(), flat.copy()
     one[5], two[5:7] = 1.0, (900.0, 1000.0)
-    assert C.spikes(years, one) == [(5, 5)]
-    assert C.spikes(years, two) == [(5, 6)]
-    assert C.spikes(years, flat) == []
+    places = lambda y, v: [(s.first, s.last) for s in C.spikes(y, np.array(v, float))]
+    assert places(years, one) == [(5, 5)]
+    assert places(years, two) == [(5, 6)]
+    assert places(years, flat) == []
     gone = years.copy()
     gone[6:] += 1
-    assert C.spikes(gone, one) == []
+    assert places(gone, one) == []
+    # the search goes on at the end anchor, and thresholds differ by direction
+    assert places(years, [100, 100, 100, 1, 100, 1, 100, 100, 100, 100, 100, 100]) == [(3, 3), (5, 5)]
+    assert C.spikes(years, one, down=np.log(200.0)) == [] and len(C.spikes(years, one, up=np.log(200.0))) == 1
+
+
+def test_arbiter_keeps_good_years_between_bad_ones():
+    years = np.arange(1997, 2009)
+    v = np.array([94000, 93500, 94500, 95300, 19534, 98287, 113000, 15172, 84083, 94300, 94200, 94600], float)
+    found = C.spikes(years, v)
+    assert [(years[s.first], years[s.last]) for s in found] == [(2001, 2001), (2004, 2004)]
+    kept, counts = C.arbitrated(np.log(v), 5, 6)
+    assert not counts and kept.off < kept.anchors and all(s.off > s.anchors for s in found)
 
 
 def test_leading_run():
@@ -143,6 +156,22 @@ def test_leading_run():
     assert C.leading_run(years[:6], v[:6])[2] == "keep"
     mixed = np.array([500, 192, 100003, 369, 31718, *[60000.0] * 9])
     assert C.leading_run(years, mixed)[0].tolist() == [0, 1, 3]
+    # a later jump that doesn't fit doesn't end the search; odd medians are of values, not logs
+    late = np.array([1.0, *[100.0] * 5, *[1.0] * 6])
+    at, factor, action = C.leading_run(years[:12], late)
+    assert at.tolist() == [0] and factor == 100.0 and action == "rescale"
+
+
+def test_scans_of_units_that_lie_in_several_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(u, 1990 + t, 1.0 if t == u % 5 + 3 else 100.0) for u in range(30) for t in range(12)] + [(31, 1990, None), (None, 1991, 5.0)]
+        df = spark.createDataFrame(rows, "unit int, year int, v double").repartition(4)
+        got = sorted((r.unit, r.start, r.end) for r in C.scan(df, ("v",)).collect())
+        assert got == [(u, 1993 + u % 5, 1993 + u % 5) for u in range(30)]
+        assert C.scan(df.where("unit < 0"), ("v",)).count() == C.spliced(df.where("unit < 0"), "v").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_unit_slip_needs_both_series(spark):
