@@ -164,9 +164,14 @@ def _lead_back(rows: np.ndarray, edges: np.ndarray, of: np.ndarray, kept: np.nda
     new = np.full((len(targets), width), -1, np.int64)
     row = np.repeat(np.arange(len(targets)), count)
     new[row[within < width], within[within < width]] = source[within < width]
-    for a in range(0, len(targets), _BATCH):
-        t = targets[a : a + _BATCH]
-        edges[t] = prune(rows, t, np.concatenate([edges[t], new[a : a + _BATCH]], 1), degree, alpha)
+    every = -np.sort(-np.concatenate([edges[targets], new], 1), 1)
+    every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
+    every = -np.sort(-every, 1)
+    full = every[:, degree] >= 0
+    edges[targets[~full]] = every[~full, :degree]
+    for a in range(0, int(full.sum()), _BATCH):
+        t = np.flatnonzero(full)[a : a + _BATCH]
+        edges[targets[t]] = prune(rows, targets[t], every[t], degree, alpha)
 
 
 def valid(vector: Column) -> Column:
