@@ -6,15 +6,17 @@ window anywhere else. Only suffixes that may repeat are kept: a window's anchor
 alone, so equal windows have equal anchors, and windows whose anchor run is alone in the corpus
 can't repeat.
 
-The suffixes at the other windows are split by prefixes of variable length. Those whose anchor run
-occurs at most ``group`` times go to that run's group; a task takes whole groups of a bounded size
-and builds their subtree by doubling: suffixes get ranks by their first 8, 16, 32 words and then by
-all of the window. An inner node as deep as the window with two leaves or more is a repeat. Longer
-groups are split by the whole window's words, so each suffix is a node, and its leaves are counted
-before and after the shuffle, copies of a passage as one; such a group may hold any number of them.
+The suffixes at the other windows are split by prefixes of variable length: the anchor run where it
+occurs at most ``group`` times, so that a task takes whole groups of a bounded size, and else the whole
+window. Each batch of groups becomes a suffix tree over its words: a suffix array by doubling, and the
+longest common prefixes of neighbours in it, whose intervals are the inner nodes. Nodes as deep as the
+window are repeats; each leaf below one is covered to its deepest node's depth. With the whole window
+as prefix each group is one such node: its leaves are counted before and after the shuffle, copies of
+a passage as one, and there may be any number of them.
 
 A null text has no words. Equal rows are separate documents that repeat each other. Null and
-repeated doc_ids are allowed. Extra columns are ignored (``digest``) or kept (``cut``).
+repeated doc_ids are allowed. Very long texts are read in slices of whole texts, one at a time. An
+empty table gives no rows. Extra columns are ignored (``digest``) or kept (``cut``).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks, free, shuffle_width, small_batches, text_bytes, written
+from fieldspan.llm.shared import chunks, free, looked_up, shuffle_width, small_batches, text_bytes, written
 from fieldspan.llm.wordhash import SPACE, Words, mix, rolling, whole_windows, words
 
 WINDOW = 35
@@ -61,20 +63,72 @@ def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[owner[head]], at[head], np.diff(np.append(head, len(at)))
 
 
-def repeats(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, Words]:
-    """Of concatenated contexts: windows' first words, and whether each is a node with more leaves."""
-    w = words(data, offsets, SPACE)
-    at = np.flatnonzero(whole_windows(w.first, window))
-    if not len(at):
-        return at, np.zeros(0, bool), w
-    depth = min(8, window)
-    rank = np.unique(rolling(w.hash, depth), return_inverse=True)[1]
-    while depth < window:
-        step = min(depth, window - depth)
-        pair = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
-        rank, depth = np.unique(pair, return_inverse=True)[1], depth + step
-    leaves = np.bincount(rank[at])
-    return at, leaves[rank[at]] > 1, w
+class Subtree:
+    """The suffix tree of several word sequences, as a suffix array with common prefixes.
+
+    ``first`` has each sequence's first word; suffixes end with their sequence.
+    """
+
+    def __init__(self, words_: np.ndarray, first: np.ndarray, starts: np.ndarray):
+        n = len(words_)
+        self.end = np.repeat(first[1:], np.diff(first))
+        rank = np.unique(words_, return_inverse=True)[1].astype(np.int64) + 1
+        self.levels = [rank]
+        depth, longest = 1, int(np.diff(first).max(initial=0))
+        while depth < longest:
+            after = np.zeros(n, np.int64)
+            after[:-depth] = rank[depth:]
+            after[np.arange(n) + depth >= self.end] = 0
+            rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+            self.levels.append(rank)
+            depth *= 2
+        self.leaves = starts[np.argsort(rank[starts], kind="stable")] if n else starts
+        self.common = self._common(self.leaves[:-1], self.leaves[1:])
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes, by the ranks of 2^k words from the longest down."""
+        most = np.minimum(self.end[a] - a, self.end[b] - b)
+        length = np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            open_ = np.flatnonzero(length < most)
+            x, y = a[open_] + length[open_], b[open_] + length[open_]
+            same = self.levels[k][x] == self.levels[k][y]
+            length[open_[same]] += 1 << k
+        return np.minimum(length, most)
+
+    def nodes(self, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(depth, leaves) of each inner node at least so deep; deeper ones come first."""
+        open_: list[tuple[int, int]] = []
+        for i, depth in enumerate([*self.common.tolist(), 0]):
+            at = i
+            while open_ and open_[-1][0] > depth:
+                d, at = open_.pop()
+                yield d, self.leaves[at : i + 1]
+            if depth >= least and (not open_ or open_[-1][0] < depth):
+                open_.append((depth, at))
+
+    def covered(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix, depth of its deepest inner node) where that is at least so deep, in order of suffixes."""
+        depth = np.zeros(len(self.leaves), np.int64)
+        if len(self.leaves) > 1:
+            depth[1:] = self.common
+            depth[:-1] = np.maximum(depth[:-1], self.common)
+        hit = np.flatnonzero(depth >= least)
+        hit = hit[np.argsort(self.leaves[hit])]
+        return self.leaves[hit], depth[hit]
+
+
+def maximal_repeats(texts: list[str], least: int) -> set[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(words, ((text, first word), ...)) of the runs of at least so many words that can't be longer everywhere."""
+    raw = [t.encode() for t in texts]
+    w = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), SPACE)
+    out = set()
+    for depth, leaves in Subtree(w.hash, w.first, np.arange(len(w.hash))).nodes(least):
+        doc = np.searchsorted(w.first, leaves, "right") - 1
+        before = np.where(leaves > w.first[doc], w.hash[leaves - 1], 0)
+        if (leaves == w.first[doc]).any() or (before != before[0]).any():
+            out.add((depth, tuple(sorted(zip(doc.tolist(), (leaves - w.first[doc]).tolist())))))
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -150,8 +204,8 @@ def _subtrees(contexts: DataFrame, window: int) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             data, off = text_bytes(table.column("words"))
-            at, more, w = repeats(data, off, window)
-            at = at[more]
+            w = words(data, off, SPACE)
+            at, _ = Subtree(w.hash, w.first, np.flatnonzero(whole_windows(w.first, window))).covered(window)
             if len(at):
                 ctx = np.searchsorted(w.first, at, "right") - 1
                 lo, k = table.column("lo").to_numpy()[ctx], table.column("k").to_numpy()[ctx]
@@ -235,13 +289,13 @@ def _whole(docs: DataFrame, held: DataFrame, window: int) -> DataFrame:
 
     met = lambda rows: _met(docs, rows).select("k", "doc_id", "held", "text")
     each = written(met(held).mapInArrow(contexts, "gram long, ctx long, k long, doc_id long, los array<int>, n int"), "contexts")
-    kinds = each.groupBy("gram", "ctx").agg(F.sum(F.size("los")).alias("times"), F.min(F.struct("k", F.col("los")[0].alias("lo"), "n")).alias("one"))
+    kinds = each.groupBy("gram", "ctx").agg(F.sum(F.size("los")).alias("times"), F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("k", F.col("los")[0].alias("lo"), "n")).alias("one"))
     ranges = F.transform("los", lambda lo: F.struct(lo.alias("start"), (lo + F.col("n") + window - 1).alias("end")))
-    whole = each.join(kinds.where("times > 1").select("gram", "ctx"), ["gram", "ctx"]).select("k", "doc_id", ranges.alias("ranges"))
+    whole = looked_up(each, kinds.where("times > 1").select("gram", "ctx", "n_rows"), ["gram", "ctx"], "n_rows").select("k", "doc_id", ranges.alias("ranges"))
     ones = kinds.select("gram", "one.k", "one.lo", "one.n", (F.col("times") == 1).alias("alone"))
     rows = written(met(ones).mapInArrow(windows, "gram long, label long, alone boolean, k long, doc_id long, pos int"), "windows")
-    more = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("leaves")).where("leaves > 1").select("gram", "label")
-    part = rows.where("alone").join(more, ["gram", "label"]).select("k", "doc_id", F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))).alias("ranges"))
+    more = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("leaves"), F.count_if("alone").alias("n_rows")).where("leaves > 1 and n_rows > 0")
+    part = looked_up(rows.where("alone"), more.drop("leaves"), ["gram", "label"], "n_rows").select("k", "doc_id", F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))).alias("ranges"))
     return whole.unionByName(part)
 
 
@@ -254,12 +308,12 @@ def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} words or more")
     rows = written(_anchor_rows(small_batches(docs), window), "anchors")
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    held = rows.join(often, "gram").select("gram", "k", "lo", "n", "times")
-    out = _subtrees(_contexts(docs, held.where(F.col("times") <= group), window), window)
+    often = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "often")
+    few, many = often.where(F.col("times") <= group), often.where(F.col("times") > group)
+    out = _subtrees(_contexts(docs, looked_up(rows, few, ["gram"], "times"), window), window)
     out = out.select("k", "doc_id", F.array(F.struct("start", "end")).alias("ranges"))
-    if often.where(F.col("times") > group).limit(1).count():
-        out = out.unionByName(_whole(docs, held.where(F.col("times") > group), window))
+    if many.limit(1).count():
+        out = out.unionByName(_whole(docs, looked_up(rows, many, ["gram"], "times"), window))
     return out
 
 

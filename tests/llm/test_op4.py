@@ -47,3 +47,22 @@ def test_cut_keeps_columns_and_untouched_texts(spark, docs_of, empty_docs):
     assert D.digest(empty_docs).count() == D.cut(empty_docs).count() == 0
     with pytest.raises(ValueError):
         D.covered(empty_docs, window=5)
+
+
+def test_tree_gives_maximal_repeats():
+    random.seed(9)
+    texts = [" ".join(random.choice("abc") for _ in range(random.randint(0, 25))) for _ in range(6)]
+    runs = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w)):
+            for j in range(i + 3, len(w) + 1):
+                runs.setdefault(tuple(w[i:j]), []).append((d, i))
+    want = set()
+    for run, places in runs.items():
+        if len(places) > 1:
+            n = len(run)
+            sides = [{(texts[d].split()[i + n] if i + n < len(texts[d].split()) else (d, i)) for d, i in places}, {(texts[d].split()[i - 1] if i else (d, i)) for d, i in places}]
+            if all(len(x) > 1 for x in sides):
+                want.add((n, tuple(sorted(places))))
+    assert D.maximal_repeats(texts, 3) == want and D.maximal_repeats([], 3) == D.maximal_repeats(["", "a b"], 3) == set()
