@@ -5,12 +5,15 @@ automaton gives the longest run of words, ending there, that some item holds. Ru
 ``window`` words (or a whole shorter item) are hits. Only stretches that share short runs of words
 with the items are streamed: a hit lies whole inside such a stretch, so nothing is lost.
 
-The items are a stated set. They go to the tasks in blocks whose bytes have a bound
-(``block_bytes``); more items mean more blocks, and each block sees all documents as given. Results
-are the same for any number of blocks.
-
-Nulls and texts without words give no words and no hits. Repeated items count one by one, and
-repeated documents each get their row. Extra columns of either table are ignored.
+The items are a stated set. Parts of about ``PART_BYTES`` of them are built into automata, each in a
+task of its own, and packed into arrays of 7 to 10 times the text's size. Packed parts go to the
+tasks in blocks of ``block_bytes`` of text; more items mean more blocks, and each block sees all
+documents as given. Results are the same for any number of parts and blocks.
+
+Nulls and texts without words give no words and no hits. Items with the same item_id count as one,
+and repeated documents each get their row; a null doc_id is kept. Very long texts are scanned whole,
+one at a time. An empty benchmark hits nothing, and no documents give no rows. Extra columns of
+either table are ignored (``overlaps``), or of the documents kept (``decontaminated``).
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ from fieldspan.llm.shared import chunks, free, marked, small_batches, written
 from fieldspan.llm.wordhash import NOT_ALNUM, Words, rolling, whole_windows, words
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+PART_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
 _SEED = 4
+_ARRAYS = {"first": "<i4", "word": "<u8", "to": "<i4", "link": "<i4", "length": "<i4", "own_state": "<i4", "own_first": "<i4", "own_item": "<i4", "whole_state": "<i4", "whole_words": "<i4", "whole_item": "<i4", "grams": "<u8"}
+_PACKED = "part int, seed long, names array<string>, " + ", ".join(f"{c} binary" for c in _ARRAYS)
 
 
 class SuffixAutomaton:
@@ -87,52 +93,90 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
-    def stream(self, tokens: list[int]) -> Iterator[tuple[int, int, set[str]]]:
+    def arrays(self, names: dict[str, int]) -> dict[str, np.ndarray]:
+        """The automaton in flat arrays: edges by state and word, owners and whole items by state."""
+        edges = [sorted(x.items()) for x in self.next]
+        owners, whole = sorted(self.owners.items()), [(s, *x) for s, found in sorted(self.whole.items()) for x in found]
+        return {
+            "first": np.cumsum([0, *map(len, edges)]),
+            "word": np.array([w for x in edges for w, _ in x], np.uint64),
+            "to": np.array([t for x in edges for _, t in x], np.int64),
+            "link": np.array(self.link),
+            "length": np.array(self.length),
+            "own_state": np.array([s for s, _ in owners], np.int64),
+            "own_first": np.cumsum([0, *[len(x) for _, x in owners]]),
+            "own_item": np.array([names[n] for _, x in owners for n in x], np.int64),
+            "whole_state": np.array([s for s, _, _ in whole], np.int64),
+            "whole_words": np.array([k for _, k, _ in whole], np.int64),
+            "whole_item": np.array([names[n] for _, _, n in whole], np.int64),
+        }
+
+
+def packed(items: list[tuple[str, str]], window: int) -> dict:
+    """The automaton of some items, and the runs of words that stretches worth streaming share with them."""
+    raw = [(t or "").encode() for _, t in items]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    w = words(np.frombuffer(b"".join(raw), np.uint8), off, NOT_ALNUM, lower=True)
+    tokens = w.hash.tolist()
+    parts = [(items[k][0], tokens[w.first[k] : w.first[k + 1]]) for k in range(len(items))]
+    seed = min([_SEED, *[min(len(p), window) for _, p in parts if p]])
+    names = {n: i for i, n in enumerate(dict.fromkeys(n for n, _ in items))}
+    grams = rolling(w.hash, seed)
+    found = SuffixAutomaton(parts, window).arrays(names) | {"grams": np.unique(grams[whole_windows(w.first, seed)[: len(grams)]])}
+    return {"seed": seed, "names": list(names), **{c: found[c].astype(t).tobytes() for c, t in _ARRAYS.items()}}
+
+
+class Matcher:
+    """A packed part, ready to scan batches of documents."""
+
+    def __init__(self, part: dict, window: int):
+        self.window, self.seed, self.names = window, part["seed"], part["names"]
+        self.at = {c: np.frombuffer(part[c], t) for c, t in _ARRAYS.items()}
+        self.grams = self.at["grams"]
+        self.quick = np.zeros(1 << 20, bool)
+        self.quick[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def _follow(self, state: int, w: np.uint64) -> int:
+        """The state after one more word, or -1."""
+        a, b = self.at["first"][state], self.at["first"][state + 1]
+        k = a + np.searchsorted(self.at["word"][a:b], w)
+        return int(self.at["to"][k]) if k < b and self.at["word"][k] == w else -1
+
+    def _owners(self, state: int) -> set[str]:
+        link, length = self.at["link"], self.at["length"]
+        while length[link[state]] >= self.window:
+            state = link[state]
+        k = np.searchsorted(self.at["own_state"], state)
+        return {self.names[i] for i in self.at["own_item"][self.at["own_first"][k] : self.at["own_first"][k + 1]]}
+
+    def stream(self, tokens: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(last word, longest match, items) wherever a window or a whole short item ends."""
-        nxt, link, length, window, whole = self.next, self.link, self.length, self.window, self.whole
+        link, length, whole = self.at["link"], self.at["length"], self.at["whole_state"]
         state = run = 0
         for i, w in enumerate(tokens):
-            while state and w not in nxt[state]:
-                state = link[state]
-                run = length[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
-                run += 1
-            else:
+            to = self._follow(state, w)
+            while to < 0 and state:
+                state = int(link[state])
+                run = int(length[state])
+                to = self._follow(state, w)
+            if to < 0:
                 run = 0
                 continue
-            if run >= window:
-                yield i, run, self.owners[self._at(state, window)]
-            if whole:
-                p = state
-                while p > 0:
-                    for k, name in whole.get(p, ()):
-                        if k <= run:
-                            yield i, k, {name}
-                    p = link[p]
-
-
-class Matcher:
-    """A block of items, ready to scan batches of documents."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        raw = [(t or "").encode() for _, t in items]
-        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        w = words(np.frombuffer(b"".join(raw), np.uint8), off, NOT_ALNUM, lower=True)
-        tokens = w.hash.tolist()
-        parts = [(items[k][0], tokens[w.first[k] : w.first[k + 1]]) for k in range(len(items))]
-        sizes = [min(len(p), window) for _, p in parts if p]
-        self.seed = min([_SEED, *sizes])
-        self.automaton = SuffixAutomaton(parts, window)
-        grams = rolling(w.hash, self.seed)
-        self.grams = np.unique(grams[whole_windows(w.first, self.seed)[: len(grams)]])
-        self.quick = np.zeros(1 << 22, bool)
-        self.quick[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            state, run = to, run + 1
+            if run >= self.window:
+                yield i, run, self._owners(state)
+            p = state
+            while len(whole) and p > 0:
+                a, b = np.searchsorted(whole, [p, p + 1])
+                for k in range(a, b):
+                    if self.at["whole_words"][k] <= run:
+                        yield i, int(self.at["whole_words"][k]), {self.names[self.at["whole_item"][k]]}
+                p = int(link[p])
 
     def hits(self, w: Words) -> Iterator[tuple[int, int, int, set[str]]]:
         """(document, first word, end, items) of each occurrence, words counted over all documents."""
         g = rolling(w.hash, self.seed)
-        at = np.flatnonzero(self.quick[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        at = np.flatnonzero(self.quick[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if not len(at) or not len(self.grams):
             return
         k = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
@@ -143,31 +187,38 @@ class Matcher:
         new = np.flatnonzero((np.diff(at) > 1) | (np.diff(doc) > 0)) + 1
         for a, b in zip([0, *new.tolist()], [*new.tolist(), len(at)]):
             lo, hi = int(at[a]), int(at[b - 1]) + self.seed
-            for i, run, items in self.automaton.stream(w.hash[lo:hi].tolist()):
-                yield int(doc[a]), lo + i + 1 - min(run, self.automaton.window), lo + i + 1, items
+            for i, run, items in self.stream(w.hash[lo:hi]):
+                yield int(doc[a]), lo + i + 1 - min(run, self.window), lo + i + 1, items
 
 
 class _Blocks:
-    """The items in blocks that fit a broadcast, each fetched when it is asked for."""
+    """The packed parts in blocks that fit a broadcast, each fetched when it is asked for."""
 
-    def __init__(self, items: DataFrame, n: int):
-        self.items, self.n = items, n
+    def __init__(self, parts: DataFrame, n_parts: int, n: int):
+        self.parts, self.n_parts, self.n = parts, n_parts, n
 
     def __len__(self) -> int:
         return self.n
 
-    def __getitem__(self, k: int) -> list[tuple[str, str]]:
+    def __getitem__(self, k: int) -> list[dict]:
         if k >= self.n:
             raise IndexError(k)
-        mine = self.items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k) if self.n > 1 else self.items
-        return [(r[0] or "", r[1] or "") for r in mine.collect()]
+        return [r.asDict() for r in self.parts.where(F.col("part") % self.n == k).collect()]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> _Blocks:
-    """The bound is checked before a block is fetched."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> _Blocks:
+    """The bounds are checked before anything is built or fetched."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    return _Blocks(items, int(total // (block_bytes // 2) + 1))
+    n = int(total // block_bytes + 1)
+    n_parts = n * int(-(-total // (n * min(PART_BYTES, block_bytes))) or 1)
+
+    def build(rows: pa.Table) -> pa.Table:
+        made = packed([(i or "", t) for i, t in zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())], window)
+        return pa.table({"part": rows.column("part")[:1], **{c: pa.array([v]) for c, v in made.items()}})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)).cast("int"))
+    return _Blocks(written(dealt.groupBy("part").applyInArrow(build, _PACKED), "automata"), n_parts, n)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -175,7 +226,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
 
     Spans are merged word ranges that items' windows cover, the end exclusive.
     """
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, window, block_bytes)
     if len(blocks) == 1:
         return _scan(docs, {"doc_id": F.col("doc_id").cast("long")}, blocks[0], window, False)
     rows = _scan(docs, {"doc_id": F.col("doc_id").cast("long"), **_keys()}, [], window, False).drop("spans", "item_ids")
@@ -197,7 +248,7 @@ def _keys() -> dict[str, Column]:
     return {"key": F.sha2(F.col("text").cast("binary"), 256), "short": F.xxhash64("text")}
 
 
-def _scan(docs: DataFrame, own: dict[str, Column], block: list[tuple[str, str]], window: int, only_hits: bool) -> DataFrame:
+def _scan(docs: DataFrame, own: dict[str, Column], block: list[dict], window: int, only_hits: bool) -> DataFrame:
     """The columns ``own``, n_words, and one block's spans and item_ids; of all rows, or of those with hits."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
     docs = small_batches(docs).select("text", *[c.alias(k) for k, c in own.items()])
@@ -205,26 +256,21 @@ def _scan(docs: DataFrame, own: dict[str, Column], block: list[tuple[str, str]],
     names = list(own)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, window)
+        matchers = [Matcher(part, window) for part in sent.value]
         for batch in batches:
             for rows, data, off in chunks(batch, "text"):
                 w = words(data, off, NOT_ALNUM, lower=True)
                 spans: dict[int, list[list[int]]] = {}
                 found: dict[int, set[str]] = {}
-                for d, a, b, items in matcher.hits(w):
-                    mine = spans.setdefault(d, [])
-                    a, b = a - int(w.first[d]), b - int(w.first[d])
+                for d, a, b, items in (h for m in matchers for h in m.hits(w)):
+                    spans.setdefault(d, []).append((a - int(w.first[d]), b - int(w.first[d])))
                     found.setdefault(d, set()).update(items)
-                    while mine and mine[-1][1] >= a:
-                        last = mine.pop()
-                        a, b = min(a, last[0]), max(b, last[1])
-                    mine.append([a, b])
                 n = rows.num_rows
                 out = pa.RecordBatch.from_arrays(
                     [
                         *(rows.column(c) for c in names),
                         pa.array(np.diff(w.first).astype(np.int64)),
-                        pa.array([[{"start": a, "end": b} for a, b in spans.get(k, [])] for k in range(n)], _SPANS),
+                        pa.array([[{"start": a, "end": b} for a, b in _joined(spans.get(k, []))] for k in range(n)], _SPANS),
                         pa.array([sorted(found.get(k, ())) for k in range(n)], pa.list_(pa.string())),
                     ],
                     [*names, *_FOUND[1:]],
@@ -234,6 +280,16 @@ def _scan(docs: DataFrame, own: dict[str, Column], block: list[tuple[str, str]],
     return docs.mapInArrow(scan, ", ".join([*types, f"n_words long, spans {_SPAN_TYPE}, item_ids array<string>"]))
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, those that meet joined into one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans)):
+        if out and out[-1][1] >= a:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
+
+
 def _hits(docs: DataFrame, blocks: _Blocks, window: int) -> DataFrame:
     """Per distinct text with hits: key, short (a 64-bit hash), spans and item_ids of all blocks.
 
@@ -311,17 +367,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     spark = small_batches(docs).sparkSession
     text = docs.schema.fieldNames().index("text")
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, window, block_bytes)
     if len(blocks) == 1:
         sent = spark.sparkContext.broadcast(blocks[0])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, window)
+            matchers = [Matcher(part, window) for part in sent.value]
             for batch in batches:
                 for rows, data, off in chunks(batch, "text"):
                     w = words(data, off, NOT_ALNUM, lower=True)
                     hit: dict[int, list[tuple[int, int]]] = {}
-                    for d, a, b, _ in matcher.hits(w):
+                    for d, a, b, _ in (h for m in matchers for h in m.hits(w)):
                         hit.setdefault(d, []).append((a, b))
                     yield _cut(text, rows.schema.field("text"), max_coverage, rows, data, off, w, hit)
 

@@ -70,3 +70,22 @@ def test_cleaned_texts_with_several_blocks(spark, docs_of):
     one = read(D.BLOCK_BYTES)
     assert read(200) == one
     assert [r[1].split()[0] for r in one if r[0] == 2] == ["."]
+
+
+def test_packed_parts_stay_small(monkeypatch):
+    random.seed(3)
+    text = lambda n: " ".join(f"v{random.randrange(5000)}" for _ in range(n))
+    items = [(str(i), text(200)) for i in range(300)]
+    part = D.packed(items, 10)
+    assert sum(len(part[c]) for c in D._ARRAYS) < 12 * sum(len(t) for _, t in items)
+
+
+@pytest.mark.parametrize("part", [100, 1000])
+def test_parts_change_nothing(spark, docs_of, monkeypatch, part):
+    random.seed(4)
+    make = lambda n: " ".join(random.choice("abcd") for _ in range(n))
+    items = [(i, make(random.choice([2, 7, 12, 20]))) for i in range(30)]
+    rows = [(i, make(random.randint(0, 40))) for i in range(30)]
+    monkeypatch.setattr(D, "PART_BYTES", part)
+    got = sorted((tuple(r) for r in D.digest(D.overlaps(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"))).collect()), key=repr)
+    assert got == brute(rows, items)
