@@ -466,15 +466,19 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
     members = written(members.select("doc", F.coalesce("rep", "doc").alias("rep"), "n", "d1", "bits"), "members")
 
     blocks = found.where("d1 is null and d2 is not null").select(F.col("a").alias("doc"), F.col("d2").alias("block"), F.col("b").alias("leads")).distinct()
-    near = _sketched(blocks.join(members, "doc").select("block", F.col("rep").alias("doc"), "leads", "n", "bits").dropDuplicates(["block", "doc", "leads"]), percent)
+    # copies give way to their member, and a block holds a member once, before sketches join in
+    own = members.where("doc <> rep").select("doc", "rep").distinct()
+    blocks = blocks.join(own, "doc", "left").select("block", F.coalesce("rep", "doc").alias("doc"), "leads").distinct()
+    sketches = members.where("doc = rep").select("doc", "n", "bits")
+    near = _sketched(blocks.join(sketches, "doc"), percent)
     edges = found.where("d1 is null and d2 is null").select("a", "b").union(written(near, "near"))
     clusters = connected(edges.union(members.where("doc <> rep").select("doc", "rep")))
     labels = clusters.union(clusters.select(F.col("label"), F.col("label")).distinct()).toDF("doc", "cluster")
-    reps = members.where("doc = rep").select("doc", "n", "d1").distinct().join(labels, "doc")
+    reps = written(members.where("doc = rep").select("doc", "n", "d1").distinct().join(labels, "doc"), "reps")
     sizes = reps.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("size > 1")
     n_chunks = F.ceil(F.greatest(F.col("size") / chunk, F.col("words") / WORDS)).cast("int")
     sizes = sizes.select("cluster", "size", n_chunks.alias("chunks"), F.col("size").alias("times"))
-    sets = written(_sets(docs, written(looked_up(reps, sizes, ["cluster"], "times"), "reps"), n), "sets")
+    sets = written(_sets(docs, written(looked_up(reps, sizes, ["cluster"], "times"), "clustered"), n), "sets")
 
     shared = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("size") / COMMON)) == 0)
     where = F.when(shared, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")))
@@ -482,12 +486,13 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
     links_ = written(dealt.select("cluster", "chunk", "doc", "shingles").groupBy("cluster", "chunk").applyInArrow(_linked(percent), "a long, b long"), "links")
     one = members.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # rows of one doc_id with unequal texts
     one = members.join(one.select("doc", "a"), "doc").select("rep", "a").where("rep > a").distinct()
-    joined = links_.union(written(one, "links"))
-    whole = not sets.where("chunks > 1").limit(1).count()
-    if not whole:
-        roots = connected(joined)
-        joined = roots.toDF("a", "b").union(written(_across(sets.where("chunks > 1"), roots, percent, chunk), "links"))
-    joined = connected(joined).toDF("rep", "component_id")
+    one = written(one, "links")
+    joined = links_.toDF("rep", "component_id")
+    whole, single = (not x.limit(1).count() for x in (sets.where("chunks > 1"), one))
+    if not (whole and single):
+        roots = connected(links_.union(one))
+        more = written(_across(sets.where("chunks > 1"), roots, percent, chunk), "links") if not whole else one.limit(0)
+        joined = (connected(roots.toDF("a", "b").union(more)) if more.limit(1).count() else roots).toDF("rep", "component_id")
     times = members.groupBy("rep").agg(F.count(F.lit(1)).alias("times"))
     labelled = looked_up(members.select("doc", "rep", "n"), written(joined.join(times, "rep"), "labels"), ["rep"], "times", "left")
     out = labelled.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -103,13 +103,11 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: s
     """The rows joined (inner or left) with a table of distinct keys, whose column ``n`` has the number
     of rows of each; no key of the rows is null.
 
-    Keys with over a thousandth of those rows, so under a thousand keys, are broadcast and their rows
-    stay in place; the others are shuffled, and none of them fills a task. ``n`` is left out.
+    The thousand keys with most rows are broadcast, and their rows stay in place. Each other key has
+    under a thousandth of the rows: those are shuffled, and no key fills a task. ``n`` is left out.
     """
-    total = int(table.agg(F.sum(n)).first()[0] or 0)
-    hot = F.broadcast(table.where(F.col(n) * HOT > total).drop(n))
-    cold = table.where(F.col(n) * HOT <= total).drop(n)
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
+    hot = F.broadcast(table.orderBy(F.desc(n), *keys).limit(HOT).drop(n))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.drop(n), keys, how)
     return rows.join(hot, keys).unionByName(rest)
 
 
