@@ -467,9 +467,9 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
 
     blocks = found.where("d1 is null and d2 is not null").select(F.col("a").alias("doc"), F.col("d2").alias("block"), F.col("b").alias("leads")).distinct()
     # copies give way to their member, and a block holds a member once, before sketches join in
-    own = members.where("doc <> rep").select("doc", "rep").distinct()
-    blocks = blocks.join(own, "doc", "left").select("block", F.coalesce("rep", "doc").alias("doc"), "leads").distinct()
-    sketches = members.where("doc = rep").select("doc", "n", "bits")
+    own = members.select("doc", "rep").distinct()
+    blocks = blocks.join(own, "doc").select("block", F.col("rep").alias("doc"), "leads").distinct()
+    sketches = members.where("doc = rep").select("doc", "n", "bits").distinct()
     near = _sketched(blocks.join(sketches, "doc"), percent)
     edges = found.where("d1 is null and d2 is null").select("a", "b").union(written(near, "near"))
     clusters = connected(edges.union(members.where("doc <> rep").select("doc", "rep")))

@@ -96,6 +96,13 @@ def test_repeated_null_and_no_rows(spark, docs_of, empty_docs):
     assert N.components(empty_docs).count() == N.deduplicated(empty_docs).count() == 0
 
 
+def test_rows_of_one_doc_id_with_unequal_texts(spark, docs_of):
+    text = lambda c, k: " ".join(f"{c}{j}" for j in range(60)) + f" end{k}"
+    rows = [(7, text("a", 0)), (3, text("a", 0)), (7, text("b", 0)), (9, text("b", 1)), (7, text("c", 0)), (8, text("c", 2)), (20, text("d", 0)), (7, None), (1, "x")] * 2
+    got = {(r.doc_id, r.component_id) for r in N.components(docs_of(rows)).collect() if r.n_shingles}
+    assert got == {(7, 3), (3, 3), (9, 3), (8, 3), (20, 20), (1, 1)}
+
+
 def test_partners_share_a_part():
     rng = np.random.default_rng(3)
     for percent in (70, 80, 90):
