@@ -18,7 +18,7 @@ def elasticities(table: DataFrame | None, residual: str = "x_s") -> dict[str, fl
     """
     if table is None:
         return dict(ELASTICITIES)
-    found = {r["term"]: float(r["coef"]) for r in table.where("eq = 'frontier'").select("term", "coef").limit(1000).collect()}
+    found = {r["term"]: float(r["coef"]) for r in table.where("eq = 'frontier'").select("term", "coef").collect()}
     out = {k: found[k] for k in ELASTICITIES if k in found and k != residual}
     return out | {residual: 1.0 - sum(out.values())}
 

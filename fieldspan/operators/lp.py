@@ -7,13 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 _EPS = 1e-9
+MOST_PIVOTS = 5000
+POINTS = 200  #: programmes of a task, and points of a first hull
 
 
 def solve(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray | None = None, b_eq: np.ndarray | None = None) -> tuple[float, np.ndarray, float]:
     """max c'z with a_ub z <= b_ub, a_eq z = b_eq, z >= 0: (value, z, certificate).
 
     The certificate is the larger of the duality gap and the dual's violation, relative. NaN values
-    mean infeasible; infinity, unbounded. Rows are scaled by their right-hand sides.
+    mean infeasible, or that ``MOST_PIVOTS`` didn't reach an optimum; infinity, unbounded. Rows are
+    scaled by their right-hand sides.
     """
     n, m1 = len(c), len(b_ub)
     m2 = 0 if b_eq is None else len(b_eq)
@@ -33,7 +36,7 @@ def solve(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray |
     if needs.any():
         cost = np.zeros(t.shape[1])
         cost[real + np.flatnonzero(needs)] = -1.0
-        if not _pivot(t, basis, cost, real) or cost[basis] @ t[:, -1] < -1e-8:
+        if _pivot(t, basis, cost, real) != "optimal" or cost[basis] @ t[:, -1] < -1e-8:
             return np.nan, np.full(n, np.nan), np.nan
         for r in np.flatnonzero(basis >= real):  # artificials at zero leave if they can
             at = np.flatnonzero(np.abs(t[r, :real]) > 1e-7)
@@ -41,8 +44,9 @@ def solve(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray |
                 _step(t, basis, r, int(at[0]))
     cost = np.zeros(t.shape[1])
     cost[:n] = c
-    if not _pivot(t, basis, cost, real):
-        return np.inf, np.full(n, np.nan), np.nan
+    ended = _pivot(t, basis, cost, real)
+    if ended != "optimal":
+        return np.inf if ended == "unbounded" else np.nan, np.full(n, np.nan), np.nan
     z = np.zeros(t.shape[1])
     z[basis] = t[:, -1]
     value = float(c @ z[:n])
@@ -60,30 +64,30 @@ def _step(t: np.ndarray, basis: np.ndarray, r: int, k: int) -> None:
     basis[r] = k
 
 
-def _pivot(t: np.ndarray, basis: np.ndarray, cost: np.ndarray, real: int, most: int = 5000) -> bool:
-    """Largest gain first; after stalled steps the first gain, which can't cycle."""
+def _pivot(t: np.ndarray, basis: np.ndarray, cost: np.ndarray, real: int) -> str:
+    """Largest gain first; after stalled steps the first gain, which can't cycle. How it ended."""
     stalled, before = 0, -np.inf
-    for _ in range(most):
+    for _ in range(MOST_PIVOTS):
         gain = cost[:real] - cost[basis] @ t[:, :real]
         gain[basis[basis < real]] = 0.0
         if stalled > 20:
             better = np.flatnonzero(gain > _EPS)
             if not len(better):
-                return True
+                return "optimal"
             k = int(better[0])
         else:
             k = int(np.argmax(gain))
             if gain[k] <= _EPS * max(1.0, np.abs(cost).max()):
-                return True
+                return "optimal"
         up = t[:, k] > 1e-11
         if not up.any():
-            return False
+            return "unbounded"
         ratio = np.where(up, t[:, -1] / np.where(up, t[:, k], 1.0), np.inf)
         ties = np.flatnonzero(ratio <= ratio.min() + 1e-14)
         _step(t, basis, int(ties[np.argmin(basis[ties])]), k)
         now = float(cost[basis] @ t[:, -1])
         stalled, before = (stalled + 1, before) if now <= before + 1e-13 else (0, now)
-    return True
+    return "stopped"
 
 
 def frontier_value(x0: np.ndarray, x: np.ndarray, y: np.ndarray, w0: np.ndarray | None = None, w: np.ndarray | None = None) -> tuple[float, float]:
@@ -110,22 +114,27 @@ def isoquant(target: float, grid: np.ndarray, held: np.ndarray, x1: np.ndarray,
 def informative_range(target: float, held: np.ndarray, x1: np.ndarray, x2: np.ndarray, others: np.ndarray, y: np.ndarray, steps: int = 40, probes: int = 60, flat: float = 1e-3) -> tuple[float, float]:
     """First inputs between which the isoquant falls: the least feasible one, and where it turns flat.
 
-    The left end by halving on a log scale; the right one by probes up to the largest input seen.
+    The left end by halving on a log scale from half the least input seen; the right one is the first
+    of the probes up to the largest input that needs no more than ``flat`` above the least second
+    input, and at least 1.05 times the left end.
     """
     value = lambda g: isoquant(target, np.array([g]), held, x1, x2, others, y)[0]
     top = float(x1.max())
     if np.isnan(value(top)):
         return np.nan, np.nan
-    low, high = float(x1.min()) * 1e-3, top
+    low, high = float(x1.min()) * 0.5, top
     for _ in range(steps):
-        mid = float(np.sqrt(low * high))
+        mid = float(np.sqrt(low * high)) if low > 0 else high / 2
         low, high = (low, mid) if not np.isnan(value(mid)) else (mid, high)
-        if high / low < 1 + 1e-6:
+        if high / max(low, 1e-12) < 1.001:
             break
     grid = np.geomspace(high, top, probes)
     v = np.array(isoquant(target, grid, held, x1, x2, others, y))
-    falling = np.flatnonzero(v > v[-1] * (1 + flat))
-    return high, float(grid[min(falling[-1] + 1, probes - 1)]) if len(falling) else high
+    ok = np.isfinite(v)
+    if ok.sum() < 2:
+        return high, top
+    level = np.flatnonzero(ok & (v <= v[ok].min() * (1 + flat) + 1e-12))
+    return high, max(float(grid[level[0]]), 1.05 * high)
 
 
 def is_vertex(points: np.ndarray, j: int) -> bool:
@@ -141,16 +150,48 @@ def is_vertex(points: np.ndarray, j: int) -> bool:
     return bool(np.isnan(value))
 
 
-def hull_vertices(frame: DataFrame, by: str, unit: str, columns: list[str], parts: int = 8) -> DataFrame:
-    """by, unit of the vertices of each group's convex hull with the origin; a programme per point, dealt over tasks.
+def _parts(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """by, parts: how many parts of about ``size`` rows each group takes."""
+    return rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
 
-    Exact where weak disposability forbids pruning by dominance.
+
+def hull_pruned(frame: DataFrame, by: str, columns: list[str], rounds: int = 2, size: int = POINTS) -> DataFrame:
+    """The rows without points that the others of a random part of their group span with the origin.
+
+    A vertex of the whole is a vertex of its part, so no vertex goes; each round parts anew what is left.
+    """
+    order = frame.columns
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(columns).reset_index(drop=True)
+        points = rows[columns].to_numpy(float)
+        return rows.loc[[is_vertex(points, j) for j in range(len(points))], order]
+
+    kept, parts = frame, _parts(frame, by, size)
+    for k in range(rounds):
+        part = F.pmod(F.xxhash64(*columns, F.lit(k)), F.ceil(F.col("parts") / 4**k))  # later rounds see fewer points
+        kept = kept.join(parts, by).withColumn("part", part).groupBy(by, "part").applyInPandas(run, frame.schema)
+    return kept
+
+
+def _met(asked: DataFrame, reference: DataFrame, by: str, key: list[str], parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points dealt over the parts of their group, and the reference once for each part."""
+    reference = reference.select(*[F.col(c).alias(c) for c in reference.columns])
+    spread = asked.join(parts, by).withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int")).drop("parts")
+    return spread, reference.join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def hull_vertices(frame: DataFrame, by: str, unit: str, columns: list[str]) -> DataFrame:
+    """by, unit of the vertices of each group's convex hull with the origin.
+
+    Parts of a group prune first; then a programme for each point that is left, against all that are
+    left. Exact where weak disposability forbids pruning by dominance; of equal points one is a vertex.
     """
-    asked = frame.select(by, unit).withColumn("part", F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int"))
-    every = frame.select(*[F.col(c).alias(c) for c in (by, unit, *columns)]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left_over = hull_pruned(frame.select(by, unit, *columns), by, columns)
+    asked, every = _met(left_over, left_over, by, [unit], _parts(frame, by, POINTS))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(unit).reset_index(drop=True)
+        right = right.sort_values([*columns, unit]).reset_index(drop=True)
         at = {u: i for i, u in enumerate(right[unit])}
         points = right[columns].to_numpy(float)
         return left.loc[[is_vertex(points, at[u]) for u in left[unit]], [by, unit]] if len(left) else left[[by, unit]]
@@ -158,15 +199,14 @@ def hull_vertices(frame: DataFrame, by: str, unit: str, columns: list[str], part
     return asked.groupBy(by, "part").cogroup(every.groupBy(by, "part")).applyInPandas(run, f"{by} int, {unit} int")
 
 
-def values(points: DataFrame, reference: DataFrame, inputs: list[str], y: str, weather: list[str] | None = None, parts: int = 8) -> DataFrame:
+def values(points: DataFrame, reference: DataFrame, inputs: list[str], y: str, weather: list[str] | None = None) -> DataFrame:
     """t, unit, tag, f, proof: the frontier of reference rows (t, ...) at points (t, unit, tag, ...).
 
-    Points of one technology are dealt over ``parts`` tasks; each gets the reference, which a caller
-    prunes to its skyline first where inputs are freely disposable.
+    Points of one technology are dealt over tasks by their number; each gets the reference, which a
+    caller prunes first: to its skyline, or by ``hull_pruned`` where weather must be met exactly.
     """
     weather = weather or []
-    spread = points.withColumn("part", F.pmod(F.xxhash64("unit", "tag"), F.lit(parts)).cast("int"))
-    ref = reference.select(*[F.col(c).alias(c) for c in ("t", *inputs, *weather, y)]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked, ref = _met(points, reference.select("t", *inputs, *weather, y), "t", ["unit", "tag"], _parts(points, "t", POINTS))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, out = right[inputs].to_numpy(float), right[y].to_numpy(float)
@@ -177,17 +217,23 @@ def values(points: DataFrame, reference: DataFrame, inputs: list[str], y: str, w
             found.append(frontier_value(np.array([p[c] for c in inputs], float), x, out, w0, w) if len(out) else (np.nan, np.nan))
         return pd.DataFrame({"t": left["t"], "unit": left["unit"], "tag": left["tag"], "f": [f for f, _ in found], "proof": [p for _, p in found]})
 
-    got = spread.groupBy("t", "part").cogroup(ref.groupBy("t", "part")).applyInPandas(run, "t int, unit int, tag string, f double, proof double")
+    got = asked.groupBy("t", "part").cogroup(ref.groupBy("t", "part")).applyInPandas(run, "t int, unit int, tag string, f double, proof double")
     return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("f", "proof")})
 
 
+def sequential(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """t and the columns of a reference of all years up to t, each year pruned before it is copied on."""
+    years = frame.select(F.col("year").cast("int").alias("t")).distinct()
+    own = hull_pruned(frame.select("year", *columns), "year", columns)
+    return hull_pruned(years.join(own, F.col("year") <= F.col("t")).select("t", *columns), "t", columns)
+
+
 def decomposed(frame: DataFrame) -> DataFrame:
     """Growth of y/x by technology, weather, input and efficiency, from (unit, year, y, x, w1, w2).
 
     Eight frontier values per unit and pair of years; where some are infeasible the row names them.
     """
-    years = frame.select("year").distinct().withColumnRenamed("year", "t")
-    ref = years.join(frame, F.col("year") <= F.col("t")).select("t", "x", "w1", "w2", "y")
+    ref = sequential(frame, ["x", "w1", "w2", "y"])
     old = frame.select("unit", (F.col("year") + 1).alias("year"), *[F.col(c).alias(f"{c}0") for c in ("y", "x", "w1", "w2")])
     pair = frame.join(old, ["unit", "year"])
     corners = [("A", 0, "", ""), ("B", 0, "", "0"), ("C", 0, "0", ""), ("D", 0, "0", "0"), ("E", 1, "", ""), ("F", 1, "", "0"), ("G", 1, "0", ""), ("H", 1, "0", "0")]

@@ -93,6 +93,12 @@ def weather_frame(spark, d):
     )
 
 
+def own_year(w):
+    """Each year's units as a technology, without those that the others span."""
+    cols = ["x", "w1", "w2", "y"]
+    return lp.hull_pruned(w.select(F.col("year").alias("t"), *cols), "t", cols)
+
+
 @query("f11_hull_prune")
 def f11(spark, d):
     """Units that span each year's technology when weather must be met exactly."""
@@ -104,7 +110,7 @@ def f12(spark, d):
     """Values with both weather columns as equalities, on own-year and on last year's technology."""
     w = weather_frame(spark, d)
     asked = w.select(F.col("year").alias("t"), "unit", F.lit("own").alias("tag"), "x", "w1", "w2").unionByName(w.where("year > 1995").select((F.col("year") - 1).alias("t"), "unit", F.lit("last").alias("tag"), "x", "w1", "w2"))
-    return lp.values(asked, w.select(F.col("year").alias("t"), "x", "w1", "w2", "y"), ["x"], "y", ["w1", "w2"])
+    return lp.values(asked, own_year(w), ["x"], "y", ["w1", "w2"])
 
 
 @query("f13_cps_decomposition")
@@ -125,13 +131,13 @@ def f15(spark, d):
 
 @query("f22_programme_surface")
 def f22(spark, d):
-    """f(x, w) on a grid of five by four; NULL where no mix of units meets the weather."""
-    w = weather_frame(spark, d).where("year = 1998")
-    q = w.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in (0.1, 0.3, 0.5, 0.7, 0.9)])).alias(c) for c in ("x", "w1")], F.median("w2").alias("w2"))
-    pts = q.select(F.posexplode("x").alias("i", "x"), "w1", "w2").select("i", "x", F.posexplode("w1").alias("j", "w1"), "w2")
-    asked = pts.select(F.lit(1998).alias("t"), F.col("i").cast("int").alias("unit"), F.col("j").cast("string").alias("tag"), "x", "w1", "w2")
-    got = lp.values(asked, w.select(F.lit(1998).alias("t"), "x", "w1", "w2", "y"), ["x"], "y", ["w1", "w2"])
-    return got.join(asked.select("unit", "tag", "x", "w1"), ["unit", "tag"]).select("x", "w1", "f", "proof")
+    """f(x, w) on a grid of five by five a year; NULL where no mix of units meets the weather."""
+    w = weather_frame(spark, d)
+    q = w.groupBy(F.col("year").alias("t")).agg(*[F.percentile(c, F.array(*[F.lit(p) for p in (0.1, 0.3, 0.5, 0.7, 0.9)])).alias(c) for c in ("x", "w1")], F.median("w2").alias("w2"))
+    pts = q.select("t", F.posexplode("x").alias("i", "x"), "w1", "w2").select("t", "i", "x", F.posexplode("w1").alias("j", "w1"), "w2")
+    asked = pts.select("t", F.col("i").cast("int").alias("unit"), F.col("j").cast("string").alias("tag"), "x", "w1", "w2")
+    got = lp.values(asked, own_year(w), ["x"], "y", ["w1", "w2"])
+    return got.join(asked.select("t", "unit", "tag", "x", "w1"), ["t", "unit", "tag"]).select(F.col("t").alias("year"), "x", "w1", "f", "proof")
 
 
 @query("e11_convergence_regression")
@@ -139,7 +145,7 @@ def e11(spark, d):
     r = rows(spark, d)
     level = r.select("unit", (F.col("year") + 1).alias("year"), I.solow().alias("level"))
     g = growth(spark, d).join(level, ["unit", "year"])
-    years = [x[0] for x in g.select("year").distinct().orderBy("year").limit(200).collect()]
+    years = [x[0] for x in g.select("year").distinct().orderBy("year").collect()]
     fit = R.convergence(g, years) if years else {"slope": math.nan, "se": math.nan, "n": 0, "units": 0}
     return spark.createDataFrame([tuple(fit.values())], "slope double, se double, n long, units long")
 
