@@ -39,8 +39,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _led(edges: DataFrame, by: list) -> DataFrame:
-    """The edges with m, an aggregate over the edges of their a; a hub's edges stay in place."""
-    return looked_up(edges, edges.groupBy("a").agg(*by, F.count(F.lit(1)).alias("n")), ["a"], "n")
+    """The edges with m, an aggregate over the edges of their a; a hub's edges are split over tasks."""
+    return looked_up(edges, written(edges.groupBy("a").agg(*by), "least"), ["a"])
 
 
 def _round(edges: DataFrame) -> DataFrame:

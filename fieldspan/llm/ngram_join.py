@@ -461,8 +461,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
     found = written(_candidates(small_batches(docs), n, percent), "candidates")
     facts = found.where("d1 is not null").select(F.col("a").alias("doc"), F.col("b").alias("n"), "d1", "d2", F.col("keys").alias("bits"))
     able = facts.where("n > 0 and doc is not null")
-    copied = written(able.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1"), "copied")
-    members = looked_up(able, copied, ["n", "d1", "d2"], "times", "left")
+    copied = written(able.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "copied")
+    members = looked_up(able, copied, ["n", "d1", "d2"], "left")
     members = written(members.select("doc", F.coalesce("rep", "doc").alias("rep"), "n", "d1", "bits"), "members")
 
     blocks = found.where("d1 is null and d2 is not null").select(F.col("a").alias("doc"), F.col("d2").alias("block"), F.col("b").alias("leads")).distinct()
@@ -477,8 +477,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
     reps = written(members.where("doc = rep").select("doc", "n", "d1").distinct().join(labels, "doc"), "reps")
     sizes = reps.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("size > 1")
     n_chunks = F.ceil(F.greatest(F.col("size") / chunk, F.col("words") / WORDS)).cast("int")
-    sizes = sizes.select("cluster", "size", n_chunks.alias("chunks"), F.col("size").alias("times"))
-    sets = written(_sets(docs, written(looked_up(reps, sizes, ["cluster"], "times"), "clustered"), n), "sets")
+    sizes = written(sizes.select("cluster", "size", n_chunks.alias("chunks")), "sizes")
+    sets = written(_sets(docs, written(looked_up(reps, sizes, ["cluster"]), "clustered"), n), "sets")
 
     shared = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("size") / COMMON)) == 0)
     where = F.when(shared, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")))
@@ -493,8 +493,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
         roots = connected(links_.union(one))
         more = written(_across(sets.where("chunks > 1"), roots, percent, chunk), "links") if not whole else one.limit(0)
         joined = (connected(roots.toDF("a", "b").union(more)) if more.limit(1).count() else roots).toDF("rep", "component_id")
-    times = members.groupBy("rep").agg(F.count(F.lit(1)).alias("times"))
-    labelled = looked_up(members.select("doc", "rep", "n"), written(joined.join(times, "rep"), "labels"), ["rep"], "times", "left")
+    labelled = looked_up(members.select("doc", "rep", "n"), joined, ["rep"], "left")
     out = labelled.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
     rest = facts.where("n = 0 or doc is null").select("doc", "n", "doc")
     return out.union(rest)
@@ -509,14 +508,14 @@ def _across(sets: DataFrame, roots: DataFrame, percent: int, chunk: int) -> Data
     counts = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("words"))
     counts = counts.withColumn("parts", F.greatest(F.col("times") / chunk, F.col("words") / WORDS))
     small = counts.where("parts < 0.25").groupBy("cluster").agg(F.sum("parts").alias("pooled"))
-    plan = written(counts.join(small, "cluster", "left").select("cluster", "comp", "times", "parts", "pooled"), "plan")
+    plan = written(counts.join(small, "cluster", "left").select("cluster", "comp", "parts", "pooled"), "plan")
     own = F.col("parts") >= 0.25
     name = F.struct(
         F.when(own, F.col("comp")).alias("comp"),
         "grade",
         F.when(own, F.pmod(F.xxhash64("doc"), F.ceil("parts"))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil("pooled"))).alias("part"),
     )
-    named = looked_up(rows, plan, ["cluster", "comp"], "times").withColumn("chunk", F.xxhash64(name))
+    named = looked_up(rows, plan, ["cluster", "comp"]).withColumn("chunk", F.xxhash64(name))
     placed = written(named.select("cluster", "chunk", "doc", "comp", "n", "shingles"), "placed")
     chunks_ = placed.groupBy("cluster", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     left, right = (chunks_.toDF("cluster", *[f"{c}{k}" for c in ("c", "lo", "hi", "least", "most")]) for k in (1, 2))

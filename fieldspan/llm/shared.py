@@ -96,19 +96,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-HOT = 1000
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The rows joined (inner or left) with a table of distinct keys that has been ``written``.
 
-
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
-    """The rows joined (inner or left) with a table of distinct keys, whose column ``n`` has the number
-    of rows of each; no key of the rows is null.
-
-    The thousand keys with most rows are broadcast, and their rows stay in place. Each other key has
-    under a thousandth of the rows: those are shuffled, and no key fills a task. ``n`` is left out.
+    One key may hold most rows. Both sides of such a join are plain shuffles of stored rows, not of an
+    aggregate that needs a key's rows together, so adaptive execution splits a key's rows over tasks
+    and sends the table's part to each.
     """
-    hot = F.broadcast(table.orderBy(F.desc(n), *keys).limit(HOT).drop(n))
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.drop(n), keys, how)
-    return rows.join(hot, keys).unionByName(rest)
+    return rows.join(table, keys, how)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -289,13 +289,14 @@ def _whole(docs: DataFrame, held: DataFrame, window: int) -> DataFrame:
 
     met = lambda rows: _met(docs, rows).select("k", "doc_id", "held", "text")
     each = written(met(held).mapInArrow(contexts, "gram long, ctx long, k long, doc_id long, los array<int>, n int"), "contexts")
-    kinds = each.groupBy("gram", "ctx").agg(F.sum(F.size("los")).alias("times"), F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("k", F.col("los")[0].alias("lo"), "n")).alias("one"))
+    kinds = each.groupBy("gram", "ctx").agg(F.sum(F.size("los")).alias("times"), F.min(F.struct("k", F.col("los")[0].alias("lo"), "n")).alias("one"))
     ranges = F.transform("los", lambda lo: F.struct(lo.alias("start"), (lo + F.col("n") + window - 1).alias("end")))
-    whole = looked_up(each, kinds.where("times > 1").select("gram", "ctx", "n_rows"), ["gram", "ctx"], "n_rows").select("k", "doc_id", ranges.alias("ranges"))
+    kinds = written(kinds, "kinds")
+    whole = looked_up(each, kinds.where("times > 1").select("gram", "ctx"), ["gram", "ctx"]).select("k", "doc_id", ranges.alias("ranges"))
     ones = kinds.select("gram", "one.k", "one.lo", "one.n", (F.col("times") == 1).alias("alone"))
     rows = written(met(ones).mapInArrow(windows, "gram long, label long, alone boolean, k long, doc_id long, pos int"), "windows")
-    more = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("leaves"), F.count_if("alone").alias("n_rows")).where("leaves > 1 and n_rows > 0")
-    part = looked_up(rows.where("alone"), more.drop("leaves"), ["gram", "label"], "n_rows").select("k", "doc_id", F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))).alias("ranges"))
+    more = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("leaves"), F.bool_or("alone").alias("ask")).where("leaves > 1 and ask")
+    part = looked_up(rows.where("alone"), written(more.select("gram", "label"), "more"), ["gram", "label"]).select("k", "doc_id", F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))).alias("ranges"))
     return whole.unionByName(part)
 
 
@@ -310,10 +311,10 @@ def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
     rows = written(_anchor_rows(small_batches(docs), window), "anchors")
     often = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "often")
     few, many = often.where(F.col("times") <= group), often.where(F.col("times") > group)
-    out = _subtrees(_contexts(docs, looked_up(rows, few, ["gram"], "times"), window), window)
+    out = _subtrees(_contexts(docs, looked_up(rows, few.select("gram"), ["gram"]), window), window)
     out = out.select("k", "doc_id", F.array(F.struct("start", "end")).alias("ranges"))
     if many.limit(1).count():
-        out = out.unionByName(_whole(docs, looked_up(rows, many, ["gram"], "times"), window))
+        out = out.unionByName(_whole(docs, looked_up(rows, many.select("gram"), ["gram"]), window))
     return out
 
 

@@ -59,12 +59,11 @@ def planned(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     made = written(responses(pages), "members")
     long_enough = F.col("size") >= min_bytes
     copies = made.where(long_enough).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("times"))
-    copies = written(copies.where("times > 1"), "copies")
+    copies = written(copies.where("times > 1").drop("times"), "copies")
     short = F.when(long_enough, F.xxhash64("digest"))
     rows = marked(made.withColumn("key", short), "key", copies.select(F.xxhash64("digest").alias("key")), "copied").drop("key")
-    moved = written(rows.where("copied").drop("copied"), "copied")
     refers = F.when(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
-    found = looked_up(moved, copies, ["digest"], "times", "left").withColumn("refers_to", refers).drop("holder")
+    found = looked_up(rows.where("copied").drop("copied"), copies, ["digest"], "left").withColumn("refers_to", refers).drop("holder")
     alone = rows.where("not copied").drop("copied").withColumn("refers_to", F.lit(None).cast("long"))
     return alone.unionByName(found)
 

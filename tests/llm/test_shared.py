@@ -1,20 +1,8 @@
 import pytest
-from pyspark.sql import functions as F
 
 from fieldspan.llm import shared
 
 
-@pytest.mark.parametrize("hot", [1, 3, 1000])
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_hot_and_other_keys_meet_once(spark, monkeypatch, hot, how):
-    monkeypatch.setattr(shared, "HOT", hot)
-    rows = spark.range(500).select((F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 20)).alias("k"), F.col("id").alias("v")).repartition(4)
-    table = rows.where("k % 3 <> 1").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
-    got = sorted(tuple(r) for r in shared.looked_up(rows, table, ["k"], "n", how).select("k", "v", "top").collect())
-    want = sorted(tuple(r) for r in rows.join(table.drop("n"), "k", how).select("k", "v", "top").collect())
-    assert got == want and len(got) == (500 if how == "left" else rows.where("k % 3 <> 1").count())
-
-
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Session:
         conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
