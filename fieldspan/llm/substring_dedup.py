@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspan.llm.shared import chunks, free, looked_up, shuffle_width, small_batches, text_bytes, written
+from fieldspan.llm.shared import chunks, free, looked_up, marked, shuffle_width, small_batches, text_bytes, written
 from fieldspan.llm.wordhash import SPACE, Words, mix, rolling, whole_windows, words
 
 WINDOW = 35
@@ -172,8 +172,9 @@ _NO_DOC = np.iinfo(np.int64).min
 def _met(docs: DataFrame, held: DataFrame) -> DataFrame:
     """Documents with their anchors (array of lo, n, gram, alone) out of rows gram, k, lo, n."""
     alone = F.col("alone") if "alone" in held.columns else F.lit(False).alias("alone")
-    by_doc = held.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("lo", "n", "gram", alone))).alias("held"))
-    return _keyed(docs).join(by_doc, "k")
+    by_doc = written(held.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("lo", "n", "gram", alone))).alias("held")), "by_doc")
+    # documents without such anchors stay where they are
+    return marked(_keyed(docs), "k", by_doc.select("k"), "hit").where("hit").drop("hit").join(by_doc, "k")
 
 
 def _contexts(docs: DataFrame, held: DataFrame, window: int) -> DataFrame:
@@ -320,11 +321,12 @@ def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
 
 def _with_ranges(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """Documents, or the named columns of them, with the ranges found under their k."""
-    by_doc = found.groupBy("k").agg(F.collect_list(F.struct("doc_id", "ranges")).alias("found"))
-    if columns:
-        key, name = free("k", columns), free("found", columns)
-        return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(by_doc.toDF(key, name), key, "left").select(*columns, name)
-    return _keyed(docs).join(by_doc, "k", "left").select("doc_id", "found", "text")
+    by_doc = written(found.groupBy("k").agg(F.collect_list(F.struct("doc_id", "ranges")).alias("found")), "by_doc")
+    key, name, hit = (free(c, columns) for c in ("k", "found", "hit"))
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).select(*columns, key) if columns else _keyed(docs)
+    rows, by_doc = marked(rows, key, by_doc.select("k"), hit), by_doc.toDF(key, name)
+    out = rows.where(hit).join(by_doc, key, "left").unionByName(rows.where(~F.col(hit)).withColumn(name, F.lit(None).cast(by_doc.schema[name].dataType)))
+    return out.select(*columns, name) if columns else out.select("doc_id", name, "text")
 
 
 def _mask(found: list[dict] | None, doc: int | None, n: int) -> np.ndarray | None:
