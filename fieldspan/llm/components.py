@@ -38,18 +38,23 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[roots[own]]
 
 
-def _led(edges: DataFrame, by: list) -> DataFrame:
+def _led(edges: DataFrame, by: list, held: list[DataFrame]) -> DataFrame:
     """The edges with m, an aggregate over the edges of their a; a hub's edges are split over tasks."""
-    return looked_up(edges, written(edges.groupBy("a").agg(*by), "least"), ["a"])
+    held.append(edges.groupBy("a").agg(*by).persist())
+    return looked_up(edges, held[-1], ["a"])
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours, then each node, are led to the smallest node next to it."""
+    held: list[DataFrame] = []
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    large = _led(both, [F.least("a", F.min("b")).alias("m")]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    large = written(large.distinct(), "edges")
-    beside = _led(large, [F.min("b").alias("m")]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return beside.union(large.groupBy("a").agg(F.min("b").alias("b"))).distinct()
+    large = _led(both, [F.least("a", F.min("b")).alias("m")], held).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = large.distinct().persist()
+    beside = _led(large, [F.min("b").alias("m")], held).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written(beside.union(held[-1].select("a", F.col("m").alias("b"))).distinct(), "edges")
+    for df in (large, *held):
+        df.unpersist()
+    return out
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -67,5 +72,5 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _settled(now):
-        now = written(_round(now), "edges")
+        now = _round(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -471,14 +471,14 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
     blocks = blocks.join(own, "doc").select("block", F.col("rep").alias("doc"), "leads").distinct()
     sketches = members.where("doc = rep").select("doc", "n", "bits").distinct()
     near = _sketched(blocks.join(sketches, "doc"), percent)
-    edges = found.where("d1 is null and d2 is null").select("a", "b").union(written(near, "near"))
+    edges = found.where("d1 is null and d2 is null").select("a", "b").union(near)
     clusters = connected(edges.union(members.where("doc <> rep").select("doc", "rep")))
     labels = clusters.union(clusters.select(F.col("label"), F.col("label")).distinct()).toDF("doc", "cluster")
     reps = written(members.where("doc = rep").select("doc", "n", "d1").distinct().join(labels, "doc"), "reps")
     sizes = reps.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).where("size > 1")
     n_chunks = F.ceil(F.greatest(F.col("size") / chunk, F.col("words") / WORDS)).cast("int")
     sizes = written(sizes.select("cluster", "size", n_chunks.alias("chunks")), "sizes")
-    sets = written(_sets(docs, written(looked_up(reps, sizes, ["cluster"]), "clustered"), n), "sets")
+    sets = written(_sets(docs, looked_up(reps, sizes, ["cluster"]), n), "sets")
 
     shared = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("size") / COMMON)) == 0)
     where = F.when(shared, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")))
@@ -486,7 +486,6 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUN
     links_ = written(dealt.select("cluster", "chunk", "doc", "shingles").groupBy("cluster", "chunk").applyInArrow(_linked(percent), "a long, b long"), "links")
     one = members.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")  # rows of one doc_id with unequal texts
     one = members.join(one.select("doc", "a"), "doc").select("rep", "a").where("rep > a").distinct()
-    one = written(one, "links")
     joined = links_.toDF("rep", "component_id")
     whole, single = (not x.limit(1).count() for x in (sets.where("chunks > 1"), one))
     if not (whole and single):

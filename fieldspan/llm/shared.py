@@ -97,7 +97,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """The rows joined (inner or left) with a table of distinct keys that has been ``written``.
+    """The rows joined (inner or left) with a table of distinct keys that is stored.
 
     One key may hold most rows. Both sides of such a join are plain shuffles of stored rows, not of an
     aggregate that needs a key's rows together, so adaptive execution splits a key's rows over tasks
