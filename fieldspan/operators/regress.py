@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -72,33 +73,117 @@ def convergence(growth: DataFrame, years: list[int]) -> dict[str, float]:
     return {"slope": float(coef[0]), "se": float(math.sqrt(max(cov[0, 0], 0.0))), "n": int(row["n"]), "units": int(units)}
 
 
-def quantile_regression(df: DataFrame, y: Column, x: dict[str, Column], by: str, tau: float = 0.95, steps: int = 12, smooth: float = 1e-3) -> dict[object, dict[str, float]]:
+def absorbed(df: DataFrame, y: str, x: list[str], weight: str | None = None, unit_effects: bool = True) -> dict:
+    """Least squares of y on x with unit effects, or a constant, errors clustered by unit.
+
+    Unit effects go by (weighted) demeaning, so an unbalanced panel is exact as long as ``x`` holds all
+    else. ``coef``, ``cov``, n and units; the constant, if there is one, comes last.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select("unit", w.alias("_w"), *[F.col(c).cast("double").alias(c) for c in (y, *x)]).dropna().where("_w > 0")
+    names = list(x) if unit_effects else [*x, "const"]
+    if unit_effects:
+        mean = rows.groupBy("unit").agg(*[(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(f"_{c}") for c in (y, *x)])
+        rows = rows.join(mean, "unit").select("unit", "_w", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in (y, *x)])
+    else:
+        rows = rows.withColumn("const", F.lit(1.0))
+    root = F.sqrt("_w")
+    row = moments(rows, {c: F.col(c) * root for c in (*names, y)}).first()
+    k = len(names)
+    if row is None or not row["n"]:
+        return {"coef": {c: math.nan for c in names}, "cov": np.full((k, k), math.nan), "n": 0, "units": 0}
+    m = matrix(row, k + 1)
+    bread = np.linalg.pinv(m[:-1, :-1])
+    coef = bread @ m[:-1, -1]
+    left = F.col(y) - sum((float(c) * F.col(n) for c, n in zip(coef, names)), F.lit(0.0))
+    scores = rows.groupBy("unit").agg(*[F.sum(F.col(c) * left * F.col("_w")).alias(c) for c in names])
+    middle = moments(scores, {c: F.col(c) for c in names}).first()
+    units = int(middle["n"])
+    cov = bread @ matrix(middle, k) @ bread * units / max(units - 1, 1)
+    return {"coef": dict(zip(names, coef.tolist())), "cov": cov, "n": int(row["n"]), "units": units}
+
+
+def wald(fit: dict, names: list[str]) -> tuple[float, int]:
+    """(statistic, restrictions) of the hypothesis that the named coefficients are all zero."""
+    at = [list(fit["coef"]).index(c) for c in names]
+    b = np.array([fit["coef"][c] for c in names])
+    cov = fit["cov"][np.ix_(at, at)]
+    return float(b @ np.linalg.pinv(cov) @ b), int(np.linalg.matrix_rank(cov))
+
+
+def quantile_regression(df: DataFrame, y: Column, x: dict[str, Column], by: str, tau: float = 0.95, steps: int = 30, smooth: float = 1e-6) -> dict[object, dict[str, float]]:
     """Coefficients by group that minimise the check loss, by reweighted least squares.
 
-    Each step is one aggregation over all rows; only the groups' coefficients, few, are fetched.
+    Each step is one aggregation over all rows; only the groups' coefficients, few, are fetched. The
+    least residual that counts shrinks from step to step down to ``smooth``; then the steps go on
+    until no coefficient moves by a millionth.
     """
     columns = {"const": F.lit(1.0)} | x
     names = list(columns)
     rows = df.select(by, *[c.alias(k) for k, c in columns.items()], y.alias("_y")).dropna().persist()
     coef: dict[object, np.ndarray] = {}
-    for _ in range(steps):
+    for step in range(steps):
+        before, least = dict(coef), max(smooth, 0.1 * 0.4**step)
         if coef:
             fit = None
             for g, b in coef.items():
                 line = sum((float(v) * F.col(k) for v, k in zip(b, names)), F.lit(0.0))
                 fit = F.when(F.col(by) == g, line) if fit is None else fit.when(F.col(by) == g, line)
             r = F.col("_y") - fit
-            w = F.when(r > 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(r), F.lit(smooth))
+            w = F.when(r > 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(r), F.lit(least))
         else:
             w = F.lit(1.0)
         root = F.sqrt(w)
         for row in moments(rows, {k: F.col(k) * root for k in names} | {"_y": F.col("_y") * root}, [by]).collect():
             m = matrix(row, len(names) + 1)
             coef[row[by]] = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+        if least == smooth and before and all(np.abs(coef[g] - before[g]).max() < 1e-6 for g in coef):
+            break
     rows.unpersist()
     return {g: dict(zip(names, b.tolist())) for g, b in coef.items()}
 
 
+def quantile_errors(df: DataFrame, y: Column, x: dict[str, Column], by: str, coef: dict[object, dict[str, float]], tau: float) -> dict[object, dict[str, float]]:
+    """Robust standard errors of quantile coefficients by group.
+
+    The density of the residuals at zero by an Epanechnikov kernel, its width by the rule of Hall and
+    Sheather; each residual's side weighs its row.
+    """
+    columns = {"const": F.lit(1.0)} | x
+    names = list(columns)
+    fit = None
+    for g, b in coef.items():
+        line = sum((float(b[k]) * c for k, c in columns.items()), F.lit(0.0))
+        fit = F.when(F.col(by) == g, line) if fit is None else fit.when(F.col(by) == g, line)
+    if fit is None:
+        return {}
+    rows = df.select(by, *[c.alias(k) for k, c in columns.items()], y.alias("_y"), (y - fit).alias("_e")).dropna()
+    normal = NormalDist()
+    widths = []
+    for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("sd"), F.percentile("_e", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).collect():
+        z = normal.inv_cdf(tau)
+        rule = r.n ** (-1 / 3) * normal.inv_cdf(0.975) ** (2 / 3) * (1.5 * normal.pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
+        low, high = max(tau - rule, 1e-6), min(tau + rule, 1 - 1e-6)
+        widths.append((r[by], min(r.sd, (r.q[1] - r.q[0]) / 1.34) * (normal.inv_cdf(high) - normal.inv_cdf(low))))
+    h = None
+    for g, v in widths:
+        h = F.when(F.col(by) == g, F.lit(float(v))) if h is None else h.when(F.col(by) == g, F.lit(float(v)))
+    if h is None:
+        return {}
+    u = F.col("_e") / h
+    kernel = F.when(F.abs(u) <= 1, 0.75 * (1 - u * u) / h).otherwise(F.lit(0.0))
+    density = {r[by]: r.f for r in rows.groupBy(by).agg(F.avg(kernel).alias("f")).collect()}
+    plain = {r[by]: matrix(r, len(names)) for r in moments(rows, {k: F.col(k) for k in names}, [by]).collect()}
+    side = F.when(F.col("_e") > 0, F.lit(tau)).otherwise(F.lit(1 - tau))
+    sided = {r[by]: matrix(r, len(names)) for r in moments(rows, {k: F.col(k) * side for k in names}, [by]).collect()}
+    out = {}
+    for g in coef:
+        bread = np.linalg.pinv(plain[g])
+        cov = bread @ sided[g] @ bread / max(density[g], 1e-12) ** 2
+        out[g] = dict(zip(names, np.sqrt(np.maximum(np.diag(cov), 0)).tolist()))
+    return out
+
+
 def half_normal(n: int, m2: float, m3: float) -> dict[str, float]:
     """Variances of noise and inefficiency from the second and third moment of pooled residuals.
 

@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from fieldspan.operators import crosswalk as X, frontier as O, index as I, lp, regress as R
-from fieldspan.plans.headline import growth
+from fieldspan.functions.expr import stage
+from fieldspan.operators import crosswalk as X, frontier as O, index as I, lp, panel as P, panel_frontier as PF, regress as R
+from fieldspan.plans.headline import growth, sample
 from fieldspan.plans.registry import query
 from fieldspan.sources.tables import INPUTS, panel, table, with_holes
 
@@ -152,10 +153,8 @@ def e11(spark, d):
 
 @query("e13_pooled_half_normal")
 def e13(spark, d):
-    """Pooled half-normal stochastic frontier by moments of least-squares residuals.
-
-    The panel model with time decay is not fitted here; this is the pooled model that stands in for it.
-    """
+    """Pooled half-normal stochastic frontier by moments of least-squares residuals: what stands in
+    where the panel model of ``e13b`` has no maximum."""
     r = rows(spark, d).withColumn("one", F.lit(1))
     fit = R.ols(r, F.ln("y"), {k: F.ln(k) for k in _IN}, ["one"])
     if not fit:
@@ -201,6 +200,151 @@ def e17(spark, d):
     return r.join(F.broadcast(t), "year").groupBy("year", "a", "bl", "bm").agg(F.avg(above.cast("double")).alias("above"))
 
 
+def decay(spark, d):
+    """The frontier with time decay of a folder's panel, its packed units and the terms, fitted once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _decays:
+        r = rows(spark, d)
+        years = [x[0] for x in r.select("year").distinct().orderBy("year").collect()]
+        fit, units = PF.fitted(r, F.ln("y"), {k: F.ln(k) for k in _IN}, years)
+        _decays.clear()
+        _decays[key] = fit, units, ["const", *[k for k in _IN if k != _IN[0] or "constant" not in fit.model], *[f"y{t}" for t in years[1:]]]
+    return _decays[key]
+
+
+_decays: dict[tuple[str, str], tuple] = {}
+
+
+@query("e13b_time_decay_frontier")
+def e13b(spark, d):
+    """Terms of the panel frontier, with errors clustered by unit, and which model they are of."""
+    fit, _, _ = decay(spark, d)
+    out = [(k, float(v), fit.errors.get(k), fit.model) for k, v in fit.coef.items()]
+    return spark.createDataFrame(out, "term string, coef double, se double, model string")
+
+
+def decayed(spark, d):
+    """unit, year, u_hat, te and ln_tfp: constant and year effect less inefficiency."""
+    fit, units, terms = decay(spark, d)
+    if units is None:
+        return spark.createDataFrame([], "unit int, year int, u_hat double, te double, ln_tfp double, model string")
+    effect = F.lit(fit.coef["const"])
+    for k in terms:
+        if k[0] == "y" and k[1:].isdigit():
+            effect = effect + F.when(F.col("year") == int(k[1:]), F.lit(fit.coef[k])).otherwise(F.lit(0.0))
+    return PF.efficiencies(fit, units, terms).withColumn("ln_tfp", effect - F.col("u_hat")).withColumn("model", F.lit(fit.model))
+
+
+@query("e14b_decay_efficiency")
+def e14b(spark, d):
+    return decayed(spark, d)
+
+
+def _estimators(spark, d):
+    """Growth of the same unit-years by three estimators: programmes, the fitted frontier, the residual."""
+    dea = f05b(spark, d).select("unit", "year", F.col("lnM").alias("dea"), F.col("lnEC").alias("dea_ec"), F.col("lnTC").alias("dea_tc"))
+    fitted = decayed(spark, d)
+    sfa = P.adjacent_change(fitted, F.col("ln_tfp"), name="sfa").select("unit", "year", "sfa", "model")
+    solow = I.unit_growth(sample(spark, d), I.solow()).select("unit", "year", F.col("dln").alias("solow"))
+    return dea.join(sfa, ["unit", "year"]).join(solow, ["unit", "year"])
+
+
+@query("e08b_matched_estimators")
+def e08b(spark, d):
+    """National growth by year and estimator on matched unit-years, winsorized and weighted by output."""
+    matched = _estimators(spark, d).persist()  # a row per unit and year, met several times below
+    long = matched.unpivot(["unit", "year"], ["dea", "sfa", "solow"], "estimator", "dln")
+    weight = sample(spark, d).select("unit", "year", F.col("y").alias("w"))
+    out = None
+    for k in ("dea", "sfa", "solow"):
+        one = P.winsorized(long.where(F.col("estimator") == k).drop("estimator"), "dln")
+        t = I.tornqvist(one, weight).select("year", "n", F.col("dln_weighted").alias(k))
+        out = t if out is None else out.join(t.drop("n"), "year")
+    return out
+
+
+@query("e12b_gap_by_stage")
+def e12b(spark, d):
+    """Percent growth by stage of programmes and fitted frontier, their gap, and a warning if the fit fell back."""
+    m = _estimators(spark, d).groupBy(stage("year", *I.STAGES).alias("stage")).agg(*[F.avg(c).alias(c) for c in ("dea", "dea_ec", "dea_tc", "sfa")], F.max("model").alias("model"))
+    pct = {c: 100 * F.expm1(c) for c in ("dea", "dea_ec", "dea_tc", "sfa")}
+    fallback = F.col("model").startswith("pooled")
+    return m.withColumns(pct).withColumn("gap", F.col("dea") - F.col("sfa")).withColumn("warning", F.when(fallback, "the fitted frontier is the pooled fallback"))
+
+
+@query("e11b_convergence_table")
+def e11b(spark, d):
+    """Catch-up and stage regressions: growth on the lagged level with year effects, without and with
+    unit effects; growth on stages with unit effects and output weights, with the test that all stages are alike."""
+    r = rows(spark, d)
+    level = r.select("unit", (F.col("year") + 1).alias("year"), I.solow().alias("level"))
+    g = growth(spark, d).select("unit", "year", "dln").join(level, ["unit", "year"]).join(r.select("unit", "year", F.col("y").alias("w")), ["unit", "year"])
+    years = [x[0] for x in g.select("year").distinct().orderBy("year").collect()]
+    names_ = [n for _, n in I.STAGES[0]] + [I.STAGES[1]]
+    g = g.withColumns({f"d{t}": (F.col("year") == t).cast("double") for t in years[1:]} | {f"s{k}": (stage("year", *I.STAGES) == n).cast("double") for k, n in enumerate(names_[1:], 1)})
+    effects, stages = [f"d{t}" for t in years[1:]], [f"s{k}" for k in range(1, len(names_))]
+    out = []
+    for model, unit_effects in (("level, year effects", False), ("level, unit and year effects", True)):
+        fit = R.absorbed(g, "dln", ["level", *effects], unit_effects=unit_effects)
+        out.append((model, "level", fit["coef"]["level"], math.sqrt(max(fit["cov"][0, 0], 0.0)), fit["n"], fit["units"], None, None))
+    fit = R.absorbed(g, "dln", stages, weight="w")
+    test, k = R.wald(fit, stages)
+    for j, s in enumerate(stages):
+        out.append(("stages, unit effects, weighted", names_[j + 1], fit["coef"][s], math.sqrt(max(fit["cov"][j, j], 0.0)), fit["n"], fit["units"], test, k))
+    return spark.createDataFrame(out, "model string, term string, coef double, se double, n long, units long, wald double, restrictions int")
+
+
+def _per_worker(spark, d):
+    r = rows(spark, d).withColumns({"lk": F.ln(F.col("x_k") / F.col("x_l")), "ly": F.ln(F.col("y") / F.col("x_l"))})
+    mean = r.groupBy("year").agg(F.avg("lk").alias("m"), F.percentile("lk", F.array(*[F.lit(p) for p in (0.01, 0.1, 0.5, 0.9, 0.99)])).alias("q"), F.count(F.lit(1)).alias("n"))
+    return r.join(F.broadcast(mean.select("year", "m")), "year").withColumn("z", F.col("lk") - F.col("m")), {x.year: x for x in mean.collect()}
+
+
+@query("e17b_translog_quantile")
+def e17b(spark, d):
+    """By year, the 0.95 quantile of output per worker in capital per worker with a centred square: slope
+    at the mean, curvature and its t, elasticities, whether Cobb-Douglas is rejected, and the share of
+    the curve that is concave in levels."""
+    r, years = _per_worker(spark, d)
+    x = {"z": F.col("z"), "zz": F.col("z") ** 2}
+    coef = R.quantile_regression(r, F.col("ly"), x, "year", 0.95)
+    se = R.quantile_errors(r, F.col("ly"), x, "year", coef, 0.95)
+    out = []
+    for t, c in sorted(coef.items()):
+        q, m = years[t].q, years[t].m
+        k = np.log(np.linspace(math.exp(q[0]), math.exp(q[4]), 200)) - m
+        concave = float((np.diff(np.exp(c["const"] + c["z"] * k + c["zz"] * k * k), 2) < 0).mean())
+        tc = c["zz"] / se[t]["zz"] if se[t]["zz"] > 0 else math.nan
+        out.append((int(t), int(years[t].n), c["z"], c["zz"], tc, *[c["z"] + 2 * c["zz"] * (v - m) for v in q[1:4]], concave, concave > 0.9, abs(tc) > 1.96))
+    return spark.createDataFrame(out, "year int, n long, b_at_mean double, curvature double, t double, e_p10 double, e_p50 double, e_p90 double, concave_share double, concave boolean, reject_cobb_douglas boolean")
+
+
+@query("e17c_ratio_bias")
+def e17c(spark, d):
+    """By year, capital's elasticity at the 0.95 quantile per worker and in levels, and their ratio."""
+    r = rows(spark, d)
+    ratio = R.quantile_regression(r, F.ln(F.col("y") / F.col("x_l")), {"k": F.ln(F.col("x_k") / F.col("x_l"))}, "year", 0.95)
+    level = R.quantile_regression(r, F.ln("y"), {"l": F.ln("x_l"), "k": F.ln("x_k")}, "year", 0.95)
+    out = [(int(t), ratio[t]["k"], c["k"], c["l"], c["k"] + c["l"], ratio[t]["k"] / c["k"] if abs(c["k"]) > 1e-6 else None) for t, c in sorted(level.items())]
+    return spark.createDataFrame(out, "year int, per_worker double, level double, labour double, rts double, inflation double")
+
+
+@query("e15c_monotonicity")
+def e15c(spark, d):
+    """By year and form, the share of units with a positive fitted elasticity of each input, and of all."""
+    r = rows(spark, d)
+    out = None
+    for name, x in (("cobb-douglas", {k: F.ln(k) for k in _IN}), ("translog", R.translog(_IN))):
+        fits = R.ols(r, F.ln("y"), x, ["year"])
+        table_ = spark.createDataFrame([(f["year"], [f["coef"][k] for k in x]) for f in fits], "year int, b array<double>")
+        at = {k: F.col("b")[i] for i, k in enumerate(x)}
+        slope = {k: at[k] + sum((at[p] * F.ln(p.replace(k, "", 1).strip("*")) for p in x if "*" in p and k in p.split("*")), F.lit(0.0)) for k in _IN}
+        signs = r.join(F.broadcast(table_), "year").select("year", *[(slope[k] > 0).alias(k) for k in _IN])
+        share = signs.groupBy("year").agg(F.lit(name).alias("model"), *[F.avg(F.col(k).cast("double")).alias(k) for k in _IN], F.avg((F.col(_IN[0]) & F.col(_IN[1]) & F.col(_IN[2]) & F.col(_IN[3])).cast("double")).alias("all_inputs"))
+        out = share if out is None else out.unionByName(share)
+    return out
+
+
 def names(spark, d):
     """Left entities and a directory with codes, names and former names, all out of ``part``."""
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("prov"), F.concat_ws(" ", "p_brand", "p_type").alias("name"))

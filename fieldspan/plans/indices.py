@@ -96,3 +96,54 @@ def e19(spark, d):
 def e15(spark, d):
     y, x = F.ln("y"), F.ln("x_m")
     return with_holes(panel(spark, d)).groupBy("year").agg(F.round(F.regr_slope(y, x), 8).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.regr_r2(y, x), 8).alias("r2"))
+
+
+_AGG = f"""{PANEL_SQL}, a AS (SELECT year, sum(y) AS y, sum(y*(1+0.03*(year-1995)+sid/1000.0)) AS nom, 0.2*ln(sum(x_l))+0.25*ln(sum(x_s))+0.15*ln(sum(x_k))+0.4*ln(sum(x_m)) AS li FROM panel GROUP BY year),
+ d AS (SELECT year, 100*(ln(nom)-lag(ln(nom)) OVER w) AS nominal, 100*(ln(nom/y)-lag(ln(nom/y)) OVER w) AS deflator, 100*(ln(y)-lag(ln(y)) OVER w) AS real, 100*(li-lag(li) OVER w) AS input, 100*(ln(y)-li-lag(ln(y)-li) OVER w) AS tfp FROM a WINDOW w AS (ORDER BY year)),
+ long AS (UNPIVOT (SELECT * FROM d WHERE tfp IS NOT NULL) ON nominal, deflator, real, input, tfp INTO NAME component VALUE v)"""
+_PARTS = ("nominal", "deflator", "real", "input", "tfp")
+
+
+def accounts(spark, d):
+    """Percent changes of the national accounts by year: output in current prices, its deflator, real output, inputs, residual."""
+    rows = panel(spark, d)
+    a = rows.groupBy("year").agg(F.sum("y").alias("y"), F.sum(F.col("y") * deflator()).alias("nom"), sum((w * F.ln(F.sum(k)) for k, w in I.ELASTICITIES.items()), F.lit(0.0)).alias("li"))
+    w = Window.orderBy("year")  # a row per year
+    levels = {"nominal": F.ln("nom"), "deflator": F.ln(F.col("nom") / F.col("y")), "real": F.ln("y"), "input": F.col("li"), "tfp": F.ln("y") - F.col("li")}
+    return a.select("year", *[(100 * (v - F.lag(v).over(w))).alias(k) for k, v in levels.items()]).where("tfp is not null")
+
+
+@query("e09b_growth_decomposition", f"WITH {_AGG} SELECT component, round(avg(v),6) AS mean, round(stddev_samp(v),6) AS sd, round(min(v),6) AS least, round(max(v),6) AS most, round((SELECT corr(real, tfp) FROM d),6) AS corr_output, round((SELECT corr(input, tfp) FROM d),6) AS corr_input FROM long GROUP BY component")
+def e09b(spark, d):
+    """Which component of national growth moves: level, spread and range of each, and the residual's correlations."""
+    a = accounts(spark, d)
+    both = a.agg(F.corr("real", "tfp").alias("corr_output"), F.corr("input", "tfp").alias("corr_input"))
+    long = a.unpivot(["year"], list(_PARTS), "component", "v")
+    stats = long.groupBy("component").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return rounded(stats.join(F.broadcast(both)), 6)
+
+
+_BALANCED = f"""{HOLES_SQL}, full_ AS (SELECT unit FROM holes GROUP BY unit HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM holes)),
+ b AS (SELECT unit, year, ln(y)-0.2*ln(x_l)-0.25*ln(x_s)-0.15*ln(x_k)-0.4*ln(x_m) AS r FROM holes WHERE unit IN (SELECT unit FROM full_)),
+ c AS (SELECT unit, year, 100*(r-lag(r) OVER (PARTITION BY unit ORDER BY year)) AS d FROM b),
+ y AS (SELECT year, avg(d) AS nat_mean, median(d) AS nat_median, stddev_samp(d) AS xsec_sd, quantile_cont(d,0.1) AS p10, quantile_cont(d,0.9) AS p90, CAST(count(*) AS BIGINT) AS n FROM c WHERE d IS NOT NULL GROUP BY year)"""
+
+
+@query("e09c_volatility_by_year", f"WITH {_BALANCED} SELECT year, round(nat_mean,6) AS nat_mean, round(nat_median,6) AS nat_median, round(xsec_sd,6) AS xsec_sd, round(p10,6) AS p10, round(p90,6) AS p90, n, CASE WHEN count(nat_mean) OVER w >= 3 THEN round(stddev_samp(nat_mean) OVER w,6) END AS roll5_sd FROM y WINDOW w AS (ORDER BY year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def e09c(spark, d):
+    """By year, over the balanced units: national mean and median growth, spread over units, and the rolling spread of the mean."""
+    c = I.unit_growth(P.balanced(with_holes(panel(spark, d))), I.solow()).withColumn("d", 100 * F.col("dln"))
+    y = c.groupBy("year").agg(F.avg("d").alias("nat_mean"), F.median("d").alias("nat_median"), F.stddev_samp("d").alias("xsec_sd"), F.percentile("d", F.lit(0.1)).alias("p10"), F.percentile("d", F.lit(0.9)).alias("p90"), F.count(F.lit(1)).alias("n"))
+    return rounded(y.withColumn("roll5_sd", P.rolling("nat_mean", "stddev_samp", 2, 3, Window.orderBy("year"))), 6)  # a row per year
+
+
+_MA = "CASE WHEN count(g) OVER w{k} >= {m} THEN avg(g) OVER w{k} END"
+
+
+@query("e09d_smoothing", f"WITH {NATIONAL_SQL}, s AS (SELECT year, 100*(exp(dln_weighted)-1) AS g FROM national), m AS (SELECT year, g, {_MA.format(k=3, m=2)} AS ma3, {_MA.format(k=5, m=3)} AS ma5 FROM s WINDOW w3 AS (ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), w5 AS (ORDER BY year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT round(avg(g),6) AS mean_raw, round(stddev_samp(g),6) AS sd_raw, round(avg(ma3),6) AS mean_ma3, round(stddev_samp(ma3),6) AS sd_ma3, round(avg(ma5),6) AS mean_ma5, round(stddev_samp(ma5),6) AS sd_ma5 FROM m")
+def e09d(spark, d):
+    """National winsorized growth, raw and as three- and five-year moving averages."""
+    w = Window.orderBy("year")  # a row per year
+    g = national(spark, d).select("year", (100 * F.expm1("dln_weighted")).alias("raw"))
+    m = g.withColumns({"ma3": P.rolling("raw", "avg", 1, 2, w), "ma5": P.rolling("raw", "avg", 2, 3, w)})
+    return rounded(m.agg(*[f(k).alias(f"{n}_{k}") for k in ("raw", "ma3", "ma5") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]), 6)

@@ -1,7 +1,12 @@
-"""Reading the driver tables and the panel derived from them; partitioned stages and text sinks."""
+"""Reading the driver tables and the panel derived from them; stored stages, their caching, and text sinks."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -130,3 +135,46 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}; there are {', '.join(df.columns)}")
     return df
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a stage under ``spark.checkpoint.dir``; one machine may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="stages-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a stage has been written whole: Spark's mark of success is there."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The stage at ``path``; it is built and written only if it isn't there whole, or if forced."""
+    if force or not exists(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def probed(df: DataFrame, key: list[str], step: float) -> DataFrame:
+    """least, most and cells of a grid's key columns as the data have them; it must be regular and hold each cell once."""
+    ends = [f(k).alias(f"{n}_{k}") for k in key for n, f in (("least", F.min), ("most", F.max))]
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*key).alias("cells"), *ends).first()
+    off = df.where(" or ".join(f"abs(({k} - {found[f'least_{k}']}) / {step} - round(({k} - {found[f'least_{k}']}) / {step})) > 1e-6" for k in key)) if found["n"] else df
+    if found["n"] != found["cells"] or found["n"] and off.limit(1).count():
+        raise ValueError(f"the grid of {', '.join(key)} is not regular")
+    return df.agg(F.count(F.lit(1)).alias("cells"), *ends)
+
+
+def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """Headed CSV files whose rows are in order from file to file; NULL is an empty field."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
+
+
+def accumulate(spark: SparkSession, path: str, rows: list[tuple], schema: str) -> None:
+    """Append a fit's rows (equation, term, coefficient) to the table at ``path``."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)

@@ -248,3 +248,64 @@ def test_years_are_replaced_and_extended(spark, tmp_path):
     assert not S.write_complete(spark.range(3), str(tmp_path / "none"), F.col("id") == 1)
     with pytest.raises(ValueError):
         S.require(spark.range(1), "id", "x")
+
+
+def test_panel_frontier_finds_its_parameters(spark):
+    from pyspark.sql import functions as F
+
+    from fieldspan.operators import panel_frontier as PF
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for u in range(120):
+        ui = abs(rng.normal(0.0, 0.5))
+        for t in range(8):
+            a, b = rng.normal(size=2)
+            h = np.exp(-0.1 * (t - 7))
+            rows.append((u, 2000 + t, float(np.exp(1 + 0.4 * a + 0.3 * b + 0.05 * t + rng.normal(0, 0.15) - ui * h)), float(np.exp(a)), float(np.exp(b)), float(ui * h)))
+    df = spark.createDataFrame(rows, "unit int, year int, y double, a double, b double, u double").repartition(2)
+    years = list(range(2000, 2008))
+    fit, units = PF.fitted(df, F.ln("y"), {"a": F.ln("a"), "b": F.ln("b")}, years)
+    assert fit.model == "time decay" and fit.coef["a"] == pytest.approx(0.4, abs=0.03) and fit.coef["b"] == pytest.approx(0.3, abs=0.03)
+    assert fit.coef["eta"] == pytest.approx(0.1, abs=0.02) and 0 < fit.errors["a"] < 0.02
+    found = PF.efficiencies(fit, units, ["const", "a", "b", *[f"y{t}" for t in years[1:]]]).join(df, ["unit", "year"])
+    assert found.count() == 960 and found.select(F.corr("u_hat", "u")).first()[0] > 0.95
+    # the same likelihood by integrating over u
+    from fieldspan.operators.panel_frontier import Units, log_phi
+
+    one = Units(np.array([0.3, -0.2, 0.1]), np.ones((3, 1)), np.array([2.0, 1.0, 0.0]), np.array([0]))
+    theta = np.array([0.5, 0.2, 0.1, np.log(0.5), 0.4])
+    g = 1 / (1 + np.exp(-0.4))
+    su, sv = np.sqrt(0.5 * g), np.sqrt(0.5 * (1 - g))
+    x = np.linspace(0, 12, 200001)
+    dens = np.exp(-((x - 0.2) ** 2) / (2 * su * su)) / (su * np.sqrt(2 * np.pi)) / np.exp(log_phi(np.array(0.2 / su)))
+    for e, back in zip(one.y - 0.5, one.back):
+        dens = dens * np.exp(-((e + x * np.exp(0.1 * back)) ** 2) / (2 * sv * sv)) / (sv * np.sqrt(2 * np.pi))
+    assert one.loglik(theta)[0] == pytest.approx(np.log(((dens[1:] + dens[:-1]) / 2 * np.diff(x)).sum()), abs=1e-6)
+
+
+def test_quantile_regression_is_the_programmes(spark):
+    rng = np.random.default_rng(4)
+    x, e = rng.uniform(0, 2, 60), rng.normal(size=60)
+    y = 1 + 0.7 * x + e
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y)], "g int, x double, y double")
+    coef = R.quantile_regression(df, F.col("y"), {"x": F.col("x")}, "g", 0.8)[1]
+    loss = lambda a, b: float(np.where((r := y - a - b * x) > 0, 0.8 * r, -0.2 * r).sum())
+    best = min(loss(y[i] - s * x[i], s) for i in range(60) for j in range(i) for s in [(y[i] - y[j]) / (x[i] - x[j])])
+    assert loss(coef["const"], coef["x"]) == pytest.approx(best, rel=1e-4)
+    se = R.quantile_errors(df, F.col("y"), {"x": F.col("x")}, "g", {1: coef}, 0.8)[1]
+    assert 0.05 < se["x"] < 1.0
+
+
+def test_absorbed_effects_equal_dummies(spark):
+    rng = np.random.default_rng(2)
+    rows = [(u, float(rng.normal()), float(rng.uniform(1, 3)), float(u)) for u in range(6) for _ in range(5)]
+    rows = [(u, a, w, 0.5 * a + c + float(rng.normal(0, 0.1))) for u, a, w, c in rows]
+    df = spark.createDataFrame(rows, "unit int, a double, w double, y double")
+    fit = R.absorbed(df, "y", ["a"], weight="w")
+    design = np.array([[a, *[float(u == k) for k in range(6)]] for u, a, _, _ in rows])
+    root = np.sqrt([w for _, _, w, _ in rows])
+    b = np.linalg.lstsq(design * root[:, None], np.array([r[3] for r in rows]) * root, rcond=None)[0]
+    assert fit["coef"]["a"] == pytest.approx(b[0]) and fit["units"] == 6 and R.wald(fit, ["a"])[0] == pytest.approx(b[0] ** 2 / fit["cov"][0, 0])

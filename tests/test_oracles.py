@@ -3,6 +3,7 @@
 import math
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -45,6 +46,187 @@ def test_same_rows(spark, duck, name):
     assert mine == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=key)
 
 
+# Queries that SQL can't express: certificates, identities, or a plain recomputation of the rows.
+
+
+def certified(rows):
+    assert all((r.f is None) == (r.proof is None) and (r.f is None or r.f >= 0 and r.proof <= 1e-9) for r in rows)
+
+
+def within(x, low, high, slack=1e-9):
+    return low - slack <= x <= high + slack
+
+
+def check_f02(rows, spark):
+    certified(rows)
+    assert rows and all(within(r.theta, 0, 1) for r in rows)
+    assert all(max(r.theta for r in rows if r.t == t) > 1 - 1e-9 for t in {r.t for r in rows})
+
+
+def check_f05b(rows, spark):
+    assert rows and all(abs(r.lnM - r.lnEC - r.lnTC) < 1e-9 and within(r.eff_now, 0, 1) for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.year, []).append(r.lnTC)
+    assert all(min(v) >= -1e-9 for v in by.values())  # references only grow, so the frontier can't fall
+
+
+def check_f09(rows, spark):
+    by = {}
+    for r in rows:
+        by.setdefault(r.year, []).append((r.x_l, r.x_m))
+    assert len(by) == 7
+    for v in by.values():
+        known = [x for _, x in sorted(v) if x is not None]
+        assert len(v) == 10 and known and all(b <= a * (1 + 1e-9) for a, b in zip(known, known[1:]))
+
+
+def check_f10(rows, spark):
+    assert len(rows) == 7 and all(r.high >= 1.05 * r.low - 1e-9 > 0 for r in rows)
+
+
+def check_f11(rows, spark):
+    from fieldspan.operators import lp
+    from fieldspan.plans.fitted import weather_frame
+
+    by = {}
+    for r in weather_frame(spark, DATA).collect():
+        by.setdefault(r.year, []).append(r)
+    want = set()
+    for t, group in by.items():
+        points = np.array([[r.x, r.w1, r.w2, r.y] for r in group])
+        want |= {(t, group[j].unit) for j in range(len(group)) if lp.is_vertex(points, j)}
+    assert {(r.year, r.unit) for r in rows} == want and len(rows) == len(want)
+
+
+def check_f13(rows, spark):
+    assert rows and all((r.missing == "") == (r.infeasible == 0) and (r.infeasible or r.off == 0) for r in rows)
+
+
+def check_f15(rows, spark):
+    certified(rows)
+    assert all(within(r.theta, 0, 1) for r in rows if r.unit % 2 == 0)
+
+
+def check_f22(rows, spark):
+    certified(rows)
+    assert len(rows) == 7 * 25
+
+
+def check_e11(rows, spark):
+    again = [r for r in QUERIES["e11b_convergence_table"](spark, DATA).collect() if r.model == "level, unit and year effects"]
+    assert rows[0].slope == pytest.approx(again[0].coef, rel=1e-6) and rows[0].se == pytest.approx(again[0].se, rel=1e-6) and rows[0].n == again[0].n
+
+
+def check_e11b(rows, spark):
+    assert [r.model for r in rows].count("stages, unit effects, weighted") == 2 and all(r.se >= 0 and r.n > r.units > 0 for r in rows)
+    stages = [r for r in rows if r.wald is not None]
+    assert all(r.restrictions == 2 and r.wald >= max((s.coef / s.se) ** 2 for s in stages if s.se > 0) * (1 - 1e-6) for r in stages)
+
+
+def check_e13(rows, spark):
+    assert rows[0].sigma_u >= 0 and rows[0].sigma_v >= 0 and rows[0].mean_u == pytest.approx(rows[0].sigma_u * math.sqrt(2 / math.pi))
+
+
+def check_e13b(rows, spark):
+    terms = {r.term for r in rows}
+    assert {"const", "x_l", "x_s", "x_k", "x_m", "mu", "eta", "ln_sigma2", "logit_gamma", "y2001"} <= terms and len({r.model for r in rows}) == 1
+    assert sum(r.coef for r in rows if r.term.startswith("x_")) <= 1 + 1e-9 or rows[0].model.startswith("pooled")
+
+
+def check_e14b(rows, spark):
+    assert len({(r.unit, r.year) for r in rows}) == len(rows) and all(r.u_hat >= 0 and r.te == pytest.approx(math.exp(-r.u_hat)) for r in rows)
+    terms = {r.term: r.coef for r in QUERIES["e13b_time_decay_frontier"](spark, DATA).collect()}
+    assert all(r.ln_tfp == pytest.approx(terms["const"] + terms.get(f"y{r.year}", 0.0) - r.u_hat) for r in rows)
+
+
+def check_e08b(rows, spark):
+    assert rows and all(r.n > 0 and None not in (r.dea, r.sfa, r.solow) for r in rows)
+
+
+def check_e12b(rows, spark):
+    assert rows and all(r.gap == pytest.approx(r.dea - r.sfa) and (1 + r.dea / 100) == pytest.approx((1 + r.dea_ec / 100) * (1 + r.dea_tc / 100), rel=1e-6) for r in rows)
+
+
+def check_e15b(rows, spark):
+    fit = {(r.year, r.model): r.r2 for r in rows}
+    assert len(fit) == 14 and all(fit[y, "translog"] >= fit[y, "cobb-douglas"] - 1e-9 for y, _ in fit)
+
+
+def check_e15c(rows, spark):
+    for r in rows:
+        shares = [r.x_l, r.x_s, r.x_k, r.x_m]
+        assert all(within(x, 0, 1) for x in shares) and within(r.all_inputs, 0, min(shares))
+        assert r.model != "cobb-douglas" or set(shares) <= {0.0, 1.0}
+    assert len(rows) == 14
+
+
+def check_e16(rows, spark):
+    by = {}
+    for r in rows:
+        by.setdefault(r.year, []).append((r.lx_l, r.lx_m))
+    for v in by.values():
+        v.sort()
+        slopes = [(b[1] - a[1]) / (b[0] - a[0]) for a, b in zip(v, v[1:]) if b[0] > a[0]]
+        assert len(v) == 5 and all(x == pytest.approx(slopes[0], rel=1e-6) for x in slopes)
+
+
+def check_e17(rows, spark):
+    assert len(rows) == 7 and all(r.above <= 0.45 for r in rows)  # a tenth of ten units, and three on the line
+
+
+def check_e17b(rows, spark):
+    assert len(rows) == 7
+    for r in rows:
+        assert r.reject_cobb_douglas == (abs(r.t) > 1.96) and r.concave == (r.concave_share > 0.9) and (r.t >= 0) == (r.curvature >= 0)
+        assert min(r.e_p10, r.e_p90) - 1e-9 <= r.e_p50 <= max(r.e_p10, r.e_p90) + 1e-9
+
+
+def check_e17c(rows, spark):
+    assert len(rows) == 7 and all(r.rts == pytest.approx(r.labour + r.level) and r.inflation == pytest.approx(r.per_worker / r.level) for r in rows)
+
+
+def check_g11(rows, spark):
+    values = {}
+    for r in sorted(QUERIES["g09_smoothed_climatology"](spark, DATA).collect(), key=lambda r: r.hm):
+        values.setdefault(r.pixel, []).append(r.v)
+    assert {r.pixel for r in rows} == set(values)
+    for r in rows:
+        v = values[r.pixel]
+        assert len(r.peaks) <= 3 and all(v[p] >= max(v[p - 1], v[(p + 1) % len(v)]) for p in r.peaks)
+
+
+def check_j09(rows, spark):
+    from difflib import SequenceMatcher
+
+    from fieldspan.plans.fitted import names
+
+    left, dims = (x.collect() for x in names(spark, DATA))
+    codes, best = {r.code for r in dims}, {}
+    for a in left:
+        if a.cid not in codes:
+            near = [(-SequenceMatcher(None, a.name, b.gname).ratio(), b.code) for b in dims if b.prov == a.prov and b.gname[:2] == a.name[:2]]
+            if near:
+                best[a.cid] = min(near)
+    assert {r.cid: (r.code, r.similarity) for r in rows} == {k: (c, pytest.approx(-s, abs=0.0051)) for k, (s, c) in best.items()}
+
+
+def check_x02(rows, spark):
+    from difflib import SequenceMatcher
+
+    parts = {r.p_partkey: r for r in spark.read.parquet(f"{DATA}/part.parquet").collect()}
+    assert len(rows) == len(parts) and all(r.ratio == pytest.approx(SequenceMatcher(None, parts[r.p_partkey].p_type, parts[r.p_partkey].p_name).ratio(), abs=0.0051) for r in rows)
+
+
+def check_f12(rows, spark):
+    certified(rows)
+    own = [r for r in rows if r.tag == "own"]
+    assert len(own) == 70 and all(r.f is not None for r in own)
+
+
+CHECKS = {k.removeprefix("check_"): v for k, v in list(globals().items()) if k.startswith("check_")}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_other_queries_run(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_rows_of_other_queries(spark, name):
+    CHECKS[name.split("_")[0]](QUERIES[name](spark, DATA).collect(), spark)
