@@ -6,7 +6,10 @@ decontaminate        cuts benchmark passages; drops texts that are mostly such p
 secret_scan          replaces secrets by a mark
 byte_bpe             encodes and decodes; gives doc_id, counts and digests
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, extra ones with any names too. Null and
+empty texts go with the language stage. Of near-duplicates and ties the smallest doc_id stays; rows
+with the same doc_id are one document and stay or go together; a null doc_id is linked with nothing. Long
+texts are read whole. An empty table gives no rows; an empty benchmark cuts nothing.
 """
 
 from __future__ import annotations

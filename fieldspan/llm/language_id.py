@@ -9,7 +9,8 @@ smallest hashes of the text, none over ``most_chars`` characters), so the size o
 has a bound whatever the table's size; every label that has such a text gets a model. One text in
 four is not counted but calibrates rejection, by classes of length: the first stretches of each
 calibration text of a class's length give cross-entropies, and a text is rejected if its own exceeds
-their 99th percentile by half. Languages without such stretches have the percentile of all
+their 99th percentile by half and ``LEAST_LIMIT``, which keeps labelled texts that are all alike from
+making anything else foreign. Languages without such stretches have the percentile of all
 languages' together. Scoring reads all texts whole.
 
 A null text, or one without a letter, has the language ``und`` and score 0, and is rejected; so is
@@ -38,6 +39,7 @@ LENGTHS = np.array([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000])
 WINDOWS = 20
 QUANTILE = 0.99
 SLACK = 1.5
+LEAST_LIMIT = 1.0  #: nats a symbol; no learned language's prose comes near it
 _SPACE, _EDGE = 0x20, 1
 _MARK = "\ud800"
 _BITS = np.uint64(16)
@@ -231,9 +233,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int =
     tops = trial.groupBy("k", "c").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("e")).collect()
     pooled = trial.groupBy("c").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("e")).collect()
     for r in pooled:
-        model.limits[:, r.c] = r.e * SLACK
+        model.limits[:, r.c] = max(r.e * SLACK, LEAST_LIMIT)
     for r in tops:
-        model.limits[r.k, r.c] = r.e * SLACK
+        model.limits[r.k, r.c] = max(r.e * SLACK, LEAST_LIMIT)
     for c in range(1, len(LENGTHS)):  # no text is so long: the class below
         model.limits[:, c] = np.where(np.isinf(model.limits[:, c]), model.limits[:, c - 1], model.limits[:, c])
     return model

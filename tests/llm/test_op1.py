@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from fieldspan.llm import secret_scan as S
 
@@ -48,3 +50,35 @@ def test_redaction(spark, docs_of, empty_docs):
 def test_native_plan(spark, docs_of):
     plan = S.digest(S.spans(docs_of([(1, "x")])))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_entropy(text, window=20):
+    """First to last window at or above its class's threshold in each run of the alphabet, by recounting each window."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        hexa = re.fullmatch(r"[0-9A-Fa-f]+", run)
+        mixed = re.search("[0-9]", run) and re.search("[A-Za-z]", run) and (hexa or re.search("[A-Z]", run) and re.search("[a-z]", run))
+        if not mixed or any(re.search(p, run) for p in S.ALLOWED):
+            continue
+        least = S.THRESHOLDS["hex" if hexa else "other"]
+        hot = []
+        for i in range(len(run) - window + 1):
+            counts = Counter(run[i : i + window]).values()
+            if -sum(c / window * math.log2(c / window) for c in counts) >= least - 1e-12:
+                hot.append(i)
+        if hot:
+            out.append((m.start() + hot[0], m.start() + hot[-1] + window))
+    return out
+
+
+def test_entropy_spans_against_recounting(spark):
+    random.seed(11)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=", "aB3", "abcABC012345", "ABCDEF0123456789"]
+    rows = []
+    for i in range(150):
+        parts = ["".join(random.choice(random.choice(alphabets) if random.random() < 0.1 else a) for _ in range(random.randint(15, 70))) for a in random.choices(alphabets, k=random.randint(0, 5))]
+        rows.append((i, random.choice([" é ", "\n", ", "]).join(parts)))
+    rows += [(900, "123e4567-e89b-12d3-a456-426614174000"), (901, "exampleKEY0123aBcDeFgHiJkLm"), (902, "a1B2" * 5000)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "entropy"] for r in S.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute_entropy(t) for i, t in rows} and sum(map(len, got.values())) > 50

@@ -28,3 +28,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert set(got) == set(left)
     for i, r in got.items():
         assert r.n_tokens == len(enc.encode_ordinary(left[i].text)) and r.decoded_sha256 == hashlib.sha256(left[i].text.encode()).hexdigest()
+
+
+def test_empty_tables_clashing_columns_ties_and_long_texts(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, gram string, key string, met boolean, found string, k long"
+    long = " ".join(f"lang{k} und" for k in range(30000))
+    rows = [(1, long, "de"), (2, long, "de"), (2, long, "de"), (3, "kurz und gut", "de"), (None, long, None), (None, None, None), (4, "", "de")]
+    for name, some in (("full", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame([(i, t, g, "s", len(t or ""), "x", "y", True, "z", 7) for i, t, g in some], names).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, f in P.STAGES[:-1]:
+            out = f(spark, docs, str(folder))
+            assert out.columns == docs.columns, stage
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        # of equal texts the smallest doc_id stays, and a null doc_id is linked with nothing
+        assert sorted((r.doc_id or -1 for r in docs.collect())) == ([-1, 1, 3] if some else [])
+        assert P.run(spark, str(folder)).count() == (3 if some else 0)
