@@ -1,10 +1,10 @@
-"""The registered queries of the training-data operators: op1 to op10 over their whole tables."""
+"""The registered queries of the training-data operators: op1 to op13 over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldspan.llm import byte_bpe, decontaminate, graph_ann, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_files, warc
+from fieldspan.llm import byte_bpe, decontaminate, graph_ann, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_files, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_join, op3_graph_ann, op4_substring_dedup, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc, op10_language_id)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return vector_codes.digest(vector_codes.fit(vectors)).drop("label")
+
+
+_ALL = (
+    op1_secret_scan, op2_ngram_join, op3_graph_ann, op4_substring_dedup, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc, op10_language_id,
+    op11_vector_codes,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+
+def _lloyd(parts: int, entries: int, rounds: int) -> str:
+    """The exact rounds as chained tables: b0 to b<rounds> are the books, a<i> the parts' nearest entries in b<i>."""
+    sql = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ part AS (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM k CROSS JOIN (SELECT unnest(range(0, {parts})) AS p)),
+ seed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+ b0 AS (SELECT p, e, v FROM part JOIN seed USING (vec_id) WHERE e < {entries})"""
+    for i in range(rounds + 1):
+        sql += f""",
+ a{i} AS (SELECT vec_id, p, v, e, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) AS r FROM
+  (SELECT part.vec_id AS vec_id, part.p AS p, part.v AS v, b.e AS e, list_sum(list_transform(list_zip(part.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM part JOIN b{i} b ON b.p = part.p)) WHERE r = 1)"""
+        if i < rounds:
+            sql += f""",
+ m{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (SELECT p, e, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS j FROM a{i}) GROUP BY p, e, j) GROUP BY p, e),
+ b{i + 1} AS (SELECT b.p AS p, b.e AS e, CASE WHEN m.v IS NULL THEN b.v ELSE list_transform(m.v, lambda x: CAST(x AS BIGINT)) END AS v FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.e = b.e)"""
+    return sql + f""",
+ book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+ code AS (SELECT vec_id, lower(string_agg(lpad(printf('%x', e), 2, '0'), '' ORDER BY p)) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+ full_code AS (SELECT code.*, label FROM code JOIN k ON k.vec_id = code.vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM full_code CROSS JOIN book"""
+
 
 #: For DuckDB. Entropy spans, the join's components, graph searches, page texts, tokenizers and
 #: language models are beyond plain SQL; the tests hold those against brute force or the libraries.
@@ -88,4 +121,5 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(c
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
  CASE WHEN holder <> page_id THEN holder END AS refers_to
 FROM p LEFT JOIN o ON o.d = p.d AND n >= 1000""",
+    "op11_vector_codes": _lloyd(parts=4, entries=256, rounds=4),
 }
