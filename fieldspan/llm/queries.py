@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldspan.llm import byte_bpe, chat_format, decontaminate, graph_ann, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_files, vector_codes, warc
+from fieldspan.llm import byte_bpe, chat_format, conversation_repair, decontaminate, graph_ann, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_files, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,13 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("n_attachments", "attachment_tokens")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 _ALL = (
     op1_secret_scan, op2_ngram_join, op3_graph_ann, op4_substring_dedup, op5_benchmark_decontamination, op6_html_extract, op7_token_files, op8_byte_bpe, op9_warc, op10_language_id,
-    op11_vector_codes, op12_chat_format,
+    op11_vector_codes, op12_chat_format, op13_conversation_repair,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
