@@ -417,7 +417,9 @@ def _pieces(audit: str) -> Iterator[str]:
 
 
 def repaired(rows: DataFrame, costs: Costs = Costs(), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """A report per conversation of ``rows`` (conv_id, turn, role, text, gone; nulls only in conv_id, turn, and in rows that are gone)."""
+    """A report per conversation of ``rows`` (conv_id, turn, role, text, and ``gone`` for rows that only name it)."""
+    known = lambda c: F.when(~F.col("gone"), F.coalesce(c, F.lit(" "))).alias(c)
+    rows = rows.select("conv_id", "turn", known("role"), known("text"), "gone")
     first = written(_sorted_out(rows, costs, block_rows), "repairs")
     whole = first.where(F.col("cid").isNull()).select(*[c.split()[0] for c in _REPORT.split(", ")])
     moved = first.where(F.col("cid").isNotNull()).select("conv_id", "cid", *[c.split()[0] for c in _LONG_ROWS.split(", ")])
