@@ -141,4 +141,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length(er) + length(et) + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
 FROM e GROUP BY planted, conv_id""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+ given AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+ coded AS (SELECT given.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(id, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code FROM given CROSS JOIN tbl),
+ damaged AS (SELECT k, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM coded)),
+ placed AS (SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w AS prior, trim(text, E' \t\n\v\f\r') AS core FROM damaged WINDOW w AS (PARTITION BY k ORDER BY turn NULLS FIRST, role, text)),
+ fault AS (SELECT *, core = '' AS blank, core <> '' AND row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS double FROM placed),
+ m AS (SELECT *, NOT blank AND NOT double AND NOT regexp_matches(core, '[.!?]$') AS short FROM fault),
+ keep AS (SELECT * FROM (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) AS v(x, p, q)),
+ fits AS (SELECT * FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) AS v(p, q)),
+ more AS (SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (2, 3, 5, 'I'), (3, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')) AS v(p, q, c, a)),
+ edit AS (SELECT k, i, p, q, 2 AS c, 'D' AS a FROM m CROSS JOIN (SELECT p, p AS q FROM fits)
+  UNION ALL SELECT k, i, p, q, CASE WHEN short THEN 5 ELSE 0 END, 'K' FROM m JOIN keep ON x = role[1] WHERE NOT blank AND NOT double
+  UNION ALL SELECT k, i, p, q, CASE WHEN short THEN 6 ELSE 1 END, 'R' FROM m CROSS JOIN fits WHERE NOT blank AND NOT double),
+ dp AS (SELECT k, CAST(0 AS BIGINT) AS i, q, {'c': c, 'a': a} AS s FROM (SELECT DISTINCT k FROM given) CROSS JOIN more WHERE p = 0
+  UNION ALL SELECT k, i, q, min(s) FROM (SELECT edit.k AS k, edit.i AS i, more.q AS q, {'c': dp.s.c + edit.c + more.c, 'a': dp.s.a || edit.a || more.a} AS s
+   FROM dp JOIN edit ON edit.k = dp.k AND edit.i = dp.i + 1 AND edit.p = dp.q JOIN more ON more.p = edit.q) GROUP BY k, i, q),
+ total AS (SELECT k, coalesce(n, 0) AS n FROM (SELECT DISTINCT k FROM given) LEFT JOIN (SELECT k, count(*) AS n FROM m GROUP BY k) USING (k)),
+ best AS (SELECT k, min(s) AS s FROM dp JOIN total USING (k) WHERE i = n AND q IN (0, 3) GROUP BY k),
+ letter AS (SELECT k, j, s.a[j] AS e FROM (SELECT k, s, unnest(range(1, len(s.a) + 1)) AS j FROM best)),
+ step AS (SELECT k, j, e, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY j) AS i FROM letter),
+ final AS (SELECT step.k AS k, j, e, row_number() OVER (PARTITION BY step.k ORDER BY j) AS o, role, CASE WHEN e = 'I' THEN '' ELSE text END AS text, first_value(e = 'K' AND role[1] = 's') OVER (PARTITION BY step.k ORDER BY j) AS led FROM step LEFT JOIN m ON m.k = step.k AND m.i = step.i WHERE e <> 'D'),
+ said AS (SELECT k, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o) AS t FROM final GROUP BY k),
+ counts AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (double) AS duplicate, count(*) FILTER (short) AS truncated,
+  count(*) FILTER (i > 1 AND prior || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY k),
+ ids AS (SELECT DISTINCT k, conv_id FROM given)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+ CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(s.c AS BIGINT) AS cost, s.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ids JOIN best USING (k) LEFT JOIN said USING (k) LEFT JOIN counts USING (k)""",
 }
