@@ -137,15 +137,38 @@ class Spike(NamedTuple):
     anchors: float  #: distance of the two anchors' median
 
 
-def arbitrated(logs: np.ndarray, first: int, last: int, width: int = LOCAL) -> tuple[Spike, bool]:
-    """The distances of a stretch, and whether it counts: it is farther from the local level than its
-    anchors are, or there are under five values to tell."""
-    near = logs[max(0, first - width) : last + width + 1]
-    near = near[np.isfinite(near)]
-    level = float(np.median(near)) if len(near) else math.nan
-    off = abs(float(np.nanmedian(logs[first : last + 1])) - level)
-    anchors = abs((logs[first - 1] + logs[last + 1]) / 2 - level)
-    return Spike(first, last, level, off, anchors), len(near) < 5 or off > anchors
+def _windows(series: np.ndarray, before: int, width: int, n: int) -> np.ndarray:
+    """A row per place: the ``width`` values from ``before`` places earlier on, NaN beyond the ends."""
+    padded = np.concatenate([np.full(before, math.nan), series, np.full(width, math.nan)])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[:n]
+
+
+def _medians(windows: np.ndarray) -> np.ndarray:
+    """Row medians of the values that are there; NaN where none is."""
+    there = np.sort(windows, 1)  # NaN comes last
+    n = np.isfinite(there).sum(1)
+    row, middle = np.arange(len(there)), np.maximum(n - 1, 0)
+    return (there[row, middle // 2] + there[row, (middle + 1) // 2]) / 2 if there.shape[1] else np.full(len(there), math.nan)
+
+
+class Judged(NamedTuple):
+    """Stretches of one length, by their first place."""
+
+    level: np.ndarray
+    off: np.ndarray
+    anchors: np.ndarray
+    counts: np.ndarray  #: farther from the local level than the anchors, or under five values near
+
+
+def judged(logs: np.ndarray, length: int, width: int = LOCAL) -> Judged:
+    """What settles the stretches of ``length`` years that begin at each place; the first and last places have no anchors."""
+    n = len(logs)
+    near = _windows(logs, width, 2 * width + length, n)
+    level = _medians(near)
+    off = np.abs(_medians(_windows(logs, 0, length, n)) - level)
+    ends = _windows(logs, 1, length + 2, n)[:, [0, -1]]
+    anchors = np.abs(ends.mean(1) - level)
+    return Judged(level, off, anchors, (np.isfinite(near).sum(1) < 5) | (off > anchors))
 
 
 def spikes(years: np.ndarray, values: np.ndarray, up: float = UP, down: float = UP, plateau: float = PLATEAU, width: int = LOCAL) -> list[Spike]:
@@ -153,29 +176,29 @@ def spikes(years: np.ndarray, values: np.ndarray, up: float = UP, down: float =
 
     Left to right, the shortest stretch that fits first; the search goes on behind its last year. All
     years from anchor to anchor are consecutive with positive values, steps inside a stretch are
-    small, the steps into and out of it exceed ``up`` (or ``down``, if it lies below), and the stretch
-    passes ``arbitrated``.
+    small, the steps into and out of it exceed ``up`` (or ``down``, if it lies below), and ``judged`` counts it.
     """
-    ok = np.isfinite(values) & (values > 0)
-    logs = np.full(len(values), math.nan)
-    logs[ok] = np.log(values[ok])
+    n = len(values)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        logs = np.where(values > 0, np.log(np.where(values > 0, values, 1.0)), math.nan)
+    stepped = np.where(np.diff(years) == 1, np.diff(logs), math.nan)  # NaN where a year or a value is missing
+    step = _windows(stepped, 1, 4, n)  # into a place, and the three after
+    verdicts = {k: judged(logs, k, width) for k in (1, 2, 3)}
+    length = np.zeros(n, np.int64)
+    for k in (3, 2, 1):
+        into, out = step[:, 0], step[:, k]
+        least = np.where(into > 0, up, down)
+        small = (np.abs(step[:, 1:k]) < plateau).all(1)
+        fits = small & (np.sign(into) * np.sign(out) < 0) & (np.abs(into) > least) & (np.abs(out) > least)
+        length[fits & verdicts[k].counts] = k
     found: list[Spike] = []
-    i = 1
-    while i < len(years) - 1:
-        hit = 0
-        for n in (1, 2, 3):
-            a, b = i - 1, i + n
-            if b >= len(years) or not ok[a : b + 1].all() or years[b] - years[a] != n + 1:
-                break
-            into, out = logs[i] - logs[a], logs[b] - logs[b - 1]
-            level = all(abs(logs[k + 1] - logs[k]) < plateau for k in range(i, b - 1))
-            if level and into * out < 0 and min(abs(into), abs(out)) > (up if into > 0 else down):
-                spike, counts = arbitrated(logs, i, b - 1, width)
-                if counts:
-                    found.append(spike)
-                    hit = n
-                    break
-        i += hit or 1
+    behind = 0
+    for i in np.flatnonzero(length).tolist():
+        if i >= behind:
+            k = int(length[i])
+            v = verdicts[k]
+            found.append(Spike(i, i + k - 1, float(v.level[i]), float(v.off[i]), float(v.anchors[i])))
+            behind = i + k
     return found
 
 
@@ -188,28 +211,25 @@ def leading_run(years: np.ndarray, values: np.ndarray, mode: str = "decimal", be
     of the medians of core and off years; ``decimal`` takes it only near a power of ten, and that power.
     """
     at = np.flatnonzero(np.isfinite(values) & (values > 0))
-    none = np.zeros(0, np.int64)
+    nothing = np.zeros(0, np.int64), math.nan, "keep"
     if mode == "keep" or len(at) < 8:
-        return none, math.nan, "keep"
-    v, y = values[at], years[at]
-    logs = np.log(v)
-    found = None
-    for j in range(1, min(int((y < before).sum()), len(v) - 3) + 1):
-        if abs(logs[j] - logs[j - 1]) > step:
-            off = np.flatnonzero(np.abs(logs[:j] - math.log(np.median(v[j : j + 5]))) > step)
-            if len(off) and off[0] == 0:
-                found = off, float(np.median(v[j : j + 5]) / np.median(v[off]))
-    if found is None:
-        return none, math.nan, "keep"
-    off, factor = found
-    if mode == "na":
-        return at[off], math.nan, "null"
-    if mode == "rescale":
-        return at[off], factor, "rescale"
-    tens = math.log10(factor)
-    if abs(tens - round(tens)) <= DECADE_SLACK:
-        return at[off], 10.0 ** round(tens), "rescale"
-    return at[off], math.nan, "null"
+        return nothing
+    v = values[at]
+    logs, places = np.log(v), np.arange(len(v))
+    core = _medians(_windows(v, 0, 5, len(v)))
+    early = (places >= 1) & (places <= min(np.count_nonzero(years[at] < before), len(v) - 3))
+    far = (np.abs(logs[None, :] - np.log(core)[:, None]) > step) & (places[None, :] < places[:, None])  # a row per core's start
+    begins = early & (np.abs(np.diff(logs, prepend=logs[0])) > step) & far[:, 0]
+    if not begins.any():
+        return nothing
+    start = int(places[begins].max())
+    off = np.flatnonzero(far[start])
+    factor = float(core[start] / np.median(v[off]))
+    power = round(math.log10(factor))
+    if mode == "decimal":
+        factor = 10.0**power if abs(math.log10(factor) - power) <= DECADE_SLACK else math.nan
+    keeps = mode != "na" and factor == factor
+    return at[off], factor if keeps else math.nan, "rescale" if keeps else "null"
 
 
 def by_unit(df: DataFrame, columns: list[str], scanned: Callable[[int, dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
@@ -261,13 +281,29 @@ def scan(df: DataFrame, variables: tuple[str, ...], up: float = UP, down: float
     return by_unit(df, ["year", *variables], one, "unit int, var string, start int, end int, length int, level double, off double, anchors double")
 
 
-def spliced(df: DataFrame, detect: str, mode: str = "decimal", before: int = FIRST_FREE_YEAR) -> DataFrame:
-    """unit, year, action, factor, value_before, value_after of every year a leading run changes."""
+def spliced(df: DataFrame, detect: str, also: tuple[str, ...] = (), mode: str = "decimal", before: int = FIRST_FREE_YEAR) -> DataFrame:
+    """unit, year, var, action, factor, value_before, value_after of every value a leading run changes.
+
+    The run is found in ``detect``, a nominal series say; its years change there and in ``also``, by one factor.
+    """
 
     def one(unit: int, rows: dict[str, np.ndarray]) -> list[tuple]:
-        values = rows[detect].astype(float)
-        off, factor, action = leading_run(rows["year"], values, mode, before)
+        off, factor, action = leading_run(rows["year"], rows[detect].astype(float), mode, before)
         scaled = action == "rescale"
-        return [(unit, int(rows["year"][k]), action, factor if scaled else None, float(values[k]), float(values[k]) * factor if scaled else None) for k in off]
-
-    return by_unit(df, ["year", detect], one, "unit int, year int, action string, factor double, value_before double, value_after double")
+        out = []
+        for var in (detect, *also):
+            for k, value in zip(off.tolist(), rows[var][off].astype(float).tolist()):
+                known = value == value
+                out.append((unit, int(rows["year"][k]), var, action, factor if scaled else None, value if known else None, value * factor if scaled and known else None))
+        return out
+
+    return by_unit(df, ["year", detect, *also], one, "unit int, year int, var string, action string, factor double, value_before double, value_after double")
+
+
+def spliced_in(df: DataFrame, found: DataFrame) -> DataFrame:
+    """The series with the values that ``spliced`` gives; those it couldn't rescale are NULL."""
+    changed = found.groupBy("unit", "year").pivot("var", [c for c in df.columns if c not in ("unit", "year")])
+    new = changed.agg(F.first(F.struct("value_after")))
+    names = [c for c in new.columns if c not in ("unit", "year")]
+    joined = df.join(new.select("unit", "year", *[F.col(c).alias(f"_{c}") for c in names]), ["unit", "year"], "left")
+    return joined.select(*[F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(f"_{c}.value_after")).alias(c) if c in names else F.col(c) for c in df.columns])

@@ -111,30 +111,20 @@ def isoquant(target: float, grid: np.ndarray, held: np.ndarray, x1: np.ndarray,
     return out
 
 
-def informative_range(target: float, held: np.ndarray, x1: np.ndarray, x2: np.ndarray, others: np.ndarray, y: np.ndarray, steps: int = 40, probes: int = 60, flat: float = 1e-3) -> tuple[float, float]:
-    """First inputs between which the isoquant falls: the least feasible one, and where it turns flat.
+def informative_range(target: float, held: np.ndarray, x1: np.ndarray, x2: np.ndarray, others: np.ndarray, y: np.ndarray, flat: float = 1e-3, least: float = 1.05) -> tuple[float, float]:
+    """First inputs between which the isoquant falls: the least that makes ``target``, and where it turns flat.
 
-    The left end by halving on a log scale from half the least input seen; the right one is the first
-    of the probes up to the largest input that needs no more than ``flat`` above the least second
-    input, and at least 1.05 times the left end.
+    Both ends are programmes over the same mixes: the least first input with any second input, and
+    the least one whose mix needs at most ``flat`` more than the least second input of all. The right
+    end is at least ``least`` times the left one. NaN where no mix makes the target.
     """
-    value = lambda g: isoquant(target, np.array([g]), held, x1, x2, others, y)[0]
-    top = float(x1.max())
-    if np.isnan(value(top)):
+    makes, most = np.vstack([-y, *others.T, np.ones(len(y))]), np.concatenate([[-target], held, [1.0]])
+    fewest = lambda cost, rows, rhs: -solve(-cost, rows, rhs)[0]
+    low, floor = fewest(x1, makes, most), fewest(x2, makes, most)
+    if not np.isfinite(low) or not np.isfinite(floor):
         return np.nan, np.nan
-    low, high = float(x1.min()) * 0.5, top
-    for _ in range(steps):
-        mid = float(np.sqrt(low * high)) if low > 0 else high / 2
-        low, high = (low, mid) if not np.isnan(value(mid)) else (mid, high)
-        if high / max(low, 1e-12) < 1.001:
-            break
-    grid = np.geomspace(high, top, probes)
-    v = np.array(isoquant(target, grid, held, x1, x2, others, y))
-    ok = np.isfinite(v)
-    if ok.sum() < 2:
-        return high, top
-    level = np.flatnonzero(ok & (v <= v[ok].min() * (1 + flat) + 1e-12))
-    return high, max(float(grid[level[0]]), 1.05 * high)
+    high = fewest(x1, np.vstack([makes, x2]), np.append(most, floor * (1 + flat) + 1e-12))
+    return low, max(high if np.isfinite(high) else float(x1.max()), least * low)
 
 
 def is_vertex(points: np.ndarray, j: int) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspan.operators import cleaning as C
 from fieldspan.plans.registry import query, rounded
-from fieldspan.sources.tables import DIRTY_SQL, VARS, deflator, dirtied, panel, table
+from fieldspan.sources.tables import DIRTY_SQL, VARS, deflator, dirtied, hundredths, panel, table
 
 _NEAR = "year-py=1 AND ny-year=1"
 _SLIP = DIRTY_SQL + f""", n AS (SELECT *, lag(y) OVER w AS yp, lead(y) OVER w AS yn, lag(x_m) OVER w AS mp, lead(x_m) OVER w AS mn, lag(year) OVER w AS py, lead(year) OVER w AS ny FROM dirty WINDOW w AS (PARTITION BY unit ORDER BY year)),
@@ -117,13 +117,13 @@ def quarters(spark, d):
     """unit x quarter sums with planted spikes and leading runs: the scans need more than seven periods."""
     li = table(spark, d, "lineitem")
     q = (F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1
-    rows = li.groupBy(F.col("l_suppkey").cast("int").alias("unit"), q.cast("int").alias("year")).agg(F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).cast("decimal(18,4)")).cast("double").alias("y"), F.sum("l_quantity").alias("x_l"))
+    rows = li.groupBy(F.col("l_suppkey").cast("int").alias("unit"), q.cast("int").alias("year")).agg((F.sum(hundredths("l_extendedprice") * (100 - hundredths("l_discount"))) / 10000).alias("y"), F.sum("l_quantity").alias("x_l"))
     code = F.col("unit") * 31 + F.col("year")
     run = (F.col("unit") % 9 == 0) & (F.col("year") < 4)
     return rows.select("unit", "year", F.when(run, F.col("y") / 1000).when(code % 29 == 0, F.col("y") * 60).otherwise(F.col("y")).alias("y"), F.when(code % 31 == 7, F.col("x_l") / 200).otherwise(F.col("x_l")).alias("x_l"))
 
 
-_QUARTERS = """q0 AS (SELECT CAST(l_suppkey AS INT) AS unit, CAST((year(l_shipdate)-1995)*4+quarter(l_shipdate)-1 AS INT) AS year, CAST(sum(CAST(round(l_extendedprice*(1-l_discount),4) AS DECIMAL(18,4))) AS DOUBLE) AS y, sum(l_quantity) AS x_l FROM lineitem GROUP BY 1,2),
+_QUARTERS = """q0 AS (SELECT CAST(l_suppkey AS INT) AS unit, CAST((year(l_shipdate)-1995)*4+quarter(l_shipdate)-1 AS INT) AS year, CAST(sum(CAST(round(l_extendedprice*100) AS BIGINT)*(100-CAST(round(l_discount*100) AS BIGINT))) AS DOUBLE)/10000 AS y, sum(l_quantity) AS x_l FROM lineitem GROUP BY 1,2),
  q AS (SELECT unit, year, CASE WHEN unit%9=0 AND year<4 THEN y/1000 WHEN (unit*31+year)%29=0 THEN y*60 ELSE y END AS y, CASE WHEN (unit*31+year)%31=7 THEN x_l/200 ELSE x_l END AS x_l FROM q0)"""
 
 #: Places count from 1. Candidates of one to three years are judged first; the walk then skips what it has found.
@@ -150,7 +150,14 @@ _RUNS = _QUARTERS + """, s AS (SELECT unit, list(year ORDER BY year) AS t, list(
 
 @query("c05_leading_run_splice", f"WITH {_RUNS} SELECT unit, t[k] AS year, CASE WHEN factor IS NULL THEN 'null' ELSE 'rescale' END AS action, factor, round(v[k],4) AS value_before, round(v[k]*factor,4) AS value_after FROM run")
 def c05(spark, d):
-    return rounded(C.spliced(quarters(spark, d), "y", before=8), 4)
+    return rounded(C.spliced(quarters(spark, d), "y", before=8).drop("var"), 4)
+
+
+@query("c05b_two_series_splice", f"WITH {_RUNS}, c AS (SELECT unit, t[k] AS year, factor FROM run), q2 AS (SELECT unit, year, y, y/(1+0.01*year) AS z FROM q) SELECT q2.unit AS unit, q2.year AS year, round(CASE WHEN c.unit IS NULL THEN y WHEN factor IS NOT NULL THEN y*factor END,4) AS y, round(CASE WHEN c.unit IS NULL THEN z WHEN factor IS NOT NULL THEN z*factor END,4) AS z FROM q2 LEFT JOIN c ON c.unit=q2.unit AND c.year=q2.year")
+def c05b(spark, d):
+    """The run is found in the nominal series; both it and the deflated one are rescaled, or NULL."""
+    two = quarters(spark, d).select("unit", "year", "y", (F.col("y") / (1 + F.lit(0.01) * F.col("year"))).alias("z"))
+    return rounded(C.spliced_in(two, C.spliced(two, "y", ("z",), before=8)), 4)
 
 
 @query("c08_spike_scan", f"WITH {_SPIKES} SELECT unit, var, a AS start, b AS end, CAST(n AS INT) AS length FROM found")

@@ -207,7 +207,6 @@ def decay(spark, d):
         r = rows(spark, d)
         years = [x[0] for x in r.select("year").distinct().orderBy("year").collect()]
         fit, units = PF.fitted(r, F.ln("y"), {k: F.ln(k) for k in _IN}, years)
-        _decays.clear()
         _decays[key] = fit, units, ["const", *[k for k in _IN if k != _IN[0] or "constant" not in fit.model], *[f"y{t}" for t in years[1:]]]
     return _decays[key]
 

@@ -31,29 +31,35 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit, sid, region, year and five measures: one row per supplier and ship year.
 
     The queries meet the panel several times each (lags, shares, references), and it is small beside
-    the lines it sums, so it is kept, on disk where memory is short, until another folder is asked for.
+    the lines it sums, so it is kept, on disk where memory is short, until ``release``.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _held:
-        for (app, _), old in _held.items():
-            if app == key[0]:
-                old.unpersist()
-        _held.clear()
         _held[key] = _panel(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     return _held[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the panels that this session keeps."""
+    for key in [k for k in _held if k[0] == spark.sparkContext.applicationId]:
+        _held.pop(key).unpersist()
+
+
+def hundredths(column: str) -> Column:
+    """An amount with two decimals as a whole number: such sums are exact, and cheap."""
+    return F.round(F.col(column) * 100).cast("long")
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    price = F.col("l_extendedprice")
-    exact = lambda x: F.sum(F.round(x, 4).cast("decimal(18,4)")).cast("double")  # noqa: E731  products of two numbers with two decimals
+    price = hundredths("l_extendedprice")
     lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     sums = lines.groupBy(F.col("l_suppkey"), F.year("l_shipdate").cast("int").alias("year")).agg(
-        exact(price * (1 - F.col("l_discount"))).alias("y"),
+        (F.sum(price * (100 - hundredths("l_discount"))) / 10000).alias("y"),
         F.sum("l_quantity").alias("x_l"),
-        exact(price * F.col("l_tax")).alias("x_s"),
-        exact(F.col("p_retailprice")).alias("x_k"),
-        exact(price * F.col("l_discount")).alias("x_m"),
+        (F.sum(price * hundredths("l_tax")) / 10000).alias("x_s"),
+        (F.sum(hundredths("p_retailprice")) / 100).alias("x_k"),
+        (F.sum(price * hundredths("l_discount")) / 10000).alias("x_m"),
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     units = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -90,11 +96,13 @@ def deflator() -> Column:
 
 
 #: The same panels for DuckDB, as common table expressions.
-PANEL_SQL = """panel AS (
+PANEL_SQL = """lines AS (
+ SELECT l_suppkey, l_partkey, l_shipdate, l_quantity, CAST(round(l_extendedprice*100) AS BIGINT) AS price, CAST(round(l_discount*100) AS BIGINT) AS discount, CAST(round(l_tax*100) AS BIGINT) AS tax FROM lineitem),
+ panel AS (
  SELECT CAST(l_suppkey AS INT) AS unit, CAST(s_nationkey AS INT) AS sid, CAST(n_regionkey AS INT) AS region, CAST(year(l_shipdate) AS INT) AS year,
-  CAST(sum(CAST(round(l_extendedprice*(1-l_discount),4) AS DECIMAL(18,4))) AS DOUBLE) AS y, sum(l_quantity) AS x_l, CAST(sum(CAST(round(l_extendedprice*l_tax,4) AS DECIMAL(18,4))) AS DOUBLE) AS x_s,
-  CAST(sum(CAST(round(p_retailprice,4) AS DECIMAL(18,4))) AS DOUBLE) AS x_k, CAST(sum(CAST(round(l_extendedprice*l_discount,4) AS DECIMAL(18,4))) AS DOUBLE) AS x_m
- FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3,4)"""
+  CAST(sum(price*(100-discount)) AS DOUBLE)/10000 AS y, sum(l_quantity) AS x_l, CAST(sum(price*tax) AS DOUBLE)/10000 AS x_s,
+  CAST(sum(CAST(round(p_retailprice*100) AS BIGINT)) AS DOUBLE)/100 AS x_k, CAST(sum(price*discount) AS DOUBLE)/10000 AS x_m
+ FROM lines JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3,4)"""
 HOLES_SQL = PANEL_SQL + ", holes AS (SELECT * FROM panel WHERE (unit*7+year) % 11 <> 0)"
 DIRTY_SQL = PANEL_SQL + """, dirty AS (SELECT unit, sid, region, year,
  CASE WHEN (unit*31+year)%97=0 THEN y/10000 ELSE y END AS y,

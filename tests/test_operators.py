@@ -118,7 +118,14 @@ def test_a_programme_that_does_not_end_has_no_value(monkeypatch):
 def test_informative_range():
     x1, x2, y = np.array([1.0, 2.0, 4.0]), np.array([4.0, 2.0, 1.0]), np.array([1.0, 1.0, 1.0])
     low, high = lp.informative_range(1.0, np.zeros(0), x1, x2, np.zeros((3, 0)), y)
-    assert 1.0 <= low < 1.0011 and high == pytest.approx(4.0, rel=0.05)
+    # on the chord from (2, 2) to (4, 1), 1.001 of the second input needs 3.998 of the first
+    assert low == pytest.approx(1.0, abs=1e-9) and high == pytest.approx(3.998, abs=1e-6)
+    rng = np.random.default_rng(8)
+    x, out = rng.uniform(1, 5, (30, 3)), rng.uniform(1, 2, 30)
+    low, high = lp.informative_range(1.2, np.array([4.0]), x[:, 0], x[:, 1], x[:, 2:], out)
+    at = lambda g: lp.isoquant(1.2, np.array([g]), np.array([4.0]), x[:, 0], x[:, 1], x[:, 2:], out)[0]
+    assert math.isnan(at(low * 0.9999)) and at(low * 1.0001) > 0 and at(high * 1.0001) <= at(5.0) * 1.001 + 1e-9
+    assert high == pytest.approx(1.05 * low) or at(high * 0.999) > at(5.0) * 1.001
     assert math.isnan(lp.informative_range(2.0, np.zeros(0), x1, x2, np.zeros((3, 0)), y)[0])
 
 
@@ -160,8 +167,9 @@ def test_arbiter_keeps_good_years_between_bad_ones():
     v = np.array([94000, 93500, 94500, 95300, 19534, 98287, 113000, 15172, 84083, 94300, 94200, 94600], float)
     found = C.spikes(years, v)
     assert [(years[s.first], years[s.last]) for s in found] == [(2001, 2001), (2004, 2004)]
-    kept, counts = C.arbitrated(np.log(v), 5, 6)
-    assert not counts and kept.off < kept.anchors and all(s.off > s.anchors for s in found)
+    kept = C.judged(np.log(v), 2)
+    assert not kept.counts[5] and kept.off[5] < kept.anchors[5] and all(s.off > s.anchors for s in found)
+    assert kept.level[5] == pytest.approx(np.median(np.log(v[:12]))) and C.judged(np.log(v[3:7]), 1).counts[1]
 
 
 def test_leading_run():
@@ -181,6 +189,15 @@ def test_leading_run():
     assert at.tolist() == [0] and factor == 100.0 and action == "rescale"
 
 
+def test_splice_changes_both_series(spark):
+    rows = [(1, 1981 + i, 7.0 if i < 3 else 70000.0, 3.5 if i < 3 else 35000.0 if i != 5 else None) for i in range(12)] + [(2, 1981 + i, 300.0 if i < 3 else 70000.0, 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "unit int, year int, nominal double, real double")
+    found = C.spliced(df, "nominal", ("real",))
+    assert {(r.unit, r.year, r["var"], r.value_after) for r in found.collect()} == {(1, 1981 + i, v, x) for i in range(3) for v, x in (("nominal", 70000.0), ("real", 35000.0))} | {(2, 1981 + i, v, None) for i in range(3) for v in ("nominal", "real")}
+    out = {(r.unit, r.year): (r.nominal, r.real) for r in C.spliced_in(df, found).collect()}
+    assert out[1, 1982] == (70000.0, 35000.0) and out[1, 1986] == (70000.0, None) and out[2, 1981] == (None, None) and out[2, 1990] == (70000.0, 1.0) and len(out) == 24
+
+
 def test_scans_of_units_that_lie_in_several_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
