@@ -102,3 +102,14 @@ def peaks(values: list[float], prominence: float = 0.2, most: int = 3) -> list[i
 
 def running_order(pixel: str, order: str):
     return Window.partitionBy(pixel).orderBy(order)
+
+
+def area_zonal(cells: DataFrame, cover: DataFrame, value: str, weight: str, place: list[str], by: list[str], least: float = 1e-3) -> DataFrame:
+    """mean, weighted_mean and total over zones: cells count by the share of them that lies in the zone.
+
+    Cells without a value don't count; zones with less than ``least`` cells' area of values give no row.
+    """
+    rows = cells.where(F.col(value).isNotNull()).join(cover, place)
+    s, v, w = F.col("share"), F.col(value), F.col(weight)
+    sums = rows.groupBy(*by).agg(F.sum(s).alias("_s"), F.sum(s * w).alias("_w"), F.sum(s * v).alias("total"), F.sum(s * w * v).alias("_wv"))
+    return sums.where(F.col("_s") > least).select(*by, (F.col("total") / F.col("_s")).alias("mean"), (F.col("_wv") / F.nullif(F.col("_w"), F.lit(0.0))).alias("weighted_mean"), "total")
