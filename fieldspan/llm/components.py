@@ -38,23 +38,19 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[roots[own]]
 
 
-def _led(edges: DataFrame, by: list, held: list[DataFrame]) -> DataFrame:
-    """The edges with m, an aggregate over the edges of their a; a hub's edges are split over tasks."""
-    held.append(edges.groupBy("a").agg(*by).persist())
-    return looked_up(edges, held[-1], ["a"])
+def _led(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Stored edges with m, which ``least`` (written here, a row per node) gives for their a; a hub's edges are split over tasks."""
+    return looked_up(edges, written(least, "least"), ["a"])
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours, then each node, are led to the smallest node next to it."""
-    held: list[DataFrame] = []
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    large = _led(both, [F.least("a", F.min("b")).alias("m")], held).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    large = large.distinct().persist()
-    beside = _led(large, [F.min("b").alias("m")], held).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    out = written(beside.union(held[-1].select("a", F.col("m").alias("b"))).distinct(), "edges")
-    for df in (large, *held):
-        df.unpersist()
-    return out
+    led = _led(both, both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+    large = written(led.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    beside = _led(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return written(beside.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -34,6 +34,7 @@ from fieldspan.llm.wordhash import SPACE, Words, mix, rolling, whole_windows, wo
 WINDOW = 35
 GRAM = 10
 GROUP = 4096
+GROUP_BYTES = 16 << 20  #: most text of a group that is one tree, its contexts counted one by one
 _PLACE = np.uint64(28)
 _BATCH = 4 << 20
 
@@ -142,12 +143,13 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 w = words(data, off, SPACE)
                 gram, at, n = anchors(w, window)
                 doc = np.searchsorted(w.first, at, "right") - 1
+                size = w.end[np.minimum(at + n + window - 2, w.first[doc + 1] - 1)] - w.start[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(rows.column("k").to_numpy()[doc]), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["gram", "k", "lo", "n"],
+                    [pa.array(gram.view(np.int64)), pa.array(rows.column("k").to_numpy()[doc]), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(size.astype(np.int64))],
+                    ["gram", "k", "lo", "n", "bytes"],
                 )
 
-    return _keyed(docs).select("k", "text").mapInArrow(run, "gram long, k long, lo int, n int")
+    return _keyed(docs).select("k", "text").mapInArrow(run, "gram long, k long, lo int, n int, bytes long")
 
 
 _RANGE = "k long, doc_id long, start int, end int"
@@ -310,8 +312,10 @@ def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} words or more")
     rows = written(_anchor_rows(small_batches(docs), window), "anchors")
-    often = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "often")
-    few, many = often.where(F.col("times") <= group), often.where(F.col("times") > group)
+    small = (F.count(F.lit(1)) <= group) & (F.sum("bytes") <= GROUP_BYTES)
+    often = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), small.alias("small")).where("times > 1"), "often")
+    few, many = often.where("small"), often.where("not small")
+    rows = rows.drop("bytes")
     out = _subtrees(_contexts(docs, looked_up(rows, few.select("gram"), ["gram"]), window), window)
     out = out.select("k", "doc_id", F.array(F.struct("start", "end")).alias("ranges"))
     if many.limit(1).count():
@@ -321,7 +325,9 @@ def covered(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFr
 
 def _with_ranges(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """Documents, or the named columns of them, with the ranges found under their k."""
-    by_doc = written(found.groupBy("k").agg(F.collect_list(F.struct("doc_id", "ranges")).alias("found")), "by_doc")
+    # rows equal in doc_id and text have equal ranges: a set holds one document's, however many rows there are
+    each = found.select("k", "doc_id", F.explode("ranges").alias("r")).select("k", F.struct("doc_id", "r.start", "r.end").alias("r"))
+    by_doc = written(each.groupBy("k").agg(F.collect_set("r").alias("found")), "by_doc")
     key, name, hit = (free(c, columns) for c in ("k", "found", "hit"))
     rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).select(*columns, key) if columns else _keyed(docs)
     rows, by_doc = marked(rows, key, by_doc.select("k"), hit), by_doc.toDF(key, name)
@@ -335,8 +341,7 @@ def _mask(found: list[dict] | None, doc: int | None, n: int) -> np.ndarray | Non
     mark = np.zeros(n, bool)
     for f in found:
         if f["doc_id"] == doc:
-            for r in f["ranges"]:
-                mark[r["start"] : r["end"]] = True
+            mark[f["start"] : f["end"]] = True
     return mark
 
 

@@ -38,6 +38,25 @@ def test_against_brute_force(spark, docs_of, seed, group):
     assert sorted((tuple(r) for r in D.digest(docs_of(rows), group=group).collect()), key=repr) == brute(rows)
 
 
+def test_ranges_of_equal_rows_are_one_set_and_very_long_texts(spark, docs_of):
+    text = " ".join(f"e{i % 50}" for i in range(60))
+    few = docs_of([(7, text)] * 30)
+    seen = [D._with_ranges(docs, D.covered(docs)).select("found").collect() for docs in (few, docs_of([(7, text)] * 300))]
+    assert {len(r.found) for rows in seen for r in rows} == {len(seen[0][0].found)} and len(seen[1]) == 300
+    long_words = " ".join("y" * 40_000 + str(i) for i in range(40))
+    random.seed(11)
+    very_long = " ".join(random.choice(["a", "b", "c", *map(str, range(3000))]) for _ in range(60_000))
+    rows = [(1, very_long), (2, very_long[:50_000] + " z"), (3, long_words), (4, long_words + " q"), (5, text), *[(6, text)] * 40, (8, "y" * 3_000_000)]
+    assert sorted((tuple(r) for r in D.digest(docs_of(rows)).collect()), key=repr) == brute(rows)
+
+
+def test_groups_beyond_a_tree_by_bytes(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(D, "GROUP_BYTES", 500)
+    passage = " ".join(f"w{i}" for i in range(45))
+    rows = [(i, f"x{i} {passage} y{i % 3}") for i in range(12)] + [(20, passage + " " + passage)]
+    assert sorted((tuple(r) for r in D.digest(docs_of(rows)).collect()), key=repr) == brute(rows)
+
+
 def test_cut_keeps_columns_and_untouched_texts(spark, docs_of, empty_docs):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"a  {passage} b"), (2, f"{passage}"), (3, "left  as it is"), (4, None)]
