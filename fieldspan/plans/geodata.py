@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fieldspan.functions.expr import half_month
 from fieldspan.operators import geometry as G, weather as W
 from fieldspan.plans.registry import query, rounded
+from fieldspan.sources.arrays import extend_arrays, read_arrays, write_arrays
+from fieldspan.sources.netcdf import read_netcdf, write_netcdf
 from fieldspan.sources.rasters import read_rasters, write_rasters
 from fieldspan.sources.shapes import read_shapes, write_shapes
-from fieldspan.sources.tables import hundredths, stage_path, table
+from fieldspan.sources.stata import read_stata, write_stata
+from fieldspan.sources.tables import HOLES_SQL, PANEL_SQL, hundredths, panel, stage_path, table, with_holes
 
 #: Twelve directions, clockwise, each of length one.
 DIRECTIONS = [(1.0, 0.0), (0.8, -0.6), (0.6, -0.8), (0.0, -1.0), (-0.6, -0.8), (-0.8, -0.6), (-1.0, 0.0), (-0.8, 0.6), (-0.6, 0.8), (0.0, 1.0), (0.6, 0.8), (0.8, 0.6)]
@@ -126,3 +130,59 @@ def s06b(spark, d):
     zonal = W.area_zonal(back, cover(spark, d), "v", "w", ["col", "row"], ["code", "year"])
     valid = back.join(cover(spark, d), ["col", "row"]).groupBy("code", "year").agg(F.sum("share").alias("valid"))
     return rounded(zonal.join(valid, ["code", "year"]).select("code", "year", F.col("mean").alias("pct"), "valid"), 5)
+
+
+_DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS time, CAST(o_custkey%4 AS INT) AS row, CAST(o_orderkey%3 AS INT) AS col, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT)//count(*) AS v FROM orders GROUP BY 1,2,3)"
+
+
+def daily(spark, d) -> DataFrame:
+    """time, row, col and value (whole numbers) of cells by order date; many cells have no row on a day."""
+    o = table(spark, d, "orders")
+    rows = o.groupBy(F.col("o_orderdate").cast("date").alias("time"), (F.col("o_custkey") % 4).cast("int").alias("row"), (F.col("o_orderkey") % 3).cast("int").alias("col")).agg(F.sum(hundredths("o_totalprice")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return rows.select("time", "row", "col", F.expr("cast(s div n as double)").alias("value"))
+
+
+@query("s08b_netcdf_half_months", f"WITH {_DAILY}, y AS (SELECT row, col, year(time) AS year, CAST((month(time)-1)*2+CAST(day(time)>15 AS INT) AS INT) AS hm, sum(v)//count(*) AS v FROM daily GROUP BY 1,2,3,4) SELECT round(5-0.25*(row+0.5),6) AS lat, round(70+0.25*(col+0.5),6) AS lon, hm, CAST(sum(v) AS DOUBLE) AS total, count(*) AS years FROM y GROUP BY row, col, hm")
+def s08b(spark, d):
+    """Daily grids in a file a year, read back in slabs of a few days; means by half-month of each year, summed over years."""
+    path = stage_path(spark, "netcdf")
+    write_netcdf(daily(spark, d).withColumn("file", F.year("time").cast("string")), path, "price", 4, 3, left=70.0, top=5.0, cell=0.25)
+    back = read_netcdf(spark, path, "price", 96 * 50).where("value is not null")
+    years = back.groupBy("lat", "lon", F.year("time").alias("year"), half_month("time").alias("hm")).agg(F.expr("cast(sum(value) as bigint) div count(1)").alias("v"))
+    out = years.groupBy("lat", "lon", "hm").agg(F.sum("v").cast("double").alias("total"), F.count(F.lit(1)).alias("years"))
+    return out.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "hm", "total", "years")
+
+
+@query("s01b_stata_base_panel", f"WITH {HOLES_SQL}, a AS (SELECT unit, year, y FROM holes WHERE unit%5<>0), b AS (SELECT unit, year, x_m, CASE WHEN year<>1998 THEN x_l END AS x_l FROM holes WHERE (unit+year)%4<>0) SELECT coalesce(a.unit,b.unit) AS unit, coalesce(a.year,b.year) AS year, round(y,4) AS y, round(x_l,4) AS x_l, s_name AS name FROM a FULL JOIN b ON a.unit=b.unit AND a.year=b.year JOIN supplier ON s_suppkey=coalesce(a.unit,b.unit)")
+def s01b(spark, d):
+    """Two accounts in Stata files, scanned with the columns that are needed, and joined in full."""
+    rows = with_holes(panel(spark, d)).join(table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("unit"), F.col("s_name").alias("name")), "unit")
+    one, two = stage_path(spark, "account"), stage_path(spark, "inputs")
+    write_stata(rows.where("unit % 5 <> 0").select("unit", "year", "sid", "y", "name"), one)
+    write_stata(rows.where("(unit + year) % 4 <> 0").select("unit", "year", "name", "x_m", F.when(F.col("year") != 1998, F.col("x_l")).alias("x_l")), two)
+    a, b = read_stata(spark, one, ["unit", "year", "y", "name"], 2000), read_stata(spark, two, ["unit", "year", "x_l", "name"], 2000)
+    both = a.withColumnRenamed("name", "n1").join(b.withColumnRenamed("name", "n2"), ["unit", "year"], "full")
+    return rounded(both.select("unit", "year", "y", "x_l", F.coalesce("n1", "n2").alias("name")), 4)
+
+
+@query("s15b_stata_sink", f"WITH {PANEL_SQL} SELECT unit, year, sid, round(y,4) AS y, CASE WHEN year%2=0 THEN round(x_k,4) END AS x_k FROM panel")
+def s15b(spark, d):
+    """The panel as Stata files, with the same values and missing ones when read again."""
+    path = stage_path(spark, "stata")
+    write_stata(panel(spark, d).select("unit", "year", "sid", "y", F.when(F.col("year") % 2 == 0, F.col("x_k")).alias("x_k")), path)
+    return rounded(read_stata(spark, path), 4)
+
+
+_QUARTERLY = "quarterly AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS file, CAST(quarter(l_shipdate)-1 AS INT) AS layer, CAST(l_orderkey%40*2+l_linenumber//2%2 AS INT) AS row, CAST(l_partkey%70*2+l_linenumber%2 AS INT) AS col, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1,2,3,4)"
+
+
+@query("s16b_array_archives", f"WITH {_QUARTERLY} SELECT file, layer, row, col, value FROM quarterly WHERE row>=10 AND row<50 AND col>=20 AND col<100")
+def s16b(spark, d):
+    """Layers by quarter in an archive a year; later years are added to the folder; a window is read from the chunks that it meets."""
+    li = table(spark, d, "lineitem")
+    row, col = F.col("l_orderkey") % 40 * 2 + F.floor(F.col("l_linenumber") / 2) % 2, F.col("l_partkey") % 70 * 2 + F.col("l_linenumber") % 2
+    rows = li.groupBy(F.year("l_shipdate").cast("string").alias("file"), (F.quarter("l_shipdate") - 1).alias("layer"), row.cast("int").alias("row"), col.cast("int").alias("col")).agg(F.sum("l_quantity").alias("value")).withColumn("name", F.lit("quantity"))
+    path = stage_path(spark, "arrays")
+    write_arrays(rows.where("file < '1998'"), path, 4, 32)
+    extend_arrays(rows.withColumn("value", F.when(F.col("file") >= "1998", F.col("value")).otherwise(-1.0)), path, 4, 32)
+    return read_arrays(spark, path, ["quantity"], (10, 50, 20, 100)).where("value is not null").drop("name")
