@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldspan.functions.expr import col
+from fieldspan.operators import spread
 
 PARTS = 16
 
@@ -118,7 +119,7 @@ def malmquist(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def bins_by_width(df: DataFrame, value_: str, n: int, by: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """0-based ``bin`` of n equal widths between two percentiles of each group, ends moved in."""
-    q = df.groupBy(*by).agg(F.percentile(value_, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = spread.quantiles(df, value_, by, [low, high]).withColumnRenamed("q", "_q")
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     k = F.floor((F.col(value_) - lo) / F.nullif((hi - lo) / n, F.lit(0.0)))
     return df.join(q, by).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(n - 1), k.cast("int")))).drop("_q")
@@ -127,8 +128,15 @@ def bins_by_width(df: DataFrame, value_: str, n: int, by: list[str], low: float
 def quantile_points(df: DataFrame, x: str, y: str, by: list[str], alpha: float = 0.95, bins: int = 20, least: int = 30) -> DataFrame:
     """Median ln x and alpha-quantile of ln y of each bin with ``least`` rows or more."""
     rows = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(*by, F.ln(x).alias("lx"), F.ln(y).alias("ly"))
-    b = bins_by_width(rows, "lx", bins, by).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.median("lx").alias("lx"), F.percentile("ly", F.lit(alpha)).alias("ly"))
-    return b.where(F.col("n") >= least)
+    return quantile_of_bins(bins_by_width(rows, "lx", bins, by), [*by, "bin"], "lx", "ly", alpha).where(F.col("n") >= least)
+
+
+def quantile_of_bins(rows: DataFrame, by: list[str], x: str, y: str, alpha: float) -> DataFrame:
+    """by, n, the median of x and the alpha-quantile of y; in one aggregation where no bin is too large for it."""
+    if spread.largest(rows, by) <= spread.MOST:
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(x).alias(x), F.percentile(y, F.lit(alpha)).alias(y))
+    first, second = (spread.quantiles(rows, c, by, [p]).select(*by, F.col("q")[0].alias(c)) for c, p in ((x, 0.5), (y, alpha)))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(first, by).join(second, by)
 
 
 def quantile_frontier(df: DataFrame, x: str, y: str, by: list[str], alpha: float = 0.95, bins: int = 20, least: int = 30) -> DataFrame:
@@ -138,8 +146,9 @@ def quantile_frontier(df: DataFrame, x: str, y: str, by: list[str], alpha: float
 
 
 def pareto_chain(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(a, b).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_m", F.min(b).over(w)).where(F.col("_m").isNull() | (F.col(b) < F.col("_m") - 1e-15)).drop("_m")
+    """Rows with less b than all that have less a (or as much, and come before)."""
+    rows = spread.running(df, b, by, [a, b], "_m", "min", own=False)
+    return rows.where(F.col("_m").isNull() | (F.col(b) < F.col("_m") - 1e-15)).drop("_m")
 
 
 def lower_hull(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

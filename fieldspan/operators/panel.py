@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldspan.functions.expr import col
+from fieldspan.operators import spread
 
 
 def positive_sample(df: DataFrame, variables: tuple[str, ...], flag: str | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def adjacent_change(df: DataFrame, value: Column | str, unit: str = "unit", year
 
 def winsorized(df: DataFrame, value: str, group: str = "year", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values moved to the group's percentiles; the group's two numbers are joined back, so no group sits in one window."""
-    ends = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    ends = spread.quantiles(df, value, [group], [low, high]).withColumnRenamed("q", "_q")
     return df.join(ends, group).withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
@@ -51,18 +52,13 @@ def rolling(value: Column | str, kind: str, radius: int, least: int, order) -> C
 
 def percent_rank_mean_ties(df: DataFrame, value: str, group: str, name: str) -> DataFrame:
     """Share of the group's values below or equal, ties at their average rank; NULLs have none."""
-    w = Window.partitionBy(group)
-    rank = F.rank().over(w.orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(group, value))
-    ranked = df.where(F.col(value).isNotNull()).withColumn(name, (rank + (ties - 1) / 2) / F.count(F.lit(1)).over(w))
-    return ranked
+    return spread.percent_rank(df, value, [group], name)
 
 
 def edges(df: DataFrame, value: str, n: int, by: list[str] | None = None) -> DataFrame:
     """Distinct quantile edges of n bins as the array ``edges``."""
-    points = F.array(*[F.lit(k / n) for k in range(n + 1)])
-    q = F.percentile(value, points)
-    return (df.groupBy(*by) if by else df.groupBy()).agg(F.array_sort(F.array_distinct(q)).alias("edges"))
+    found = spread.quantiles(df, value, by or [], [k / n for k in range(n + 1)])
+    return found.select(*(by or []), F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
 def left_closed_bin(value: Column | str, e: Column) -> Column:
@@ -75,7 +71,3 @@ def right_closed_bin(value: Column | str, e: Column) -> Column:
     """0-based bin with (a, b] edges, the first closed."""
     k = F.size(F.filter(e, lambda x: x < col(value))) - 1
     return F.greatest(F.lit(0), k).cast("int")
-
-
-def running_max(value: Column | str, order) -> Column:
-    return F.max(col(value)).over(order.rowsBetween(Window.unboundedPreceding, 0))

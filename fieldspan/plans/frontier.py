@@ -175,7 +175,7 @@ def f23(spark, d):
     b = O.bins_by_width(s, "lx", 4, ["all"], 0.01, 0.99).withColumnRenamed("bin", "xi")
     b = O.bins_by_width(b, "w", 3, ["all"], 0.01, 0.99).withColumnRenamed("bin", "wi")
     z = b.groupBy("wi", "xi").agg(F.percentile("ly", F.lit(0.9)).alias("z"), F.count(F.lit(1)).alias("n")).where("n >= 4")
-    return z.select("wi", "xi", "n", F.round(P.running_max("z", Window.partitionBy("wi").orderBy("xi")), 8).alias("z"))
+    return z.select("wi", "xi", "n", F.round(F.max("z").over(Window.partitionBy("wi").orderBy("xi").rowsBetween(Window.unboundedPreceding, 0)), 8).alias("z"))
 
 
 _WB = "s AS (SELECT x_k/x_l AS w, ln(y) AS ly FROM panel), q AS (SELECT list_sort(list_distinct(quantile_cont(w,[0.0,0.2,0.4,0.6,0.8,1.0]))) AS e FROM s), b AS (SELECT CAST(greatest(0,least(len(list_filter(e, lambda x: x <= w))-1, len(e)-2)) AS INT) AS bin, w, ly FROM s CROSS JOIN q), k AS (SELECT bin, median(w) AS w, quantile_cont(ly,0.9) AS q90, count(*) AS n FROM b GROUP BY bin HAVING count(*)>=5)"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window, functions as F
 
 from fieldspan.functions.expr import circular_month, clip, half_month, inside, log_positive, ratio, significant
-from fieldspan.operators import index as I, panel as P
+from fieldspan.operators import index as I, panel as P, spread
 from fieldspan.plans.registry import query, rounded
 from fieldspan.sources.tables import DIRTY_SQL, HOLES_SQL, PANEL_SQL, VARS, deflator, dirtied, panel, table, with_holes
 
@@ -228,7 +228,7 @@ def a08(spark, d):
 @query("a09_quantile_vector", f"WITH {PANEL_SQL} SELECT year, round(quantile_cont(y,0.1),6) AS p10, round(quantile_cont(y,0.25),6) AS p25, round(quantile_cont(y,0.5),6) AS p50, round(quantile_cont(y,0.75),6) AS p75, round(quantile_cont(y,0.9),6) AS p90 FROM panel GROUP BY year")
 def a09(spark, d):
     at = (0.1, 0.25, 0.5, 0.75, 0.9)
-    q = panel(spark, d).groupBy("year").agg(F.percentile("y", F.array(*map(F.lit, at))).alias("q"))
+    q = spread.quantiles(panel(spark, d), "y", ["year"], list(at))
     return q.select("year", *[F.round(F.col("q")[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(at)])
 
 
@@ -382,7 +382,7 @@ def t05(spark, d):
 @query("t06_decile_comparison", f"WITH {PANEL_SQL}, q AS (SELECT year, quantile_cont(y,0.9) AS hi, quantile_cont(y,0.1) AS lo FROM panel GROUP BY year) SELECT panel.year AS year, round(avg(CASE WHEN y >= hi THEN x_m/y END),8) AS top, round(avg(CASE WHEN y <= lo THEN x_m/y END),8) AS bottom FROM panel JOIN q ON panel.year = q.year GROUP BY panel.year")
 def t06(spark, d):
     rows = panel(spark, d)
-    q = rows.groupBy("year").agg(F.percentile("y", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    q = spread.quantiles(rows, "y", ["year"], [0.1, 0.9])
     r = ratio("x_m", "y")
     return rows.join(q, "year").groupBy("year").agg(F.round(F.avg(F.when(F.col("y") >= F.col("q")[1], r)), 8).alias("top"), F.round(F.avg(F.when(F.col("y") <= F.col("q")[0], r)), 8).alias("bottom"))
 

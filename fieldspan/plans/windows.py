@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from fieldspan.functions.expr import half_month, log_positive
-from fieldspan.operators import panel as P
+from fieldspan.operators import panel as P, spread
 from fieldspan.plans.headline import GROWTH_SQL
 from fieldspan.plans.registry import query, rounded
 from fieldspan.sources.tables import DIRTY_SQL, HOLES_SQL, PANEL_SQL, dirtied, panel, table, with_holes
@@ -49,15 +49,14 @@ def w09(spark, d):
 
 @query("w10_running_max", f"WITH {PANEL_SQL} SELECT unit, year, max(y) OVER (PARTITION BY year ORDER BY x_l, unit ROWS UNBOUNDED PRECEDING) AS top FROM panel")
 def w10(spark, d):
-    return panel(spark, d).select("unit", "year", P.running_max("y", Window.partitionBy("year").orderBy("x_l", "unit")).alias("top"))
+    return spread.running(panel(spark, d), "y", ["year"], ["x_l", "unit"], "top").select("unit", "year", "top")
 
 
 @query("w11_running_min_chain", f"WITH {PANEL_SQL}, a AS (SELECT unit, year, x_l/y AS a, x_m/y AS b FROM panel), m AS (SELECT *, min(b) OVER (PARTITION BY year ORDER BY a, b, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a) SELECT unit, year, round(a,10) AS a, round(b,10) AS b FROM m WHERE before IS NULL OR b < before - 1e-15")
 def w11(spark, d):
-    w = Window.partitionBy("year").orderBy("a", "b", "unit").rowsBetween(Window.unboundedPreceding, -1)
     rows = panel(spark, d).select("unit", "year", (F.col("x_l") / F.col("y")).alias("a"), (F.col("x_m") / F.col("y")).alias("b"))
-    before = F.min("b").over(w)
-    return rounded(rows.withColumn("_m", before).where(F.col("_m").isNull() | (F.col("b") < F.col("_m") - 1e-15)).drop("_m"), 10)
+    rows = spread.running(rows, "b", ["year"], ["a", "b", "unit"], "_m", "min", own=False)
+    return rounded(rows.where(F.col("_m").isNull() | (F.col("b") < F.col("_m") - 1e-15)).drop("_m"), 10)
 
 
 @query("w12_priority_dedupe", f"WITH {DIRTY_SQL}, k AS (SELECT unit//2 AS target, *, row_number() OVER (PARTITION BY unit//2, year ORDER BY CAST(x_m IS NULL AS INT), unit) AS r FROM dirty) SELECT CAST(target AS BIGINT) AS target, year, unit, round(x_m,6) AS x_m FROM k WHERE r = 1")
@@ -103,10 +102,12 @@ def w17(spark, d):
 @query("w18_log_width_bins", f"WITH {PANEL_SQL}, q AS (SELECT quantile_cont(ln(x_k),0.005) AS lo, quantile_cont(ln(x_k),0.995) AS hi FROM panel), b AS (SELECT greatest(0, least(19, CAST(floor((ln(x_k)-lo)/((hi-lo)/20)) AS INT))) AS bin, ln(x_k) AS lx FROM panel CROSS JOIN q) SELECT bin, CAST(count(*) AS BIGINT) AS n, round(median(lx),8) AS med FROM b GROUP BY bin")
 def w18(spark, d):
     rows = panel(spark, d).withColumn("lx", log_positive("x_k"))
-    q = rows.agg(F.percentile("lx", F.array(F.lit(0.005), F.lit(0.995))).alias("q"))
+    q = spread.quantiles(rows, "lx", [], [0.005, 0.995])
     lo, hi = F.col("q")[0], F.col("q")[1]
     k = F.greatest(F.lit(0), F.least(F.lit(19), F.floor((F.col("lx") - lo) / ((hi - lo) / 20)).cast("int")))
-    return rows.join(F.broadcast(q)).groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("lx"), 8).alias("med"))
+    binned = rows.join(F.broadcast(q)).select(k.alias("bin"), "lx")
+    middle = spread.quantiles(binned, "lx", ["bin"], [0.5]).select("bin", F.round(F.col("q")[0], 8).alias("med"))
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).join(middle, "bin")
 
 
 @query("w19_quantile_classes", f"WITH {GROWTH_SQL}, m AS (SELECT unit, avg(dln) AS g FROM growth GROUP BY unit), q AS (SELECT {_EDGES.format(v='g')} AS e FROM m), c AS (SELECT greatest(0, least(len(list_filter(e, lambda x: x <= g))-1, len(e)-2)) AS k, e FROM m CROSS JOIN q) SELECT CAST(k AS INT) AS k, CASE WHEN k=0 THEN '< ' || printf('%.2f', 100*e[2]) WHEN k=len(e)-2 THEN '>= ' || printf('%.2f', 100*e[len(e)-1]) ELSE printf('%.2f', 100*e[k+1]) || ' to ' || printf('%.2f', 100*e[k+2]) END AS label, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY k, label")
