@@ -1,19 +1,23 @@
 """Production frontiers with one input: concave hulls, quantile frontiers, efficiency and Malmquist.
 
-Hulls and skylines are found in two rounds: of salted parts of a group, then of what the parts
-leave. Both are exact, as a vertex of the whole is one of its part, and the second round sees few rows.
+Hulls are found in two rounds: of salted parts of a group, then of what the parts leave. That is exact,
+as a vertex of the whole is one of its part, and few rows are left. Skylines leave many rows where there
+are several inputs; those of large groups meet in pairs of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldspan.functions.expr import col
 from fieldspan.operators import spread
+from fieldspan.sources.tables import cached, stage_path
 
 PARTS = 16
+SLACK = 1e-9  #: of comparisons between points
+BLOCK = 4_000  #: points of a skyline's block
 
 
 def concave(x: np.ndarray, y: np.ndarray, form: str = "nirs") -> np.ndarray:
@@ -40,16 +44,35 @@ def concave(x: np.ndarray, y: np.ndarray, form: str = "nirs") -> np.ndarray:
     return np.array(top, np.int64)
 
 
-def skyline(x: np.ndarray, y: np.ndarray, slack: float = 1e-9) -> np.ndarray:
-    """True for points that no other beats: as much output from as little of every input."""
-    order = np.lexsort((np.arange(len(y)), x.sum(1), -y))
-    kept: list[int] = []
-    for i in order.tolist():
-        if kept:
-            k = np.array(kept)
-            if ((y[k] >= y[i] - slack) & (x[k] <= x[i] + slack).all(1)).any():
-                continue
-        kept.append(i)
+def _in_order(x: np.ndarray, y: np.ndarray, ties: list[np.ndarray]) -> np.ndarray:
+    """Places from the most output on; of equal output the least inputs first, then ``ties``: only earlier points can beat later ones."""
+    return np.lexsort((*ties[::-1], *x.T[::-1], x.sum(1), -y))
+
+
+def beaten(x: np.ndarray, y: np.ndarray, by_x: np.ndarray, by_y: np.ndarray, slack: float = SLACK, most: int = 1 << 22) -> np.ndarray:
+    """True for points that one of the others beats: as much output from as little of every input."""
+    out = np.zeros(len(y), bool)
+    step = max(1, most // max(1, len(by_y)))
+    for a in range(0, len(y), step):
+        wins = by_y[None, :] >= y[a : a + step, None] - slack
+        for k in range(x.shape[1]):
+            wins &= by_x[None, :, k] <= x[a : a + step, k, None] + slack
+        out[a : a + step] = wins.any(1)
+    return out
+
+
+def skyline(x: np.ndarray, y: np.ndarray, slack: float = SLACK, ties: list[np.ndarray] | None = None, step: int = 64) -> np.ndarray:
+    """True for points that no other beats; of equal points the first of ``ties`` stays."""
+    order = _in_order(x, y, ties if ties is not None else [np.arange(len(y))])
+    kept = np.zeros(0, np.int64)
+    for a in range(0, len(order), step):
+        new = order[a : a + step]
+        new = new[~beaten(x[new], y[new], x[kept], y[kept], slack)] if len(kept) else new
+        own: list[int] = []
+        for i in new.tolist():
+            if not own or not beaten(x[[i]], y[[i]], x[own], y[own], slack)[0]:
+                own.append(i)
+        kept = np.concatenate([kept, np.array(own, np.int64)])
     out = np.zeros(len(y), bool)
     out[kept] = True
     return out
@@ -77,8 +100,51 @@ def vertices(df: DataFrame, by: list[str], x: str, y: str, form: str = "nirs", k
     return _two_rounds(df.where((F.col(x) > 0) & (F.col(y) > 0)), by, choose, [x, y, *keep])
 
 
-def non_dominated(df: DataFrame, by: list[str], inputs: list[str], y: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return _two_rounds(df, by, lambda rows: skyline(rows[inputs].to_numpy(float), rows[y].to_numpy(float)), [*inputs, y, *keep])
+def non_dominated(df: DataFrame, by: list[str], inputs: list[str], y: str, keep: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """The points of each group that no other beats (by, inputs, y, keep); of equal ones the first by ``keep`` stays.
+
+    Parts of a group prune themselves first. What they leave is one block, or, in a larger group, blocks
+    of neighbouring outputs: a block meets those of as much output or more whose least inputs can beat
+    it, pair by pair, and points that none of them beats stay.
+    """
+    names = [*inputs, y, *keep]
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"{c} {fields[c]}" for c in [*by, *names])
+
+    def choose(rows: pd.DataFrame) -> np.ndarray:
+        return skyline(rows[inputs].to_numpy(float), rows[y].to_numpy(float), ties=[rows[c].to_numpy() for c in keep] or None)
+
+    if spread.largest(df, by) <= block:
+        return _two_rounds(df, by, choose, names)
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.loc[choose(rows), [*by, *names]]
+
+    parts = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / (block / 2)).alias("_parts"))
+    dealt = df.select(*by, *names).join(parts, by).withColumn("_part", F.pmod(F.xxhash64(*names), F.col("_parts"))).drop("_parts")
+    left = cached(df.sparkSession, stage_path(df.sparkSession, "skyline"), lambda: dealt.groupBy(*by, "_part").applyInPandas(own, schema))
+    rows = spread.bucketed(left, y, by)
+    before = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor((F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - 1) / (block / 2))).drop("_n")
+    rows = rows.join(before, [*by, "_b"]).drop("_b")
+    box = rows.groupBy(*by, "_block").agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(inputs) for n, f in (("least", F.min), ("most", F.max))])
+    other = box.select(*by, F.col("_block").alias("_by"), *[F.col(f"_least{i}").alias(f"_few{i}") for i in range(len(inputs))])
+    can = F.col("_by") >= F.col("_block")  # more output comes first, and equal outputs are in one block
+    for i in range(len(inputs)):
+        can &= F.col(f"_few{i}") <= F.col(f"_most{i}") + SLACK
+    pairs = box.join(other, by).where(can).select(*by, "_block", "_by")
+
+    def met(asked: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
+        if len(asked) and asked["_block"].iloc[0] == asked["_by"].iloc[0]:
+            return asked.loc[~choose(asked), [*by, *names]]
+        lost = beaten(asked[inputs].to_numpy(float), asked[y].to_numpy(float), against[inputs].to_numpy(float), against[y].to_numpy(float))
+        return asked.loc[lost, [*by, *names]]
+
+    asked = rows.join(pairs, [*by, "_block"])
+    against = rows.withColumnRenamed("_block", "_by").join(pairs, [*by, "_by"])
+    against = against.select(*[F.col(c).alias(c) for c in against.columns])  # columns of its own, as the frame meets itself
+    key = [*by, "_block", "_by"]
+    lost = asked.groupBy(*key).cogroup(against.groupBy(*key)).applyInPandas(met, schema).distinct()
+    return left.join(lost, [*by, *names], "left_anti")
 
 
 def as_array(v: DataFrame, by: list[str], x: str, y: str, name: str = "hull") -> DataFrame:

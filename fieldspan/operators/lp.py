@@ -101,6 +101,82 @@ def frontier_value(x0: np.ndarray, x: np.ndarray, y: np.ndarray, w0: np.ndarray
     return (value, proof) if np.isfinite(value) else (np.nan, np.nan)
 
 
+class Technology:
+    """Programmes over one reference that differ in their inputs only: most output, weights summing to at most 1.
+
+    Reduced costs don't depend on the inputs, so a basis that is optimal for one point is optimal for
+    all points at which its weights aren't negative; it is tried on all of them at once. A point that no
+    known basis fits starts from the one that bounds it best, by dual steps.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.scale = np.append(np.maximum(np.abs(x).max(0, initial=0.0), 1e-300), 1.0)
+        self.unit = max(float(np.abs(y).max(initial=0.0)), 1e-300)
+        m = x.shape[1] + 1
+        self.full = np.hstack([np.vstack([x.T, np.ones(len(y))]) / self.scale[:, None], np.eye(m)])
+        self.cost = np.append(y / self.unit, np.zeros(m))
+        self.duals = np.zeros((0, m))
+        self.bases: list[np.ndarray] = []
+
+    def values(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(f, certificate) at each row of inputs; NaN at rows with a missing or negative one."""
+        b = np.hstack([points, np.ones((len(points), 1))]) / self.scale
+        f, proof = np.full(len(b), np.nan), np.full(len(b), np.nan)
+        left = np.flatnonzero((b >= 0).all(1) & np.isfinite(b).all(1))
+        while len(left):
+            found = self._basis(b[left[0]])
+            if found is None:
+                value, gap = frontier_value(points[left[0]], self.full[:-1, : -len(self.scale)].T * self.scale[:-1], self.cost[: -len(self.scale)] * self.unit)
+                f[left[0]], proof[left[0]] = value, gap
+                left = left[1:]
+                continue
+            inverse = np.linalg.inv(self.full[:, found])
+            weights = b[left] @ inverse.T
+            fits = weights.min(1) >= -_EPS
+            fits[0] = True
+            dual = self.cost[found] @ inverse
+            now = left[fits]
+            value = np.maximum(weights[fits], 0.0) @ self.cost[found]
+            wrong = max(0.0, float((self.cost - dual @ self.full).max()), float(-weights[fits].min()))
+            f[now] = value * self.unit
+            proof[now] = np.maximum(np.abs(b[now] @ dual - value), wrong) / np.maximum(value, 1e-3)
+            left = left[~fits]
+        return f, proof
+
+    def _basis(self, b: np.ndarray) -> np.ndarray | None:
+        """An optimal basis for one right-hand side; None if it isn't reached."""
+        n, m = self.full.shape[1], len(b)
+        basis = self.bases[int((self.duals @ b).argmin())].copy() if self.bases else np.arange(n - m, n)
+        for step in range(MOST_PIVOTS):
+            inverse = np.linalg.inv(self.full[:, basis])
+            at = inverse @ b
+            dual = self.cost[basis] @ inverse
+            gain = self.cost - dual @ self.full
+            gain[basis] = 0.0
+            if at.min() < -_EPS and gain.max() <= _EPS:
+                r = int(at.argmin())
+                row = inverse[r] @ self.full
+                row[basis] = 0.0
+                open_to = np.flatnonzero(row < -1e-11)
+                if not len(open_to):
+                    return None
+                basis[r] = open_to[int((gain[open_to] / row[open_to]).argmin())]
+            elif gain.max() > _EPS:
+                k = int(gain.argmax()) if step < 200 else int(np.flatnonzero(gain > _EPS)[0])
+                column = inverse @ self.full[:, k]
+                up = column > 1e-11
+                if not up.any():
+                    return None
+                ratio = np.where(up, np.maximum(at, 0.0) / np.where(up, column, 1.0), np.inf)
+                ties = np.flatnonzero(ratio <= ratio.min() + 1e-14)
+                basis[ties[int(basis[ties].argmin())]] = k
+            else:
+                self.bases.append(basis)
+                self.duals = np.vstack([self.duals, dual])
+                return basis
+        return None
+
+
 def isoquant(target: float, grid: np.ndarray, held: np.ndarray, x1: np.ndarray, x2: np.ndarray, others: np.ndarray, y: np.ndarray) -> list[float]:
     """Least second input that still makes ``target``, at each first input; NaN where nothing does."""
     out = []
@@ -201,6 +277,9 @@ def values(points: DataFrame, reference: DataFrame, inputs: list[str], y: str, w
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, out = right[inputs].to_numpy(float), right[y].to_numpy(float)
         w = right[weather].to_numpy(float) if weather else None
+        if not weather and len(out):
+            f, proof = Technology(x, out).values(left[inputs].to_numpy(float))
+            return pd.DataFrame({"t": left["t"], "unit": left["unit"], "tag": left["tag"], "f": f, "proof": proof})
         found = []
         for p in left.to_dict("records"):
             w0 = np.array([p[c] for c in weather], float) if weather else None

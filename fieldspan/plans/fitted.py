@@ -42,10 +42,12 @@ def f05b(spark, d):
     ref = O.non_dominated(years.join(own, F.col("year") <= F.col("t")).drop("year"), ["t"], _IN, "y")
     asked = _points(r).unionByName(_points(r.withColumn("s", F.col("year") + 1), "s")).unionByName(_points(r.withColumn("s", F.col("year") - 1), "s"))
     v = lp.values(asked.join(years, "t", "left_semi"), ref, _IN, "y").select("t", "unit", F.col("tag").cast("int").alias("at"), "f")
-    f = lambda dt, da, name: v.where((F.col("at") - F.col("t")) == da - dt).select("unit", (F.col("t") - dt).alias("year"), F.col("f").alias(name))
-    out = rows(spark, d).select("unit", "year", "y").join(r.select("unit", (F.col("year") + 1).alias("year"), F.col("y").alias("y0")), ["unit", "year"])
-    for part in (f(0, 0, "tt"), f(-1, -1, "pp"), f(-1, 0, "pt"), f(0, -1, "tp")):
-        out = out.join(part, ["unit", "year"])
+    # a value serves up to two pairs of years: now and before (t or p) of the technology, then of the inputs
+    at = lambda year, tag: F.struct(year.alias("year"), F.lit(tag).alias("tag"))
+    t = F.col("t")
+    uses = F.when(F.col("at") == t, F.array(at(t, "tt"), at(t + 1, "pp"))).when(F.col("at") == t + 1, F.array(at(t + 1, "pt"))).otherwise(F.array(at(t, "tp")))
+    wide = v.select("unit", "f", F.explode(uses).alias("u")).select("unit", "u.*", "f").groupBy("unit", "year").pivot("tag", ["tt", "pp", "pt", "tp"]).agg(F.max("f"))
+    out = rows(spark, d).select("unit", "year", "y").join(r.select("unit", (F.col("year") + 1).alias("year"), F.col("y").alias("y0")), ["unit", "year"]).join(wide, ["unit", "year"])
     tt, pt = F.ln(F.col("y") / F.col("tt")), F.ln(F.col("y") / F.col("pt"))
     pp, tp = F.ln(F.col("y0") / F.col("pp")), F.ln(F.col("y0") / F.col("tp"))
     m = ((pt - pp) + (tt - tp)) / 2

@@ -115,6 +115,20 @@ def test_a_programme_that_does_not_end_has_no_value(monkeypatch):
     assert math.isnan(lp.frontier_value(np.array([2.0, 2.0]), x, y)[0])
 
 
+def test_technology_equals_single_programmes():
+    rng = np.random.default_rng(12)
+    for n, k in ((1, 1), (40, 1), (300, 4), (150, 3)):
+        x = rng.lognormal(size=(n, k)) * np.array([1.0, 1e6, 1e-3, 50.0])[:k]
+        y = 1e5 * np.exp(0.7 * np.log(x / x.mean(0)).mean(1) + 0.2 * rng.normal(size=n))
+        x[: n // 10] = x[n // 10 : 2 * (n // 10)]  # repeated and tied points
+        points = np.vstack([x, x * rng.uniform(0.2, 3, (n, k)), np.zeros((1, k)), x[:1] * 1e6])
+        f, proof = lp.Technology(x, y).values(points)
+        want = np.array([lp.frontier_value(p, x, y)[0] for p in points])
+        assert np.allclose(f, want, rtol=1e-9, atol=1e-6) and proof.max() < 1e-9
+    f, proof = lp.Technology(x, y).values(np.array([[1.0, np.nan, 1.0], [-1.0, 1.0, 1.0]]))
+    assert np.isnan(f).all() and np.isnan(proof).all()
+
+
 def test_informative_range():
     x1, x2, y = np.array([1.0, 2.0, 4.0]), np.array([4.0, 2.0, 1.0]), np.array([1.0, 1.0, 1.0])
     low, high = lp.informative_range(1.0, np.zeros(0), x1, x2, np.zeros((3, 0)), y)

@@ -41,3 +41,18 @@ def test_a_group_takes_many_tasks(spark):
     many = spark.range(20_000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 20_011).cast("double").alias("v"))
     b = S.bucketed(many, "v", ["g"], 32).groupBy("_b").count().collect()
     assert len(b) == 32 and max(r["count"] for r in b) < 1000
+
+
+def test_skylines_in_pairs_of_blocks(spark):
+    from fieldspan.operators import frontier as O
+
+    rng = random.Random(9)
+    data = [(g, i, rng.random(), round(rng.random(), 2), rng.random(), round(rng.gauss(0, 1), 2)) for g, n in ((1, 400), (2, 90), (3, 1)) for i in range(n)]
+    data += [(1, 1000 + i, *data[i][2:]) for i in range(40)]  # equal points
+    df = spark.createDataFrame(data, "g int, i int, a double, b double, c double, y double").repartition(3)
+    for inputs in (["a", "b", "c"], ["b"]):
+        at = [3 + "abc".index(c) - 1 for c in inputs]
+        beats = lambda p, q: p[5] >= q[5] and all(p[k] <= q[k] for k in at)
+        want = {(q[0], q[1]) for q in data if not any(p[0] == q[0] and p[1] != q[1] and beats(p, q) and (not beats(q, p) or p[1] < q[1]) for p in data)}
+        for block in (30, 10_000):
+            assert {(r.g, r.i) for r in O.non_dominated(df, ["g"], inputs, "y", ("i",), block).collect()} == want
