@@ -111,36 +111,143 @@ def wald(fit: dict, names: list[str]) -> tuple[float, int]:
     return float(b @ np.linalg.pinv(cov) @ b), int(np.linalg.matrix_rank(cov))
 
 
-def quantile_regression(df: DataFrame, y: Column, x: dict[str, Column], by: str, tau: float = 0.95, steps: int = 30, smooth: float = 1e-6) -> dict[object, dict[str, float]]:
-    """Coefficients by group that minimise the check loss, by reweighted least squares.
+NEAR = 20_000  #: rows of a group that the exact part of a quantile regression looks at one by one
 
-    Each step is one aggregation over all rows; only the groups' coefficients, few, are fetched. The
-    least residual that counts shrinks from step to step down to ``smooth``; then the steps go on
-    until no coefficient moves by a millionth.
-    """
-    columns = {"const": F.lit(1.0)} | x
-    names = list(columns)
-    rows = df.select(by, *[c.alias(k) for k, c in columns.items()], y.alias("_y")).dropna().persist()
+
+def _line(coef: dict[object, np.ndarray], by: str, names: list[str]) -> Column:
+    """The groups' fitted values over columns of these names."""
+    fit = None
+    for g, b in coef.items():
+        own = sum((float(v) * F.col(k) for v, k in zip(b, names)), F.lit(0.0))
+        fit = F.when(F.col(by) == g, own) if fit is None else fit.when(F.col(by) == g, own)
+    return fit
+
+
+def _smoothed(rows: DataFrame, names: list[str], by: str, tau: float, steps: int = 8) -> dict[object, np.ndarray]:
+    """Coefficients near those that minimise the check loss, by reweighted least squares; one aggregation a step."""
     coef: dict[object, np.ndarray] = {}
     for step in range(steps):
-        before, least = dict(coef), max(smooth, 0.1 * 0.4**step)
+        w = F.lit(1.0)
         if coef:
-            fit = None
-            for g, b in coef.items():
-                line = sum((float(v) * F.col(k) for v, k in zip(b, names)), F.lit(0.0))
-                fit = F.when(F.col(by) == g, line) if fit is None else fit.when(F.col(by) == g, line)
-            r = F.col("_y") - fit
-            w = F.when(r > 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(r), F.lit(least))
-        else:
-            w = F.lit(1.0)
+            r = F.col("_y") - _line(coef, by, names)
+            w = F.when(r > 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs(r), F.lit(0.1 * 0.4**step))
         root = F.sqrt(w)
         for row in moments(rows, {k: F.col(k) * root for k in names} | {"_y": F.col("_y") * root}, [by]).collect():
             m = matrix(row, len(names) + 1)
             coef[row[by]] = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
-        if least == smooth and before and all(np.abs(coef[g] - before[g]).max() < 1e-6 for g in coef):
+    return coef
+
+
+def exact_quantile(x: np.ndarray, y: np.ndarray, tau: float, start: np.ndarray, far_x: np.ndarray, far_y: float, most: int = 20_000) -> tuple[np.ndarray, float]:
+    """(coefficients, duality gap) of the least check loss over rows and a sum of rows whose sides are known.
+
+    ``far_x`` and ``far_y`` are the sums of the far rows, those above the fit times tau, those below times
+    tau - 1. Equal rows are one with their number as its weight, and ties between others are broken by moving
+    each y by at most 1e-10 of the largest. A vertex is a fit through as many independent rows as there are coefficients; it is optimal if
+    the weights that balance its rows against all others lie within [tau - 1, tau]. Else the row whose
+    weight is farthest out leaves, and the fit moves until the loss stops falling.
+    """
+    k = x.shape[1]
+    both, times = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
+    x, y = both[:, :-1], both[:, -1]
+    y = y + 1e-10 * max(1.0, float(np.abs(y).max(initial=0.0))) * (np.arange(len(y)) * 0.6180339887498949 % 1 - 0.5)
+    basis: list[int] = []
+    span = np.zeros((0, k))
+    for i in np.argsort(np.abs(y - x @ start), kind="stable").tolist():
+        rest = x[i] - span.T @ (span @ x[i])
+        if np.linalg.norm(rest) > 1e-9 * max(1.0, np.linalg.norm(x[i])):
+            basis.append(i)
+            span = np.vstack([span, rest / np.linalg.norm(rest)])
+            if len(basis) == k:
+                break
+    if len(basis) < k:
+        return start, math.nan
+    at = np.array(basis)
+    for _ in range(most):
+        b = np.linalg.solve(x[at], y[at])
+        r = y - x @ b
+        r[at] = 0.0
+        side = np.where(r > 0, tau, tau - 1) * times
+        side[at] = 0.0
+        weight = np.linalg.solve(x[at].T, -(side @ x + far_x))
+        out = np.maximum(weight - tau * times[at], (tau - 1) * times[at] - weight)
+        j = int(out.argmax())
+        if out[j] <= 1e-10:
             break
+        rising = weight[j] > tau * times[at[j]]
+        unit = np.zeros(k)
+        unit[j] = -1.0 if rising else 1.0
+        pace = x @ np.linalg.solve(x[at], unit)
+        pace[at] = 0.0
+        crosses = np.flatnonzero(((r > 0) & (pace > 0)) | ((r <= 0) & (pace < 0)))
+        when = r[crosses] / pace[crosses]
+        order = np.argsort(when, kind="stable")
+        slope = (tau * times[at[j]] - weight[j] if rising else (1 - tau) * times[at[j]] + weight[j]) + np.cumsum((times * np.abs(pace))[crosses[order]])
+        stops = np.flatnonzero(slope >= 0)
+        if not len(stops):
+            return b, math.inf  # the far rows' sides can't hold
+        at[j] = crosses[order[stops[0]]]
+    loss = float(side @ r + far_y - far_x @ b)
+    bound = float(side @ y + np.clip(weight, (tau - 1) * times[at], tau * times[at]) @ y[at] + far_y)
+    return b, abs(loss - bound) / max(1.0, abs(loss)) + max(0.0, float(out.max()))
+
+
+def quantile_fits(df: DataFrame, y: Column, x: dict[str, Column], by: str, tau: float = 0.95, near: int = NEAR, rounds: int = 12) -> dict[object, dict]:
+    """Per group: ``coef`` by name that minimise the check loss, the duality ``gap``, and ``exact``.
+
+    Reweighted least squares come near the fit. Rows far from it have a known side and enter as sums;
+    the ``near`` nearest of a group, fewer where it is small, are solved exactly in a task. An aggregation
+    over all rows counts those far rows whose side the new fit belies; while there are any, the next
+    round looks from there, at twice as many. Only coefficients, few, are fetched. ``exact`` is false, and the
+    gap NaN, where that doesn't end.
+    """
+    columns = {"const": F.lit(1.0)} | x
+    names = list(columns)
+    rows = df.select(by, *[c.alias(k) for k, c in columns.items()], y.alias("_y")).dropna().persist()
+    coef = _smoothed(rows, names, by, tau)
+    done: dict[object, dict] = {}
+    for step in range(rounds):
+        open_to = {g: b for g, b in coef.items() if g not in done}
+        if not open_to:
+            break
+        size = near * 2**step
+        own = rows.where(F.col(by).isin(list(open_to))).withColumn("_r", F.col("_y") - _line(open_to, by, names))
+        counts = own.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.abs("_r"), F.array(*[F.lit(k / 1000) for k in range(1001)]), F.lit(10_000)).alias("q")).collect()
+        width = None
+        for g in counts:
+            bound = float("inf") if g.n <= size else float(g.q[max(1, int(1000 * size / g.n))])
+            width = F.when(F.col(by) == g[by], F.lit(bound)) if width is None else width.when(F.col(by) == g[by], F.lit(bound))
+        own = own.withColumn("_far", F.abs("_r") > width)
+        part = F.when(F.col("_r") > 0, F.lit(tau)).otherwise(F.lit(tau - 1))
+        sums = own.groupBy(by).agg(*[F.coalesce(F.sum(F.when(F.col("_far"), part * F.col(c))), F.lit(0.0)).alias(f"_s{i}") for i, c in enumerate([*names, "_y"])])
+        start = {g: [float(v) for v in b] for g, b in open_to.items()}
+
+        def solved(table):
+            import pyarrow as pa
+
+            g = table.column(by)[0].as_py()
+            matrix_ = np.stack([table.column(c).to_numpy() for c in names], 1)
+            far = np.array([table.column(f"_s{i}")[0].as_py() for i in range(len(names) + 1)])
+            b, gap = exact_quantile(matrix_, table.column("_y").to_numpy(), tau, np.array(start[g]), far[:-1], far[-1])
+            return pa.table({by: table.column(by)[:1], "b": pa.array([b.tolist()], pa.list_(pa.float64())), "gap": pa.array([float(gap)])})
+
+        kind = rows.schema[by].dataType.simpleString()
+        found = own.where("not _far").drop("_r", "_far").join(sums, by).groupBy(by).applyInArrow(solved, f"{by} {kind}, b array<double>, gap double").collect()
+        gaps = {r[by]: r.gap for r in found}
+        coef |= {r[by]: np.array(r.b) for r in found}
+        after = F.col("_y") - _line({g: coef[g] for g in open_to}, by, names)
+        belied = {r[by]: r.n for r in own.where(F.col("_far") & ((after > 0) != (F.col("_r") > 0))).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for g in open_to:
+            if not belied.get(g) and gaps.get(g, math.inf) < 1e-8:
+                done[g] = {"coef": dict(zip(names, coef[g].tolist())), "gap": gaps[g], "exact": True}
     rows.unpersist()
-    return {g: dict(zip(names, b.tolist())) for g, b in coef.items()}
+    return {g: done.get(g, {"coef": dict(zip(names, b.tolist())), "gap": math.nan, "exact": False}) for g, b in coef.items()}
+
+
+def quantile_regression(df: DataFrame, y: Column, x: dict[str, Column], by: str, tau: float = 0.95) -> dict[object, dict[str, float]]:
+    """Coefficients by group that minimise the check loss; NaN where no optimum is certified."""
+    fits = quantile_fits(df, y, x, by, tau)
+    return {g: f["coef"] if f["exact"] else dict.fromkeys(f["coef"], math.nan) for g, f in fits.items()}
 
 
 def quantile_errors(df: DataFrame, y: Column, x: dict[str, Column], by: str, coef: dict[object, dict[str, float]], tau: float) -> dict[object, dict[str, float]]:

@@ -191,15 +191,43 @@ def e16(spark, d):
     return mid.join(F.broadcast(table_), "year").select("year", "a", "bl", "bm", "ly", F.explode("g").alias("lx_l")).withColumn("lx_m", line).select("year", "lx_l", "lx_m")
 
 
+@query("e16b_translog_isoquant")
+def e16b(spark, d):
+    """By year, the x_m that makes the target with x_l on a grid and the other inputs at their medians, on the
+    year's four-input translog; the target is the middle year's output at the medians. The fitted log output
+    is a quadratic in ln x_m, so the root where output rises is closed; NULL outside the 1 to 99 % range."""
+    r = rows(spark, d)
+    logs = {k: F.ln(k) for k in _IN}
+    q = r.agg(*[F.percentile(v, F.array(*[F.lit(p) for p in (0.01, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99)])).alias(k) for k, v in logs.items()]).first()
+    mid = {k: q[k][3] for k in _IN}
+    fits = {f["year"]: f["coef"] for f in R.ols(r, F.ln("y"), R.translog(_IN, mid), ["year"])}  # logs about their medians
+    if not fits:
+        return spark.createDataFrame([], "year int, lx_l double, lx_m double, ly double, target double")
+    target = sorted(fits.items())[len(fits) // 2][1]["const"]
+    curves = []
+    for year, c in fits.items():
+        for l in q["x_l"][1:6]:
+            v = l - mid["x_l"]
+            curves.append((int(year), l, c["const"] + c["x_l"] * v + 0.5 * c["x_l*x_l"] * v * v, c["x_m"] + c["x_l*x_m"] * v, 0.5 * c["x_m*x_m"]))
+    a0, a1, a2 = F.col("a0") - F.lit(target), F.col("a1"), F.col("a2")
+    root = F.sqrt(a1 * a1 - 4 * a2 * a0)
+    # of the two roots the one where output rises, in the form that doesn't cancel
+    up = F.when(a1 * a1 < 4 * a2 * a0, F.lit(None)).when(a1 > 0, F.try_divide(-2 * a0, a1 + root)).otherwise(F.try_divide(root - a1, 2 * a2))
+    at = F.when((up >= q["x_m"][0] - mid["x_m"]) & (up <= q["x_m"][6] - mid["x_m"]), up)
+    out = spark.createDataFrame(curves, "year int, lx_l double, a0 double, a1 double, a2 double").withColumn("v", at)
+    fitted = F.col("a0") + a1 * F.col("v") + a2 * F.col("v") * F.col("v")
+    return out.select("year", "lx_l", (F.col("v") + mid["x_m"]).alias("lx_m"), fitted.alias("ly"), F.lit(target).alias("target"))
+
+
 @query("e17_quantile_regression")
 def e17(spark, d):
     """Upper-quantile regression by year, with the share of units above the fit."""
     r = rows(spark, d)
     x = {"x_l": F.ln("x_l"), "x_m": F.ln("x_m")}
-    coef = R.quantile_regression(r, F.ln("y"), x, "year", 0.9)
-    t = spark.createDataFrame([(int(y), c["const"], c["x_l"], c["x_m"]) for y, c in coef.items()], "year int, a double, bl double, bm double")
-    above = F.ln("y") > F.col("a") + F.col("bl") * F.ln("x_l") + F.col("bm") * F.ln("x_m")
-    return r.join(F.broadcast(t), "year").groupBy("year", "a", "bl", "bm").agg(F.avg(above.cast("double")).alias("above"))
+    fits = R.quantile_fits(r, F.ln("y"), x, "year", 0.9)
+    t = spark.createDataFrame([(int(y), *(f["coef"][k] for k in ("const", "x_l", "x_m")), f["gap"], f["exact"]) for y, f in fits.items()], "year int, a double, bl double, bm double, gap double, exact boolean")
+    above = F.ln("y") > F.col("a") + F.col("bl") * F.ln("x_l") + F.col("bm") * F.ln("x_m") + 1e-9
+    return r.join(F.broadcast(t), "year").groupBy("year", "a", "bl", "bm", "gap", "exact").agg(F.avg(above.cast("double")).alias("above"), F.count(F.lit(1)).alias("n"))
 
 
 def decay(spark, d):
@@ -313,8 +341,10 @@ def e17b(spark, d):
     out = []
     for t, c in sorted(coef.items()):
         q, m = years[t].q, years[t].m
-        k = np.log(np.linspace(math.exp(q[0]), math.exp(q[4]), 200)) - m
-        concave = float((np.diff(np.exp(c["const"] + c["z"] * k + c["zz"] * k * k), 2) < 0).mean())
+        k = np.linspace(q[0], q[4], 200) - m
+        level, slope = np.exp(c["const"] + c["z"] * k + c["zz"] * k * k) / np.exp(k + m), c["z"] + 2 * c["zz"] * k
+        # second derivative of y in k times k, at points that are even in logs
+        concave = float((level * (slope * (slope - 1) + 2 * c["zz"]) < 0).mean())
         tc = c["zz"] / se[t]["zz"] if se[t]["zz"] > 0 else math.nan
         out.append((int(t), int(years[t].n), c["z"], c["zz"], tc, *[c["z"] + 2 * c["zz"] * (v - m) for v in q[1:4]], concave, concave > 0.9, abs(tc) > 1.96))
     return spark.createDataFrame(out, "year int, n long, b_at_mean double, curvature double, t double, e_p10 double, e_p50 double, e_p90 double, concave_share double, concave boolean, reject_cobb_douglas boolean")

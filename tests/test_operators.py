@@ -340,3 +340,29 @@ def test_absorbed_effects_equal_dummies(spark):
     root = np.sqrt([w for _, _, w, _ in rows])
     b = np.linalg.lstsq(design * root[:, None], np.array([r[3] for r in rows]) * root, rcond=None)[0]
     assert fit["coef"]["a"] == pytest.approx(b[0]) and fit["units"] == 6 and R.wald(fit, ["a"])[0] == pytest.approx(b[0] ** 2 / fit["cov"][0, 0])
+
+
+def test_exact_quantiles_against_all_vertices(spark):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from fieldspan.operators import regress as R
+
+    rng = np.random.default_rng(21)
+    rows, best = [], {}
+    for g, (n, tau) in enumerate([(14, 0.8), (20, 0.8), (17, 0.8)]):
+        x = np.stack([np.ones(n), rng.normal(size=n), rng.integers(0, 3, n)], 1)
+        y = x @ [1.0, 2.0, -1.0] + rng.normal(size=n) ** 3
+        if g == 2:
+            y[:6] = y[6:12]
+            x[:6] = x[6:12]  # repeated rows
+        loss = lambda b: float(np.where(y - x @ b > 0, tau * (y - x @ b), (tau - 1) * (y - x @ b)).sum())  # noqa: B023, E731
+        best[g] = min(loss(np.linalg.solve(x[list(h)], y[list(h)])) for h in combinations(range(n), 3) if abs(np.linalg.det(x[list(h)])) > 1e-9)
+        rows += [(g, float(a[1]), float(a[2]), float(b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y double").repartition(3)
+    for near in (8, 20_000):  # with few near rows the others enter as sums
+        fits = R.quantile_fits(df, F.col("y"), {"a": F.col("a"), "b": F.col("b")}, "g", 0.8, near=near)
+        for g, f in fits.items():
+            r = [y - f["coef"]["const"] - f["coef"]["a"] * a - f["coef"]["b"] * b for k, a, b, y in rows if k == g]
+            assert f["exact"] and f["gap"] < 1e-9 and sum(0.8 * v if v > 0 else -0.2 * v for v in r) == pytest.approx(best[g], rel=1e-9)

@@ -172,7 +172,31 @@ def check_e16(rows, spark):
 
 
 def check_e17(rows, spark):
-    assert len(rows) == 7 and all(r.above <= 0.45 for r in rows)  # a tenth of ten units, and three on the line
+    # an exact fit has at most a tenth of the units above it, and the three that it goes through beside at most nine tenths below
+    assert len(rows) == 7 and all(r.exact and r.gap < 1e-9 for r in rows)
+    assert all(r.above * r.n <= 0.1 * r.n + 1e-9 and r.above * r.n >= 0.1 * r.n - 3 - 1e-9 for r in rows)
+
+
+def check_e16b(rows, spark):
+    import duckdb as _duck
+
+    assert len(rows) == 35 and all(r.lx_m is None or abs(r.ly - r.target) < 1e-9 for r in rows)
+    inputs = ["x_l", "x_s", "x_k", "x_m"]
+    con = _duck.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    from fieldspan.sources.tables import HOLES_SQL
+
+    v = con.execute(f"WITH {HOLES_SQL} SELECT year, ln(y), {', '.join(f'ln({k})' for k in inputs)} FROM holes").fetchnumpy()
+    year, ly, x = v["year"], v["ln(y)"], np.stack([v[f"ln({k})"] for k in inputs], 1)
+    mid = np.median(x, 0)
+    form = lambda z: np.stack([np.ones(len(z)), *z.T, *[z[:, i] * z[:, j] * (0.5 if i == j else 1) for i in range(4) for j in range(i, 4)]], 1)
+    fits = {t: np.linalg.lstsq(form(x[year == t] - mid), ly[year == t], rcond=None)[0] for t in set(year.tolist())}
+    if min((year == t).sum() for t in fits) >= 15:  # else the fit isn't one
+        for r in rows:
+            if r.lx_m is not None:
+                z = np.array([[r.lx_l, mid[1], mid[2], r.lx_m]]) - mid
+                assert float(form(z) @ fits[r.year]) == pytest.approx(r.target, abs=1e-6)
 
 
 def check_e17b(rows, spark):
