@@ -323,6 +323,29 @@ def e11b(spark, d):
     return spark.createDataFrame(out, "model string, term string, coef double, se double, n long, units long, wald double, restrictions int")
 
 
+@query("e11c_catch_up_of_efficiency")
+def e11c(spark, d):
+    """On the one-input Malmquist index: lnM on last year's log efficiency with year effects, then with unit
+    effects too, and lnEC likewise; then lnM, lnEC and lnTC on stages with unit effects and output weights,
+    each with the test that all stages are alike. Errors are clustered by unit."""
+    r = rows(spark, d)
+    m = O.malmquist(r, "x_m", "y").withColumn("level", F.ln("eff_prev")).join(r.select("unit", "year", F.col("y").alias("w")), ["unit", "year"])
+    years = [x[0] for x in m.select("year").distinct().orderBy("year").collect()]
+    names_ = [n for _, n in I.STAGES[0]] + [I.STAGES[1]]
+    m = m.withColumns({f"d{t}": (F.col("year") == t).cast("double") for t in years[1:]} | {f"s{k}": (stage("year", *I.STAGES) == n).cast("double") for k, n in enumerate(names_[1:], 1)})
+    effects, stages = [f"d{t}" for t in years[1:]], [f"s{k}" for k in range(1, len(names_))]
+    error = lambda fit, j: math.sqrt(max(fit["cov"][j, j], 0.0))
+    out = []
+    for y, model, unit_effects in (("lnM", "year effects", False), ("lnM", "unit and year effects", True), ("lnEC", "unit and year effects", True)):
+        fit = R.absorbed(m, y, ["level", *effects], unit_effects=unit_effects)
+        out.append((y, model, "level", fit["coef"]["level"], error(fit, 0), fit["n"], fit["units"], None, None))
+    for y in ("lnM", "lnEC", "lnTC"):
+        fit = R.absorbed(m, y, stages, weight="w")
+        test, k = R.wald(fit, stages)
+        out += [(y, "stages, weighted", names_[j + 1], fit["coef"][s], error(fit, j), fit["n"], fit["units"], test, k) for j, s in enumerate(stages)]
+    return spark.createDataFrame(out, "outcome string, model string, term string, coef double, se double, n long, units long, wald double, restrictions int")
+
+
 def _per_worker(spark, d):
     r = rows(spark, d).withColumns({"lk": F.ln(F.col("x_k") / F.col("x_l")), "ly": F.ln(F.col("y") / F.col("x_l"))})
     mean = r.groupBy("year").agg(F.avg("lk").alias("m"), F.percentile("lk", F.array(*[F.lit(p) for p in (0.01, 0.1, 0.5, 0.9, 0.99)])).alias("q"), F.count(F.lit(1)).alias("n"))

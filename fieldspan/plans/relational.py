@@ -469,6 +469,23 @@ def s18(spark, d):
     return rows.select("unit", F.concat(F.lit("["), F.array_join(F.col("cells.v"), ","), F.lit("]")).alias("payload"))
 
 
+@query("s18b_json_payload", f"WITH {HOLES_SQL}, g AS (SELECT i.unit AS unit, t.year AS year, y FROM (SELECT DISTINCT unit FROM holes) i CROSS JOIN (SELECT DISTINCT year FROM holes) t LEFT JOIN holes h ON h.unit=i.unit AND h.year=t.year) SELECT unit, year, CASE WHEN y IS NOT NULL THEN round(y*pow(10.0, 5-floor(log10(abs(y)))),0)/pow(10.0, 5-floor(log10(abs(y)))) END AS y FROM g")
+def s18b(spark, d):
+    """A unit's years and values, to six digits, as one JSON object; read again, a row per year, missing ones null."""
+    sent = payloads(j11(spark, d), "unit", "year", {"y": "y"})
+    back = sent.select(F.from_json("payload", "id int, years array<int>, vars array<struct<label string, z array<double>>>").alias("p"))
+    return back.select(F.col("p.id").alias("unit"), F.explode(F.arrays_zip("p.years", F.col("p.vars")[0]["z"].alias("z"))).alias("c")).select("unit", F.col("c.years").alias("year"), F.col("c.z").alias("y"))
+
+
+def payloads(dense, key: str, time: str, variables: dict[str, str], digits: int = 6):
+    """key and ``payload``: {id, years, vars: [{label, z}]}, arrays in the order of time, values to so many digits."""
+    cells = F.array_sort(F.collect_list(F.struct(time, *[significant(c, digits).alias(c) for c in variables])))
+    held = dense.groupBy(key).agg(cells.alias("c"))
+    shown = F.array(*[F.struct(F.lit(label).alias("label"), F.col(f"c.{c}").alias("z")) for c, label in variables.items()])
+    one = F.struct(F.col(key).alias("id"), F.col(f"c.{time}").alias("years"), shown.alias("vars"))
+    return held.select(key, F.to_json(one, {"ignoreNullFields": "false"}).alias("payload"))
+
+
 @query("s10_dissolve_first", "SELECT c_nationkey, arg_min(c_name, c_custkey) AS name, CAST(count(*) AS BIGINT) AS parts FROM customer GROUP BY c_nationkey")
 def s10(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.min_by("c_name", "c_custkey").alias("name"), F.count(F.lit(1)).alias("parts"))

@@ -366,3 +366,14 @@ def test_exact_quantiles_against_all_vertices(spark):
         for g, f in fits.items():
             r = [y - f["coef"]["const"] - f["coef"]["a"] * a - f["coef"]["b"] * b for k, a, b, y in rows if k == g]
             assert f["exact"] and f["gap"] < 1e-9 and sum(0.8 * v if v > 0 else -0.2 * v for v in r) == pytest.approx(best[g], rel=1e-9)
+
+
+def test_json_payloads(spark):
+    import json
+
+    from fieldspan.plans.relational import payloads
+
+    df = spark.createDataFrame([(1, 2001, 1234567.0, 0.000123456789), (1, 2000, None, 2.0), (2, 2000, -0.5, None)], "unit int, year int, a double, b double")
+    got = {r.unit: json.loads(r.payload) for r in payloads(df, "unit", "year", {"a": "A", "b": "B"}).collect()}
+    assert got[1] == {"id": 1, "years": [2000, 2001], "vars": [{"label": "A", "z": [None, 1234570.0]}, {"label": "B", "z": [2.0, 0.000123457]}]}
+    assert got[2]["vars"] == [{"label": "A", "z": [-0.5]}, {"label": "B", "z": [None]}]

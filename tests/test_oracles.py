@@ -124,6 +124,25 @@ def check_e11b(rows, spark):
     assert all(r.restrictions == 2 and r.wald >= max((s.coef / s.se) ** 2 for s in stages if s.se > 0) * (1 - 1e-6) for r in stages)
 
 
+def check_e11c(rows, spark):
+    from fieldspan.operators import frontier as O, index as I
+    from fieldspan.plans.fitted import rows as holes
+
+    assert len(rows) == 9 and all(r.se >= 0 and r.n > r.units > 0 for r in rows)
+    m = O.malmquist(holes(spark, DATA), "x_m", "y").toPandas().merge(holes(spark, DATA).select("unit", "year", "y").toPandas(), on=["unit", "year"])
+    dummies = lambda c, first: [(m[c] == v).to_numpy(float) for v in sorted(set(m[c]))[first:]]
+    years, units = dummies("year", 1), dummies("unit", 1)
+    one, level = np.ones(len(m)), np.log(m.eff_prev.to_numpy())
+    fit = lambda y, x, w: np.linalg.lstsq(np.stack(x, 1) * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+    by = {(r.outcome, r.model, r.term): r.coef for r in rows}
+    assert by["lnM", "year effects", "level"] == pytest.approx(fit(m.lnM, [level, one, *years], one)[0], rel=1e-6)
+    assert by["lnEC", "unit and year effects", "level"] == pytest.approx(fit(m.lnEC, [level, one, *years, *units], one)[0], rel=1e-6)
+    ends = [I.STAGES[0][0][0], I.STAGES[0][1][0]]
+    stages = [((m.year > ends[0]) & (m.year <= ends[1])).to_numpy(float), (m.year > ends[1]).to_numpy(float)]
+    got = [by["lnTC", "stages, weighted", n] for n in (I.STAGES[0][1][1], I.STAGES[1])]
+    assert got == pytest.approx(fit(m.lnTC, [*stages, one, *units], m.y.to_numpy())[:2], rel=1e-6, abs=1e-9)
+
+
 def check_e13(rows, spark):
     assert rows[0].sigma_u >= 0 and rows[0].sigma_v >= 0 and rows[0].mean_u == pytest.approx(rows[0].sigma_u * math.sqrt(2 / math.pi))
 
