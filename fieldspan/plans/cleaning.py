@@ -153,10 +153,10 @@ def c05(spark, d):
     return rounded(C.spliced(quarters(spark, d), "y", before=8).drop("var"), 4)
 
 
-@query("c05b_two_series_splice", f"WITH {_RUNS}, c AS (SELECT unit, t[k] AS year, factor FROM run), q2 AS (SELECT unit, year, y, y/(1+0.01*year) AS z FROM q) SELECT q2.unit AS unit, q2.year AS year, round(CASE WHEN c.unit IS NULL THEN y WHEN factor IS NOT NULL THEN y*factor END,4) AS y, round(CASE WHEN c.unit IS NULL THEN z WHEN factor IS NOT NULL THEN z*factor END,4) AS z FROM q2 LEFT JOIN c ON c.unit=q2.unit AND c.year=q2.year")
+@query("c05b_two_series_splice", f"WITH {_RUNS}, c AS (SELECT unit, t[k] AS year, factor FROM run), q2 AS (SELECT unit, year, y, y/(1+year/97) AS z FROM q) SELECT q2.unit AS unit, q2.year AS year, round(CASE WHEN c.unit IS NULL THEN y WHEN factor IS NOT NULL THEN y*factor END,4) AS y, round(CASE WHEN c.unit IS NULL THEN z WHEN factor IS NOT NULL THEN z*factor END,4) AS z FROM q2 LEFT JOIN c ON c.unit=q2.unit AND c.year=q2.year")
 def c05b(spark, d):
     """The run is found in the nominal series; both it and the deflated one are rescaled, or NULL."""
-    two = quarters(spark, d).select("unit", "year", "y", (F.col("y") / (1 + F.lit(0.01) * F.col("year"))).alias("z"))
+    two = quarters(spark, d).select("unit", "year", "y", (F.col("y") / (1 + F.col("year") / 97)).alias("z"))
     return rounded(C.spliced_in(two, C.spliced(two, "y", ("z",), before=8)), 4)
 
 
