@@ -5,7 +5,7 @@ with the lowest cross-entropy per symbol. Symbols are lower-cased letters; anyth
 letters is one space.
 
 Fitting takes at most ``per_language`` distinct labelled texts of each language (those with the
-smallest hashes of the text, none over ``most_chars`` characters), so the size of a language's model
+smallest hashes of the text, of longer ones the first ``most_chars`` characters), so the size of a language's model
 has a bound whatever the table's size; every label that has such a text gets a model. One text in
 four is not counted but calibrates rejection, by classes of length: the first stretches of each
 calibration text of a class's length give cross-entropies, and a text is rejected if its own exceeds
@@ -171,14 +171,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> DataFrame:
-    """lang, text and tests (whether it calibrates) of at most so many distinct texts a language.
+    """lang, text and tests (whether it calibrates) of at most so many distinct texts a language; of longer
+    texts the first ``most_chars`` characters teach, so a label with nothing but long texts has a model too.
 
     The distinct texts of each language are counted about; hashes under the share that gives half as
     many again as are asked for are gathered, a text once, and ranked. No language's rows meet in a task
     but those few.
     """
-    rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = rows.where((F.octet_length("text") <= most_chars) & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    rows = labelled.select(F.substring("text", 1, most_chars).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("text"))
     kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
     near = rows.join(F.broadcast(kinds), "lang").where((F.shiftrightunsigned("h", 1) / 2.0**63) * F.col("kinds") <= 1.5 * per_language)
     once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))

@@ -222,7 +222,7 @@ def shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
         if docs_held:
             yield row()
 
-    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_width(docs.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "part int, seq long, start long, n_tokens long, payload binary")
 
 

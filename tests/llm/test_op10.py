@@ -113,3 +113,14 @@ def test_short_foreign_texts_and_languages_without_calibration(spark):
     got = {r.doc_id: r for r in L.predicted(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
     assert np.isfinite(model.limits).all() and "xx" in model.languages
     assert not any(got[i].accepted for i in got if i < 300) and all(got[i].accepted for i in got if i >= 300)
+
+
+def test_a_label_with_only_long_texts_is_learned(spark):
+    random.seed(6)
+    thai = "".join(random.choice("กขคงจฉชซญฎฐณดตถทนบปพฟมยรลวสหอ ") for _ in range(9000))  # 27,000 bytes
+    rows = [(i, text("en", 60), "en") for i in range(40)] + [(100 + i, thai[i:], "th") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = {(r.lang, len(r.text)) for r in L.sampled(df, most_chars=5000).collect()}
+    assert ("th", 5000) in taught and max(n for _, n in taught) == 5000
+    got = L.predicted(df.where("doc_id >= 100").select("doc_id", "text"), L.fit(df)).collect()
+    assert {r.lang_pred for r in got} == {"th"}
