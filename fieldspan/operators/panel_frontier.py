@@ -5,6 +5,9 @@ zero, one u a unit. The likelihood needs three sums a unit: of h squared, of h t
 of the residual squared. Each round is one Spark job over the units, which returns the likelihood,
 its score and the sum of the units' squared scores for a few candidate steps; only those sums, as
 large as the parameters squared, come to the driver.
+
+The pooled half-normal model is the same likelihood with each row a unit of its own, mu and eta zero;
+its errors are still clustered by unit.
 """
 
 from __future__ import annotations
@@ -25,12 +28,24 @@ TINY = 1e-7
 _EXTRA = ("mu", "eta", "ln_sigma2", "logit_gamma")
 
 
+class Returns(NamedTuple):
+    """Returns to scale at the mean, and the test that they are constant."""
+
+    scale: float  #: of the fit without the constraint
+    error: float
+    chi2: float  #: with one degree of freedom
+    p: float
+    bind: bool  #: whether the frontier was refitted at constant returns
+
+
 class Fit(NamedTuple):
     coef: dict[str, float]  #: frontier terms, then mu, eta, ln_sigma2 and logit_gamma
     errors: dict[str, float]  #: clustered by unit
     loglik: float
     rounds: int
     model: str  #: which model the numbers are of
+    returns: Returns | None = None
+    converged: bool = False
 
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -51,11 +66,18 @@ def _mills(z: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """Some units' rows, packed: y, x by row, years before each unit's last, and where each unit begins."""
+    """Some units' rows, packed: y, x by row, years before each unit's last, and where each unit begins.
 
-    def __init__(self, y: np.ndarray, x: np.ndarray, back: np.ndarray, first: np.ndarray):
-        self.y, self.x, self.back, self.first = y, x, back, first
-        self.n = np.diff(np.append(first, len(y)))
+    ``pooled`` makes each row a unit of its own and fixes mu and eta at zero: they are no parameters then.
+    """
+
+    def __init__(self, y: np.ndarray, x: np.ndarray, back: np.ndarray, first: np.ndarray, pooled: bool = False):
+        self.y, self.x, self.back, self.clusters, self.pooled = y, x, back, first, pooled
+        self.first = np.arange(len(y)) if pooled else first
+        self.n = np.diff(np.append(self.first, len(y)))
+
+    def whole(self, theta: np.ndarray) -> np.ndarray:
+        return np.insert(theta, len(theta) - 2, [0.0, 0.0]) if self.pooled else theta
 
     def _sums(self, theta: np.ndarray) -> tuple[np.ndarray, ...]:
         k = self.x.shape[1]
@@ -65,6 +87,7 @@ class Units:
 
     def loglik(self, theta: np.ndarray) -> np.ndarray:
         """By unit."""
+        theta = self.whole(theta)
         _, _, hh, he, ee = self._sums(theta)
         mu, s2, g = theta[-4], math.exp(min(theta[-2], 50.0)), 1 / (1 + math.exp(-max(min(theta[-1], 30.0), -30.0)))
         su2, sv2 = s2 * g, s2 * (1 - g)
@@ -84,6 +107,7 @@ class Units:
 
     def inefficiency(self, theta: np.ndarray) -> np.ndarray:
         """Expected u h(t) of each row given its unit's residuals."""
+        theta = self.whole(theta)
         _, h, hh, he, _ = self._sums(theta)
         s2, g = math.exp(theta[-2]), 1 / (1 + math.exp(-theta[-1]))
         su2, sv2 = s2 * g, s2 * (1 - g)
@@ -98,127 +122,179 @@ def packed(df: DataFrame, y: Column, x: dict[str, Column], year: str = "year") -
     return df.select("unit", row.alias("r")).where("r.y is not null and forall(r.x, v -> v is not null)").groupBy("unit").agg(F.array_sort(F.collect_list("r")).alias("rows"))
 
 
-def _units(batch: pa.RecordBatch) -> tuple[Units, np.ndarray]:
+def _units(batch: pa.RecordBatch, pooled: bool = False) -> tuple[Units, np.ndarray]:
     lists = batch.column("rows")
     flat = lists.flatten()
     off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     year = flat.field("year").to_numpy().astype(float)
     x = flat.field("x").flatten().to_numpy().reshape(len(year), -1)
     last = np.repeat(year[off[1:] - 1], np.diff(off))
-    return Units(flat.field("y").to_numpy(), x, last - year, off[:-1]), year
+    return Units(flat.field("y").to_numpy(), x, last - year, off[:-1], pooled), year
 
 
-def _summed(units: DataFrame, thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """For each candidate: log likelihood, score, and sum of the units' squared scores."""
+class Sums(NamedTuple):
+    loglik: float
+    score: np.ndarray
+    outer: np.ndarray  #: of the scores of what has an inefficiency of its own
+    clustered: np.ndarray  #: of the units' scores
+
+
+def _summed(units: DataFrame, thetas: list[np.ndarray], pooled: bool) -> list[Sums]:
+    """For each candidate the likelihood, its score and the squared scores."""
     k = len(thetas[0])
+    width = 1 + k + 2 * k * k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(thetas), 1 + k + k * k))
+        total = np.zeros((len(thetas), width))
         for batch in batches:
             if batch.num_rows:
-                u, _ = _units(batch)
+                u, _ = _units(batch, pooled)
                 for c, theta in enumerate(thetas):
                     s = u.scores(theta)
-                    total[c] += np.concatenate([[u.loglik(theta).sum()], s.sum(0), (s.T @ s).ravel()])
+                    by = np.add.reduceat(s, u.clusters) if pooled else s
+                    total[c] += np.concatenate([[u.loglik(theta).sum()], s.sum(0), (s.T @ s).ravel(), (by.T @ by).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(thetas)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["c", "v"])
 
     parts = units.mapInArrow(run, "c int, v array<double>").select("c", F.posexplode("v").alias("i", "v"))
-    out = np.zeros((len(thetas), 1 + k + k * k))
+    out = np.zeros((len(thetas), width))
     for c, i, v in parts.groupBy("c", "i").agg(F.sum("v")).collect():
         out[c, i] = v
-    return [(float(v[0]), v[1 : k + 1], v[k + 1 :].reshape(k, k)) for v in out]
+    squares = out[:, k + 1 :].reshape(-1, 2, k, k)
+    return [Sums(float(v[0]), v[1 : k + 1], *q) for v, q in zip(out, squares)]
 
 
-def maximised(units: DataFrame, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray, np.ndarray, int, bool]:
-    """(parameters, log likelihood, score, squared scores, rounds, converged) by steps along the scores.
+def maximised(units: DataFrame, start: np.ndarray, rounds: int = ROUNDS, pooled: bool = False) -> tuple[np.ndarray, Sums, int, bool]:
+    """(parameters, sums there, rounds, converged) by steps along the scores.
 
     The direction is the score over the squared scores; where no step gains, it is damped.
     """
     theta, damp = start, 0.0
-    value, score, outer = _summed(units, [theta])[0]
+    at = _summed(units, [theta], pooled)[0]
     for k in range(1, rounds + 1):
-        ridge = damp * np.diag(np.maximum(np.diag(outer), 1e-12))
-        step = np.linalg.lstsq(outer + ridge, score, rcond=None)[0]
+        ridge = damp * np.diag(np.maximum(np.diag(at.outer), 1e-12))
+        step = np.linalg.lstsq(at.outer + ridge, at.score, rcond=None)[0]
         if not np.isfinite(step).all():
             break
-        if score @ step < TINY * max(1.0, abs(value)):
-            return theta, value, score, outer, k, True
+        if at.score @ step < TINY * max(1.0, abs(at.loglik)):
+            return theta, at, k, True
         tried = [theta + s * step for s in STEPS]
-        found = _summed(units, tried)
-        best = max(range(len(found)), key=lambda c: found[c][0] if math.isfinite(found[c][0]) else -math.inf)
-        if math.isfinite(found[best][0]) and found[best][0] > value:
-            theta, (value, score, outer) = tried[best], found[best]
+        found = _summed(units, tried, pooled)
+        best = max(range(len(found)), key=lambda c: found[c].loglik if math.isfinite(found[c].loglik) else -math.inf)
+        if math.isfinite(found[best].loglik) and found[best].loglik > at.loglik:
+            theta, at = tried[best], found[best]
             damp = damp / 4 if best < 2 else max(damp, 1e-3) * 2
         elif damp > 1e4:
             break
         else:
             damp = max(damp, 1e-3) * 10
-    return theta, value, score, outer, rounds, False
+    return theta, at, rounds, False
+
+
+def clustered(units: DataFrame, theta: np.ndarray, at: Sums, pooled: bool = False) -> np.ndarray:
+    """Covariance: the units' squared scores between inverse second derivatives, of differences of scores."""
+    k = len(theta)
+    steps = [1e-4 * max(1.0, abs(v)) for v in theta]
+    moved = [theta + s * d * np.eye(k)[j] for j, d in enumerate(steps) for s in (1, -1)]
+    found = [v for a in range(0, len(moved), 8) for v in _summed(units, moved[a : a + 8], pooled)]
+    second = np.array([(found[2 * j].score - found[2 * j + 1].score) / (2 * d) for j, d in enumerate(steps)])
+    bread = np.linalg.pinv((second + second.T) / 2)
+    n = units.count()
+    return bread @ at.clustered @ bread * n / max(n - 1, 1)
+
+
+def returns(theta: np.ndarray, cov: np.ndarray, at: list[int], bind: bool = False) -> Returns:
+    """The sum of the elasticities at the places ``at``, and the test that it is one."""
+    scale, var = float(theta[at].sum()), float(cov[np.ix_(at, at)].sum())
+    chi2 = (scale - 1) ** 2 / var if var > 0 else math.nan
+    return Returns(scale, math.sqrt(max(var, 0.0)), chi2, math.erfc(math.sqrt(chi2 / 2)), bind)
 
 
 def fitted(df: DataFrame, y: Column, inputs: dict[str, Column], years: list[int], rounds: int = ROUNDS) -> tuple[Fit, DataFrame | None]:
     """The frontier of ln y on the inputs' centred logs and year effects, and the packed units.
 
     If the fit has increasing returns, it is refitted at constant ones: everything relative to the first
-    input. If the likelihood has no maximum inside, the pooled half-normal model by moments stands in.
+    input. If a likelihood has no maximum inside, the pooled half-normal model stands in. No row, or no
+    year: no terms, model ``none``.
     """
     means = df.agg(*[F.avg(c).alias(k) for k, c in inputs.items()]).first().asDict()
     if not years or None in means.values():
         return Fit({}, {}, math.nan, 0, "none"), None
     centred = {k: c - F.lit(means[k]) for k, c in inputs.items()}
     effects = {f"y{t}": (F.col("year") == t).cast("double") for t in years[1:]}
-    fit, units = _one(df, y, {"const": F.lit(1.0), **centred, **effects}, "time decay", rounds)
-    if fit.model == "time decay" and sum(fit.coef[k] for k in inputs) > 1:
+    x = {"const": F.lit(1.0), **centred, **effects}
+    at = [list(x).index(k) for k in inputs]
+    units = packed(df, y, x).persist()
+    fit = _fit(df, y, x, units, "time decay", rounds, at)
+    if fit and fit.returns.scale > 1:
         base = next(iter(inputs))
         rel = {k: c - centred[base] for k, c in centred.items() if k != base}
-        again, units = _one(df, y - centred[base], {"const": F.lit(1.0), **rel, **effects}, "time decay, constant returns", rounds)
-        again.coef[base] = 1.0 - sum(again.coef[k] for k in rel)
-        return again, units
-    return fit, units
-
-
-def _one(df: DataFrame, y: Column, x: dict[str, Column], model: str, rounds: int) -> tuple[Fit, DataFrame]:
-    names = list(x)
+        narrow = {"const": F.lit(1.0), **rel, **effects}
+        again_units = packed(df, y - centred[base], narrow).persist()
+        again = _fit(df, y - centred[base], narrow, again_units, "time decay, constant returns", rounds, [])
+        if again:
+            units.unpersist()
+            again.coef[base] = 1.0 - sum(again.coef[k] for k in rel)
+            return again._replace(returns=fit.returns._replace(bind=True)), again_units
+        again_units.unpersist()
+        fit = None
+    return fit or pooled(df, y, x, units, rounds, at), units
+
+
+def _start(df: DataFrame, y: Column, x: dict[str, Column]) -> tuple[np.ndarray, float]:
+    """Least squares and the variance of its residuals."""
     row = moments(df, x | {"_y": y}).first()
     m = matrix(row, len(x) + 1)
     b = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
-    s2 = max(float(m[-1, -1] - b @ m[:-1, -1]) / max(row["n"] - len(x), 1), 1e-8)
+    return b, max(float(m[-1, -1] - b @ m[:-1, -1]) / max(row["n"] - len(x), 1), 1e-8)
+
+
+def _fit(df: DataFrame, y: Column, x: dict[str, Column], units: DataFrame, model: str, rounds: int, inputs: list[int]) -> Fit | None:
+    """The fit with time decay, or none where the likelihood has no maximum inside."""
+    b, s2 = _start(df, y, x)
     start = np.concatenate([b, [0.0, 0.0, math.log(1.5 * s2), 0.0]])
     start[0] += math.sqrt(2 / math.pi * 0.75 * s2)
-    units = packed(df, y, x).persist()
-    theta, value, score, outer, done, ok = maximised(units, start, rounds)
-    keys = [*names, *_EXTRA]
-    inside = ok and -12 < theta[-1] < 12 and abs(theta[-4]) < 50 * math.exp(theta[-2] / 2)
-    if not inside:
-        e = y - sum((float(v) * c for v, c in zip(b, x.values())), F.lit(0.0))
-        hn = half_normal(*df.select(e.alias("e")).agg(F.count("e"), F.avg(F.pow("e", 2)), F.avg(F.pow("e", 3))).first())
-        total = max(hn["sigma_u"] ** 2 + hn["sigma_v"] ** 2, 1e-12)
-        g = min(max(hn["sigma_u"] ** 2 / total, 1e-6), 1 - 1e-6)
-        b[0] += hn["mean_u"]
-        theta = np.concatenate([b, [0.0, 0.0, math.log(total), math.log(g / (1 - g))]])
-        return Fit(dict(zip(keys, theta.tolist())), {}, math.nan, done, "pooled half-normal"), units
-    # clustered by unit: the units' scores on both sides of the inverse second derivatives
-    k = len(theta)
-    steps = [1e-4 * max(1.0, abs(v)) for v in theta]
-    moved = [theta + s * d * np.eye(k)[j] for j, d in enumerate(steps) for s in (1, -1)]
-    found = [v for a in range(0, len(moved), 8) for v in _summed(units, moved[a : a + 8])]
-    second = np.array([(found[2 * j][1] - found[2 * j + 1][1]) / (2 * d) for j, d in enumerate(steps)])
-    bread = np.linalg.pinv((second + second.T) / 2)
-    n = units.count()
-    var = np.diag(bread @ outer @ bread) * n / max(n - 1, 1)
-    return Fit(dict(zip(keys, theta.tolist())), dict(zip(keys, np.sqrt(np.maximum(var, 0)).tolist())), value, done, model), units
+    theta, at, done, ok = maximised(units, start, rounds)
+    if not (ok and -12 < theta[-1] < 12 and abs(theta[-4]) < 50 * math.exp(theta[-2] / 2)):
+        return None
+    cov = clustered(units, theta, at)
+    keys = [*x, *_EXTRA]
+    errors = np.sqrt(np.maximum(np.diag(cov), 0)).tolist()
+    return Fit(dict(zip(keys, theta.tolist())), dict(zip(keys, errors)), at.loglik, done, model, returns(theta, cov, inputs) if inputs else None, True)
+
+
+def pooled(df: DataFrame, y: Column, x: dict[str, Column], units: DataFrame, rounds: int = ROUNDS, inputs: list[int] = ()) -> Fit:
+    """The half-normal model of rows without a memory of their unit, by maximum likelihood.
+
+    The moments of least-squares residuals give the start. Residuals that lean the wrong way leave no
+    inefficiency: gamma ends next to 0, and the terms are those of least squares. ``converged`` tells
+    whether the rounds were enough; if not, the terms are the best found, without errors or a test.
+    """
+    b, _ = _start(df, y, x)
+    e = y - sum((float(v) * c for v, c in zip(b, x.values())), F.lit(0.0))
+    hn = half_normal(*df.select(e.alias("e")).agg(F.count("e"), F.avg(F.pow("e", 2)), F.avg(F.pow("e", 3))).first())
+    total = max(hn["sigma_u"] ** 2 + hn["sigma_v"] ** 2, 1e-12)
+    g = min(max(hn["sigma_u"] ** 2 / total, 1e-6), 1 - 1e-6)
+    b[0] += hn["mean_u"]
+    theta, at, done, ok = maximised(units, np.concatenate([b, [math.log(total), math.log(g / (1 - g))]]), rounds, True)
+    coef = dict(zip([*x, *_EXTRA], np.insert(theta, len(theta) - 2, [0.0, 0.0]).tolist()))
+    if not ok:
+        return Fit(coef, {}, at.loglik, done, "pooled half-normal")
+    cov = clustered(units, theta, at, True)
+    errors = dict(zip([*x, *_EXTRA[2:]], np.sqrt(np.maximum(np.diag(cov), 0)).tolist()))
+    return Fit(coef, errors, at.loglik, done, "pooled half-normal", returns(theta, cov, list(inputs)) if inputs else None, True)
 
 
 def efficiencies(fit: Fit, units: DataFrame, names: list[str]) -> DataFrame:
     """unit, year, u_hat and te = exp(-u_hat) of every packed row; ``names`` are the packed terms."""
-    theta = np.array([fit.coef[k] for k in (*names, *_EXTRA)])
+    alone = fit.model.startswith("pooled")  # each row has an inefficiency of its own
+    theta = np.array([fit.coef[k] for k in (*names, *(_EXTRA[2:] if alone else _EXTRA))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                u, year = _units(batch)
+                u, year = _units(batch, alone)
                 hat = u.inefficiency(theta)
-                unit = np.repeat(batch.column("unit").to_numpy(), u.n)
+                unit = np.repeat(batch.column("unit").to_numpy(), np.diff(np.append(u.clusters, len(year))))
                 yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array(year.astype(np.int32)), pa.array(hat), pa.array(np.exp(-hat))], ["unit", "year", "u_hat", "te"])
 
     return units.mapInArrow(run, "unit int, year int, u_hat double, te double")

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fieldspan.functions.expr import stage
-from fieldspan.operators import crosswalk as X, frontier as O, index as I, lp, panel as P, panel_frontier as PF, regress as R
+from fieldspan.operators import crosswalk as X, frontier as O, index as I, lp, panel as P, panel_frontier as PF, regress as R, spread
 from fieldspan.plans.headline import growth, sample
+from fieldspan.plans.indices import accounts
 from fieldspan.plans.registry import query
 from fieldspan.sources.tables import INPUTS, panel, table, with_holes
 
@@ -156,7 +157,7 @@ def e11(spark, d):
 @query("e13_pooled_half_normal")
 def e13(spark, d):
     """Pooled half-normal stochastic frontier by moments of least-squares residuals: what stands in
-    where the panel model of ``e13b`` has no maximum."""
+    where the likelihood of ``e13d`` starts."""
     r = rows(spark, d).withColumn("one", F.lit(1))
     fit = R.ols(r, F.ln("y"), {k: F.ln(k) for k in _IN}, ["one"])
     if not fit:
@@ -252,6 +253,30 @@ def e13b(spark, d):
     return spark.createDataFrame(out, "term string, coef double, se double, model string")
 
 
+@query("e13c_returns_to_scale")
+def e13c(spark, d):
+    """Returns to scale at the mean before any constraint, the test that they are constant, and whether the
+    constraint binds; the fit that stands, its likelihood, rounds, and whether it converged. No row without a fit that converged."""
+    fit, _, _ = decay(spark, d)
+    out = [(*fit.returns, fit.model, fit.loglik, fit.rounds, fit.converged)] if fit.returns else []
+    return spark.createDataFrame(out, "scale double, se double, chi2 double, p double, bind boolean, model string, loglik double, rounds int, converged boolean")
+
+
+@query("e13d_pooled_likelihood")
+def e13d(spark, d):
+    """Terms of the pooled half-normal frontier with year effects, by likelihood, errors clustered by unit."""
+    r = rows(spark, d)
+    years = [x[0] for x in r.select("year").distinct().orderBy("year").collect()]
+    x = {"const": F.lit(1.0), **{k: F.ln(k) for k in _IN}, **{f"y{t}": (F.col("year") == t).cast("double") for t in years[1:]}}
+    if not years:
+        return spark.createDataFrame([], "term string, coef double, se double, loglik double, converged boolean")
+    units = PF.packed(r, F.ln("y"), x).persist()
+    fit = PF.pooled(r, F.ln("y"), x, units)
+    units.unpersist()
+    out = [(k, float(v), fit.errors.get(k), fit.loglik, fit.converged) for k, v in fit.coef.items()]
+    return spark.createDataFrame(out, "term string, coef double, se double, loglik double, converged boolean")
+
+
 def decayed(spark, d):
     """unit, year, u_hat, te and ln_tfp: constant and year effect less inefficiency."""
     fit, units, terms = decay(spark, d)
@@ -292,6 +317,26 @@ def e08b(spark, d):
     return out
 
 
+@query("e09f_volatility_by_estimator")
+def e09f(spark, d):
+    """The yearly spread and range of national growth, in log percent, beside one another: of programmes and the fitted
+    frontier (winsorized, weighted by output, matched unit-years) and of the residual of the totals."""
+    series = e08b(spark, d).unpivot(["year"], ["dea", "sfa", "solow"], "series", "g").select("series", (100 * F.col("g")).alias("g"))
+    totals = accounts(P.balanced(rows(spark, d))).select(F.lit("totals").alias("series"), F.col("tfp").alias("g"))
+    return series.unionByName(totals).groupBy("series").agg(F.avg("g").alias("mean"), F.stddev_samp("g").alias("sd"), F.min("g").alias("least"), F.max("g").alias("most"), F.count("g").alias("n"))
+
+
+@query("e09g_tails_of_programmes")
+def e09g(spark, d):
+    """Tails of the units' growth by programmes: shares beyond 0.5 and 1, and the spread before and after
+    values outside the 1st to 99th percentile of all are moved to these."""
+    g = f05b(spark, d).select("lnM").where("lnM is not null").persist()
+    v = g.join(F.broadcast(spread.quantiles(g, "lnM", [], [0.01, 0.99])))  # a single row
+    beyond = lambda b: F.avg((F.abs("lnM") > b).cast("double"))
+    clipped = F.greatest(F.least("lnM", F.col("q")[1]), F.col("q")[0])
+    return v.agg(beyond(0.5).alias("beyond_half"), beyond(1.0).alias("beyond_one"), F.stddev_samp("lnM").alias("sd"), F.stddev_samp(clipped).alias("sd_trimmed"), F.count("lnM").alias("n"))
+
+
 @query("e12b_gap_by_stage")
 def e12b(spark, d):
     """Percent growth by stage of programmes and fitted frontier, their gap, and a warning if the fit fell back."""

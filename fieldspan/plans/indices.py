@@ -104,9 +104,8 @@ _AGG = f"""{PANEL_SQL}, a AS (SELECT year, sum(y) AS y, sum(y*(1+0.03*(year-1995
 _PARTS = ("nominal", "deflator", "real", "input", "tfp")
 
 
-def accounts(spark, d):
-    """Percent changes of the national accounts by year: output in current prices, its deflator, real output, inputs, residual."""
-    rows = panel(spark, d)
+def accounts(rows):
+    """Percent changes of the rows' totals by year: output in current prices, its deflator, real output, inputs, residual."""
     a = rows.groupBy("year").agg(F.sum("y").alias("y"), F.sum(F.col("y") * deflator()).alias("nom"), sum((w * F.ln(F.sum(k)) for k, w in I.ELASTICITIES.items()), F.lit(0.0)).alias("li"))
     w = Window.orderBy("year")  # a row per year
     levels = {"nominal": F.ln("nom"), "deflator": F.ln(F.col("nom") / F.col("y")), "real": F.ln("y"), "input": F.col("li"), "tfp": F.ln("y") - F.col("li")}
@@ -116,7 +115,7 @@ def accounts(spark, d):
 @query("e09b_growth_decomposition", f"WITH {_AGG} SELECT component, round(avg(v),6) AS mean, round(stddev_samp(v),6) AS sd, round(min(v),6) AS least, round(max(v),6) AS most, round((SELECT corr(real, tfp) FROM d),6) AS corr_output, round((SELECT corr(input, tfp) FROM d),6) AS corr_input FROM long GROUP BY component")
 def e09b(spark, d):
     """Which component of national growth moves: level, spread and range of each, and the residual's correlations."""
-    a = accounts(spark, d)
+    a = accounts(panel(spark, d))
     both = a.agg(F.corr("real", "tfp").alias("corr_output"), F.corr("input", "tfp").alias("corr_input"))
     long = a.unpivot(["year"], list(_PARTS), "component", "v")
     stats = long.groupBy("component").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"))
@@ -137,6 +136,22 @@ def e09c(spark, d):
     return rounded(y.withColumn("roll5_sd", P.rolling("nat_mean", "stddev_samp", 2, 3, Window.orderBy("year"))), 6)  # a row per year
 
 
+_TOTALS = "100*(t-lag(t) OVER (ORDER BY year)) AS g FROM (SELECT year, ln(sum(y))-0.2*ln(sum(x_l))-0.25*ln(sum(x_s))-0.15*ln(sum(x_k))-0.4*ln(sum(x_m)) AS t FROM"
+_SAMPLES = f"""{HOLES_SQL}, full_ AS (SELECT unit FROM holes GROUP BY unit HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM holes)),
+ s AS (SELECT 'all observations' AS rows_of, {_TOTALS} holes GROUP BY year) UNION ALL SELECT 'balanced units' AS rows_of, {_TOTALS} holes WHERE unit IN (SELECT unit FROM full_) GROUP BY year))"""
+
+
+@query("e09e_totals_by_sample", f"WITH {_SAMPLES} SELECT rows_of, round(avg(g),6) AS mean, round(stddev_samp(g),6) AS sd, round(min(g),6) AS least, round(max(g),6) AS most, count(g) AS years FROM s GROUP BY rows_of")
+def e09e(spark, d):
+    """Growth of the totals' residual over all observations, and over the units that are there every year: how much
+    of the movement comes from who is counted."""
+    rows = with_holes(panel(spark, d))
+    both = {"all observations": rows, "balanced units": P.balanced(rows)}
+    a, b = (accounts(v).select(F.lit(k).alias("rows_of"), F.col("tfp").alias("g")) for k, v in both.items())
+    out = a.unionByName(b).groupBy("rows_of").agg(F.avg("g").alias("mean"), F.stddev_samp("g").alias("sd"), F.min("g").alias("least"), F.max("g").alias("most"), F.count("g").alias("years"))
+    return rounded(out, 6)
+
+
 _MA = "CASE WHEN count(g) OVER w{k} >= {m} THEN avg(g) OVER w{k} END"
 
 

@@ -315,6 +315,49 @@ def test_panel_frontier_finds_its_parameters(spark):
     assert one.loglik(theta)[0] == pytest.approx(np.log(((dens[1:] + dens[:-1]) / 2 * np.diff(x)).sum()), abs=1e-6)
 
 
+def test_pooled_frontier_is_the_half_normal_likelihood(spark):
+    from pyspark.sql import functions as F
+
+    from fieldspan.operators import panel_frontier as PF
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for u in range(60):
+        own = rng.normal(0, 0.1)  # what the rows of a unit share: errors must be clustered
+        rows += [(u, 2000 + t, float(np.exp(1 + 0.6 * (a := rng.normal()) + own + rng.normal(0, 0.1) - abs(rng.normal(0, 0.4)))), float(np.exp(a))) for t in range(8)]
+    df = spark.createDataFrame(rows, "unit int, year int, y double, a double").repartition(3)
+    x = {"const": F.lit(1.0), "a": F.ln("a")}
+    units = PF.packed(df, F.ln("y"), x)
+    fit = PF.pooled(df, F.ln("y"), x, units, inputs=[1])
+    assert fit.converged and fit.model == "pooled half-normal" and fit.coef["a"] == pytest.approx(0.6, abs=0.05)
+
+    unit, ly, la = np.array([r[0] for r in rows]), np.log([r[2] for r in rows]), np.log([r[3] for r in rows])
+
+    def by_row(t):
+        s, g = math.exp(t[2] / 2), 1 / (1 + math.exp(-t[3]))
+        e = ly - t[0] - t[1] * la
+        below = np.array([0.5 * math.erfc(v * math.sqrt(g / (1 - g)) / s / math.sqrt(2)) for v in e])
+        return math.log(2 / s / math.sqrt(2 * math.pi)) - e**2 / 2 / s**2 + np.log(below)
+
+    top = np.array([fit.coef[k] for k in ("const", "a", "ln_sigma2", "logit_gamma")])
+    assert by_row(top).sum() == pytest.approx(fit.loglik, rel=1e-9)
+    d = 1e-4 * np.eye(4)
+    scores = np.stack([(by_row(top + v) - by_row(top - v)) / 2e-4 for v in d], 1)
+    second = np.array([[(by_row(top + v + w).sum() - by_row(top + v - w).sum() - by_row(top - v + w).sum() + by_row(top - v - w).sum()) / 4e-8 for v in d] for w in d])
+    held = np.stack([scores[unit == u].sum(0) for u in range(60)])
+    cov = np.linalg.inv(second) @ (held.T @ held) @ np.linalg.inv(second) * 60 / 59
+    errors = np.array([fit.errors[k] for k in ("const", "a", "ln_sigma2", "logit_gamma")])
+    assert errors == pytest.approx(np.sqrt(np.diag(cov)), rel=1e-2)
+    assert fit.returns.scale == fit.coef["a"] and fit.returns.chi2 == pytest.approx(((fit.coef["a"] - 1) / errors[1]) ** 2) and fit.returns.p < 1e-9
+    # what is expected of a row depends on that row alone
+    found = {(r.unit, r.year): r.u_hat for r in PF.efficiencies(fit, units, ["const", "a"]).collect()}
+    s, g = math.exp(top[2] / 2), 1 / (1 + math.exp(-top[3]))
+    for (u, t, y, a) in rows[:20]:
+        e, width = math.log(y) - top[0] - top[1] * math.log(a), s * math.sqrt(g * (1 - g))
+        z = -e * g / width
+        assert found[u, t] == pytest.approx(-e * g + width * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / (0.5 * math.erfc(-z / math.sqrt(2))), rel=1e-6)
+
+
 def test_quantile_regression_is_the_programmes(spark):
     rng = np.random.default_rng(4)
     x, e = rng.uniform(0, 2, 60), rng.normal(size=60)

@@ -147,20 +147,94 @@ def check_e13(rows, spark):
     assert rows[0].sigma_u >= 0 and rows[0].sigma_v >= 0 and rows[0].mean_u == pytest.approx(rows[0].sigma_u * math.sqrt(2 / math.pi))
 
 
+LARGER = "/root/testdata/sf0.01"  # the smallest tables on which the panel likelihood has a maximum
+
+
 def check_e13b(rows, spark):
     terms = {r.term for r in rows}
     assert {"const", "x_l", "x_s", "x_k", "x_m", "mu", "eta", "ln_sigma2", "logit_gamma", "y2001"} <= terms and len({r.model for r in rows}) == 1
     assert sum(r.coef for r in rows if r.term.startswith("x_")) <= 1 + 1e-9 or rows[0].model.startswith("pooled")
+    larger = QUERIES["e13b_time_decay_frontier"](spark, LARGER).collect()
+    assert larger[0].model.startswith("time decay") and all(r.se is None or r.se > 0 for r in larger)
+    # no parameter gains from a small move, over all units at once
+    from fieldspan.operators.panel_frontier import _units
+    from fieldspan.plans.fitted import decay
+
+    fit, units, terms = decay(spark, LARGER)
+    u, _ = _units(units.toArrow().combine_chunks().to_batches()[0])
+    theta = np.array([fit.coef[k] for k in (*terms, "mu", "eta", "ln_sigma2", "logit_gamma")])
+    top = u.loglik(theta).sum()
+    assert top == pytest.approx(fit.loglik, rel=1e-9)
+    for j, t in enumerate(theta):
+        for s in (1, -1):
+            moved = theta.copy()
+            moved[j] += s * 0.05 * max(abs(t), 0.1)
+            assert u.loglik(moved).sum() < top + 1e-3
+
+
+def check_e13c(rows, spark):
+    (r,) = QUERIES["e13c_returns_to_scale"](spark, LARGER).collect()
+    assert r.converged and r.chi2 == pytest.approx(((r.scale - 1) / r.se) ** 2) and r.p == pytest.approx(math.erfc(abs(r.scale - 1) / r.se / math.sqrt(2)), abs=1e-12)
+    assert r.bind == (r.scale > 1) == r.model.endswith("constant returns")
+    terms = {t.term: t.coef for t in QUERIES["e13b_time_decay_frontier"](spark, LARGER).collect()}
+    assert sum(terms[k] for k in ("x_l", "x_s", "x_k", "x_m")) == pytest.approx(1.0 if r.bind else r.scale)
+    assert all(x.converged for x in rows)
+
+
+def check_e13d(rows, spark):
+    assert rows[0].converged or all(r.se is None for r in rows)
+    rows = QUERIES["e13d_pooled_likelihood"](spark, LARGER).collect()
+    terms = {r.term: r.coef for r in rows}
+    assert rows[0].converged and terms["mu"] == terms["eta"] == 0 and all((r.se is None) == (r.term in ("mu", "eta")) for r in rows)
+    from fieldspan.plans.fitted import rows as holes
+
+    m = holes(spark, LARGER).toPandas()
+    e = np.log(m.y) - terms["const"] - sum(terms[k] * np.log(m[k]) for k in ("x_l", "x_s", "x_k", "x_m")) - m.year.map(lambda t: terms.get(f"y{t}", 0.0))
+    s, g = math.exp(terms["ln_sigma2"] / 2), 1 / (1 + math.exp(-terms["logit_gamma"]))
+    below = [0.5 * math.erfc(x * math.sqrt(g / (1 - g)) / s / math.sqrt(2)) for x in e]
+    again = len(e) * math.log(2 / s / math.sqrt(2 * math.pi)) - (e**2).sum() / 2 / s**2 + np.log(below).sum()
+    assert rows[0].loglik == pytest.approx(again, rel=1e-8)
 
 
 def check_e14b(rows, spark):
-    assert len({(r.unit, r.year) for r in rows}) == len(rows) and all(r.u_hat >= 0 and r.te == pytest.approx(math.exp(-r.u_hat)) for r in rows)
-    terms = {r.term: r.coef for r in QUERIES["e13b_time_decay_frontier"](spark, DATA).collect()}
-    assert all(r.ln_tfp == pytest.approx(terms["const"] + terms.get(f"y{r.year}", 0.0) - r.u_hat) for r in rows)
+    for found, data in ((rows, DATA), (QUERIES["e14b_decay_efficiency"](spark, LARGER).collect(), LARGER)):
+        assert len({(r.unit, r.year) for r in found}) == len(found) and all(r.u_hat >= 0 and r.te == pytest.approx(math.exp(-r.u_hat)) for r in found)
+        terms = {r.term: r.coef for r in QUERIES["e13b_time_decay_frontier"](spark, data).collect()}
+        assert all(r.ln_tfp == pytest.approx(terms["const"] + terms.get(f"y{r.year}", 0.0) - r.u_hat) for r in found)
+        if found[0].model.startswith("time decay"):  # a unit's inefficiency moves with exp(-eta) alone
+            by = {(r.unit, r.year): r.u_hat for r in found}
+            assert all(by[k[0], k[1] - 1] == pytest.approx(v * math.exp(terms["eta"]), rel=1e-6) for k, v in by.items() if (k[0], k[1] - 1) in by)
 
 
 def check_e08b(rows, spark):
     assert rows and all(r.n > 0 and None not in (r.dea, r.sfa, r.solow) for r in rows)
+    from fieldspan.plans.fitted import _estimators, sample
+
+    m = _estimators(spark, DATA).toPandas()
+    y = {(r.unit, r.year): r.y for r in sample(spark, DATA).collect()}
+    for r in rows:  # shares are among the matched units
+        g = m[m.year == r.year]
+        before, now = (np.array([y[u, r.year - k] for u in g.unit]) for k in (1, 0))
+        w = before / before.sum() + now / now.sum()
+        for k in ("dea", "sfa", "solow"):
+            v = g[k].clip(*np.quantile(g[k], [0.01, 0.99]))
+            assert getattr(r, k) == pytest.approx((v * w).sum() / w.sum(), rel=1e-6, abs=1e-9)
+
+
+def check_e09f(rows, spark):
+    by = {r.series: r for r in rows}
+    assert set(by) == {"dea", "sfa", "solow", "totals"} and all(r.least - 1e-9 <= r.mean <= r.most + 1e-9 for r in rows)
+    years = QUERIES["e08b_matched_estimators"](spark, DATA).collect()
+    for k in ("dea", "sfa", "solow"):
+        v = 100 * np.array([r[k] for r in years])
+        assert by[k].n == len(v) and by[k].sd == pytest.approx(v.std(ddof=1)) and by[k].mean == pytest.approx(v.mean())
+
+
+def check_e09g(rows, spark):
+    (r,) = rows
+    v = np.array([x.lnM for x in QUERIES["f05b_malmquist_four_inputs"](spark, DATA).collect() if x.lnM is not None])
+    assert r.n == len(v) and r.sd == pytest.approx(v.std(ddof=1)) and r.sd_trimmed == pytest.approx(v.clip(*np.quantile(v, [0.01, 0.99])).std(ddof=1))
+    assert r.beyond_half == pytest.approx((abs(v) > 0.5).mean()) and r.beyond_one == pytest.approx((abs(v) > 1).mean())
 
 
 def check_e12b(rows, spark):
