@@ -8,9 +8,10 @@ with the items are streamed: a hit lies whole inside such a stretch, so nothing
 The items are a stated set. Parts of about ``PART_BYTES`` of them are built into automata, each in a
 task of its own, and packed into arrays of 7 to 10 times the text's size. Packed parts go to the
 tasks in blocks of ``block_bytes`` of text; more items mean more blocks, and each block sees all
-documents as given. Results are the same for any number of parts and blocks.
+documents as given. A block's hits are stored before the next block is fetched, and the block is given
+up then: driver and executors hold one at a time. Results are the same for any number of parts and blocks.
 
-Nulls and texts without words give no words and no hits. Items with the same item_id count as one,
+Nulls and texts without words give no words and no hits. Items with the same item_id count as one, those without any are one with an empty name,
 and repeated documents each get their row; a null doc_id is kept. Very long texts are scanned whole,
 one at a time. An empty benchmark hits nothing, and no documents give no rows. Extra columns of
 either table are ignored (``overlaps``), or of the documents kept (``decontaminated``).
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldspan.llm.shared import chunks, free, marked, small_batches, written
@@ -228,8 +230,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     """
     blocks = _blocks(benchmark, window, block_bytes)
     if len(blocks) == 1:
-        return _scan(docs, {"doc_id": F.col("doc_id").cast("long")}, blocks[0], window, False)
-    rows = _scan(docs, {"doc_id": F.col("doc_id").cast("long"), **_keys()}, [], window, False).drop("spans", "item_ids")
+        return _scan(docs, {"doc_id": F.col("doc_id").cast("long")}, _sent(docs, blocks[0]), window, False)
+    rows = _scan(docs, {"doc_id": F.col("doc_id").cast("long"), **_keys()}, _sent(docs, []), window, False).drop("spans", "item_ids")
     hits = _hits(docs, blocks, window)
     rows = marked(rows, "short", hits.select("short"), "met")
     found = rows.where("met").join(hits.drop("short"), "key", "left")
@@ -248,9 +250,12 @@ def _keys() -> dict[str, Column]:
     return {"key": F.sha2(F.col("text").cast("binary"), 256), "short": F.xxhash64("text")}
 
 
-def _scan(docs: DataFrame, own: dict[str, Column], block: list[dict], window: int, only_hits: bool) -> DataFrame:
+def _sent(docs: DataFrame, block: list[dict]) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(block)
+
+
+def _scan(docs: DataFrame, own: dict[str, Column], sent: Broadcast, window: int, only_hits: bool) -> DataFrame:
     """The columns ``own``, n_words, and one block's spans and item_ids; of all rows, or of those with hits."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
     docs = small_batches(docs).select("text", *[c.alias(k) for k, c in own.items()])
     types = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in own]
     names = list(own)
@@ -295,13 +300,12 @@ def _hits(docs: DataFrame, blocks: _Blocks, window: int) -> DataFrame:
 
     Spans are found on the whole text, and depend on nothing but the text: repeated ones count once.
     """
-    parts = []
-    for k, block in enumerate(blocks):
-        parts.append(_scan(docs, _keys(), block, window, True).withColumn("block", F.lit(k)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    once = written(every.dropDuplicates(["key", "block"]), "hits")
+    once = None
+    for block in blocks:
+        sent = _sent(docs, block)
+        found = written(_scan(docs, _keys(), sent, window, True).dropDuplicates(["key"]), "hits")
+        sent.destroy()  # what it found is stored: no lost task needs it again
+        once = found if once is None else once.unionByName(found)
     met = once.groupBy("key", "short").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     return met.select("key", "short", merged(F.col("s")).alias("spans"), "item_ids")
 
@@ -365,11 +369,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hits stays as it is. Each removed span takes the bytes from its first to its last word. With
     several blocks the spans of all are found on the given texts and merged before anything is cut.
     """
-    spark = small_batches(docs).sparkSession
+    docs = small_batches(docs)
     text = docs.schema.fieldNames().index("text")
     blocks = _blocks(benchmark, window, block_bytes)
     if len(blocks) == 1:
-        sent = spark.sparkContext.broadcast(blocks[0])
+        sent = _sent(docs, blocks[0])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matchers = [Matcher(part, window) for part in sent.value]

@@ -72,6 +72,32 @@ def test_cleaned_texts_with_several_blocks(spark, docs_of):
     assert [r[1].split()[0] for r in one if r[0] == 2] == ["."]
 
 
+def test_one_block_is_held_at_a_time(spark, docs_of, monkeypatch):
+    item = lambda k: " ".join(f"i{k}x{j}" for j in range(11))
+    bench = spark.createDataFrame([(k, item(k)) for k in range(8)] + [(None, item(8)), (None, item(9))], "item_id long, text string")
+    rows = [(k, f"a {item(k)} b {item(k + 1)}") for k in range(9)] + [(20, "x " * 30_000 + item(3) + " y" * 30_000)]
+    held, most = set(), []
+
+    class Sent:
+        def __init__(self, real):
+            self.real, self.id = real, len(most)
+            held.add(self.id)
+            most.append(len(held))
+
+        def destroy(self):
+            held.remove(self.id)
+            self.real.destroy()
+
+    real = D._sent
+    monkeypatch.setattr(D, "_sent", lambda docs, block: Sent(real(docs, block)) if block else real(docs, block))
+    scan = D._scan
+    monkeypatch.setattr(D, "_scan", lambda docs, own, sent, *rest: scan(docs, own, getattr(sent, "real", sent), *rest))
+    got = D.digest(D.overlaps(docs_of(rows), bench, block_bytes=200))
+    assert len(most) > 2 and max(most) == 1 and not held
+    # rows are found without the blocks; items without an id are one with an empty name
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, [(k, item(k)) for k in range(8)] + [("", item(8)), ("", item(9))])
+
+
 def test_packed_parts_stay_small(monkeypatch):
     random.seed(3)
     text = lambda n: " ".join(f"v{random.randrange(5000)}" for _ in range(n))
