@@ -420,3 +420,33 @@ def test_json_payloads(spark):
     got = {r.unit: json.loads(r.payload) for r in payloads(df, "unit", "year", {"a": "A", "b": "B"}).collect()}
     assert got[1] == {"id": 1, "years": [2000, 2001], "vars": [{"label": "A", "z": [None, 1234570.0]}, {"label": "B", "z": [2.0, 0.000123457]}]}
     assert got[2]["vars"] == [{"label": "A", "z": [-0.5]}, {"label": "B", "z": [None]}]
+
+
+def test_prefix_match_in_blocks(spark):
+    """Blocks of distinct names give every name the best of all pairs."""
+    from difflib import SequenceMatcher
+    from random import Random
+
+    rng = Random(3)
+    word = lambda: "ab" + "".join(rng.choice("abcd é😀") for _ in range(rng.choice([3, 6, 12, 80])))
+    names = [word() for _ in range(25)]
+    left = [(i, i % 2, rng.choice(names)) for i in range(200)]
+    dims = [(i if i % 50 else None, i % 2, rng.choice(names)[: rng.choice([4, 90])] + rng.choice(["", "", " NEW"])) for i in range(300)]
+    got = X.best_by_prefix(spark.createDataFrame(left, "cid long, prov int, name string"), spark.createDataFrame(dims, "code long, prov int, gname string"), block=7)
+    want = {}
+    for cid, prov, name in left:
+        score, _, code, _ = max((SequenceMatcher(None, name, g).ratio(), c is not None, -(c or 0), g) for c, p, g in dims if p == prov)
+        want[cid] = (-code, round(score, 2))
+    assert {r.cid: (r.code, r.similarity) for r in got.collect()} == {k: (c, pytest.approx(s, abs=0.0051)) for k, (c, s) in want.items()}
+
+
+def test_prefix_match_bound():
+    """The bound holds for names of any length, and leaves few candidates of the best match."""
+    from difflib import SequenceMatcher
+
+    names = [f"Brand#{b} {t}" for b in range(1, 26) for t in ("LARGE", "ECONOMY", "SMALL", "STANDARD", "MEDIUM", "PROMO")] + ["x" * 70 + "é", "😀b"]
+    letters, size = X._bits(names)
+    for name in names[::7] + ["Brand#7 LARGE NEW", names[-1] + "y"]:
+        ratio = np.array([SequenceMatcher(None, name, n).ratio() for n in names])
+        bound = X.at_most(name, letters, size)
+        assert (bound >= ratio).all() and (len(name) > 63 or (bound >= ratio.max()).sum() < 40)
