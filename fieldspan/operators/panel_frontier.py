@@ -48,14 +48,37 @@ class Fit(NamedTuple):
     converged: bool = False
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def _log_phi_series(step: float = 1 / 32, low: float = -12.0, high: float = 9.0, terms: int = 8) -> np.ndarray:
+    """Coefficients of the log of the normal distribution function about even places, lowest order first.
+
+    Its slope m follows m' = -m (z + m), so that each coefficient comes of those before it.
+    """
+    z = low + step * np.arange(round((high - low) / step) + 1)
+    half = np.array([0.5 * math.erfc(abs(v) / math.sqrt(2)) for v in z])
+    log = np.where(z > 0, np.log1p(-half), np.log(half))
+    m = [np.exp(-z * z / 2 - 0.5 * math.log(2 * math.pi) - log)]
+    for k in range(terms - 2):
+        before = m[k - 1] if k else 0.0
+        m.append(-(z * m[k] + before + sum(m[i] * m[k - i] for i in range(k + 1))) / (k + 1))
+    return np.stack([log, *(c / (k + 1) for k, c in enumerate(m))])
+
+
+_SERIES = _log_phi_series()
 
 
 def log_phi(z: np.ndarray) -> np.ndarray:
     """Log of the normal distribution function, far into the lower tail too."""
     z = np.asarray(z, float)
+    place = np.clip(np.nan_to_num(z), -12.0, 9.0)
+    at = np.rint((place + 12.0) * 32).astype(np.intp)
+    off = place - (at / 32 - 12.0)
+    near = _SERIES[-1][at]
+    for c in _SERIES[-2::-1]:
+        near = near * off + c[at]
+    near = np.where(np.isnan(z), z, near)
     far = z < -12
-    near = np.log(np.maximum(0.5 * _erfc(-np.where(far, 0.0, z) / math.sqrt(2.0)), 1e-300))
+    if not far.any():
+        return near
     x = np.where(far, z, -12.0)
     tail = -x * x / 2 - np.log(-x * math.sqrt(2 * math.pi)) + np.log1p(-1 / x**2 + 3 / x**4)
     return np.where(far, tail, near)
@@ -97,13 +120,36 @@ class Units:
         return -0.5 * (self.n * math.log(2 * math.pi) + (self.n - 1) * math.log(sv2) + np.log(mix) + ee / sv2 + mu * mu / su2 - z * z) + log_phi(z) - log_phi(np.array(mu / math.sqrt(su2)))
 
     def scores(self, theta: np.ndarray) -> np.ndarray:
-        """By unit and parameter, by central differences."""
-        out = np.empty((len(self.first), len(theta)))
-        for j in range(len(theta)):
-            d = np.zeros(len(theta))
-            d[j] = 1e-5 * max(1.0, abs(theta[j]))
-            out[:, j] = (self.loglik(theta + d) - self.loglik(theta - d)) / (2 * d[j])
-        return out
+        """By unit and parameter: the derivatives of ``loglik``."""
+        return self.both(theta)[1]
+
+    def both(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likelihood by unit, and its derivatives by unit and parameter."""
+        theta = self.whole(theta)
+        k = self.x.shape[1]
+        e, h, hh, he, ee = self._sums(theta)
+        mu, s2, g = theta[-4], math.exp(min(theta[-2], 50.0)), 1 / (1 + math.exp(-max(min(theta[-1], 30.0), -30.0)))
+        su2, sv2 = s2 * g, s2 * (1 - g)
+        mix = sv2 + su2 * hh
+        root = np.sqrt(mix * su2 * sv2)
+        z = (mu * sv2 - su2 * he) / root
+        lp, start = log_phi(z), np.array(mu / math.sqrt(su2))
+        value = -0.5 * (self.n * math.log(2 * math.pi) + (self.n - 1) * math.log(sv2) + np.log(mix) + ee / sv2 + mu * mu / su2 - z * z) + lp - log_phi(start)
+        slope = z + np.exp(-z * z / 2 - 0.5 * math.log(2 * math.pi) - lp)  # of z*z/2 and the log of its distribution
+        at_mu = float(_mills(start))
+        out = np.empty((len(self.first), k + 4))
+        out[:, :k] = np.add.reduceat(self.x * e[:, None], self.first) / sv2 + (slope * su2 / root)[:, None] * np.add.reduceat(self.x * h[:, None], self.first)
+        by_u = -0.5 * (hh / mix - mu * mu / su2**2) + slope * (-he / root - 0.5 * z * (hh / mix + 1 / su2)) + at_mu * mu / (2 * su2**1.5)
+        by_v = -0.5 * ((self.n - 1) / sv2 + 1 / mix - ee / sv2**2) + slope * (mu / root - 0.5 * z * (1 / mix + 1 / sv2))
+        out[:, -2] = (su2 * by_u + sv2 * by_v) * (theta[-2] < 50)
+        out[:, -1] = s2 * g * (1 - g) * (by_u - by_v) * (abs(theta[-1]) < 30)
+        if self.pooled:
+            return value, np.delete(out, [k, k + 1], 1)
+        out[:, k] = -mu / su2 + slope * sv2 / root - at_mu / math.sqrt(su2)
+        pace = self.back * h * (np.abs(theta[k + 1] * self.back) < 50)
+        mixed = su2 * 2 * np.add.reduceat(pace * h, self.first) / mix
+        out[:, k + 1] = -0.5 * mixed - slope * (su2 * np.add.reduceat(pace * e, self.first) / root + 0.5 * z * mixed)
+        return value, out
 
     def inefficiency(self, theta: np.ndarray) -> np.ndarray:
         """Expected u h(t) of each row given its unit's residuals."""
@@ -150,9 +196,9 @@ def _summed(units: DataFrame, thetas: list[np.ndarray], pooled: bool) -> list[Su
             if batch.num_rows:
                 u, _ = _units(batch, pooled)
                 for c, theta in enumerate(thetas):
-                    s = u.scores(theta)
+                    value, s = u.both(theta)
                     by = np.add.reduceat(s, u.clusters) if pooled else s
-                    total[c] += np.concatenate([[u.loglik(theta).sum()], s.sum(0), (s.T @ s).ravel(), (by.T @ by).ravel()])
+                    total[c] += np.concatenate([[value.sum()], s.sum(0), (s.T @ s).ravel(), (by.T @ by).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(thetas)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["c", "v"])
 
     parts = units.mapInArrow(run, "c int, v array<double>").select("c", F.posexplode("v").alias("i", "v"))

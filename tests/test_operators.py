@@ -450,3 +450,22 @@ def test_prefix_match_bound():
         ratio = np.array([SequenceMatcher(None, name, n).ratio() for n in names])
         bound = X.at_most(name, letters, size)
         assert (bound >= ratio).all() and (len(name) > 63 or (bound >= ratio.max()).sum() < 40)
+
+
+def test_panel_scores_are_derivatives(monkeypatch):
+    """One pass over the units gives likelihood and scores, without a call of the likelihood for each parameter."""
+    from fieldspan.operators import panel_frontier as PF
+
+    z = np.linspace(-11.9, 8, 4001)
+    want = [math.log(0.5 * math.erfc(-v / math.sqrt(2))) if v < 0 else math.log1p(-0.5 * math.erfc(v / math.sqrt(2))) for v in z]
+    assert np.allclose(PF.log_phi(z), want, rtol=1e-13, atol=1e-15) and np.isfinite(PF.log_phi(np.array([-1e3, 40.0]))).all()
+    rng = np.random.default_rng(0)
+    x = np.column_stack([np.ones(300), rng.normal(size=(300, 2))])
+    y = x @ [1, 0.5, 0.3] + 0.2 * rng.normal(size=300) - np.repeat(np.abs(rng.normal(size=60)), 5)
+    for pooled, theta in ((False, [1, 0.4, 0.2, 0.3, 0.05, -1, 0.5]), (False, [1, 0.4, 0.2, -2, -0.1, -2, 3]), (True, [1, 0.4, 0.2, -1, 0.5])):
+        u, theta = PF.Units(y, x, np.tile(np.arange(4.0, -1, -1), 60), np.arange(0, 300, 5), pooled), np.array(theta, float)
+        moved = np.stack([(u.loglik(theta + d) - u.loglik(theta - d)) / 2e-6 for d in 1e-6 * np.eye(len(theta))], 1)
+        calls = []
+        monkeypatch.setattr(PF.Units, "loglik", lambda self, t: calls.append(t))
+        assert np.allclose(u.scores(theta), moved, rtol=1e-6, atol=1e-6) and not calls
+        monkeypatch.undo()
