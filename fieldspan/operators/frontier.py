@@ -147,6 +147,63 @@ def non_dominated(df: DataFrame, by: list[str], inputs: list[str], y: str, keep:
     return left.join(lost, [*by, *names], "left_anti")
 
 
+def dominators(x: np.ndarray, y: np.ndarray, strict: bool = False) -> np.ndarray:
+    """How many points have as much y with as little x, each itself included; or, if ``strict``, with less x.
+
+    In the order of x, and from the most y on, halves of growing blocks are met: the left half's points, ordered
+    by y, are counted for each of the right half.
+    """
+    if not len(x):
+        return np.zeros(0, np.int64)
+    both, at, times = np.unique(np.column_stack([x, -y]), axis=0, return_inverse=True, return_counts=True)
+    n, rank = len(both), np.unique(both[:, 1], return_inverse=True)[1].ravel()
+    out, place, width = times.astype(np.int64), np.arange(len(both)), 1
+    while width < n:
+        right = place // width % 2 == 1
+        pair = place // (2 * width) * n
+        left, asked = np.flatnonzero(~right), np.flatnonzero(right)
+        order = left[np.argsort(pair[left] + rank[left])]
+        sums, known = np.append(0, np.cumsum(times[order])), pair[order] + rank[order]
+        out[asked] += sums[np.searchsorted(known, pair[asked] + rank[asked], "right")] - sums[np.searchsorted(known, pair[asked])]
+        width *= 2
+    if strict:
+        first = np.flatnonzero(np.append(True, np.diff(both[:, 0]) != 0))
+        so_far = np.cumsum(times)
+        out -= so_far - np.repeat((so_far - times)[first], np.diff(np.append(first, n)))
+    return out[at.ravel()]
+
+
+def dominated_by(df: DataFrame, by: list[str], unit: str, x: str, y: str, most: int = 100_000, buckets: int = spread.BUCKETS) -> DataFrame:
+    """unit, by and ``beaten_by``: how many rows of other units of the group have as much y with as little x, if any.
+
+    A large group is dealt into buckets of neighbouring x, and again of neighbouring y. Rows count inside
+    their bucket of x, then among fewer x inside their bucket of y; all others enter as sums over cells.
+    """
+    rows = df.select(unit, *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+
+    def counted(key: list[str], over: str, name: str, strict: bool):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            return group.assign(**{name: dominators(group[over].to_numpy(float), group["_y"].to_numpy(float), strict)})
+
+        return lambda d: d.groupBy(*key).applyInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in d.schema)}, {name} long")
+
+    if spread.largest(rows, by) <= most:
+        found = counted(by, "_x", "_n", False)(rows)
+    else:
+        dealt = spread.bucketed(spread.bucketed(rows, "_x", by, buckets).withColumnRenamed("_b", "_bx"), "_y", by, buckets).withColumnRenamed("_b", "_by")
+        cells = dealt.groupBy(*by, "_bx", "_by").agg(F.count(F.lit(1)).alias("_c"))
+        grid = cells.select(*by, "_bx").distinct().join(cells.select(*by, "_by").distinct(), by).join(cells, [*by, "_bx", "_by"], "left")
+        before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        above = grid.withColumn("_s", F.sum("_c").over(before(Window.partitionBy(*by, "_bx").orderBy(F.desc("_by")))))
+        far = above.select(*by, "_bx", "_by", F.coalesce(F.sum("_s").over(before(Window.partitionBy(*by, "_by").orderBy("_bx"))), F.lit(0)).alias("_far"))
+        near = counted([*by, "_by"], "_bx", "_n2", True)(counted([*by, "_bx"], "_x", "_n1", False)(dealt))
+        found = near.join(far, [*by, "_bx", "_by"]).select(unit, *by, "_x", "_y", (F.col("_n1") + F.col("_n2") + F.col("_far")).alias("_n"))
+    # a unit's own rows don't count
+    same = F.explode(F.transform("_own", lambda r: F.struct(r["_n"].alias("_n"), F.size(F.filter("_own", lambda o: (o["_x"] <= r["_x"]) & (o["_y"] >= r["_y"]))).alias("_self"))))
+    own = found.groupBy(unit, *by).agg(F.collect_list(F.struct("_x", "_y", "_n")).alias("_own")).select(unit, *by, same.alias("r"))
+    return own.groupBy(unit, *by).agg(F.sum(F.col("r._n") - F.col("r._self")).alias("beaten_by")).where("beaten_by > 0")
+
+
 def as_array(v: DataFrame, by: list[str], x: str, y: str, name: str = "hull") -> DataFrame:
     """A group's vertices as a sorted array of struct(x, y); a hull has few."""
     return v.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias(name))

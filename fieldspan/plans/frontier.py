@@ -208,6 +208,4 @@ def f26(spark, d):
 @query("j12_dominance_pairs", f"WITH {HOLES_SQL} SELECT a.unit AS unit, a.year AS year, {_N} AS beaten_by FROM holes a JOIN holes b ON b.year=a.year AND b.unit<>a.unit AND b.y>=a.y AND b.x_m<=a.x_m GROUP BY 1,2")
 def j12(spark, d):
     """How many units of the year do as well with as little: counted, the pairs are not kept."""
-    r = rows(spark, d).select("unit", "year", "y", "x_m")
-    other = r.select("year", F.col("unit").alias("u2"), F.col("y").alias("y2"), F.col("x_m").alias("x2"))
-    return r.join(other, "year").where("u2 <> unit and y2 >= y and x2 <= x_m").groupBy("unit", "year").agg(F.count(F.lit(1)).alias("beaten_by"))
+    return O.dominated_by(rows(spark, d), ["year"], "unit", "x_m", "y").select("unit", "year", "beaten_by")

@@ -469,3 +469,43 @@ def test_panel_scores_are_derivatives(monkeypatch):
         monkeypatch.setattr(PF.Units, "loglik", lambda self, t: calls.append(t))
         assert np.allclose(u.scores(theta), moved, rtol=1e-6, atol=1e-6) and not calls
         monkeypatch.undo()
+
+
+def test_exact_weather_shares_bases(monkeypatch):
+    """Programmes with weather to be met are solved together: same values and same infeasible points, few programmes."""
+    rng = np.random.default_rng(0)
+    x, w = rng.normal(2000, 250, (400, 1)), np.column_stack([rng.normal(25, 1.5, 400), rng.normal(4, 0.25, 400)])
+    y = x[:, 0] * rng.normal(30, 2, 400)
+    one = lp.frontier_value
+    want = np.array([one(x[i], x[:60], y[:60], w[i], w[:60]) for i in range(400)])
+    alone = []
+    monkeypatch.setattr(lp, "frontier_value", lambda *a: alone.append(1) or one(*a))
+    f, proof = lp.Technology(x[:60], y[:60], w[:60]).values(np.hstack([x, w]))
+    assert (np.isnan(f) == np.isnan(want[:, 0])).all() and np.isnan(f).any() and np.allclose(f, want[:, 0], rtol=1e-9, equal_nan=True)
+    assert np.nanmax(proof) < 1e-9 and len(alone) < 5
+    kept = lp.outer(x[:60], y[:60], w[:60])
+    again, _ = lp.Technology(x[:60][kept], y[:60][kept], w[:60][kept]).values(np.hstack([x, w]))
+    assert kept.sum() < 60 and np.allclose(f, again, rtol=1e-9, equal_nan=True)
+    assert lp.Technology(x[:1], y[:1], w[:1]).values(np.hstack([x[:2], w[:2]]))[0].tolist() == [pytest.approx(y[0]), pytest.approx(math.nan, nan_ok=True)]
+
+
+def test_large_technology_is_copied_to_few_parts(spark):
+    points = spark.range(50_000).select(F.lit(1).alias("t"))
+    assert lp._parts(points, "t", lp.POINTS, lp.MANY).first().parts == 32 and lp._parts(points.limit(150), "t", lp.POINTS, lp.MANY).first().parts == 1
+
+
+def test_counts_of_dominating_points_need_no_pairs(spark):
+    """Counts of ties, repeated points and a unit's own rows are those of all pairs, in one task and over cells."""
+    rng = np.random.default_rng(5)
+    rows = [(int(u), int(t), float(x), float(y)) for u, t, x, y in zip(rng.integers(0, 250, 600), rng.integers(0, 2, 600), rng.integers(0, 30, 600), rng.integers(0, 30, 600))]
+    rows += [(900, 0, None, 3.0), (901, 0, 3.0, None), (902, 1, -1.0, 99.0)]
+    want = {}
+    for u, t, x, y in rows:
+        n = sum(v != u and s == t and None not in (x, y, a, b) and a <= x and b >= y for v, s, a, b in rows)
+        want[u, t] = want.get((u, t), 0) + n
+    df = spark.createDataFrame(rows, "unit int, year int, x double, y double")
+    for most in (1000, 10):
+        plan = O.dominated_by(df, ["year"], "unit", "x", "y", most=most, buckets=7)
+        assert {(r.unit, r.year): r.beaten_by for r in plan.collect()} == {k: n for k, n in want.items() if n}
+    x, y = rng.random(20_000), rng.random(20_000)
+    assert O.dominators(x, y)[:50].tolist() == [int(((x <= a) & (y >= b)).sum()) for a, b in zip(x[:50], y[:50])]
