@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 _EPS = 1e-9
 MOST_PIVOTS = 5000
 POINTS = 200  #: programmes of a task, and points of a first hull
+MANY = 20_000  #: programmes of a task in a large group: they share their bases
 
 
 def solve(c: np.ndarray, a_ub: np.ndarray, b_ub: np.ndarray, a_eq: np.ndarray | None = None, b_eq: np.ndarray | None = None) -> tuple[float, np.ndarray, float]:
@@ -104,42 +105,77 @@ def frontier_value(x0: np.ndarray, x: np.ndarray, y: np.ndarray, w0: np.ndarray
 class Technology:
     """Programmes over one reference that differ in their inputs only: most output, weights summing to at most 1.
 
-    Reduced costs don't depend on the inputs, so a basis that is optimal for one point is optimal for
+    Weather, if there is any, must be met exactly. Reduced costs don't depend on the inputs, so a basis that is optimal for one point is optimal for
     all points at which its weights aren't negative; it is tried on all of them at once. A point that no
-    known basis fits starts from the one that bounds it best, by dual steps.
+    known basis fits starts from the one that bounds it best, by dual steps. A row of weights that rules one point
+    out is tried on all likewise.
     """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.scale = np.append(np.maximum(np.abs(x).max(0, initial=0.0), 1e-300), 1.0)
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None):
+        w = np.zeros((len(y), 0)) if w is None else w
+        self.inputs, self.n = x.shape[1], len(y)
+        rows = np.vstack([x.T, w.T, np.ones(len(y))])
+        self.scale = np.maximum(np.abs(rows).max(1, initial=0.0), 1e-300)
         self.unit = max(float(np.abs(y).max(initial=0.0)), 1e-300)
-        m = x.shape[1] + 1
-        self.full = np.hstack([np.vstack([x.T, np.ones(len(y))]) / self.scale[:, None], np.eye(m)])
-        self.cost = np.append(y / self.unit, np.zeros(m))
+        m = len(rows)
+        self.exact = np.arange(self.inputs, m - 1)
+        self.full = np.hstack([rows / self.scale[:, None], np.delete(np.eye(m), self.exact, 1)])
+        self.cost = np.append(y / self.unit, np.zeros(self.full.shape[1] - self.n))
         self.duals = np.zeros((0, m))
         self.bases: list[np.ndarray] = []
+        self.ray: np.ndarray | None = None
+        if len(self.exact):
+            self._first()
+
+    def _first(self) -> None:
+        """A basis that is optimal at some mix of the reference; none where every mix is degenerate."""
+        bound = np.delete(np.arange(len(self.scale)), self.exact)
+        for k in range(4):
+            weights = 0.1 + np.random.default_rng(k).random(self.n)
+            b = self.full[:, : self.n] @ (0.8 * weights / weights.sum())
+            b[-1] = 1.0
+            _, z, _ = solve(self.cost[: self.n], self.full[bound, : self.n], b[bound], self.full[self.exact, : self.n], b[self.exact])
+            slack = b[bound] - self.full[bound, : self.n] @ z
+            basis = np.concatenate([np.flatnonzero(z > 1e-9), self.n + np.flatnonzero(slack > 1e-9)])
+            if len(basis) == len(b) and np.linalg.cond(self.full[:, basis]) < 1e10:
+                self.bases.append(basis)
+                self.duals = (self.cost[basis] @ np.linalg.inv(self.full[:, basis]))[None, :]
+                return
+
+    def _alone(self, b: np.ndarray) -> tuple[float, float]:
+        """One point by the two-phase programme."""
+        ref, at = self.full[:-1, : self.n].T * self.scale[:-1], b[:-1] * self.scale[:-1]
+        k = self.inputs
+        more = (at[k:], ref[:, k:]) if len(self.exact) else (None, None)
+        return frontier_value(at[:k], ref[:, :k], self.cost[: self.n] * self.unit, *more)
 
     def values(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(f, certificate) at each row of inputs; NaN at rows with a missing or negative one."""
+        """(f, certificate) at each row of inputs and weather; NaN at rows with a missing value or a negative input."""
         b = np.hstack([points, np.ones((len(points), 1))]) / self.scale
         f, proof = np.full(len(b), np.nan), np.full(len(b), np.nan)
-        left = np.flatnonzero((b >= 0).all(1) & np.isfinite(b).all(1))
+        left = np.flatnonzero((b[:, : self.inputs] >= 0).all(1) & np.isfinite(b).all(1))
         while len(left):
-            found = self._basis(b[left[0]])
+            self.ray = None
+            found = self._basis(b[left[0]]) if self.bases or not len(self.exact) else None
             if found is None:
-                value, gap = frontier_value(points[left[0]], self.full[:-1, : -len(self.scale)].T * self.scale[:-1], self.cost[: -len(self.scale)] * self.unit)
-                f[left[0]], proof[left[0]] = value, gap
+                if self.ray is not None:  # beyond what two-phase programmes take for met
+                    lack = -(b[left] @ self.ray) > 1e-7 * np.abs(b[left][:, self.exact] * self.ray[self.exact]).max(1)
+                    if lack[0]:
+                        left = left[~lack]
+                        continue
+                f[left[0]], proof[left[0]] = self._alone(b[left[0]])
                 left = left[1:]
                 continue
             inverse = np.linalg.inv(self.full[:, found])
             weights = b[left] @ inverse.T
-            fits = weights.min(1) >= -_EPS
+            fits = weights.min(1) >= -_EPS / 10
             fits[0] = True
             dual = self.cost[found] @ inverse
             now = left[fits]
             value = np.maximum(weights[fits], 0.0) @ self.cost[found]
             wrong = max(0.0, float((self.cost - dual @ self.full).max()), float(-weights[fits].min()))
             f[now] = value * self.unit
-            proof[now] = np.maximum(np.abs(b[now] @ dual - value), wrong) / np.maximum(value, 1e-3)
+            proof[now] = np.maximum(np.abs(b[now] @ dual - value), wrong) / np.maximum(np.abs(value), 1e-3)
             left = left[~fits]
         return f, proof
 
@@ -153,12 +189,13 @@ class Technology:
             dual = self.cost[basis] @ inverse
             gain = self.cost - dual @ self.full
             gain[basis] = 0.0
-            if at.min() < -_EPS and gain.max() <= _EPS:
+            if at.min() < -_EPS / 10 and gain.max() <= _EPS:
                 r = int(at.argmin())
                 row = inverse[r] @ self.full
                 row[basis] = 0.0
                 open_to = np.flatnonzero(row < -1e-11)
                 if not len(open_to):
+                    self.ray = inverse[r]
                     return None
                 basis[r] = open_to[int((gain[open_to] / row[open_to]).argmin())]
             elif gain.max() > _EPS:
@@ -216,9 +253,47 @@ def is_vertex(points: np.ndarray, j: int) -> bool:
     return bool(np.isnan(value))
 
 
-def _parts(rows: DataFrame, by: str, size: int) -> DataFrame:
-    """by, parts: how many parts of about ``size`` rows each group takes."""
-    return rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+def _parts(rows: DataFrame, by: str, size: int, many: int | None = None) -> DataFrame:
+    """by, parts: how many parts of about ``size`` rows each group takes; beyond 32 parts, parts of up to ``many`` rows."""
+    n = F.count(F.lit(1))
+    parts = F.ceil(n / size)
+    return rows.groupBy(by).agg((F.least(parts, F.greatest(F.lit(32), F.ceil(n / many))) if many else parts).cast("int").alias("parts"))
+
+
+def outer(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, directions: int = 256) -> np.ndarray:
+    """False for points that make no more than a mix of the farthest points in some directions, which stay."""
+    points = np.hstack([x, y[:, None]] if w is None else [x, y[:, None], w])
+    sign = np.append(-np.ones(x.shape[1]), 1.0)
+    spread = points.std(0)
+    ways = np.random.default_rng(len(sign)).normal(size=(points.shape[1], directions))
+    ways[: len(sign)] = np.abs(ways[: len(sign)]) * sign[:, None]
+    seeds = np.unique(np.append(((points - points.mean(0)) / np.where(spread > 0, spread, 1.0) @ ways).argmax(0), (y / np.maximum(x.sum(1), 1e-300)).argmax()))
+    f, _ = Technology(x[seeds], y[seeds], None if w is None else w[seeds]).values(x if w is None else np.hstack([x, w]))
+    out = ~(f >= y * (1 - 1e-12))
+    out[seeds] = True
+    return out
+
+
+def technology(frame: DataFrame, by: str, inputs: list[str], y: str, weather: list[str] | None = None, rounds: int = 4, size: int = MANY // 5) -> DataFrame:
+    """by, inputs, weather and y of the rows that can matter to a group's frontier.
+
+    A row goes if others of its part make as much from as little under the same weather: whatever mix it is in, they
+    replace it. Each round parts anew what is left, in a quarter of the parts.
+    """
+    weather = weather or []
+    names = [*inputs, *weather, y]
+    kept = frame.select(by, *names).dropna()
+    schema, parts = kept.schema, _parts(kept, by, size)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(names).drop_duplicates(names).reset_index(drop=True)
+        w = rows[weather].to_numpy(float) if weather else None
+        return rows[outer(rows[inputs].to_numpy(float), rows[y].to_numpy(float), w)]
+
+    for k in range(rounds):
+        part = F.pmod(F.xxhash64(*names, F.lit(k)), F.ceil(F.col("parts") / 4**k))
+        kept = kept.join(parts, by).withColumn("part", part).groupBy(by, "part").applyInPandas(lambda rows: run(rows)[[by, *names]], schema)
+    return kept
 
 
 def hull_pruned(frame: DataFrame, by: str, columns: list[str], rounds: int = 2, size: int = POINTS) -> DataFrame:
@@ -269,32 +344,28 @@ def values(points: DataFrame, reference: DataFrame, inputs: list[str], y: str, w
     """t, unit, tag, f, proof: the frontier of reference rows (t, ...) at points (t, unit, tag, ...).
 
     Points of one technology are dealt over tasks by their number; each gets the reference, which a
-    caller prunes first: to its skyline, or by ``hull_pruned`` where weather must be met exactly.
+    caller prunes first: to its skyline, or by ``technology``.
     """
     weather = weather or []
-    asked, ref = _met(points, reference.select("t", *inputs, *weather, y), "t", ["unit", "tag"], _parts(points, "t", POINTS))
+    asked, ref = _met(points, reference.select("t", *inputs, *weather, y), "t", ["unit", "tag"], _parts(points, "t", POINTS, MANY))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, out = right[inputs].to_numpy(float), right[y].to_numpy(float)
-        w = right[weather].to_numpy(float) if weather else None
-        if not weather and len(out):
-            f, proof = Technology(x, out).values(left[inputs].to_numpy(float))
-            return pd.DataFrame({"t": left["t"], "unit": left["unit"], "tag": left["tag"], "f": f, "proof": proof})
-        found = []
-        for p in left.to_dict("records"):
-            w0 = np.array([p[c] for c in weather], float) if weather else None
-            found.append(frontier_value(np.array([p[c] for c in inputs], float), x, out, w0, w) if len(out) else (np.nan, np.nan))
-        return pd.DataFrame({"t": left["t"], "unit": left["unit"], "tag": left["tag"], "f": [f for f, _ in found], "proof": [p for _, p in found]})
+        f = proof = np.full(len(left), np.nan)
+        if len(right) and len(left):
+            w = right[weather].to_numpy(float) if weather else None
+            f, proof = Technology(right[inputs].to_numpy(float), right[y].to_numpy(float), w).values(left[[*inputs, *weather]].to_numpy(float))
+        return pd.DataFrame({"t": left["t"], "unit": left["unit"], "tag": left["tag"], "f": f, "proof": proof})
 
     got = asked.groupBy("t", "part").cogroup(ref.groupBy("t", "part")).applyInPandas(run, "t int, unit int, tag string, f double, proof double")
     return got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("f", "proof")})
 
 
 def sequential(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """t and the columns of a reference of all years up to t, each year pruned before it is copied on."""
+    """t and the columns (input, weather, output) of a reference of all years up to t, each year pruned before it is copied on."""
     years = frame.select(F.col("year").cast("int").alias("t")).distinct()
-    own = hull_pruned(frame.select("year", *columns), "year", columns)
-    return hull_pruned(years.join(own, F.col("year") <= F.col("t")).select("t", *columns), "t", columns)
+    x, w, y = columns[:1], columns[1:-1], columns[-1]
+    own = technology(frame.select("year", *columns), "year", x, y, w)
+    return technology(years.join(own, F.col("year") <= F.col("t")).select("t", *columns), "t", x, y, w)
 
 
 def decomposed(frame: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from fieldspan.operators import crosswalk as X, frontier as O, index as I, lp, p
 from fieldspan.plans.headline import growth, sample
 from fieldspan.plans.indices import accounts
 from fieldspan.plans.registry import query
-from fieldspan.sources.tables import INPUTS, panel, table, with_holes
+from fieldspan.sources.tables import INPUTS, held, panel, table, with_holes
 
 _IN = list(INPUTS)
 
@@ -30,7 +30,7 @@ def _points(df, t="year"):
 def f02(spark, d):
     """Four-input frontier values of each year's units, with the duality certificate."""
     r = rows(spark, d)
-    ref = O.non_dominated(r, ["year"], _IN, "y").withColumnRenamed("year", "t")
+    ref = lp.technology(r, "year", _IN, "y").withColumnRenamed("year", "t")
     got = lp.values(_points(r), ref, _IN, "y").select("t", "unit", "f", "proof")
     return got.join(r.select(F.col("year").alias("t"), "unit", "y"), ["t", "unit"]).withColumn("theta", F.col("y") / F.col("f"))
 
@@ -38,9 +38,9 @@ def f02(spark, d):
 @query("f05b_malmquist_four_inputs")
 def f05b(spark, d):
     r = rows(spark, d)
-    own = O.non_dominated(r, ["year"], _IN, "y")
+    own = lp.technology(r, "year", _IN, "y")
     years = r.select(F.col("year").alias("t")).distinct()
-    ref = O.non_dominated(years.join(own, F.col("year") <= F.col("t")).drop("year"), ["t"], _IN, "y")
+    ref = lp.technology(years.join(own, F.col("year") <= F.col("t")).drop("year"), "t", _IN, "y")
     asked = _points(r).unionByName(_points(r.withColumn("s", F.col("year") + 1), "s")).unionByName(_points(r.withColumn("s", F.col("year") - 1), "s"))
     v = lp.values(asked.join(years, "t", "left_semi"), ref, _IN, "y").select("t", "unit", F.col("tag").cast("int").alias("at"), "f")
     # a value serves up to two pairs of years: now and before (t or p) of the technology, then of the inputs
@@ -90,7 +90,11 @@ def f10(spark, d):
 
 
 def weather_frame(spark, d):
-    """unit, year, y, x and two weather columns that must be met exactly."""
+    """unit, year, y, x and two weather columns that must be met exactly; kept, as programmes meet it often."""
+    return held(spark, d, "weather", _weather)
+
+
+def _weather(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     return li.groupBy(F.col("l_suppkey").cast("int").alias("unit"), F.year("l_shipdate").cast("int").alias("year")).agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"), F.sum("l_quantity").alias("x"), F.avg("p_size").alias("w1"), (F.avg("l_tax") * 100).alias("w2")
@@ -98,9 +102,8 @@ def weather_frame(spark, d):
 
 
 def own_year(w):
-    """Each year's units as a technology, without those that the others span."""
-    cols = ["x", "w1", "w2", "y"]
-    return lp.hull_pruned(w.select(F.col("year").alias("t"), *cols), "t", cols)
+    """Each year's units as a technology, without those that the others replace."""
+    return lp.technology(w.withColumnRenamed("year", "t"), "t", ["x"], "y", ["w1", "w2"])
 
 
 @query("f11_hull_prune")
@@ -128,7 +131,7 @@ def f13(spark, d):
 def f15(spark, d):
     """Scores of all units against a reference of even units only."""
     r = rows(spark, d)
-    ref = O.non_dominated(r.where("unit % 2 = 0"), ["year"], _IN, "y").withColumnRenamed("year", "t")
+    ref = lp.technology(r.where("unit % 2 = 0"), "year", _IN, "y").withColumnRenamed("year", "t")
     got = lp.values(_points(r), ref, _IN, "y").select("t", "unit", "f", "proof")
     return got.join(r.select(F.col("year").alias("t"), "unit", "y"), ["t", "unit"]).withColumn("theta", F.col("y") / F.col("f"))
 

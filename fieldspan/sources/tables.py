@@ -24,7 +24,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
-_held: dict[tuple[str, str], DataFrame] = {}
+_held: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A small table of a folder that is met several times, kept until ``release``."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = build(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _held[key]
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +41,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     The queries meet the panel several times each (lags, shares, references), and it is small beside
     the lines it sums, so it is kept, on disk where memory is short, until ``release``.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _held:
-        _held[key] = _panel(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    return _held[key]
+    return held(spark, sf_dir, "panel", _panel)
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the panels that this session keeps."""
+    """Let go of the panels and other small tables that this session keeps."""
     for key in [k for k in _held if k[0] == spark.sparkContext.applicationId]:
         _held.pop(key).unpersist()
 
