@@ -67,6 +67,19 @@ def tornqvist(growth: DataFrame, weight: DataFrame) -> DataFrame:
     )
 
 
+def weighted_growth(growth: DataFrame, weight: DataFrame, names: list[str]) -> DataFrame:
+    """year, the ``tornqvist`` weighted growth of each named column, and its rows as ``n_`` and the name.
+
+    Shares are among the column's own rows. Sums by year of growth times a year's weights over sums of those weights
+    are the same, so that one pass serves all columns; a column without rows in a year is NULL there.
+    """
+    now, before = weight.select("unit", "year", F.col("w").alias("w1")), weight.select("unit", (F.col("year") + 1).alias("year"), F.col("w").alias("w0"))
+    rows = growth.select("unit", "year", *names).join(now, ["unit", "year"]).join(before, ["unit", "year"]).where("w0 > 0 and w1 > 0")
+    there = {k: F.col(k).isNotNull() for k in names}
+    mean = lambda k, w: F.sum(F.col(w) * F.col(k)) / F.sum(F.when(there[k], F.col(w)))
+    return rows.groupBy("year").agg(*[((mean(k, "w0") + mean(k, "w1")) / 2).alias(k) for k in names], *[F.count(k).alias(f"n_{k}") for k in names])
+
+
 def unit_growth(df: DataFrame, value: Column) -> DataFrame:
     """unit, year, dln: gap-guarded growth of a log value."""
     return adjacent_change(df.withColumn("_v", value).where("_v is not null"), "_v", name="dln").select("unit", "year", "dln")

@@ -37,10 +37,12 @@ def adjacent_change(df: DataFrame, value: Column | str, unit: str = "unit", year
     return df.withColumns({name: v - F.lag(v).over(w), "_gap": F.col(year) - F.lag(year).over(w)}).where((F.col("_gap") == 1) & F.col(name).isNotNull()).drop("_gap")
 
 
-def winsorized(df: DataFrame, value: str, group: str = "year", low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values moved to the group's percentiles; the group's two numbers are joined back, so no group sits in one window."""
-    ends = spread.quantiles(df, value, [group], [low, high]).withColumnRenamed("q", "_q")
-    return df.join(ends, group).withColumn(value, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
+def winsorized(df: DataFrame, value: str | list[str], group: str = "year", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Values moved to the group's percentiles, each column to its own; the group's numbers are joined back, so no group sits in one window."""
+    values = [value] if isinstance(value, str) else value
+    ends = spread.quantiles_of(df, values, [group], [low, high]).select(group, *[F.col(v).alias(f"_q_{v}") for v in values])
+    moved = {v: F.when(F.col(v).isNotNull(), F.least(F.greatest(F.col(v), F.col(f"_q_{v}")[0]), F.col(f"_q_{v}")[1])) for v in values}
+    return df.join(ends, group).withColumns(moved).drop(*[f"_q_{v}" for v in values])
 
 
 def rolling(value: Column | str, kind: str, radius: int, least: int, order) -> Column:

@@ -55,6 +55,16 @@ def quantiles(df: DataFrame, value: str, by: list[str], probabilities: list[floa
     return df.select(*by).distinct().join(held.select(*by, F.array(*mixed).alias("q")), by, "left")
 
 
+def quantiles_of(df: DataFrame, values: list[str], by: list[str], probabilities: list[float], most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+    """by and, under each value's name, its ``quantiles``; groups of at most ``most`` rows give all of them in one aggregation."""
+    if largest(df, by) <= most:
+        return df.groupBy(*by).agg(*[F.percentile(v, F.array(*[F.lit(p) for p in probabilities])).alias(v) for v in values])
+    out = df.select(*by).distinct()
+    for v in values:
+        out = out.join(quantiles(df, v, by, probabilities, most, buckets).withColumnRenamed("q", v), by)
+    return out
+
+
 def percent_rank(df: DataFrame, value: str, by: list[str], name: str, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
     """Share of the group's values below or equal, ties at their average rank; rows with NULL are left out."""
     rows = df.where(F.col(value).isNotNull())

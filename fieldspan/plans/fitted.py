@@ -309,15 +309,11 @@ def _estimators(spark, d):
 @query("e08b_matched_estimators")
 def e08b(spark, d):
     """National growth by year and estimator on matched unit-years, winsorized and weighted by output."""
-    matched = _estimators(spark, d).persist()  # a row per unit and year, met several times below
-    long = matched.unpivot(["unit", "year"], ["dea", "sfa", "solow"], "estimator", "dln")
+    names = ["dea", "sfa", "solow"]
+    matched = _estimators(spark, d).select("unit", "year", *names).persist()  # a row per unit and year, met three times below
     weight = sample(spark, d).select("unit", "year", F.col("y").alias("w"))
-    out = None
-    for k in ("dea", "sfa", "solow"):
-        one = P.winsorized(long.where(F.col("estimator") == k).drop("estimator"), "dln")
-        t = I.tornqvist(one, weight).select("year", "n", F.col("dln_weighted").alias(k))
-        out = t if out is None else out.join(t.drop("n"), "year")
-    return out
+    national = I.weighted_growth(P.winsorized(matched, names), weight, names)
+    return national.where(" and ".join(f"n_{k} > 0" for k in names)).select("year", F.col("n_dea").alias("n"), *names)
 
 
 @query("e09f_volatility_by_estimator")

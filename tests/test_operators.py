@@ -509,3 +509,36 @@ def test_counts_of_dominating_points_need_no_pairs(spark):
         assert {(r.unit, r.year): r.beaten_by for r in plan.collect()} == {k: n for k, n in want.items() if n}
     x, y = rng.random(20_000), rng.random(20_000)
     assert O.dominators(x, y)[:50].tolist() == [int(((x <= a) & (y >= b)).sum()) for a, b in zip(x[:50], y[:50])]
+
+
+def _growth_of_two(spark):
+    rng = np.random.default_rng(5)
+    rows = [(u, t, None if (u + t) % 7 == 0 else float(rng.normal()), None if t == 2003 else float(rng.normal())) for u in range(40) for t in (2001, 2002, 2003)]
+    weight = [(u, t, 0.0 if u == 3 else float(rng.uniform(1, 2))) for u in range(40) for t in (2000, 2001, 2002, 2003) if (u, t) != (5, 2001)]
+    return spark.createDataFrame(rows, "unit int, year int, a double, b double"), spark.createDataFrame(weight, "unit int, year int, w double")
+
+
+def test_weighted_growth_of_columns_is_each_ones_tornqvist(spark):
+    from fieldspan.operators import index as I
+
+    growth, weight = _growth_of_two(spark)
+    found = {r.year: r for r in I.weighted_growth(growth, weight, ["a", "b"]).collect()}
+    assert len(found) == 3 and found[2003].b is None and found[2003].n_b == 0
+    for k in ("a", "b"):
+        alone = I.tornqvist(growth.select("unit", "year", F.col(k).alias("dln")), weight).collect()
+        assert {r.year for r in alone} == {t for t, r in found.items() if r[f"n_{k}"]}
+        assert all(found[r.year][k] == pytest.approx(r.dln_weighted, rel=1e-12) and found[r.year][f"n_{k}"] == r.n for r in alone)
+
+
+def test_columns_winsorized_together_are_winsorized_alone(spark):
+    from fieldspan.operators import panel as P, spread
+
+    growth, _ = _growth_of_two(spark)
+    both = P.winsorized(growth, ["a", "b"], low=0.1, high=0.9)
+    assert both.columns == ["year", "unit", "a", "b"]
+    for k in ("a", "b"):
+        alone = P.winsorized(growth.select("unit", "year", k), k, low=0.1, high=0.9)
+        assert {(r.unit, r.year): r[k] for r in alone.collect()} == {(r.unit, r.year): r[k] for r in both.collect()}
+    small, large = ({r.year: (r.a, r.b) for r in spread.quantiles_of(growth, ["a", "b"], ["year"], [0.1, 0.5], most=most, buckets=4).collect()} for most in (100, 10))
+    assert small.keys() == large.keys() and large[2003][1] is None
+    assert all(v == pytest.approx(w) for t in small for v, w in zip(small[t], large[t]) if v is not None)

@@ -347,3 +347,15 @@ CHECKS = {k.removeprefix("check_"): v for k, v in list(globals().items()) if k.s
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_of_other_queries(spark, name):
     CHECKS[name.split("_")[0]](QUERIES[name](spark, DATA).collect(), spark)
+
+
+def _stands(df, node):
+    """How often a node is in a query's plan, as it was put together."""
+    return df._jdf.queryExecution().analyzed().toString().count(node)
+
+
+def test_estimators_stand_once_in_each_reader(spark):
+    """A second copy runs the programmes, or a lookup in what is kept, again for each estimator."""
+    for name in ("e08b_matched_estimators", "e09f_volatility_by_estimator"):  # the rows, and the ends of their distribution
+        assert _stands(QUERIES[name](spark, DATA), "FlatMapCoGroupsInPandas") <= 2, name
+    assert _stands(QUERIES["e12b_gap_by_stage"](spark, DATA), "FlatMapCoGroupsInPandas") == 1
