@@ -283,17 +283,18 @@ def technology(frame: DataFrame, by: str, inputs: list[str], y: str, weather: li
     weather = weather or []
     names = [*inputs, *weather, y]
     kept = frame.select(by, *names).dropna()
-    schema, parts = kept.schema, _parts(kept, by, size)
+    kept = kept.join(_parts(kept, by, size), by)  # the number goes with the rows, so that no round counts them again
+    order, schema = kept.columns, kept.schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(names).drop_duplicates(names).reset_index(drop=True)
         w = rows[weather].to_numpy(float) if weather else None
-        return rows[outer(rows[inputs].to_numpy(float), rows[y].to_numpy(float), w)]
+        return rows.loc[outer(rows[inputs].to_numpy(float), rows[y].to_numpy(float), w), order]
 
     for k in range(rounds):
         part = F.pmod(F.xxhash64(*names, F.lit(k)), F.ceil(F.col("parts") / 4**k))
-        kept = kept.join(parts, by).withColumn("part", part).groupBy(by, "part").applyInPandas(lambda rows: run(rows)[[by, *names]], schema)
-    return kept
+        kept = kept.withColumn("part", part).groupBy(by, "part").applyInPandas(run, schema)
+    return kept.drop("parts")
 
 
 def hull_pruned(frame: DataFrame, by: str, columns: list[str], rounds: int = 2, size: int = POINTS) -> DataFrame:

@@ -542,3 +542,11 @@ def test_columns_winsorized_together_are_winsorized_alone(spark):
     small, large = ({r.year: (r.a, r.b) for r in spread.quantiles_of(growth, ["a", "b"], ["year"], [0.1, 0.5], most=most, buckets=4).collect()} for most in (100, 10))
     assert small.keys() == large.keys() and large[2003][1] is None
     assert all(v == pytest.approx(w) for t in small for v, w in zip(small[t], large[t]) if v is not None)
+
+
+def test_technology_reads_its_input_twice_whatever_the_rounds(spark):
+    from fieldspan.operators import lp
+
+    rows = spark.range(60).select((F.col("id") % 2).cast("int").alias("year"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    found = lp.technology(rows, "year", ["x"], "y")
+    assert found.columns == ["year", "x", "y"] and found._jdf.queryExecution().analyzed().toString().count("Range (") == 2
