@@ -26,11 +26,21 @@ def _points(df, t="year"):
     return df.select(F.col(t).cast("int").alias("t"), "unit", F.col("year").cast("string").alias("tag"), *_IN, "y")
 
 
+def _own(spark, d):
+    return lp.technology(rows(spark, d), "year", _IN, "y")
+
+
+def _up_to(spark, d):
+    """The technology of all years up to t; each year's rows are pruned before they are copied on."""
+    years = rows(spark, d).select(F.col("year").alias("t")).distinct()
+    return lp.technology(years.join(held(spark, d, "technologies", _own), F.col("year") <= F.col("t")).drop("year"), "t", _IN, "y")
+
+
 @query("f02_nirs_programme")
 def f02(spark, d):
     """Four-input frontier values of each year's units, with the duality certificate."""
     r = rows(spark, d)
-    ref = lp.technology(r, "year", _IN, "y").withColumnRenamed("year", "t")
+    ref = held(spark, d, "technologies", _own).withColumnRenamed("year", "t")
     got = lp.values(_points(r), ref, _IN, "y").select("t", "unit", "f", "proof")
     return got.join(r.select(F.col("year").alias("t"), "unit", "y"), ["t", "unit"]).withColumn("theta", F.col("y") / F.col("f"))
 
@@ -38,10 +48,9 @@ def f02(spark, d):
 @query("f05b_malmquist_four_inputs")
 def f05b(spark, d):
     r = rows(spark, d)
-    own = lp.technology(r, "year", _IN, "y")
     years = r.select(F.col("year").alias("t")).distinct()
-    ref = lp.technology(years.join(own, F.col("year") <= F.col("t")).drop("year"), "t", _IN, "y")
-    asked = _points(r).unionByName(_points(r.withColumn("s", F.col("year") + 1), "s")).unionByName(_points(r.withColumn("s", F.col("year") - 1), "s"))
+    ref = held(spark, d, "technologies up to a year", _up_to)
+    asked = _points(r.withColumn("s", F.explode(F.array(*[F.col("year") + k for k in (0, 1, -1)]))), "s")
     v = lp.values(asked.join(years, "t", "left_semi"), ref, _IN, "y").select("t", "unit", F.col("tag").cast("int").alias("at"), "f")
     # a value serves up to two pairs of years: now and before (t or p) of the technology, then of the inputs
     at = lambda year, tag: F.struct(year.alias("year"), F.lit(tag).alias("tag"))

@@ -359,3 +359,13 @@ def test_estimators_stand_once_in_each_reader(spark):
     for name in ("e08b_matched_estimators", "e09f_volatility_by_estimator"):  # the rows, and the ends of their distribution
         assert _stands(QUERIES[name](spark, DATA), "FlatMapCoGroupsInPandas") <= 2, name
     assert _stands(QUERIES["e12b_gap_by_stage"](spark, DATA), "FlatMapCoGroupsInPandas") == 1
+
+
+def test_references_of_programmes_are_kept(spark):
+    from fieldspan.plans import fitted
+    from fieldspan.sources.tables import held, release
+
+    release(spark)
+    QUERIES["f05b_malmquist_four_inputs"](spark, DATA)
+    for name in ("technologies", "technologies up to a year"):
+        assert held(spark, DATA, name, fitted.table).storageLevel.useDisk
