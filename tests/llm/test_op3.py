@@ -51,3 +51,51 @@ def test_odd_rows(spark):
     assert G.nearest(empty, empty).count() == 0
     few = df.where("vec_id in (0, 1, 7)")
     assert [(r.vec_id, r.score) for r in G.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 0.0), (7, 5**0.5)]
+
+
+def _stored(monkeypatch):
+    """The frames that ``written`` stores from now on, by name."""
+    kept, real = {}, G.written
+    monkeypatch.setattr(G, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    return kept
+
+
+def test_shards_grow_instead_of_becoming_many(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2400, 8))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, vector array<double>").repartition(3)
+    kept = _stored(monkeypatch)
+    rows = G.nearest(df, df.where("vec_id % 100 = 0"), shard_rows=20).collect()
+    sizes = [len(r.ids) // 8 for r in kept["graphs"].select("ids").collect()]
+    assert len(sizes) == G.SPREAD and sum(sizes) == 2400  # queries meet 24 shards, not 120; every row is in one
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    best = {q: [i for i in np.argsort(((v - v[q]) ** 2).sum(1)).tolist() if i != q][:10] for q in range(0, 2400, 100)}
+    assert sum(len(got[q] & set(best[q])) for q in best) >= 0.95 * 240
+    monkeypatch.setattr(G, "SHARD_BYTES", 50 * 8 * 8)
+    assert G._shards(2400, 2400 * 8, 20) == 48 and G._shards(0, None, 20) == 1 and G._shards(3, 3 * 10**6, 4096) == 1
+
+
+def test_neighbours_with_near_copies():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 24))
+    v[:1500] = v[0] + 1e-6 * rng.normal(size=(1500, 24))
+    _, _, rows = G._centred(v)
+    found = G.neighbours(rows, rows.astype(np.float32), 20)
+    for i in (0, 7, 1499, 1500, 2999):
+        d = ((rows - rows[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert len(set(found[i].tolist())) == 20 and d[found[i]].max() <= np.sort(d)[19] * 1.001
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 24))
+    v[:2000] = v[0] + 1e-5 * rng.normal(size=(2000, 24))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, vector array<double>").repartition(3)
+    got = {}
+    for r in G.nearest(df, df.where("vec_id % 100 = 0"), shard_rows=3000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    best = {q: [i for i in np.argsort(((v - v[q]) ** 2).sum(1)).tolist() if i != q][:10] for q in range(0, 3000, 100)}
+    assert sum(len(got[q] & set(best[q])) for q in best) >= 0.95 * 300
