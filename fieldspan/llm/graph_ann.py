@@ -297,7 +297,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEA
     width = n_shards * 8 if n_shards <= 128 else 1024  # few shards, each much work: hardly any two in one task
     graphs = written(placed(nodes, "vector", n_shards).repartition(width, "d", "s").groupBy("d", "s").applyInArrow(graph, "d int, s int, entries binary, width double, middle binary, rows binary, edges binary, sizes binary, ids binary"), "graphs")
     blocks = written(placed(asked, "vec_id", n_blocks).groupBy("d", "s").applyInArrow(block, "d int, q_ids binary, q_rows binary"), "blocks")
-    met = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).repartition(width, "d", "s").join(graphs.repartition(width, "d", "s"), ["d", "s"])
+    # a block counts as small to the planner, but with a copy for each shard it isn't: no broadcast
+    met = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).repartition(width, "d", "s").hint("merge").join(graphs.repartition(width, "d", "s"), ["d", "s"])
     ranked = _searched(met, k, beam).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -77,6 +77,13 @@ def test_shards_grow_instead_of_becoming_many(spark, monkeypatch):
     assert G._shards(2400, 2400 * 8, 20) == 48 and G._shards(0, None, 20) == 1 and G._shards(3, 3 * 10**6, 4096) == 1
 
 
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "vec_id long, vector array<double>").repartition(3)
+    found = G.nearest(df, df.where("vec_id % 100 = 0"), shard_rows=20)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30
+
+
 def test_neighbours_with_near_copies():
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 24))
